@@ -155,14 +155,14 @@ def mix(docs: DataFrame, weights: list[float] = (1.0, 2.0, 3.0), most: float = 3
 def take_documents(docs: DataFrame, **params) -> DataFrame:
     """The mix as whole documents: each row of ``docs`` as often as the mix takes its words, rounded to whole copies.
 
-    A document of which the mix takes less than half is left out. Rows without words
-    have no size to mix and stay once. All columns are kept.
+    A document of which the mix takes less than half is left out. Rows without words have
+    no size to mix and stay once. Rows that share doc_id, source and size share what was
+    taken of them evenly. All columns are kept.
     """
     mixed = mix(docs, **params)
-    per = mixed.groupBy("doc_id", "source", "size").agg(F.collect_list("taken").alias("_took"))
-    copies = F.aggregate("_took", F.lit(0).cast("long"), lambda acc, x: acc + x) / (F.greatest("size", F.lit(1)) * F.size("_took"))
-    per = per.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), F.when(F.col("size") == 0, F.lit(1)).otherwise(F.round(copies)).cast("int").alias("_copies"))
-    size = word_count(F.col("text"))
-    joined = docs.withColumn("_w", size).join(per, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_w") == F.col("_z")))
-    joined = joined.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return joined.select(*[joined[c] for c in docs.columns])
+    per = mixed.groupBy("doc_id", "source", "size").agg(F.avg("taken").alias("_took"))
+    copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.round(F.col("_took") / F.greatest("size", F.lit(1)))).cast("int")
+    known = per.select(F.col("doc_id").alias("_mix_doc"), F.col("source").alias("_mix_source"), F.col("size").alias("_mix_size"), copies.alias("_mix_copies")).where("_mix_copies > 0")
+    sized = docs.withColumn("_mix_words", word_count(F.col("text")))
+    same = F.col("doc_id").eqNullSafe(F.col("_mix_doc")) & F.col("source").eqNullSafe(F.col("_mix_source")) & (F.col("_mix_words") == F.col("_mix_size"))
+    return sized.join(known, same).withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*docs.columns)

@@ -91,16 +91,16 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 8000, seed: int = 11)
 
 
 def score(docs: DataFrame, model: OrdinalModel, columns: list[str]) -> DataFrame:
-    """``columns`` with p_usable = P(grade >= 1), p_clean = P(grade >= 2) and expected_grade of every row."""
+    """``columns`` with _p_usable = P(grade >= 1), _p_clean = P(grade >= 2) and _expected_grade of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**18 weights: a fixed size
 
     def fit(slab: tb.Slab) -> dict[str, np.ndarray]:
         own = shared.value
         s = own.latent(slab)
         tail = [ht.sigmoid(s - t) for t in own.thresholds]
-        return {"p_usable": tail[0], "p_clean": tail[-1], "expected_grade": np.sum(tail, axis=0)}
+        return {"_p_usable": tail[0], "_p_clean": tail[-1], "_expected_grade": np.sum(tail, axis=0)}
 
-    return ht.map_texts(docs, columns, "p_usable double, p_clean double, expected_grade double", fit)
+    return ht.map_texts(docs, columns, "_p_usable double, _p_clean double, _expected_grade double", fit)
 
 
 def select_quality(docs: DataFrame, labels: DataFrame, least: float = 0.3, most: int = 8000) -> DataFrame:
@@ -112,4 +112,9 @@ def select_quality(docs: DataFrame, labels: DataFrame, least: float = 0.3, most:
     grade. Other columns are not read.
     """
     scored = score(docs, train(docs, labels, most), ["doc_id"])
-    return scored.select("doc_id", "expected_grade", "p_usable", "p_clean", (F.col("p_usable") >= least).alias("keep"))
+    return scored.select("doc_id", F.col("_expected_grade").alias("expected_grade"), F.col("_p_usable").alias("p_usable"), F.col("_p_clean").alias("p_clean"), (F.col("_p_usable") >= least).alias("keep"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.3, most: int = 8000) -> DataFrame:
+    """The rows of ``docs`` that select_quality keeps, with all their columns."""
+    return score(docs, train(docs, labels, most), docs.columns).where(F.col("_p_usable") >= least).select(*docs.columns)

@@ -188,3 +188,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     ids = F.coalesce("items", F.array().cast("array<string>"))
     return out.select("doc_id", "n_words", hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without a hit, with all their columns."""
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("_text"), "text")
+    hit = find_spans(keyed, benchmark, ["doc_id", "_text"]).select(F.col("doc_id").alias("_d"), F.col("_text").alias("_t")).distinct()
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_t")), "left_anti")

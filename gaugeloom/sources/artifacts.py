@@ -51,7 +51,7 @@ def kind_of_files(files: DataFrame, spark: SparkSession) -> DataFrame:
     The registry is a few rows, so the pattern join is a broadcast of those.
     """
     p = F.broadcast(name_patterns(spark))  # 30 rows
-    hit = files.join(p, files["path"].rlike(p["pattern"]))
+    hit = files.join(p, F.regexp_like(files["path"], p["pattern"]))
     run = F.nullif(F.when(F.contains("pattern", F.lit("([^/]+)")), F.expr("regexp_extract(path, pattern, 1)")), F.lit(""))
     one = hit.withColumn("run_id", run).groupBy("path").agg(F.min(F.struct("rank", "kind", "run_id")).alias("m"))
     return files.join(one, "path", "left").select(*files.columns, "m.kind", "m.run_id", "m.rank")
@@ -69,7 +69,7 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     A document says what it is by its schema; its name decides only if it has none.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(folder)
-    named = kind_of_files(raw.select("path", F.decode("content", F.lit("UTF-8")).alias("text")), spark)
+    named = kind_of_files(raw.select("path", F.decode("content", "UTF-8").alias("text")), spark)
     doc = F.try_parse_json("text")
     known = named.withColumn("doc", doc)
     by_schema = kind_of_schema(F.try_variant_get("doc", "$.schema", "string"))
@@ -185,21 +185,21 @@ def mock_rules(docs: DataFrame) -> DataFrame:
 
 def log_tail(spark: SparkSession, path: str, lines: int = 40) -> DataFrame:
     """line_no, line: the last lines of a log, in order."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.split(F.rtrim("value"), r"\r?\n").alias("l"))
+    whole = spark.read.text(path, wholetext=True).select(F.split(F.rtrim("value"), r"\r?\n").alias("l"))
     return whole.select(F.posexplode(F.slice("l", F.greatest(F.lit(1), F.size("l") - (lines - 1)), lines)).alias("line_no", "line"))
 
 
 def agent_targets(spark: SparkSession, folder: str) -> DataFrame:
     """path of Python files that define TOOLS and build_agent."""
     src = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.py").load(folder)
-    t = src.select("path", F.decode("content", F.lit("UTF-8")).alias("text"))
+    t = src.select("path", F.decode("content", "UTF-8").alias("text"))
     return t.where(F.col("text").rlike(r"(?m)^TOOLS\s*=") & F.col("text").rlike(r"(?m)^def build_agent\(")).select("path")
 
 
 def skill_files(spark: SparkSession, folder: str) -> DataFrame:
     """name (its folder), path, text of each SKILL.md."""
     src = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "SKILL.md").load(folder)
-    return src.select(F.regexp_extract("path", r"([^/]+)/SKILL\.md$", 1).alias("name"), "path", F.decode("content", F.lit("UTF-8")).alias("text"))
+    return src.select(F.regexp_extract("path", r"([^/]+)/SKILL\.md$", 1).alias("name"), "path", F.decode("content", "UTF-8").alias("text"))
 
 
 def catalog(spark: SparkSession, folder: str, prefix: str = "") -> list[str]:

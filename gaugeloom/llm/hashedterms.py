@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import textbytes as tb
@@ -76,12 +77,10 @@ def training_terms(docs: DataFrame, rated: DataFrame, bits: int, most: int, seed
         pairs = list(zip(cuts[:-1], cuts[1:], strict=True))
         return {"terms": [term[a:z].astype(np.int32).tobytes() for a, z in pairs], "counts": [n[a:z].astype(np.int32).tobytes() for a, z in pairs]}
 
-    got = map_texts(sample, ["doc_id", "target"], "terms binary, counts binary", fit).toArrow().sort_by("doc_id")
-    terms = [np.frombuffer(x, np.int32) for x in got["terms"].to_pylist()]
-    counts = [np.frombuffer(x, np.int32) for x in got["counts"].to_pylist()]
-    rows = np.repeat(np.arange(len(terms)), [len(x) for x in terms])
-    none = np.zeros(0, np.int32)
-    return rows, np.concatenate([none, *terms]).astype(np.int64), np.concatenate([none, *counts]), got["target"].to_numpy().astype(np.int64)
+    got = map_texts(sample, ["doc_id", "target"], "terms binary, counts binary", fit).toArrow().sort_by("doc_id").combine_chunks()
+    terms, counts = (np.frombuffer(b"".join(c.as_py() for c in got[name]), np.int32) for name in ("terms", "counts"))
+    sizes = pa.compute.binary_length(got["terms"]).to_numpy() // 4
+    return np.repeat(np.arange(got.num_rows, dtype=np.int32), sizes), terms, counts, got["target"].to_numpy().astype(np.int64)
 
 
 def one_label(labels: DataFrame, target: Column) -> DataFrame:

@@ -84,7 +84,7 @@ def ratings(labels: DataFrame) -> DataFrame:
     return ht.one_label(labels, grade)
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 8000, seed: int = 11) -> OrdinalModel:
+def train(docs: DataFrame, labels: DataFrame, most: int = 6000, seed: int = 11) -> OrdinalModel:
     """Fits on at most ``most`` rated documents, chosen by a hash of doc_id."""
     row, term, n, grade = ht.training_terms(docs, ratings(labels), BITS, most, seed)
     return fit_ordinal(row, term, n, grade, GRADES)
@@ -103,7 +103,7 @@ def score(docs: DataFrame, model: OrdinalModel, columns: list[str]) -> DataFrame
     return ht.map_texts(docs, columns, "_p_usable double, _p_clean double, _expected_grade double", fit)
 
 
-def select_quality(docs: DataFrame, labels: DataFrame, least: float = 0.3, most: int = 8000) -> DataFrame:
+def select_quality(docs: DataFrame, labels: DataFrame, least: float = 0.3, most: int = 6000) -> DataFrame:
     """doc_id, expected_grade, p_usable, p_clean and keep (p_usable >= least) of every row.
 
     Null and empty texts have no terms and get the chances of the thresholds alone. A
@@ -115,6 +115,6 @@ def select_quality(docs: DataFrame, labels: DataFrame, least: float = 0.3, most:
     return scored.select("doc_id", F.col("_expected_grade").alias("expected_grade"), F.col("_p_usable").alias("p_usable"), F.col("_p_clean").alias("p_clean"), (F.col("_p_usable") >= least).alias("keep"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.3, most: int = 8000) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.3, most: int = 6000) -> DataFrame:
     """The rows of ``docs`` that select_quality keeps, with all their columns."""
     return score(docs, train(docs, labels, most), docs.columns).where(F.col("_p_usable") >= least).select(*docs.columns)

@@ -2,9 +2,9 @@
 
 score = sigmoid(b + sum_i w_i + sum_{i<j} v_i . v_j) over the distinct active terms of a
 whole text: the products of the factors v learn pairs, such as an insult beside the
-mention of a group, that added weights miss. A term is active if the training rows show
-it and the label to go together; a text of any length so has few active terms, and terms
-that tell nothing cannot add up to a score.
+mention of a group, that added weights miss. A term is active if it goes with label 1 in
+the training rows; a text of any length so has few active terms, and terms that tell
+nothing cannot add up to a score.
 """
 
 from __future__ import annotations
@@ -38,29 +38,33 @@ class FactorModel:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         at = np.minimum(np.searchsorted(self.terms, term), len(self.terms) - 1)
         hit = self.terms[at] == term
-        pairs = np.unique(row[hit] * len(self.terms) + at[hit])
+        pairs = np.unique(row[hit].astype(np.int64) * len(self.terms) + at[hit])
         return pairs // len(self.terms), pairs % len(self.terms)
 
 
-def active_terms(row: np.ndarray, term: np.ndarray, label: np.ndarray, least: int, z: float) -> np.ndarray:
-    """Terms in at least ``least`` training rows whose log odds ratio with the label is ``z`` standard errors from 0."""
-    size, ones = len(label), max(int(label.sum()), 0)
-    with_one = np.bincount(term, label[row], 1 << BITS)
+def active_terms(row: np.ndarray, term: np.ndarray, label: np.ndarray, least: int) -> np.ndarray:
+    """Terms of at least ``least`` training rows that go with label 1 beyond chance.
+
+    A term in n rows, a of them with label 1, is beyond chance if n times the divergence
+    of a/n from the share of label 1 exceeds the logarithm of the number of terms tried
+    (Chernoff's bound: about one term by chance, whatever the size of the sample).
+    """
+    share = label.mean()
     having = np.bincount(term, minlength=1 << BITS)
     some = np.flatnonzero(having >= least)
-    a, n = with_one[some] + 0.5, having[some] + 1.0
-    b, c, d = n - a, ones - a + 1.0, size - ones - n + a + 1.0
-    c, d = np.maximum(c, 0.5), np.maximum(d, 0.5)
-    odds = np.log(a * d / (b * c))
-    return some[np.abs(odds) > z * np.sqrt(1 / a + 1 / b + 1 / c + 1 / d)]
+    n, a = having[some], np.bincount(term, label[row], 1 << BITS)[some]
+    q = a / n
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = np.nan_to_num(q * np.log(q / share)) + np.nan_to_num((1 - q) * np.log((1 - q) / (1 - share)))
+    return some[(q > share) & (n * gain > np.log(max(len(some), 2)))]
 
 
-def fit_factors(row: np.ndarray, term: np.ndarray, label: np.ndarray, rank: int = 4, steps: int = 200, rate: float = 0.03, l2: float = 1e-4, least: int = 4, z: float = 3.0, seed: int = 5) -> FactorModel:
+def fit_factors(row: np.ndarray, term: np.ndarray, label: np.ndarray, rank: int = 4, steps: int = 200, rate: float = 0.03, l2: float = 1e-4, least: int = 4, seed: int = 5) -> FactorModel:
     """Adam on the whole sample with logistic loss. Without rows of both labels the score is flat."""
     if not len(label) or label.min() == label.max():
         share = (label.sum() + 0.5) / (len(label) + 1.0)
         return FactorModel(np.zeros(0, np.int64), float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, rank)))
-    terms = active_terms(row, term, label, least, z)
+    terms = active_terms(row, term, label, least)
     model = FactorModel(terms, 0.0, np.zeros(len(terms)), np.random.default_rng(seed).normal(0, 0.05, (len(terms), rank)))
     own, at = model.find(row, term)
     rows = len(label)
@@ -91,14 +95,14 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 12000, seed: int = 13) -> FactorModel:
+def train(docs: DataFrame, labels: DataFrame, most: int = 10000, seed: int = 13) -> FactorModel:
     """Fits on at most ``most`` labelled documents that are not held out, chosen by a hash of doc_id."""
     rated = ht.one_label(labels.where(~held_out(F.col("doc_id"))), F.when(F.col("toxic") > 0, 1).when(F.col("toxic") <= 0, 0))
     row, term, _, label = ht.training_terms(docs, rated, BITS, most, seed)
     return fit_factors(row, term, label)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most: int = 12000) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most: int = 10000) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of ``docs`` (doc_id, text).
 
     Null and empty texts have no active term and get the score of the bias. Repeated rows

@@ -75,7 +75,7 @@ def member(data: bytes) -> bytes:
 
 def page_records(page: str, url: str | None, payload: bytes, digest: str, refers: str | None, segment: int) -> Iterator[tuple[int, bytes]]:
     """(segment number, record) of a page."""
-    rid = f"<urn:page:{page}>"
+    rid = f"<urn:page:{page}#{uuid.uuid4().hex}>"  # rows that repeat a page_id are records of their own
     common = [("WARC-Target-URI", "".join((url or "about:blank").split())), ("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Payload-Digest", f"sha256:{digest}")]
     if refers is not None:
         profile = ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
@@ -87,7 +87,7 @@ def page_records(page: str, url: str | None, payload: bytes, digest: str, refers
     yield 1, record("response", [("WARC-Record-ID", rid), *common, *first, ("Content-Type", "application/http;msgtype=response")], pieces[0])
     for i, piece in enumerate(pieces[1:], 2):
         last = [("WARC-Segment-Total-Length", str(len(block)))] if i == len(pieces) else []
-        yield i, record("continuation", [("WARC-Record-ID", f"<urn:page:{page}:{i}>"), ("WARC-Segment-Origin-ID", rid), ("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Segment-Number", str(i)), *last], piece)
+        yield i, record("continuation", [("WARC-Record-ID", f"{rid[:-1]}.{i}>"), ("WARC-Segment-Origin-ID", rid), ("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Segment-Number", str(i)), *last], piece)
 
 
 def with_referrals(pages: DataFrame, least: int) -> DataFrame:
@@ -210,7 +210,7 @@ def read_pages(spark: SparkSession, folder: str, page_type: str = "long") -> Dat
     A revisit has no payload of its own; its length is that of the response it names.
     """
     got = reassemble(read_records(spark, folder))
-    page = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^<urn:page:(.*)>$', 1) as {page_type})")
+    page = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^<urn:page:([^#>]*)', 1) as {page_type})")
     rows = got.select(page("id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), page("refers_to").alias("refers_to"))
     sizes = rows.where("record_type = 'response'").groupBy("payload_digest").agg(F.max("payload_bytes").alias("_n"))
     return rows.join(sizes, "payload_digest", "left").select("page_id", F.coalesce("payload_bytes", "_n").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")

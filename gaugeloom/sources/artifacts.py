@@ -185,7 +185,7 @@ def mock_rules(docs: DataFrame) -> DataFrame:
 
 def log_tail(spark: SparkSession, path: str, lines: int = 40) -> DataFrame:
     """line_no, line: the last lines of a log, in order."""
-    whole = spark.read.text(path, wholetext=True).select(F.split(F.rtrim("value"), r"\r?\n").alias("l"))
+    whole = spark.read.text(path, wholetext=True).select(F.split(F.regexp_replace("value", r"\s+$", ""), r"\r?\n").alias("l"))
     return whole.select(F.posexplode(F.slice("l", F.greatest(F.lit(1), F.size("l") - (lines - 1)), lines)).alias("line_no", "line"))
 
 

@@ -106,3 +106,23 @@ def test_replay_stops_at_an_error(spark):
     got = {r.case_id: r for r in pg.conversations(cases, agent).collect()}
     assert (got["a"].response, got["a"].turns) == ("reply 3", 2)
     assert (got["b"].response, got["b"].turns, got["b"].error) == (None, 1, "ValueError: boom")
+
+
+def test_report_views(spark, tmp_path):
+    from gaugeloom.plans.views import Report
+
+    project(tmp_path)
+    write(tmp_path, "agent-map.json", {"schema": f"{NS}/agent-map/v1", "intents": [{"id": "i"}, {"id": "k"}], "scenarios": [{"id": "s", "intent": "i"}], "tools": [{"name": "w", "args_schema": {"required": ["k"]}}],
+          "graph": {"nodes": [{"id": "n", "kind": "agent", "prompt": "p", "evidence": ["b"]}, {"id": "n", "kind": "graph-node", "evidence": ["a"]}]}})
+    write(tmp_path, "simulation.json", {"schema": f"{NS}/simulation/v1", "results": [{"scenario_id": "s", "stop_reason": "success", "turns": 1, "transcript": [], "violations": ["v"]}]})
+    r = Report(spark, str(tmp_path), default=0.6, judges=("j",))
+    for name in r.register():
+        spark.table(name).collect()
+    s = r.summary().first()
+    assert (s.verdict, s.overall_score, s.metrics_passing, s.approved, s.stable_fraction) == ("fail", 0.5, 0, 1, 1.0)
+    assert [tuple(x) for x in r.intents().orderBy("ordinal").collect()] == [(0, "i", 1, 1), (1, "k", 0, 0)]
+    n = r.nodes().first()
+    assert (n.kind, n.prompt, n.evidence) == ("agent", "p", ["a", "b"])
+    assert r.simulation_totals().first().asDict() == {"scenarios": 1, "successes": 1, "with_violations": 1}
+    assert r.tools().first().mockable and r.coverage().count() == 1
+    assert {x.rule for x in r.ledger_totals().collect()} == {1}

@@ -145,3 +145,43 @@ def test_skill_text(spark):
     assert {(r.tool, r.how) for r in tx.skill_tools(f, tools).collect()} == {("search", "allowed"), ("page_oncall", "unknown"), ("lookup", "mentioned")}
     spec = spark.range(1).select(tx.model_spec(F.lit("api:big@high")).alias("s")).first().s
     assert (spec.provider, spec.model, spec.effort) == ("api", "big", "high")
+
+
+def test_samples_conform_and_corruptions_do_not():
+    schema = {"type": "object", "required": ["n"], "properties": {"n": {"type": "integer", "minimum": 3}, "when": {"type": "string", "format": "date"}, "code": {"type": "string", "pattern": "^\\d{4}$"}, "k": {"anyOf": [{"type": "null"}, {"$ref": "#/$defs/K"}]}, "l": {"type": "array", "items": {"type": "number", "exclusiveMaximum": 1}, "minItems": 2}}, "$defs": {"K": {"enum": ["a"]}}}
+    own = js.Sampler(schema)
+    assert own.good() == {"n": 3, "when": "2026-01-15", "code": "1111", "k": "a", "l": [0.0, 0.0]}
+    check = js.Validator(schema)
+    assert check.problems(own.good()) == []
+    assert check.problems(own.bad()) == ["$: missing required 'n'"] and check.problems(own.bad("wrong_type")) == ["$.n: expected integer, got str"]
+
+
+def test_map_checks(spark):
+    from gaugeloom.operators import agentmap as am
+
+    intents = spark.createDataFrame([("i.a", ["doc:1"]), ("Bad Id", [])], "intent string, evidence array<string>")
+    scenarios = spark.createDataFrame([("s1", "i.a", "happy", None, ["k"], ["tool:w"]), ("s2", "i.a", "failure", "odd", [], ["tool:gone"]), ("s3", "i.x", "happy", None, [], [])], "scenario string, intent string, kind string, failure_mode string, skills array<string>, evidence array<string>")
+    got = {(r.kind, r.id, r.problem) for r in am.map_problems(intents, scenarios, spark.createDataFrame([("timeout",)], "failure_type string"), spark.createDataFrame([("w",)], "tool string"), spark.createDataFrame([("k",)], "skill string")).collect()}
+    assert got == {
+        ("intent", "Bad Id", "id is no slug"), ("intent", "Bad Id", "no evidence"), ("intent", "Bad Id", "no happy scenario"), ("intent", "Bad Id", "no failure scenario"),
+        ("scenario", "s2", "failure mode does not apply"), ("scenario", "s2", "unknown tool gone"), ("scenario", "s3", "unknown intent"), ("scenario", "s3", "no evidence"),
+    }
+    facts = spark.createDataFrame([("tool", "pay"), ("skill", "triage")], "name string, value string")
+    gates = {"tool_error": F.col("name") == "tool", "never": F.lit(False)}
+    assert [tuple(r) for r in am.failure_gates(facts, gates).collect()] == [("tool_error", ["tool:pay"])]
+    nodes = spark.createDataFrame([("n", "use w here", []), ("m", "use w", ["w"])], "id string, prompt string, tools array<string>")
+    assert [tuple(r) for r in am.node_tools(nodes, spark.createDataFrame([("w",)], "tool string")).collect()] == [("n", "w")]
+    t = "tool string, ordinal int, description string, args_schema string"
+    m = am.merged_tools(spark.createDataFrame([("w", 0, "src", "{}")], t), spark.createDataFrame([("w", 0, "live", None), ("z", 1, "new", None)], t))
+    assert [(r.tool, r.description, r.args_schema, r.live) for r in m.orderBy("place").collect()] == [("w", "live", "{}", True), ("z", "new", None, True)]
+
+
+def test_specs(spark, tmp_path):
+    from gaugeloom.sources import specs
+
+    (tmp_path / "s.yaml").write_text("- id: a\n  opening: hi\n  max_turns: 2\n  expect:\n    contains: x\n")
+    assert specs.scenarios(spark, str(tmp_path / "s.yaml")).first().expect_contains == "x"
+    (tmp_path / "e.yaml").write_text("evaluators:\n- type: contains\n- type: correctness\n  prompt: TONE_PROMPT\n- type: own\n  name: mine\n")
+    assert specs.judge_metrics(specs.evaluators(spark, str(tmp_path / "e.yaml"))) == ["tone", "mine"]
+    docs = spark.createDataFrame([("/p/a/dataset.json", "dataset"), ("/p/a/work/state.json", "pipeline_state"), ("/p/x.json", None)], "path string, kind string")
+    assert [tuple(r) for r in specs.projects(docs).collect()] == [("/p/a", 2)]

@@ -7,6 +7,7 @@ can't be parsed or recognised becomes a row of problems, never an error.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.window import Window
 
 from ..functions.jsonvalues import output_hash, trajectory_hash
 
@@ -124,7 +125,8 @@ def cases(docs: DataFrame) -> DataFrame:
 
 def runs(docs: DataFrame) -> DataFrame:
     """Case runs with their hashes; run_ordinal follows the time stamps."""
-    order = F.dense_rank().over(F_window("timestamp", "run_id")) - 1
+    # over the runs of one folder: a few rows
+    order = F.dense_rank().over(Window.orderBy("timestamp", "run_id")) - 1
     r = one(docs, "run").select("doc", "run_id", text("doc", "$.timestamp").alias("timestamp")).withColumn("run_ordinal", order)
     c = items(r, "$.case_runs", ["run_id", "run_ordinal"])
     calls = F.coalesce(F.from_json(json_text("item", "$.tool_calls"), "array<variant>"), F.array().cast("array<variant>"))
@@ -138,12 +140,6 @@ def runs(docs: DataFrame) -> DataFrame:
     return hashed.withColumn("trajectory_hash", trajectory_hash("calls", "error")).withColumn("output_hash", output_hash("response", "calls", "error"))
 
 
-def F_window(*order: str):
-    from pyspark.sql.window import Window
-
-    return Window.orderBy(*order)  # over the runs of one folder, a few rows
-
-
 def ledger(case_runs: DataFrame) -> DataFrame:
     entry = "array<struct<tool:string,args:string,layer:string,rule:int,strategy:string,response:string,valid:boolean,repairs:int,fallback:boolean,seconds:double,error:string>>"
     return case_runs.select("run_id", "case_id", F.posexplode(F.from_json("mock_calls", entry)).alias("seq", "e")).select("run_id", "case_id", "seq", "e.*")
@@ -152,7 +148,7 @@ def ledger(case_runs: DataFrame) -> DataFrame:
 def scores(docs: DataFrame, run_order: DataFrame | None = None) -> DataFrame:
     """The long score table of all score reports; run_ordinal by run_order (run_id, run_ordinal) or by run_id."""
     rep = one(docs, "score_report").select("doc", "run_id")
-    rep = rep.join(run_order, "run_id", "left") if run_order is not None else rep.withColumn("run_ordinal", F.dense_rank().over(F_window("run_id")) - 1)
+    rep = rep.join(run_order, "run_id", "left") if run_order is not None else rep.withColumn("run_ordinal", F.dense_rank().over(Window.orderBy("run_id")) - 1)
     c = items(rep, "$.cases", ["run_id", "run_ordinal"]).withColumn("case_id", text("item", "$.case_id"))
     got = c.select("run_id", "run_ordinal", "case_id", F.explode(F.from_json(json_text("item", "$.scores"), "map<string,struct<score:double,comment:string>>")).alias("metric", "s"))
     good = got.select("run_id", "run_ordinal", "case_id", "metric", F.lit("scored").alias("outcome"), F.col("s.score").alias("score"), F.col("s.comment").alias("comment"))

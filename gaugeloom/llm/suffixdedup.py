@@ -22,11 +22,11 @@ from __future__ import annotations
 import gc
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import textbytes as tb
 
@@ -192,8 +192,8 @@ def starts_through(anchors: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(diff)[: most + 1] > 0
 
 
-def open_messages(joined: DataFrame, buckets: int) -> DataFrame:
-    """Messages of the strings that step 1 leaves open."""
+def open_messages(joined: DataFrame, block: int, blocks: int, buckets: int) -> DataFrame:
+    """Messages of the strings that step 1 leaves open and whose hash falls into the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in map(in_order, batches):
@@ -210,6 +210,8 @@ def open_messages(joined: DataFrame, buckets: int) -> DataFrame:
                     sums = tb.prefix(tb.byte_codes(slab.buf))
                     here = slab.starts[row] + place
                     whole = tb.mix(tb.span(sums, here, here + LENGTH), 3)
+                    share = (whole >> np.uint64(8)) % np.uint64(blocks) == block
+                    row, place, here, whole = row[share], place[share], here[share], whole[share]
                     half = tb.mix(tb.span(sums, here, here + LENGTH // 2), 4)
                     yield messages(whole, half, ids[slab.first + row], keys[slab.first + row], place, buckets, False)
 
@@ -240,7 +242,13 @@ def cut_texts(joined: DataFrame) -> DataFrame:
     return joined.select("did", "tkey", "text", "anchors", "strings").mapInArrow(run, "did long, tkey long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def remove_repeats(docs: DataFrame, blocks: int = 4, bucket_entries: int = 1_000_000) -> DataFrame:
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of finished steps, which otherwise lie until the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def remove_repeats(docs: DataFrame, blocks: int = 3, bucket_entries: int = 1_000_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of ``docs`` (doc_id, text).
 
     A null text is empty. Texts under LENGTH bytes lose nothing. Earlier: smaller doc_id,
@@ -248,8 +256,8 @@ def remove_repeats(docs: DataFrame, blocks: int = 4, bucket_entries: int = 1_000
     are ordered by a hash of the text; rows repeated whole are one text, with one result.
     Other columns are not read.
 
-    ``blocks``: shares of the anchors that are sorted one after another. The shuffle files
-    of a block are let go before the next.
+    ``blocks``: shares of the anchors, and then of the strings, that are sorted one after
+    another.
     """
     spark = docs.sparkSession
     folder = f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/gaugeloom').rstrip('/')}/repeats-{uuid.uuid4().hex}"
@@ -260,15 +268,20 @@ def remove_repeats(docs: DataFrame, blocks: int = 4, bucket_entries: int = 1_000
     total = long.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(2 * parts, int(total * len(D) / V / blocks / bucket_entries) + 1)
-    for block in range(blocks):
-        ranked(anchor_messages(long, block, blocks, buckets), True).write.parquet(f"{folder}/anchors/block={block}")
-        gc.collect()
-        spark._jvm.System.gc()  # lets Spark's cleaner delete the block's shuffle files
-    anchors = gathered(spark.read.schema(_ANSWER).parquet(*[f"{folder}/anchors/block={b}" for b in range(blocks)]), "anchors")
-    # one exchange of the texts serves both joins below
-    dealt = long.select("did", "tkey", "text").repartition(max(parts, int(total / (64 << 20)) + 1), "did", "tkey")
-    touched = dealt.join(anchors, ["did", "tkey"])
-    strings = gathered(ranked(open_messages(touched, buckets), False), "strings")
+
+    def answered(name: str, sent: Callable[[int], DataFrame], tell_mixed: bool) -> DataFrame:
+        """The answers of all blocks, one block at a time; the shuffle files of one are let go before the next."""
+        for block in range(blocks):
+            ranked(sent(block), tell_mixed).write.parquet(f"{folder}/{name}/block={block}")
+            release(spark)
+        return gathered(spark.read.schema(_ANSWER).parquet(*[f"{folder}/{name}/block={b}" for b in range(blocks)]), name)
+
+    anchors = answered("anchors", lambda block: anchor_messages(long, block, blocks, buckets), True)
+    # texts with answers, written once for the strings and for the cut
+    long.select("did", "tkey", "text").join(anchors, ["did", "tkey"]).write.option("compression", "zstd").parquet(f"{folder}/touched")
+    release(spark)
+    touched = spark.read.parquet(f"{folder}/touched")
+    strings = answered("strings", lambda block: open_messages(touched, block, blocks, buckets), False)
     cut = cut_texts(touched.join(strings, ["did", "tkey"], "left"))
     cut = cut.dropDuplicates(["did", "tkey"])
     found = cut.withColumnsRenamed({"did": "_did", "tkey": "_tkey"})

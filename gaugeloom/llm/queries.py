@@ -77,7 +77,7 @@ sums AS (
   SELECT doc_id, text, (octet_length(encode(text)) + 1)::BIGINT AS size,
     CASE WHEN length(h) = 0 THEN 0 ELSE xor(list_reduce(
       list_prepend(4294967295::BIGINT, list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
-      lambda a, b: xor(a >> 8, t[xor(a, b) & 255 + 1])), 4294967295) END AS text_crc32
+      lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) END AS text_crc32
   FROM texts, remainders
 ),
 names(level, name, w) AS (
@@ -90,17 +90,21 @@ draws AS (
   FROM (SELECT DISTINCT doc_id FROM documents), names
 ),
 region AS (
-  SELECT doc_id, (arg_min(name, d) FILTER (name <> 'region:g+8'))[9:]::INT AS g, arg_min(name, d) = 'region:g+8' AS grown
+  SELECT doc_id, (arg_min(name, d) FILTER (WHERE name <> 'region:g+8'))[9:]::INT AS g, arg_min(name, d) = 'region:g+8' AS grown
   FROM draws WHERE level = 'region' GROUP BY doc_id
 ),
 rack AS (
   SELECT doc_id, any_value(grown) AS grown, arg_min(name, d)[7:]::INT AS k
-  FROM draws JOIN region USING (doc_id) WHERE level = 'rack' AND name[7:]::INT // 2 = g GROUP BY doc_id
+  FROM draws JOIN region USING (doc_id) WHERE level = 'rack' AND right(name, 1)::INT // 2 = g GROUP BY doc_id
 ),
 placed AS (
   SELECT doc_id, any_value(grown) AS grown, arg_min(name, d)[7:]::INT AS shard
-  FROM draws JOIN rack USING (doc_id) WHERE level = 'shard' AND name[7:]::INT // 2 = k GROUP BY doc_id
+  FROM draws JOIN rack USING (doc_id) WHERE level = 'shard' AND right(name, 1)::INT // 2 = k GROUP BY doc_id
 )
+SELECT s.doc_id, s.size, s.text_crc32, 'key' AS law, p.shard,
+  (row_number() OVER (PARTITION BY p.shard ORDER BY left(md5(coalesce(s.doc_id::VARCHAR, 'null') || '/slot'), 3), s.doc_id, s.text_crc32, s.size) - 1)::BIGINT AS slot,
+  CASE WHEN p.grown THEN 8 ELSE p.shard END AS grown_shard
+FROM sums s JOIN placed p ON s.doc_id IS NOT DISTINCT FROM p.doc_id
 """
 
 _OP7 = r"""
@@ -153,4 +157,4 @@ FROM p LEFT JOIN f USING (body)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": _OP7, "op9_decontamination": _OP9, "op10_warc": _OP10}
+    return {"op1_sharding": _OP1, "op7_mixing": _OP7, "op9_decontamination": _OP9, "op10_warc": _OP10}

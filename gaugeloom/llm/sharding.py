@@ -88,17 +88,17 @@ def with_slots(rows: DataFrame, shard: str, block: str, order: list[Column], slo
     offsets = counts.select(F.col(shard).alias("_s"), F.col(block).alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = Window.partitionBy(shard, block).orderBy(*order)
     numbered = rows.withColumn("_k", F.row_number().over(inside) - 1)
-    # at most shards * blocks rows of 16 bytes, a bound fixed by the two parameters
+    # at most shards * blocks rows of two numbers, a bound fixed by the parameters
     joined = numbered.join(F.broadcast(offsets), (F.col(shard) == F.col("_s")) & (F.col(block) == F.col("_b")))
     return joined.withColumn(slot, (F.col("_before") + F.col("_k")).cast("long")).drop("_s", "_b", "_before", "_k")
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 8, blocks: int = 512) -> DataFrame:
+def shard_documents(docs: DataFrame, n_shards: int = 8) -> DataFrame:
     """All rows of ``docs`` (doc_id, text, ...) with shard, slot and the shard after growth by one.
 
     Null texts have size 1 and the checksum of the empty text; a null doc_id is a key of
-    its own. Repeated rows share a shard and get a slot each. Slots order each of
-    ``blocks`` key blocks by doc_id, checksum and size. Other columns are not read.
+    its own. Repeated rows share a shard and get a slot each. Slots follow 4096 blocks of
+    the key's hash and in each doc_id, checksum and size. Other columns are not read.
     """
     leaves = tree(n_shards)
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -109,7 +109,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, blocks: int = 512) -> Da
         F.lit("key").alias("law"),
         place(F.col("doc_id"), leaves).alias("shard"),
         place(F.col("doc_id"), grow(leaves)).alias("grown_shard"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("_block"),
+        F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("/slot"))), 1, 3).alias("_block"),
     )
     out = with_slots(rows, "shard", "_block", [F.col("doc_id"), F.col("text_crc32"), F.col("size")])
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")

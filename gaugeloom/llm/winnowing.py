@@ -15,7 +15,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.window import Window
 
 from . import textbytes as tb
 
@@ -165,6 +164,18 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, keys: list[str]) -> DataFr
     return extended(pairs, keys).distinct()
 
 
+def word_counts(keyed: DataFrame) -> DataFrame:
+    """doc_id, _text, n_words of every row."""
+    kind = keyed.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = [np.bincount(tb.runs(slab, tb.WORD)[2], minlength=len(slab.starts)) for slab in tb.slabs(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_text"), pa.array(np.concatenate([np.zeros(0, np.int64), *counts]))], ["doc_id", "_text", "n_words"])
+
+    return keyed.mapInArrow(run, f"doc_id {kind}, _text long, n_words long")
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every row of ``docs``.
 
@@ -176,15 +187,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     key = F.xxhash64("text").alias("_text")
     keyed = docs.select("doc_id", key, "text")
     spans = find_spans(keyed, benchmark, ["doc_id", "_text"])
-    before = Window.partitionBy("doc_id", "_text").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
-    cover = spans.groupBy("doc_id", "_text", "lo").agg(F.max("hi").alias("hi"))
-    cover = cover.withColumn("done", F.coalesce(F.max("hi").over(before), F.lit(0)))
-    words = cover.groupBy("doc_id", "_text").agg(F.sum(F.greatest(F.col("hi") - F.greatest("lo", "done"), F.lit(0))).alias("n_hit"))
-    items = spans.groupBy("doc_id", "_text").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
-    found = words.join(items, (words["doc_id"].eqNullSafe(items["doc_id"])) & (words["_text"] == items["_text"])).select(words["doc_id"].alias("_d"), words["_text"].alias("_t"), "n_hit", "items")
-    n_words = F.coalesce(F.regexp_count(lower_ascii(F.col("text")), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
-    all_docs = docs.select("doc_id", key, n_words.alias("n_words"))
-    out = all_docs.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_text") == F.col("_t")), "left")
+    # a document's distinct runs are no more than its words; overlaps are merged in order
+    found = spans.groupBy(F.col("doc_id").alias("_d"), F.col("_text").alias("_t")).agg(
+        F.sort_array(F.collect_set("item_id")).alias("items"), F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("runs"),
+    )
+    zero = F.lit(0).cast("long")
+    merged = F.aggregate(
+        "runs", F.struct(zero.alias("n"), zero.alias("done")),
+        lambda acc, r: F.struct((acc["n"] + F.greatest(r["hi"] - F.greatest(r["lo"], acc["done"]), zero)).alias("n"), F.greatest(acc["done"], r["hi"]).alias("done")),
+    )
+    found = found.select("_d", "_t", "items", merged["n"].alias("n_hit"))
+    out = word_counts(keyed).join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("_text").eqNullSafe(F.col("_t")), "left")
     hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     ids = F.coalesce("items", F.array().cast("array<string>"))
     return out.select("doc_id", "n_words", hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))

@@ -77,10 +77,19 @@ def training_terms(docs: DataFrame, rated: DataFrame, bits: int, most: int, seed
         pairs = list(zip(cuts[:-1], cuts[1:], strict=True))
         return {"terms": [term[a:z].astype(np.int32).tobytes() for a, z in pairs], "counts": [n[a:z].astype(np.int32).tobytes() for a, z in pairs]}
 
-    got = map_texts(sample, ["doc_id", "target"], "terms binary, counts binary", fit).toArrow().sort_by("doc_id").combine_chunks()
-    terms, counts = (np.frombuffer(b"".join(c.as_py() for c in got[name]), np.int32) for name in ("terms", "counts"))
-    sizes = pa.compute.binary_length(got["terms"]).to_numpy() // 4
-    return np.repeat(np.arange(got.num_rows, dtype=np.int32), sizes), terms, counts, got["target"].to_numpy().astype(np.int64)
+    got = map_texts(sample, ["doc_id", "target"], "terms binary, counts binary", fit).toArrow()
+    order = pa.compute.sort_indices(got["doc_id"]).to_numpy()
+    sizes = pa.compute.binary_length(got["terms"]).to_numpy()[order] // 4
+    ends = np.cumsum(sizes)
+    terms, counts = np.empty(sizes.sum(), np.int32), np.empty(sizes.sum(), np.int32)
+    for i, size, end in zip(order.tolist(), sizes.tolist(), ends.tolist(), strict=True):
+        if size:
+            for name, out in (("terms", terms), ("counts", counts)):
+                out[end - size : end] = np.frombuffer(got[name][i].as_buffer(), np.int32)
+    target = got["target"].to_numpy()[order].astype(np.int64)
+    del got
+    pa.default_memory_pool().release_unused()
+    return np.repeat(np.arange(len(order), dtype=np.int32), sizes), terms, counts, target
 
 
 def one_label(labels: DataFrame, target: Column) -> DataFrame:

@@ -8,6 +8,7 @@ counts of the whole text, scaled to length one.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,6 +17,8 @@ from pyspark.sql import DataFrame, functions as F
 from . import hashedterms as ht, textbytes as tb
 
 BITS = 18
+#: Entries that training handles at a time.
+BLOCK = 1 << 18
 
 
 @dataclass
@@ -29,10 +32,24 @@ class OrdinalModel:
         return _project(row, term, n, self.weights, len(slab.starts), self.scale)
 
 
+def _blocks(n: int) -> Iterator[slice]:
+    return (slice(i, i + BLOCK) for i in range(0, n, BLOCK))
+
+
+def _sums(key: np.ndarray, value: Callable[[slice], np.ndarray], size: int) -> np.ndarray:
+    """Sums of value(block) by key, a block of entries at a time: temporary arrays stay small however large the sample."""
+    out = np.zeros(size)
+    for b in _blocks(len(key)):
+        out += np.bincount(key[b], value(b), size)
+    return out
+
+
 def _values(row: np.ndarray, n: np.ndarray, rows: int, scale: float) -> np.ndarray:
     v = np.log1p(n)
-    norm = np.sqrt(np.bincount(row, v * v, rows))
-    return scale * v / np.maximum(norm, 1e-12)[row]
+    factor = scale / np.maximum(np.sqrt(_sums(row, lambda b: v[b] * v[b], rows)), 1e-12)
+    for b in _blocks(len(v)):
+        v[b] *= factor[row[b]]
+    return v
 
 
 def _project(row: np.ndarray, term: np.ndarray, n: np.ndarray, weights: np.ndarray, rows: int, scale: float) -> np.ndarray:
@@ -54,12 +71,12 @@ def fit_ordinal(row: np.ndarray, term: np.ndarray, n: np.ndarray, grade: np.ndar
     a1, a2 = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
         t = np.concatenate([[-np.inf], thresholds(theta), [np.inf]])
-        s = np.bincount(row, weights[term] * x, rows)
+        s = _sums(row, lambda b: weights[term[b]] * x[b], rows)
         up, down = ht.sigmoid(s - t[grade]), ht.sigmoid(s - t[grade + 1])  # P(>=g), P(>=g+1)
         p = np.maximum(up - down, 1e-9)
         du, dd = up * (1 - up) / p, down * (1 - down) / p
         ds = (dd - du) / rows
-        g = np.bincount(term, ds[row] * x, 1 << BITS) + l2 * weights
+        g = _sums(term, lambda b: ds[row[b]] * x[b], 1 << BITS) + l2 * weights  # noqa: B023
         dt = np.bincount(grade, du, grades + 1)[:grades] / rows
         dt = dt - np.concatenate([[0.0], np.bincount(grade, dd, grades)[: grades - 1] / rows])
         dt = dt[1:grades]

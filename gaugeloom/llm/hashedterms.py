@@ -12,7 +12,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StructType
 
 from . import textbytes as tb
 
@@ -45,51 +46,66 @@ def counted(row: np.ndarray, term: np.ndarray, bits: int) -> tuple[np.ndarray, n
 
 
 def map_texts(docs: DataFrame, columns: list[str], schema: str, fit: Callable[[tb.Slab], dict[str, np.ndarray]]) -> DataFrame:
-    """Adds to ``columns`` what ``fit`` gives for each slab of ``text``: one value a row of each new column."""
-    new = [x.strip().split(" ")[0] for x in schema.split(",")]
-    kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
+    """Adds to ``columns`` what ``fit`` gives for each slab of texts: one value a row of each new column.
+
+    The text is the column of that name or, where ``columns`` has a struct "row", its field.
+    """
+    new = StructType.fromDDL(schema)
+    inner = "row" in columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for slab in tb.slabs(batch.column("text")):
+            text = pa.compute.struct_field(batch.column("row"), "text") if inner else batch.column("text")
+            for slab in tb.slabs(text):
                 got = fit(slab)
                 own = [batch.column(c).slice(slab.first, len(slab.starts)) for c in columns]
-                yield pa.RecordBatch.from_arrays([*own, *[pa.array(got[c]) for c in new]], [*columns, *new])
+                yield pa.RecordBatch.from_arrays([*own, *[pa.array(got[c]) for c in new.names]], [*columns, *new.names])
+
+    return docs.select(*dict.fromkeys([*columns, *([] if inner else ["text"])])).mapInArrow(run, StructType([*[docs.schema[c] for c in columns], *new.fields]))
 
-    return docs.select(*dict.fromkeys([*columns, "text"])).mapInArrow(run, f"{kept}, {schema}")
 
+#: Bytes of terms and counts that a model learns from at most.
+LEARN_BYTES = 64 << 20
 
-def training_terms(docs: DataFrame, rated: DataFrame, bits: int, most: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """row, term, count and target of at most ``most`` rated documents, gathered on the driver.
 
-    rated: doc_id, target, one row a document. Which documents come is settled by a hash
-    of doc_id, so it does not depend on the order of rows. ``most`` bounds what is
-    gathered: at most ``most`` rows of distinct terms.
+def trained(docs: DataFrame, rated: DataFrame, bits: int, most: int, seed: int, fit: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    """The arrays that ``fit`` makes of row, term, count and target of a bounded sample of rated documents.
+
+    rated: doc_id, target, one row a document. The sample is the first ``most`` documents
+    in an order by a hash of doc_id, as far as their distinct terms and counts take
+    LEARN_BYTES, so it does not depend on the order of rows. Texts are read whole where
+    they lie; one task learns, and only the model reaches the driver.
     """
-    chosen = rated.where("doc_id is not null and target is not null").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(most)
+    order = F.xxhash64("doc_id", F.lit(seed))
+    chosen = rated.where("doc_id is not null and target is not null").orderBy(order, "doc_id").limit(most)
     # at most ``most`` rows of two numbers: a proven bound
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     sample = sample.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("target").alias("target"))  # a repeated doc_id counts once
 
-    def fit(slab: tb.Slab) -> dict[str, list]:
+    def terms_of(slab: tb.Slab) -> dict[str, list]:
         row, term, n = counted(*slab_terms(slab, bits), bits)
         cuts = np.searchsorted(row, np.arange(len(slab.starts) + 1))
         pairs = list(zip(cuts[:-1], cuts[1:], strict=True))
         return {"terms": [term[a:z].astype(np.int32).tobytes() for a, z in pairs], "counts": [n[a:z].astype(np.int32).tobytes() for a, z in pairs]}
 
-    got = map_texts(sample, ["doc_id", "target"], "terms binary, counts binary", fit).toArrow()
-    order = pa.compute.sort_indices(got["doc_id"]).to_numpy()
-    sizes = pa.compute.binary_length(got["terms"]).to_numpy()[order] // 4
-    ends = np.cumsum(sizes)
-    terms, counts = np.empty(sizes.sum(), np.int32), np.empty(sizes.sum(), np.int32)
-    for i, size, end in zip(order.tolist(), sizes.tolist(), ends.tolist(), strict=True):
-        if size:
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes, targets, terms, counts = [], [], [], []
+        for batch in batches:
+            sizes.append(pa.compute.binary_length(batch.column("terms")).to_numpy(zero_copy_only=False) // 4)
+            targets.append(batch.column("target").to_numpy(zero_copy_only=False))
             for name, out in (("terms", terms), ("counts", counts)):
-                out[end - size : end] = np.frombuffer(got[name][i].as_buffer(), np.int32)
-    target = got["target"].to_numpy()[order].astype(np.int64)
-    del got
-    pa.default_memory_pool().release_unused()
-    return np.repeat(np.arange(len(order), dtype=np.int32), sizes), terms, counts, target
+                out.append(np.frombuffer(b"".join(batch.column(name).to_pylist()), np.int32))
+        size, target, term, count = (np.concatenate([np.zeros(0, t), *x]) for x, t in ((sizes, np.int64), (targets, np.int64), (terms, np.int32), (counts, np.int32)))
+        model = fit(np.repeat(np.arange(len(size), dtype=np.int32), size), term, count, target.astype(np.int64))
+        for name, values in model.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([values.astype("<f8").tobytes()], pa.binary())], ["name", "numbers"])
+
+    texts = map_texts(sample, ["doc_id", "target"], "terms binary, counts binary", terms_of)
+    # a window over at most ``most`` rows
+    upto = F.sum(F.octet_length("terms") * 2).over(Window.orderBy(order, "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    bounded = texts.withColumn("upto", upto).where(F.col("upto") <= LEARN_BYTES).select("target", "terms", "counts")
+    got = bounded.coalesce(1).mapInArrow(learn, "name string, numbers binary").collect()
+    return {r.name: np.frombuffer(bytes(r.numbers), "<f8") for r in got}
 
 
 def one_label(labels: DataFrame, target: Column) -> DataFrame:

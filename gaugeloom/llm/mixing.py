@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
+from .shared import saved, shared_folder, whole_row
+
 #: White space of the size rule.
 WORDS = r"[^\x20\x09-\x0D]+"
 #: 1 / golden ratio.
@@ -87,18 +89,19 @@ def source_slots(spark: SparkSession, plan: DataFrame, slots: int, cells: int =
     return ranked.unionByName(closing.select("sid", (F.lit(slots) + F.col("rank")).cast("long").alias("slot"), "rank"))
 
 
-def shuffle_key(doc_id: Column, seed: int) -> Column:
-    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(f"/{seed}")))
+def shuffle_key(doc_id: Column, size: Column, seed: int) -> Column:
+    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit("/"), size.cast("string"), F.lit(f"/{seed}")))
 
 
 def stream_offsets(sized: DataFrame, seed: int) -> DataFrame:
     """Each document's first word in its source's shuffled stream.
 
     Order: shuffle_key, doc_id, size. Sums run inside each of 4096 key ranges of a source
-    (the first hex digits of the key), so a source that holds most rows is many tasks; the
-    sums of the ranges before are a table of at most 4096 rows a source.
+    (the first hex digits of the key), so a source that holds most rows is many tasks, and
+    rows that share a doc_id are spread by their sizes; the sums of the ranges before are
+    a table of at most 4096 rows a source.
     """
-    d = sized.withColumn("h", shuffle_key(F.col("doc_id"), seed)).withColumn("part", F.substring("h", 1, 3))
+    d = sized.withColumn("h", shuffle_key(F.col("doc_id"), F.col("size"), seed)).withColumn("part", F.substring("h", 1, 3))
     sums = d.groupBy("sid", "part").agg(F.sum("size").alias("n"))
     before = Window.partitionBy("sid").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("sid", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
@@ -107,29 +110,43 @@ def stream_offsets(sized: DataFrame, seed: int) -> DataFrame:
     return d.withColumn("offset", (F.col("before") + F.col("upto") - F.col("size")).cast("long")).drop("h", "part", "upto", "before")
 
 
-def schedule(docs: DataFrame, weights: list[float] = (1.0, 2.0, 3.0), most: float = 3.0, block: int = 1024) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The sized documents, the plan (one row a source) and the slots, each with the block and the words it takes."""
-    spark = docs.sparkSession
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+def sizes_of(docs: DataFrame) -> DataFrame:
+    """doc_id, source and size of every row."""
+    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+
+
+def schedule(sized: DataFrame, folder: str, weights: list[float] = (1.0, 2.0, 3.0), most: float = 3.0, block: int = 1024) -> tuple[DataFrame, DataFrame]:
+    """The plan (one row a source) and the slots, each with the block and the words it takes.
+
+    sized: doc_id, source, size. The plan is written to ``folder``: several steps read it.
+    """
+    spark = sized.sparkSession
     per = sized.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
-    plan = plan_blocks(targets(per, list(weights), most), block)
+    plan = saved(plan_blocks(targets(per, list(weights), most), block), f"{folder}/plan")
     total = int(plan.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0])
     slots = source_slots(spark, plan, total).join(plan.select("sid", "blocks", "slots", "last", "source_size"), "sid")
     at = F.pmod(F.col("rank"), F.greatest("blocks", F.lit(1)))
     whole = F.least(F.lit(block), F.col("source_size") - at * block)
     words = F.when((F.col("rank") == F.col("slots") - 1) & (F.col("last") > 0), F.col("last")).otherwise(whole)
-    return sized, plan, slots.select("sid", "slot", "rank", at.cast("long").alias("at"), words.cast("long").alias("words"), whole.cast("long").alias("whole"))
+    return plan, slots.select("sid", "slot", "rank", at.cast("long").alias("at"), words.cast("long").alias("words"), whole.cast("long").alias("whole"))
 
 
 def mix(docs: DataFrame, weights: list[float] = (1.0, 2.0, 3.0), most: float = 3.0, block: int = 1024, seed: int = 7) -> DataFrame:
     """doc_id, source, size, source_size, target and taken (words the mix takes, repeats counted) of every row.
 
     Null texts and texts of white space have size 0 and take nothing; a null source is a
-    source, last in order; an empty table gives no rows. Repeated rows are separate
-    documents, one after another in the stream. Other columns are not read. Reruns give
-    the same rows.
+    source, last in order; an empty table gives no rows. A text of any length is cut where
+    blocks end. Repeated rows are separate documents, one after another in the stream.
+    Other columns are not read. Reruns give the same rows. The table of sources is put in
+    order in one task, a small row a source.
     """
-    sized, plan, slots = schedule(docs, weights, most, block)
+    folder = shared_folder(docs.sparkSession, "mixing")
+    return mix_sizes(saved(sizes_of(docs), f"{folder}/sized"), folder, weights, most, block, seed)
+
+
+def mix_sizes(sized: DataFrame, folder: str, weights: list[float] = (1.0, 2.0, 3.0), most: float = 3.0, block: int = 1024, seed: int = 7) -> DataFrame:
+    """The same of a written table of doc_id, source and size."""
+    plan, slots = schedule(sized, folder, weights, most, block)
     took = slots.groupBy("sid", "at").agg(
         F.sum(F.when(F.col("words") == F.col("whole"), 1).otherwise(0)).alias("times"),
         F.max(F.when(F.col("words") < F.col("whole"), F.col("words")).otherwise(0)).alias("cut"),
@@ -156,13 +173,16 @@ def take_documents(docs: DataFrame, **params) -> DataFrame:
     """The mix as whole documents: each row of ``docs`` as often as the mix takes its words, rounded to whole copies.
 
     A document of which the mix takes less than half is left out. Rows without words have
-    no size to mix and stay once. Rows that share doc_id, source and size share what was
-    taken of them evenly. All columns are kept.
+    no size to mix and stay once; an empty table stays empty. Rows that share doc_id,
+    source and size share what was taken of them evenly. All columns are kept, whatever
+    their names.
     """
-    mixed = mix(docs, **params)
-    per = mixed.groupBy("doc_id", "source", "size").agg(F.avg("taken").alias("_took"))
-    copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.round(F.col("_took") / F.greatest("size", F.lit(1)))).cast("int")
-    known = per.select(F.col("doc_id").alias("_mix_doc"), F.col("source").alias("_mix_source"), F.col("size").alias("_mix_size"), copies.alias("_mix_copies")).where("_mix_copies > 0")
-    sized = docs.withColumn("_mix_words", word_count(F.col("text")))
-    same = F.col("doc_id").eqNullSafe(F.col("_mix_doc")) & F.col("source").eqNullSafe(F.col("_mix_source")) & (F.col("_mix_words") == F.col("_mix_size"))
-    return sized.join(known, same).withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*docs.columns)
+    folder = shared_folder(docs.sparkSession, "mixing")
+    # words are counted once; all that follows reads the counts
+    counted = saved(docs.select(F.col("doc_id").alias("d"), F.col("source").alias("s"), word_count(F.col("text")).alias("n"), whole_row(docs)), f"{folder}/counted")
+    mixed = mix_sizes(counted.select(F.col("d").alias("doc_id"), F.col("s").alias("source"), F.col("n").alias("size")), folder, **params)
+    took = mixed.groupBy("doc_id", "source", "size").agg(F.avg("taken").alias("took"))
+    copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.round(F.col("took") / F.greatest("size", F.lit(1)))).cast("int")
+    took = took.withColumn("copies", copies).where("copies > 0")
+    same = F.col("d").eqNullSafe(F.col("doc_id")) & F.col("s").eqNullSafe(F.col("source")) & (F.col("n") == F.col("size"))
+    return counted.join(took, same).select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -15,6 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from . import hashedterms as ht, textbytes as tb
+from .shared import whole_row
 
 BITS = 18
 #: Entries that training handles at a time.
@@ -102,9 +103,16 @@ def ratings(labels: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = 6000, seed: int = 11) -> OrdinalModel:
-    """Fits on at most ``most`` rated documents, chosen by a hash of doc_id."""
-    row, term, n, grade = ht.training_terms(docs, ratings(labels), BITS, most, seed)
-    return fit_ordinal(row, term, n, grade, GRADES)
+    """Fits on at most ``most`` rated documents, chosen by a hash of doc_id, in one task."""
+
+    def fit(row: np.ndarray, term: np.ndarray, n: np.ndarray, grade: np.ndarray) -> dict[str, np.ndarray]:
+        model = fit_ordinal(row, term, n, grade, GRADES)
+        return {"weights": model.weights, "thresholds": model.thresholds, "scale": np.array([model.scale])}
+
+    got = ht.trained(docs, ratings(labels), BITS, most, seed, fit)
+    if not got:
+        return fit_ordinal(*[np.zeros(0, np.int64)] * 4, GRADES)
+    return OrdinalModel(got["weights"], got["thresholds"], float(got["scale"][0]))
 
 
 def score(docs: DataFrame, model: OrdinalModel, columns: list[str]) -> DataFrame:
@@ -124,14 +132,20 @@ def select_quality(docs: DataFrame, labels: DataFrame, least: float = 0.3, most:
     """doc_id, expected_grade, p_usable, p_clean and keep (p_usable >= least) of every row.
 
     Null and empty texts have no terms and get the chances of the thresholds alone. A
-    null doc_id is scored like any other. Repeated rows get the same values. Labels with
-    null marks or of unknown documents teach nothing; clashing repeats count as the lower
-    grade. Other columns are not read.
+    null doc_id is scored like any other. Repeated rows get the same values. Texts are
+    read whole, one slab of texts at a time. Labels with null marks or of unknown
+    documents teach nothing; clashing repeats count as the lower grade. An empty table
+    gives no rows. Other columns are not read.
     """
     scored = score(docs, train(docs, labels, most), ["doc_id"])
     return scored.select("doc_id", F.col("_expected_grade").alias("expected_grade"), F.col("_p_usable").alias("p_usable"), F.col("_p_clean").alias("p_clean"), (F.col("_p_usable") >= least).alias("keep"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.3, most: int = 6000) -> DataFrame:
-    """The rows of ``docs`` that select_quality keeps, with all their columns."""
-    return score(docs, train(docs, labels, most), docs.columns).where(F.col("_p_usable") >= least).select(*docs.columns)
+    """The rows of ``docs`` that select_quality keeps, with all their columns, whatever their names.
+
+    Null and empty texts stay or go by the thresholds alone; repeated rows share their
+    fate; an empty table stays empty.
+    """
+    model = train(docs, labels, most)
+    return score(docs.select(whole_row(docs)), model, ["row"]).where(F.col("_p_usable") >= least).select("row.*")

@@ -124,7 +124,7 @@ chosen AS (SELECT arg_min(level, place) AS level FROM levels WHERE level * weigh
 goals AS (SELECT source, source_size, least(weight * coalesce((SELECT level FROM chosen), 0.0), "full") AS target FROM weighed),
 placed AS (
   SELECT s.doc_id, s.size, g.source_size, g.target, floor(g.target + 1e-6)::BIGINT AS quota,
-    (sum(s.size) OVER (PARTITION BY s.source ORDER BY md5(coalesce(s.doc_id::VARCHAR, 'null') || '/7'), s.doc_id, s.size ROWS UNBOUNDED PRECEDING) - s.size)::BIGINT AS "offset"
+    (sum(s.size) OVER (PARTITION BY s.source ORDER BY md5(coalesce(s.doc_id::VARCHAR, 'null') || '/' || s.size || '/7'), s.doc_id, s.size ROWS UNBOUNDED PRECEDING) - s.size)::BIGINT AS "offset"
   FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source
 )
 SELECT doc_id, size, source_size, target,

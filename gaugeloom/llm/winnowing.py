@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import textbytes as tb
+from .shared import saved, shared_folder, whole_row
 
 SPAN = 10
 K = 5
@@ -62,27 +63,41 @@ def fingerprints(h: np.ndarray, row: np.ndarray, short: list[int]) -> tuple[np.n
 
 
 def item_fingerprints(benchmark: DataFrame) -> DataFrame:
-    """item_id, fp, k, at, words: fingerprints of each item with all its words."""
-    words = F.regexp_extract_all(lower_ascii(F.coalesce(F.col("text"), F.lit(""))), F.lit(WORD_PATTERN), F.lit(0))
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text", words.alias("words")).where(F.size("words") > 0)
+    """item_id, fp, need, item_at, item_words: fingerprints of each item with up to SPAN words before and 2 * SPAN from there on.
+
+    need: the words that must be equal. A fingerprint whose surroundings an item repeats
+    is given once.
+    """
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for slab in tb.slabs(batch.column("text")):
-                h, row = tb.words(slab)
+                begin, end, row = tb.runs(slab, tb.WORD)
+                fold = tb.ascii_lower()
+                h = tb.mix(tb.span(tb.prefix(tb.byte_codes(slab.buf, fold)), begin, end))
                 cut = row_bounds(row, len(slab.starts))
-                owner, fp, ks, ats = [], [], [], []
-                for i, (a, z) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
-                    at, g, k = fingerprints(h[a:z], row[a:z], [z - a] if 0 < z - a < SPAN else [])
-                    if z - a < SPAN:
-                        at, g, k = (x[k == z - a] for x in (at, g, k))
-                    owner += [slab.first + i] * len(at)
-                    fp.append(g.astype(np.int64)), ks.append(k), ats.append(at)
-                own = batch.take(pa.array(owner, pa.int64()))
-                cat = lambda x, t: pa.array(np.concatenate([np.zeros(0, np.int64), *x]), t)
-                yield pa.RecordBatch.from_arrays([own.column("item_id"), cat(fp, pa.int64()), cat(ks, pa.int64()), cat(ats, pa.int64()), own.column("words")], ["item_id", "fp", "k", "at", "words"])
+                size = np.diff(cut)
+                at, g, k = fingerprints(h, row, sorted({int(n) for n in size if 0 < n < SPAN}))
+                own = np.where(size[row[at]] < SPAN, size[row[at]], K + 100) == k
+                yield surroundings(batch, slab, ["item_id"], (begin, end, row, cut), fold, at[own], g[own], {"need": np.minimum(size[row[at[own]]], SPAN)}, "item_")
+
+    found = items.mapInArrow(run, "item_id string, fp long, item_at long, item_words array<string>, item_first long, need long")
+    return found.select("item_id", "fp", "need", (F.col("item_at") - F.col("item_first")).alias("item_at"), "item_words").distinct()
 
-    return items.mapInArrow(run, "item_id string, fp long, k long, at long, words array<string>")
+
+def surroundings(batch: pa.RecordBatch, slab: tb.Slab, keys: list[str], words: tuple, fold: np.ndarray, at: np.ndarray, fp: np.ndarray, more: dict[str, np.ndarray], prefix: str) -> pa.RecordBatch:
+    """``keys``, fp and, of each fingerprint at the words given: its place in the text, the words around and the place of the first of these."""
+    begin, end, row, cut = words
+    around, firsts = [], []
+    for i in at.tolist():
+        a, z = cut[row[i]], cut[row[i] + 1]
+        x, y = max(a, i - SPAN), min(z, i + 2 * SPAN)
+        around.append([fold[slab.buf[begin[w] : end[w]]].tobytes().decode("utf-8", "replace") for w in range(x, y)])
+        firsts.append(x - a)
+    own = batch.slice(slab.first, len(slab.starts)).take(pa.array(row[at]))
+    columns = [*[own.column(c) for c in keys], pa.array(fp.astype(np.int64)), pa.array(at - cut[row[at]]), pa.array(around, pa.list_(pa.string())), pa.array(np.array(firsts, np.int64)), *[pa.array(x) for x in more.values()]]
+    return pa.RecordBatch.from_arrays(columns, [*keys, "fp", f"{prefix}at", f"{prefix}words", f"{prefix}first", *more])
 
 
 def filter_table(prints: DataFrame) -> bytes:
@@ -106,62 +121,54 @@ def document_hits(docs: DataFrame, table: bytes, short: list[int], keys: list[st
         for batch in batches:
             for slab in tb.slabs(batch.column("text")):
                 begin, end, row = tb.runs(slab, tb.WORD)
-                sums = tb.prefix(tb.byte_codes(slab.buf, fold))
-                h = tb.mix(tb.span(sums, begin, end))
-                at, g, k = fingerprints(h, row, short)
+                h = tb.mix(tb.span(tb.prefix(tb.byte_codes(slab.buf, fold)), begin, end))
+                at, g, _ = fingerprints(h, row, short)
                 may = bits[(g >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]
-                at, g, k = at[may], g[may], k[may]
-                cut = row_bounds(row, len(slab.starts))
-                text, low = slab.buf, fold
-                around, firsts = [], []
-                for i in at:
-                    a, z = cut[row[i]], cut[row[i] + 1]
-                    x, y = max(a, i - SPAN), min(z, i + 2 * SPAN)
-                    around.append([low[text[begin[w] : end[w]]].tobytes().decode("utf-8", "replace") for w in range(x, y)])
-                    firsts.append(x - a)
-                own = batch.slice(slab.first, len(slab.starts)).take(pa.array(row[at]))
-                local = at - cut[row[at]]
-                yield pa.RecordBatch.from_arrays([*[own.column(c) for c in keys], pa.array(g.astype(np.int64)), pa.array(local), pa.array(np.array(firsts, np.int64)), pa.array(around, pa.list_(pa.string()))], [*keys, "fp", "at", "first", "words"])
+                yield surroundings(batch, slab, keys, (begin, end, row, row_bounds(row, len(slab.starts))), fold, at[may], g[may], {}, "")
+
+    return docs.select(*dict.fromkeys([*keys, "text"])).mapInArrow(run, f"{kept}, fp long, at long, words array<string>, first long")
 
-    return docs.select(*dict.fromkeys([*keys, "text"])).mapInArrow(run, f"{kept}, fp long, at long, first long, words array<string>")
 
+def run_lengths(doc: list[str], p: int, item: list[str], q: int) -> tuple[int, int]:
+    """How many words before place p of doc and q of item are equal, and how many from there on."""
+    left, right = 0, 0
+    while left < min(p, q) and doc[p - left - 1] == item[q - left - 1]:
+        left += 1
+    while p + right < len(doc) and q + right < len(item) and doc[p + right] == item[q + right]:
+        right += 1
+    return left, right
 
-def extended(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys``, item_id, lo, hi: words [lo, hi) of the document equal words of the item around the joined fingerprint."""
-    kept = ", ".join(f"`{c}` {pairs.schema[c].dataType.simpleString()}" for c in keys)
+
+def extended(pairs: DataFrame) -> DataFrame:
+    """words, p, item_id, left, right: pairs (words, p, item_id, item_words, item_at, need) with ``need`` equal words or more around the fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("words", "at", "first", "item_words", "item_at", "need")]
-            pick, lo, hi = [], [], []
-            for i, (doc, at, first, item, there, need) in enumerate(zip(*cols, strict=True)):
-                p = at - first
-                if doc[p : p + 1] != item[there : there + 1]:
-                    continue
-                left = 0
-                while left < min(p, there) and doc[p - left - 1] == item[there - left - 1]:
-                    left += 1
-                right = 1
-                while p + right < len(doc) and there + right < len(item) and doc[p + right] == item[there + right]:
-                    right += 1
-                if left + right >= need:
-                    pick.append(i), lo.append(at - left), hi.append(at + right)
-            own = batch.take(pa.array(pick, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*[own.column(c) for c in [*keys, "item_id"]], pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], [*keys, "item_id", "lo", "hi"])
-
-    return pairs.mapInArrow(run, f"{kept}, item_id string, lo long, hi long")
+            cols = [batch.column(c).to_pylist() for c in ("words", "p", "item_words", "item_at", "need")]
+            sides = [(i, *run_lengths(doc, p, item, there), need) for i, (doc, p, item, there, need) in enumerate(zip(*cols, strict=True))]
+            hits = [(i, left, right) for i, left, right, need in sides if right and left + right >= need]
+            i, left, right = np.array(hits, np.int64).reshape(-1, 3).T
+            own = batch.take(pa.array(i))
+            yield pa.RecordBatch.from_arrays([*[own.column(c) for c in ("words", "p", "item_id")], pa.array(left), pa.array(right)], ["words", "p", "item_id", "left", "right"])
+
+    return pairs.mapInArrow(run, "words array<string>, p long, item_id string, left long, right long")
 
 
 def find_spans(docs: DataFrame, benchmark: DataFrame, keys: list[str]) -> DataFrame:
-    """Distinct ``keys``, item_id, lo, hi of every hit. The fingerprints of documents pass a filter of fixed size before they are shuffled."""
-    prints = item_fingerprints(benchmark)
-    short = sorted(r[0] for r in prints.select("k").distinct().collect() if r[0] < SPAN)  # at most 9 lengths
-    hits = document_hits(docs, filter_table(prints), short, keys)
-    skip = F.greatest(F.col("at") - SPAN, F.lit(0))
-    around = F.slice("words", (skip + 1).cast("int"), F.lit(3 * SPAN))
-    there = prints.select("fp", "item_id", (F.col("at") - skip).alias("item_at"), around.alias("item_words"), F.least(F.size("words"), F.lit(SPAN)).alias("need"))
-    pairs = hits.join(there, "fp").select(*keys, "at", "first", "words", "item_id", "item_at", "item_words", "need")
-    return extended(pairs, keys).distinct()
+    """Distinct ``keys``, item_id, lo, hi of every hit.
+
+    Fingerprints of documents pass a filter of fixed size before they are shuffled. What
+    is joined are distinct surroundings, so a passage or a repetition that many documents
+    or one document hold many times is compared with the items once.
+    """
+    folder = shared_folder(docs.sparkSession, "winnowing")
+    prints = saved(item_fingerprints(benchmark), f"{folder}/items")
+    short = sorted(r[0] for r in prints.select("need").distinct().collect() if r[0] < SPAN)  # at most 9 lengths
+    hits = saved(document_hits(docs, filter_table(prints), short, keys).select(*keys, "at", "fp", "words", (F.col("at") - F.col("first")).alias("p")), f"{folder}/hits")
+    pairs = hits.select("fp", "words", "p").distinct().join(prints, "fp")
+    met = extended(pairs.select("words", "p", "item_id", "item_words", "item_at", "need")).distinct()
+    back = hits.select(*keys, "at", "words", "p").join(met, ["words", "p"])
+    return back.select(*keys, "item_id", (F.col("at") - F.col("left")).alias("lo"), (F.col("at") + F.col("right")).alias("hi")).distinct()
 
 
 def word_counts(keyed: DataFrame) -> DataFrame:
@@ -180,9 +187,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every row of ``docs``.
 
     Null and empty texts have no words and hit nothing; null and empty items match
-    nothing; a null item_id is not counted as an item. Rows that repeat a doc_id with the
-    same text get the same result, with another text each its own. Null doc_ids are a key
-    like any other. Other columns are not read.
+    nothing; a null item_id is not counted as an item. Texts and items of any length are
+    read whole, and only words around a fingerprint are shuffled. Rows that repeat a
+    doc_id with the same text get the same result, with another text each its own. Null
+    doc_ids are a key like any other. An empty table gives no rows. Other columns are not
+    read.
     """
     key = F.xxhash64("text").alias("_text")
     keyed = docs.select("doc_id", key, "text")
@@ -204,7 +213,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without a hit, with all their columns."""
+    """The rows of ``docs`` without a hit, with all their columns, whatever their names.
+
+    Rows with null or empty texts stay; repeated rows go or stay together; an empty table
+    stays empty.
+    """
     keyed = docs.select("doc_id", F.xxhash64("text").alias("_text"), "text")
-    hit = find_spans(keyed, benchmark, ["doc_id", "_text"]).select(F.col("doc_id").alias("_d"), F.col("_text").alias("_t")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_t")), "left_anti")
+    hit = find_spans(keyed, benchmark, ["doc_id", "_text"]).select(F.col("doc_id").alias("hit_doc"), F.col("_text").alias("hit_text")).distinct()
+    rows = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), whole_row(docs))
+    return rows.join(hit, F.col("d").eqNullSafe(F.col("hit_doc")) & (F.col("t") == F.col("hit_text")), "left_anti").select("row.*")

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugeloom.llm import mixing, sharding
+from gaugeloom.llm.shared import shared_folder
 
 DOCS = "doc_id long, text string, source string, lang string, n_chars long"
 
@@ -88,7 +89,7 @@ def plain_mix(rows, seed=7):
         target[s] = 3.0 * size[s] if s in full else left * weight[s] / w
     out = []
     for s in sources:
-        own = sorted((x for x in sized if x[1] == s), key=lambda x: (hashlib.md5(f"{'null' if x[0] is None else x[0]}/{seed}".encode()).hexdigest(), -1 if x[0] is None else x[0], x[2]))
+        own = sorted((x for x in sized if x[1] == s), key=lambda x: (hashlib.md5(f"{'null' if x[0] is None else x[0]}/{x[2]}/{seed}".encode()).hexdigest(), -1 if x[0] is None else x[0], x[2]))
         quota, at = math.floor(target[s] + 1e-6), 0
         for d, _, n in own:
             turns, rest = divmod(quota, size[s]) if size[s] else (0, 0)
@@ -107,7 +108,7 @@ def test_mix(spark, block):
 
 def test_schedule_is_even_along_its_way(spark):
     docs, _ = documents(spark)
-    _, plan, slots = mixing.schedule(docs, block=16)
+    plan, slots = mixing.schedule(mixing.sizes_of(docs), shared_folder(spark, "plan"), block=16)
     need = {r.sid: r.slots for r in plan.collect()}
     order = [r.sid for r in slots.orderBy("slot").collect()]
     assert Counter(order) == Counter({s: n for s, n in need.items() if n})

@@ -156,7 +156,7 @@ def shingle_weights(text, df, n):
     if not w:
         return {}
     grams = Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
-    return {g: (1 + np.log(c)) * (1 + np.log((1 + n) / (1 + df[g])) / np.log(1 + n)) for g, c in grams.items()}
+    return {g: (1 + np.log(c)) * (1 + np.log((1 + n) / (1 + max(df[g], n / 100))) / np.log(100)) for g, c in grams.items()}
 
 
 def similarity(a, b):

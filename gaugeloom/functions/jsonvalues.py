@@ -37,6 +37,24 @@ def json_contains(actual: pd.Series, expected: pd.Series) -> pd.Series:
     return pd.Series([not _load(e, {}) or contains(_load(a, None), _load(e, {})) for a, e in zip(actual, expected, strict=True)], dtype=bool)
 
 
+def scalar_members(text: Column) -> Column:
+    """name -> value of a JSON object: numbers and booleans in one spelling (1, 1.0 and true are equal), all else as JSON text."""
+    number = lambda v: v.try_cast("double").cast("string")
+    spelled = lambda v: F.when(v.isin("true", "false"), F.when(v == "true", "1.0").otherwise("0.0")).when(v.rlike("^[-0-9]"), F.coalesce(number(v), v)).otherwise(v)
+    return F.transform_values(F.from_json(text, "map<string,variant>"), lambda _, v: spelled(F.coalesce(F.to_json(v), F.lit("null"))))
+
+
+@F.pandas_udf(T.IntegerType())
+def first_containing(actual: pd.Series, expected: pd.Series) -> pd.Series:
+    """The place of the first of the expectations that is part of ``actual``; null if none is or there are none."""
+
+    def one(a: str | None, wanted: list[str] | None) -> int | None:
+        have = _load(a, None)
+        return next((i for i, e in enumerate(wanted) if not _load(e, {}) or contains(have, _load(e, {}))), None)
+
+    return pd.Series([None if w is None else one(a, w) for a, w in zip(actual, expected, strict=True)], dtype="Int32")
+
+
 def canonical(value: object) -> str:
     """Sorted keys, ", " and ": " as separators, no escapes: the text whose hash is an identity."""
     return json.dumps(value, sort_keys=True, ensure_ascii=False, default=str)
@@ -54,13 +72,24 @@ def json_digest(text: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.StringType())
 def case_identity(inputs: pd.Series, intent: pd.Series, topic: pd.Series, scenario: pd.Series, failure_mode: pd.Series) -> pd.Series:
-    """case- and ten digits of the hash of what makes a case; absent parts have their defaults."""
+    """case- and ten digits of the hash of what makes a case; absent tags have their defaults, absent inputs are null."""
     rows = zip(inputs, intent, topic, scenario, failure_mode, strict=True)
     part = lambda x, default: default if x is None else x
-    out = [digest({"inputs": _load(i, {}), "intent": part(a, "unspecified"), "topic": part(t, "unspecified"), "scenario": part(s, "unspecified"), "failure_mode": part(m, "none")}) for i, a, t, s, m in rows]
+    out = [digest({"inputs": _load(i, None), "intent": part(a, "unspecified"), "topic": part(t, "unspecified"), "scenario": part(s, "unspecified"), "failure_mode": part(m, "none")}) for i, a, t, s, m in rows]
     return pd.Series([f"case-{d[:10]}" for d in out])
 
 
+@F.pandas_udf(T.StringType())
+def document_identity(inputs: pd.Series, metadata: pd.Series) -> pd.Series:
+    """case_identity of inputs and metadata as JSON text: a tag that is null there stays null, one that is absent has its default."""
+    out = []
+    for i, m in zip(inputs, metadata, strict=True):
+        tags = _load(m, {}) or {}
+        own = {k: tags.get(k, d) for k, d in (("intent", "unspecified"), ("topic", "unspecified"), ("scenario", "unspecified"), ("failure_mode", "none"))}
+        out.append(f"case-{digest({'inputs': _load(i, None), **own})[:10]}")
+    return pd.Series(out)
+
+
 @F.pandas_udf(T.StringType())
 def trajectory_hash(calls: pd.Series, error: pd.Series) -> pd.Series:
     """Twelve digits for what the agent did: its calls in order and its error. calls: JSON list of [name, args]."""

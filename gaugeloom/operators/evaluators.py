@@ -126,6 +126,18 @@ def join_cases(case_runs: DataFrame, cases: DataFrame) -> DataFrame:
     return case_runs.join(cases, "case_id")
 
 
+def error_counts(case_runs: DataFrame) -> DataFrame:
+    """error_class, n of the runs that failed; a failure without class is the agent's."""
+    failed = case_runs.where("error is not null")
+    return failed.groupBy(F.coalesce("error_class", F.lit("agent")).alias("error_class")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def all_infrastructure(case_runs: DataFrame) -> DataFrame:
+    """One row: abort, whether there are runs and every one failed for reasons of infrastructure."""
+    ours = F.col("error").isNotNull() & (F.col("error_class") == "infrastructure")
+    return case_runs.agg((F.count(F.lit(1)) > 0).alias("some"), F.coalesce(F.bool_and(F.coalesce(ours, F.lit(False))), F.lit(False)).alias("all")).select((F.col("some") & F.col("all")).alias("abort"))
+
+
 def expectation_problems(text: Column, needle: Column, taboo: Column) -> Column:
     """Violations of a simulation's expectations on all the assistant said, as an array."""
     low = F.lower(text)

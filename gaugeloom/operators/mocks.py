@@ -1,26 +1,39 @@
 """Mocked tools: which rule answers a call, which calls no rule answers, and ledgers of who answered.
 
 calls: call_id, tool, args (JSON text). rules: scope columns, tool, rule_idx, match_args
-(JSON text, '{}' matches all), response. Rule lists are joined by tool and reduced to the
-first match by min_by, which combines on the map side.
+(JSON text, '{}' matches all), response. A tool's rules are one array, so calls are
+joined with lists, one row each.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.jsonvalues import flat_match, json_contains
+from ..functions.jsonvalues import first_containing, flat_match, json_digest, scalar_members
 
 
-def first_match(calls: DataFrame, rules: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def first_match(calls: DataFrame, rules: DataFrame, keys: list[str] | None = None, nested: bool = True) -> DataFrame:
     """``calls`` with rule_idx and response of the first rule that matches; nulls if none does.
 
-    ``keys``: further columns that calls and rules share, such as the case.
+    ``keys``: further columns that calls and rules share, such as the case. A list of
+    rules is one array, so a call meets its list in one row and rows don't multiply.
+    Members that are no objects or lists are compared by Spark; only calls whose first
+    candidate has others go to Python. ``nested`` false: there are none, and no Python.
     """
     on = ["tool", *(keys or [])]
-    pairs = calls.select("call_id", "args", *on).join(rules.select(*on, "rule_idx", "match_args", "response"), on)
-    hits = pairs.where(json_contains("args", "match_args")).groupBy("call_id").agg(F.min("rule_idx").alias("rule_idx"), F.min_by("response", "rule_idx").alias("response"))
-    return calls.join(hits, "call_id", "left")
+    lists = rules.groupBy(*on).agg(F.sort_array(F.collect_list(F.struct("rule_idx", "match_args", "response"))).alias("list"))
+    lists = lists.select(*on, F.transform("list", lambda r: F.struct(r["rule_idx"].alias("rule_idx"), r["match_args"].alias("match_args"), r["response"].alias("response"), scalar_members(F.coalesce(r["match_args"], F.lit("{}"))).alias("members"))).alias("_rules"))
+    met = calls.join(lists, on, "left").withColumn("_args", scalar_members(F.col("args")))
+    deep = lambda value: value.rlike(r"^[\[{]")
+    fits = lambda r: F.forall(F.map_entries(r["members"]), lambda m: deep(m["value"]) | F.coalesce(F.try_element_at(F.col("_args"), m["key"]) == m["value"], F.lit(False)))
+    met = met.withColumn("_rules", F.filter("_rules", fits))
+    found = F.get("_rules", F.lit(0))
+    if nested:
+        unsure = F.exists(F.map_values(found["members"]), deep)
+        place = first_containing(F.when(unsure, F.col("args")), F.when(unsure, F.transform("_rules", lambda r: r["match_args"])))
+        met = met.withColumn("_place", place)
+        found = F.when(F.coalesce(unsure, F.lit(False)), F.get("_rules", F.col("_place"))).otherwise(found)
+    return met.withColumn("rule_idx", found["rule_idx"]).withColumn("response", found["response"]).drop("_rules", "_args", "_place")
 
 
 def first_match_constant(calls: DataFrame, rules: dict[str, list[tuple[dict, str]]]) -> DataFrame:
@@ -37,27 +50,34 @@ def merge_rules(dataset_rules: DataFrame, case_rules: DataFrame) -> DataFrame:
     """case_id, tool, rule_idx, ...: a case's list replaces the dataset's for its tool.
 
     dataset_rules: tool, rule_idx, match_args, response; case_rules the same with case_id.
-    Only cases with rules of their own are in case_rules; others use dataset_rules as they are.
+    Only cases with rules of their own are in case_rules; others use dataset_rules as they
+    are. A dataset mocks some dozens of tools, so their names are one small array.
     """
-    cases = case_rules.select("case_id").distinct()
-    own = case_rules.select("case_id", "tool").distinct()
-    tools = dataset_rules.select("tool").distinct()
-    # a row a case and mocked tool, then the rules of each tool by an equality join
-    missing = cases.join(tools).join(own, ["case_id", "tool"], "left_anti")
+    own = case_rules.groupBy("case_id").agg(F.collect_set("tool").alias("own"))
+    tools = dataset_rules.agg(F.collect_set("tool").alias("tools"))  # one row
+    missing = own.join(F.broadcast(tools)).select("case_id", F.explode(F.array_except("tools", "own")).alias("tool"))
     inherited = missing.join(dataset_rules, "tool")
     columns = ["case_id", "tool", "rule_idx", "match_args", "response"]
     return case_rules.select(*columns).unionByName(inherited.select(*columns))
 
 
 def with_fallback(case_rules: DataFrame, dataset_rules: DataFrame) -> DataFrame:
-    """case_id, tool, rule_idx, match_args, response: a case's rules, then the dataset's that it doesn't hold already, unless its last rule matches all."""
-    last = case_rules.groupBy("case_id", "tool").agg(F.max_by("match_args", "rule_idx").alias("last"), F.count(F.lit(1)).alias("n"))
-    open_lists = last.where("coalesce(last, '{}') <> '{}'").select("case_id", "tool", "n")
-    same = ["case_id", "tool", "match_args", "response"]
-    more = open_lists.join(dataset_rules, "tool").join(case_rules.select(*same), same, "left_anti")
+    """case_id, tool, rule_idx, match_args, response: a case's rules, then the dataset's that it doesn't hold already, unless its last rule matches all.
+
+    Rules are equal as JSON, whatever the order of keys or the blanks. An empty list, a
+    row with a null rule_idx, is followed by all of the dataset's rules.
+    """
+    canon = lambda r: r.withColumn("_match", F.coalesce(json_digest("match_args"), json_digest(F.lit("{}")))).withColumn("_response", json_digest(F.when(F.try_parse_json("response").isNotNull(), F.col("response")).otherwise(F.to_json(F.struct("response")))))
+    real = F.col("rule_idx").isNotNull()
+    last = case_rules.groupBy("case_id", "tool").agg(F.max_by("match_args", F.when(real, F.col("rule_idx"))).alias("last"), F.count("rule_idx").alias("n"))
+    wild = F.coalesce(F.regexp_replace("last", r"\s", ""), F.lit("{}")).isin("{}", "null")
+    open_lists = last.where((F.col("n") == 0) | ~wild).select("case_id", "tool", "n")
+    same = ["case_id", "tool", "_match", "_response"]
+    more = canon(open_lists.join(dataset_rules, "tool")).join(canon(case_rules.where(real)).select(*same), same, "left_anti")
     columns = ["case_id", "tool", "rule_idx", "match_args", "response"]
-    ranked = more.withColumn("rule_idx", (F.col("n") + F.col("rule_idx")).cast("int"))
-    return case_rules.select(*columns).unionByName(ranked.select(*columns))
+    order = Window.partitionBy("case_id", "tool").orderBy(F.col("_old"))
+    ranked = more.withColumnRenamed("rule_idx", "_old").withColumn("rule_idx", (F.col("n") + F.row_number().over(order) - 1).cast("int"))
+    return case_rules.where(real).select(*columns).unionByName(ranked.select(*columns))
 
 
 def unanswered(calls: DataFrame, rules: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -97,27 +117,49 @@ def ledger_totals(ledger: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def engine_stats(ledger: DataFrame) -> DataFrame:
-    """One row: calls, valid, repaired, fallback, errors of the LLM layer."""
+    """One row: calls, valid, repaired, fallback, errors of the LLM layer.
+
+    An answer without the mark isn't valid; repaired are valid answers after repairs; an
+    empty error is none.
+    """
+    valid = F.coalesce(F.col("valid"), F.lit(False))
     return ledger.where("layer = 'llm'").agg(
-        F.count(F.lit(1)).alias("calls"), F.count_if(F.coalesce(F.col("valid"), F.lit(True))).alias("valid"), F.count_if(F.coalesce(F.col("repairs"), F.lit(0)) > 0).alias("repaired"),
-        F.count_if(F.coalesce(F.col("fallback"), F.lit(False))).alias("fallback"), F.count_if(F.col("error").isNotNull()).alias("errors"),
+        F.count(F.lit(1)).alias("calls"), F.count_if(valid).alias("valid"), F.count_if(valid & (F.coalesce(F.col("repairs"), F.lit(0)) > 0)).alias("repaired"),
+        F.count_if(F.coalesce(F.col("fallback"), F.lit(False))).alias("fallback"), F.count_if(F.coalesce(F.col("error"), F.lit("")) != "").alias("errors"),
     )
 
 
-def mock_history(ledger: DataFrame) -> DataFrame:
-    """case_id, history: answered calls in order, as the next answer of a mock engine sees them."""
+def summed_totals(totals: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """ledger_totals of several runs added up."""
+    return totals.groupBy(*(keys or [])).agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("rule", "llm", "real", "fallback", "error", "invalid")])
+
+
+def mock_history(ledger: DataFrame, window: int | None = None) -> DataFrame:
+    """case_id, history: answered calls in order, as the next answer of a mock engine sees them; with ``window`` the last ones alone.
+
+    With a window, a case's calls are cut before they meet in one array.
+    """
     known = ledger.where("layer in ('rule', 'llm', 'real', 'fallback') and response is not null")
+    if window is not None:
+        last = Window.partitionBy("case_id").orderBy(F.desc("seq"))
+        known = known.withColumn("_n", F.row_number().over(last)).where(F.col("_n") <= window)
     return known.groupBy("case_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "tool", "args", "response"))), lambda x: F.struct(x["tool"].alias("tool"), x["args"].alias("args"), x["response"].alias("response"))).alias("history"))
 
 
 def resolve_strategy(cases: DataFrame, strategies: DataFrame, flag: str | None = None, dataset_default: str | None = None) -> DataFrame:
-    """``cases`` (case_id, tool, strategy) with behavior: the chosen strategy's entry for the tool, else the default's, else generic.
+    """``cases`` (case_id, tool, strategy) with behavior, examples and fallback_response of the chosen strategy's entry for the tool, else the default's, else generic.
 
-    A case's own strategy goes before the run's flag, that before the dataset's.
+    A case's own strategy goes before the run's flag, that before the dataset's. An entry
+    is taken whole: its behavior may be generic and its fallback null. strategies:
+    strategy, tool, behavior and, if known, examples and fallback_response.
     """
-    chosen = F.coalesce(F.col("strategy"), F.lit(flag), F.lit(dataset_default), F.lit("default"))
-    s = strategies.select(F.col("strategy").alias("_s"), F.col("tool").alias("_t"), "behavior")
-    d = strategies.where("strategy = 'default'").select(F.col("tool").alias("_dt"), F.col("behavior").alias("_default"))
+    chosen = F.coalesce(F.nullif(F.col("strategy"), F.lit("")), F.lit(flag), F.lit(dataset_default), F.lit("default"))
+    part = lambda c, kind: F.col(c) if c in strategies.columns else F.lit(None).cast(kind)
+    entry = F.struct(F.coalesce(F.nullif(F.col("behavior"), F.lit("")), F.lit("generic")).alias("behavior"), part("examples", "array<string>").alias("examples"), part("fallback_response", "string").alias("fallback_response"))
+    s = strategies.select(F.col("strategy").alias("_s"), F.col("tool").alias("_t"), entry.alias("_entry"))
+    d = strategies.where("strategy = 'default'").select(F.col("tool").alias("_dt"), entry.alias("_default"))
     c = cases.withColumn("chosen", chosen)
     out = c.join(s, (c["chosen"] == s["_s"]) & (c["tool"] == s["_t"]), "left").join(d, F.col("tool") == F.col("_dt"), "left")
-    return out.withColumn("behavior", F.coalesce("behavior", "_default", F.lit("generic"))).drop("_s", "_t", "_dt", "_default")
+    found = F.coalesce("_entry", "_default")
+    out = out.withColumn("behavior", F.coalesce(found["behavior"], F.lit("generic"))).withColumn("examples", F.coalesce(found["examples"], F.array().cast("array<string>")))
+    return out.withColumn("fallback_response", found["fallback_response"]).drop("_s", "_t", "_dt", "_entry", "_default")

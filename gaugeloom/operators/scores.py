@@ -43,9 +43,14 @@ def by_dimension(rows: DataFrame, dims: tuple[str, ...] = SLICE_DIMS) -> DataFra
 
 
 def run_slices(scores: DataFrame, cases: DataFrame, dims: tuple[str, ...] = SLICE_DIMS) -> DataFrame:
-    """Micro means: run_ordinal, dim, value, metric, n, avg over the scored rows of a run."""
+    """Micro means: run_ordinal, dim, value, metric, n, avg over the scored rows of a run.
+
+    Rows are added up by all tags at once before a row becomes one a dimension.
+    """
     known = scored(scores).join(cases.select("case_id", *dims), "case_id", "left")
-    return by_dimension(known, dims).groupBy("run_ordinal", "dim", "value", "metric").agg(F.count("score").alias("n"), F.avg("score").alias("avg"))
+    cells = known.groupBy("run_ordinal", "metric", *dims).agg(F.count("score").alias("c"), F.sum("score").alias("s"))
+    sums = by_dimension(cells, dims).groupBy("run_ordinal", "dim", "value", "metric").agg(F.sum("c").alias("n"), F.sum("s").alias("s"))
+    return sums.select("run_ordinal", "dim", "value", "metric", "n", F.when(F.col("n") > 0, F.col("s") / F.col("n")).alias("avg"))
 
 
 def case_means(scores: DataFrame) -> DataFrame:
@@ -77,14 +82,46 @@ def threshold_of(metric: Column, thresholds: dict[str, float] | None, default: f
     return F.coalesce(F.try_element_at(known, metric), F.lit(float(default)))
 
 
+def cube(scores: DataFrame, cases: DataFrame, dims: tuple[str, ...] = SLICE_DIMS) -> DataFrame:
+    """dim, value, metric, n, rate, low, n_cases, n_scores, errors: all that rates, slices and the verdict need, from one pass.
+
+    The dim ``all`` has the metrics over all cases. A row without metric has the number n
+    of cases of its slice. Scores and cases meet once, by case_id; from there on a case
+    is one row with its metrics, of which there are few, in an array.
+    """
+    is_scored = F.col("outcome") == "scored"
+    per = scores.repartition("case_id").groupBy("case_id", "metric").agg(
+        F.avg(F.when(is_scored, F.col("score"))).alias("mean"), F.min(F.when(is_scored, F.col("score"))).alias("low"),
+        F.count_if(is_scored).alias("n"), F.count_if(F.col("outcome") == "error").alias("bad"),
+    )
+    own = per.groupBy("case_id").agg(F.collect_list(F.struct("metric", "mean", "low", "n", "bad")).alias("own"))
+    known = own.join(cases.select("case_id", *dims), "case_id", "left").withColumn("all", F.lit("all"))
+    marker = F.array(F.struct(F.lit(None).cast("string").alias("metric"), F.lit(None).cast("double").alias("mean"), F.lit(None).cast("double").alias("low"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("bad")))
+    rows = by_dimension(known, ("all", *dims)).select("dim", "value", F.explode(F.concat("own", marker)).alias("m"))
+    return rows.groupBy("dim", "value", "m.metric").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("m.mean").alias("rate"), F.avg("m.low").alias("low"), F.count("m.mean").alias("n_cases"),
+        F.sum("m.n").alias("n_scores"), F.sum("m.bad").alias("errors"),
+    )
+
+
+def cube_rates(cells: DataFrame, thresholds: dict[str, float] | None = None, default: float = 0.6) -> DataFrame:
+    """metric_rates from a cube."""
+    m = cells.where("dim = 'all' and metric is not null and (n_scores > 0 or errors > 0)")
+    m = m.select("metric", F.col("rate").alias("pass_rate"), F.col("low").alias("min_over_repeats"), "n_cases", "n_scores", "errors")
+    return m.withColumn("threshold", threshold_of(F.col("metric"), thresholds, default)).withColumn("passed", F.coalesce(F.col("pass_rate") >= F.col("threshold"), F.lit(False)))
+
+
+def cube_slices(cells: DataFrame, slice_min: float = 0.5) -> DataFrame:
+    """slice_rates from a cube."""
+    own = cells.where("dim <> 'all'")
+    sizes = own.where("metric is null").select("dim", "value", "n")
+    rates = own.where("metric is not null and n_cases > 0").select("dim", "value", "metric", rounded(F.col("rate")).alias("rate"))
+    return sizes.join(rates, ["dim", "value"], "left").withColumn("passed", F.coalesce(F.col("rate") >= slice_min, F.lit(True)))
+
+
 def slice_rates(scores: DataFrame, cases: DataFrame, slice_min: float = 0.5, dims: tuple[str, ...] = SLICE_DIMS) -> DataFrame:
     """Macro means: dim, value, metric, n (cases of the slice, scored or not), rate (rounded), passed."""
-    means = case_means(scores)
-    seen = scores.select("case_id").distinct().join(cases.select("case_id", *dims), "case_id", "left")
-    members = by_dimension(seen, dims)
-    sizes = members.groupBy("dim", "value").agg(F.count(F.lit(1)).alias("n"))
-    rates = members.join(means, "case_id").groupBy("dim", "value", "metric").agg(rounded(F.avg("mean")).alias("rate"))
-    return sizes.join(rates, ["dim", "value"], "left").withColumn("passed", F.coalesce(F.col("rate") >= slice_min, F.lit(True)))
+    return cube_slices(cube(scores, cases, dims), slice_min)
 
 
 def weak_slices(rates: DataFrame) -> DataFrame:
@@ -115,6 +152,12 @@ def verdict(rates: DataFrame, weak: DataFrame, slice_min: float = 0.5, overall_p
     return both.select(F.when(ok, "pass").otherwise("fail").alias("verdict"), "overall_score", "n_metrics", "n_weak", reasons.alias("reasons"))
 
 
+def verdict_of(scores: DataFrame, cases: DataFrame, thresholds: dict[str, float] | None = None, default: float = 0.6, slice_min: float = 0.5, overall_pass: float = 0.6, dims: tuple[str, ...] = SLICE_DIMS) -> DataFrame:
+    """The verdict from scores and cases in one pass over the scores."""
+    cells = cube(scores, cases, dims)
+    return verdict(cube_rates(cells, thresholds, default), weak_slices(cube_slices(cells, slice_min)), slice_min, overall_pass, dims)
+
+
 def incomplete(verdicts: DataFrame, stages: DataFrame, required: list[str]) -> DataFrame:
     """The verdict becomes ``incomplete`` if a required stage is neither ok nor recovered."""
     done = stages.where(F.col("stage").isin(required) & F.col("status").isin("ok", "recovered")).agg(F.countDistinct("stage").alias("_done"))
@@ -160,6 +203,15 @@ def failing_cases(scores: DataFrame, agent_errors: DataFrame | None = None) -> D
     return bad.join(errs, "case_id", "full").withColumn("agent_errors", first).drop("e")
 
 
+def case_drilldown(cases: DataFrame, case_runs: DataFrame, scores: DataFrame, case_id: object) -> DataFrame:
+    """One row: the case, its runs, how many failed, its scored marks and their mean; zeros and nulls where it never ran."""
+    of = lambda rows: rows.where(F.col("case_id") == case_id)
+    ran = of(case_runs).groupBy("case_id").agg(F.count(F.lit(1)).alias("runs"), F.count("error").alias("failed"))
+    marks = of(scored(scores)).groupBy("case_id").agg(F.count("score").alias("marks"), rounded(F.avg("score")).alias("mean"))
+    out = of(cases).join(ran, "case_id", "left").join(marks, "case_id", "left")
+    return out.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in ("runs", "failed", "marks")})
+
+
 def score_matrix(scores: DataFrame, metrics: list[str]) -> DataFrame:
     """One row a case and run, a column a metric; the metrics are named, so no pass finds them."""
     return scored(scores).groupBy("case_id", "run_ordinal").pivot("metric", metrics).agg(F.first("score"))

@@ -6,7 +6,7 @@ messages, not a replay, so one shuffle on conv_id gives them all.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .evaluators import expectation_problems
 
@@ -24,8 +24,9 @@ def outcomes(talks: DataFrame) -> DataFrame:
     """``talks`` (conv_id, transcript, max_turns, success_contains, expect_contains, expect_not_contains) with turns, stop_reason, violations.
 
     Success is the first reply with the needle; what follows it is cut off, as a
-    simulation would have stopped there. Without success a conversation that used all its
-    turns was truncated (max_turns) if another user message waited, else it is exhausted.
+    simulation would have stopped there, and so is what follows the last turn. Without
+    success a conversation that used all its turns was truncated (max_turns) if another
+    user message waited, else it is exhausted.
     """
     replies, asked = said(F.col("transcript"), "assistant"), said(F.col("transcript"), "user")
     needle = F.lower(F.coalesce("success_contains", F.lit("")))
@@ -40,7 +41,16 @@ def outcomes(talks: DataFrame) -> DataFrame:
     text = F.array_join(F.slice("replies", 1, F.greatest("turns", F.lit(0))), " ")
     never = F.when((F.col("stop_reason") == "max_turns") & (needle != ""), F.array(F.concat(F.lit("never reached success condition '"), F.col("success_contains"), F.lit("' within "), F.col("max_turns").cast("string"), F.lit(" turns"))))
     violations = F.concat(expectation_problems(text, F.col("expect_contains"), F.col("expect_not_contains")), F.coalesce(never, F.array().cast("array<string>")))
-    return t.withColumn("violations", violations).drop("replies", "first_hit")
+    return t.withColumn("violations", violations).withColumn("transcript", played(F.col("transcript"), F.col("turns"))).drop("replies", "first_hit")
+
+
+def played(transcript: Column, turns: Column) -> Column:
+    """The transcript up to the reply of the last turn; with fewer replies all of it."""
+    last = F.aggregate(
+        transcript, F.struct(F.lit(0).alias("n"), F.lit(0).alias("replies"), F.lit(0).alias("cut")),
+        lambda acc, m: F.struct((acc["n"] + 1).alias("n"), (acc["replies"] + (m["role"] == "assistant").cast("int")).alias("replies"), F.when((m["role"] == "assistant") & (acc["replies"] + 1 == turns), acc["n"] + 1).otherwise(acc["cut"]).alias("cut")),
+    )["cut"]
+    return F.when(last > 0, F.slice(transcript, F.lit(1), F.greatest(last, F.lit(1)))).otherwise(transcript)
 
 
 def tail(messages: Column, n: int) -> Column:
@@ -56,3 +66,9 @@ def mined(results: DataFrame) -> DataFrame:
 
 def totals(results: DataFrame) -> DataFrame:
     return results.agg(F.count(F.lit(1)).alias("scenarios"), F.count_if(F.col("stop_reason") == "success").alias("successes"), F.count_if(F.size("violations") > 0).alias("with_violations"))
+
+
+def call_deltas(turns: DataFrame) -> DataFrame:
+    """``turns`` (conv_id, turn, calls: so far) with delta: the calls of the turn itself, never below 0."""
+    before = F.lag("calls", 1, 0).over(Window.partitionBy("conv_id").orderBy("turn"))
+    return turns.withColumn("delta", F.greatest(F.lit(0), F.col("calls") - before))

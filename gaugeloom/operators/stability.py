@@ -10,11 +10,12 @@ from .scores import rounded, scored
 def behaviour(case_runs: DataFrame) -> DataFrame:
     """case_id, trajectories, outputs (distinct hashes, exact), llm_mock_calls, runs.
 
-    case_runs: case_id, trajectory_hash, output_hash and, if known, llm_mock_calls.
+    case_runs: case_id, trajectory_hash, output_hash and, if known, llm_mock_calls. A
+    case's repeats are few, so its distinct hashes are small sets, combined on the map side.
     """
     llm = F.sum("llm_mock_calls") if "llm_mock_calls" in case_runs.columns else F.lit(0)
     return case_runs.groupBy("case_id").agg(
-        F.countDistinct("trajectory_hash").alias("trajectories"), F.countDistinct("output_hash").alias("outputs"),
+        F.size(F.collect_set("trajectory_hash")).cast("long").alias("trajectories"), F.size(F.collect_set("output_hash")).cast("long").alias("outputs"),
         F.coalesce(llm, F.lit(0)).cast("long").alias("llm_mock_calls"), F.count(F.lit(1)).alias("runs"),
     )
 

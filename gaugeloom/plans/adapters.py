@@ -86,12 +86,12 @@ def event_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     layer = F.when(F.col("event_type") == "view", "rule").when(F.col("event_type").isin("click", "signup"), "llm").when(F.col("event_type") == "purchase", "fallback").otherwise("error")
     return e.select(
         F.col("user_id").alias("case_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("tool"), F.col("props").alias("args"), layer.alias("layer"), (F.col("value") > 100).alias("fallback"),
-        F.when(F.col("value") > 200, "slow").alias("error"), (F.col("event_type") != "signup").alias("valid"), F.lit(0).alias("repairs"), F.col("props").alias("response"), F.col("value").alias("seconds"),
+        F.when(F.col("value") > 200, "slow").when(F.col("value") < 10, "").alias("error"), F.when((F.col("event_type") != "click") | (F.col("event_id") % 5 > 0), F.col("event_type") != "signup").alias("valid"), (F.col("event_id") % 3).cast("int").alias("repairs"), F.col("props").alias("response"), F.col("value").alias("seconds"),
     )
 
 
 LEDGER_SQL = """ledger AS (
-  SELECT user_id AS case_id, event_id AS seq, event_type AS tool, props AS args, value > 100 AS fallback, CASE WHEN value > 200 THEN 'slow' END AS error, event_type <> 'signup' AS valid,
+  SELECT user_id AS case_id, event_id AS seq, event_type AS tool, props AS args, value > 100 AS fallback, CASE WHEN value > 200 THEN 'slow' WHEN value < 10 THEN '' END AS error, CASE WHEN event_type <> 'click' OR event_id % 5 > 0 THEN event_type <> 'signup' END AS valid, event_id % 3 AS repairs,
     CASE WHEN event_type = 'view' THEN 'rule' WHEN event_type IN ('click', 'signup') THEN 'llm' WHEN event_type = 'purchase' THEN 'fallback' ELSE 'error' END AS layer
   FROM events
 )"""

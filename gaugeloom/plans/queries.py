@@ -2,34 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import text as tx
+from ..functions import jsonschema as js, text as tx
 from ..functions.jsonvalues import case_identity, json_valid
-from ..operators import cases as cs, coverage as cov, evaluators as ev, mocks, scores as sc, simulation as sim, stability as st
+from ..operators import agentmap as am, cases as cs, coverage as cov, evaluators as ev, mocks, scores as sc, simulation as sim, stability as st
 from ..streaming.progress import progress, with_totals
-from . import adapters as ad
+from . import adapters as ad, folder_queries  # noqa: F401  (enters its queries)
 from .adapters import GRADES_SQL, LEDGER_SQL, LINES_SQL, PARTS_SQL, RULES_SQL, TALKS_SQL, table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str):
-    def register(f):
-        QUERIES[f.__name__] = f
-        SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def r6(c) -> F.Column:
-    return F.round(c, 6)
-
+from .registry import QUERIES, SQL, query, r6  # noqa: F401
 
 # scores -----------------------------------------------------------------------------
 
@@ -78,7 +62,7 @@ SELECT CASE WHEN bool_and(rate >= 0.6) AND any_value(w.n) = 0 AND round(avg(rate
 (count(*) FILTER (rate < 0.6) + any_value(w.n) + (round(avg(rate), 4) < 0.6)::INT)::INT AS n_reasons FROM m, w""")
 def overall_verdict(spark, d):
     s, c = ad.line_scores(spark, d), ad.order_cases(spark, d)
-    v = sc.verdict(sc.metric_rates(s), sc.weak_slices(sc.slice_rates(s, c)))
+    v = sc.verdict_of(s, c)
     return v.select("verdict", "overall_score", "n_metrics", "n_weak", F.size("reasons").alias("n_reasons"))
 
 
@@ -149,20 +133,27 @@ def text_varies(spark, d):
 
 @query(f"""WITH {LEDGER_SQL} SELECT case_id, count(*) FILTER (layer = 'rule') AS rule, count(*) FILTER (layer = 'llm') AS llm, count(*) FILTER (layer = 'real') AS real,
 (count(*) FILTER (layer = 'fallback') + count(*) FILTER (fallback AND layer <> 'fallback'))::BIGINT AS fallback,
-(count(*) FILTER (layer = 'error') + count(*) FILTER (error IS NOT NULL AND layer <> 'error'))::BIGINT AS error, count(*) FILTER (layer = 'llm' AND NOT valid) AS invalid FROM ledger GROUP BY case_id""")
+(count(*) FILTER (layer = 'error') + count(*) FILTER (coalesce(error, '') <> '' AND layer <> 'error'))::BIGINT AS error, count(*) FILTER (layer = 'llm' AND NOT coalesce(valid, true)) AS invalid FROM ledger GROUP BY case_id""")
 def ledger_totals(spark, d):
     return mocks.ledger_totals(ad.event_ledger(spark, d), ["case_id"])
 
 
-@query(f"WITH {LEDGER_SQL} SELECT count(*) AS calls, count(*) FILTER (valid) AS valid, 0::BIGINT AS repaired, count(*) FILTER (fallback) AS fallback, count(error) AS errors FROM ledger WHERE layer = 'llm'")
+@query(f"WITH {LEDGER_SQL} SELECT count(*) AS calls, count(*) FILTER (coalesce(valid, false)) AS valid, count(*) FILTER (coalesce(valid, false) AND repairs > 0) AS repaired, count(*) FILTER (fallback) AS fallback, count(*) FILTER (coalesce(error, '') <> '') AS errors FROM ledger WHERE layer = 'llm'")
 def engine_stats(spark, d):
     return mocks.engine_stats(ad.event_ledger(spark, d))
 
 
 @query("SELECT CASE WHEN value > 200 THEN 'infrastructure' ELSE 'agent' END AS error_class, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY ALL")
 def error_counts(spark, d):
-    e = table(spark, d, "events").where("event_type = 'error'")
-    return e.groupBy(F.when(F.col("value") > 200, "infrastructure").otherwise("agent").alias("error_class")).agg(F.count(F.lit(1)).alias("n"))
+    e = table(spark, d, "events").select(F.when(F.col("event_type") == "error", "failed").alias("error"), F.when(F.col("value") > 200, "infrastructure").alias("error_class"))
+    return ev.error_counts(e)
+
+
+@query("SELECT user_id AS case_id, bool_and(event_type = 'error' AND value > 200) AS abort FROM events WHERE user_id < 3 GROUP BY 1")
+def infrastructure_abort(spark, d):
+    e = table(spark, d, "events").select("user_id", F.when(F.col("event_type") == "error", "failed").alias("error"), F.when(F.col("value") > 200, "infrastructure").alias("error_class"))
+    parts = [ev.all_infrastructure(e.where(F.col("user_id") == u)).withColumn("case_id", F.lit(u).cast("long")) for u in range(3)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("case_id", "abort")
 
 
 _MATCH = f"""WITH {RULES_SQL}, hit AS (SELECT e.event_id AS call_id, min(rule_idx) AS rule_idx, arg_min(r.response, rule_idx) AS response FROM events e JOIN rules r ON e.event_type = r.tool
@@ -176,7 +167,16 @@ def rule_first_match(spark, d):
 
 @query(_MATCH + "SELECT event_id AS call_id, event_type AS tool, rule_idx, response FROM events LEFT JOIN hit ON call_id = event_id")
 def rule_first_match_join(spark, d):
-    return mocks.first_match(ad.event_calls(spark, d), ad.rule_table(spark).where("rule_idx is not null")).select("call_id", "tool", "rule_idx", "response")
+    return mocks.first_match(ad.event_calls(spark, d), ad.rule_table(spark).where("rule_idx is not null"), nested=False).select("call_id", "tool", "rule_idx", "response")
+
+
+@query("""SELECT event_id AS call_id, CASE WHEN event_type = 'view' AND event_id % 3 = 1 THEN 0 WHEN event_type = 'view' AND event_id % 3 = 2 THEN 2 WHEN event_type = 'click' THEN 1 END AS rule_idx FROM events""")
+def rule_match_nested(spark, d):
+    """Rules of nested objects, lists, and numbers in two spellings; a flat rule after a nested one that doesn't match."""
+    three = (F.col("event_id") % 3).cast("string")
+    e = table(spark, d, "events").select(F.col("event_id").alias("call_id"), F.col("event_type").alias("tool"), F.concat(F.lit('{"a": {"b": '), three, F.lit(', "c": 1}, "l": [1, 2], "n": 1.0}')).alias("args"))
+    rules = [("view", 0, '{"a": {"b": 1}}', "x"), ("view", 1, '{"a": {"b": 2}, "l": [2, 1]}', "y"), ("view", 2, '{"a": {"b": 2}, "n": 1}', "z"), ("click", 0, '{"a": {"z": 1}}', "p"), ("click", 1, '{"n": true}', "q"), ("error", 0, '{"n": "1"}', "never")]
+    return mocks.first_match(e, spark.createDataFrame(rules, "tool string, rule_idx int, match_args string, response string")).select("call_id", "rule_idx")
 
 
 @query(_MATCH + "SELECT event_id AS call_id, event_type AS tool, props AS args FROM events WHERE event_type IN (SELECT tool FROM rules UNION SELECT 'error') AND event_id NOT IN (SELECT call_id FROM hit)")
@@ -199,12 +199,12 @@ def _nation_rules(spark, d):
     """Dataset rules: a tool a region, a rule a nation; case rules: a supplier's own rule for the region of its nation."""
     n = table(spark, d, "nation")
     rules = n.select(F.col("n_regionkey").cast("string").alias("tool"), (F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")) - 1).alias("rule_idx"), F.concat(F.lit('{"n":'), F.col("n_nationkey"), F.lit("}")).alias("match_args"), F.col("n_name").alias("response"))
-    own = table(spark, d, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("case_id"), F.col("n_regionkey").cast("string").alias("tool"), F.lit(0).alias("rule_idx"), F.concat(F.lit('{"n":'), F.col("n_nationkey"), F.lit("}")).alias("match_args"), F.col("n_name").alias("response"))
+    own = table(spark, d, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("case_id"), F.col("n_regionkey").cast("string").alias("tool"), F.lit(0).alias("rule_idx"), F.concat(F.lit('{ "n": '), F.col("n_nationkey"), F.lit("}")).alias("match_args"), F.col("n_name").alias("response"))
     return rules, own
 
 
 _NATION = """WITH rules AS (SELECT n_regionkey::VARCHAR AS tool, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1)::INT AS rule_idx, '{"n":' || n_nationkey || '}' AS match_args, n_name AS response FROM nation),
-own AS (SELECT s_suppkey AS case_id, n_regionkey::VARCHAR AS tool, 0 AS rule_idx, '{"n":' || n_nationkey || '}' AS match_args, n_name AS response FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
+own AS (SELECT s_suppkey AS case_id, n_regionkey::VARCHAR AS tool, 0 AS rule_idx, '{ "n": ' || n_nationkey || '}' AS match_args, n_name AS response FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
 
 
 @query(_NATION + "SELECT * FROM own UNION ALL SELECT s.case_id, r.* FROM (SELECT DISTINCT case_id FROM own) s, rules r WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.case_id = s.case_id AND o.tool = r.tool)")
@@ -212,18 +212,22 @@ def merge_rules(spark, d):
     return mocks.merge_rules(*_nation_rules(spark, d))
 
 
-@query(_NATION + "SELECT * FROM own UNION ALL SELECT o.case_id, r.tool, r.rule_idx + 1, r.match_args, r.response FROM own o JOIN rules r USING (tool) WHERE r.match_args <> o.match_args")
+@query(_NATION + """SELECT * FROM own UNION ALL SELECT o.case_id, r.tool, (row_number() OVER (PARTITION BY o.case_id, r.tool ORDER BY r.rule_idx))::INT AS rule_idx, r.match_args, r.response FROM own o JOIN rules r USING (tool) WHERE r.response <> o.response
+UNION ALL SELECT s_suppkey, r.tool, r.rule_idx, r.match_args, r.response FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN rules r ON r.tool = ((n_regionkey + 1) % 5)::VARCHAR WHERE s_suppkey % 10 = 0""")
 def rules_with_fallback(spark, d):
     rules, own = _nation_rules(spark, d)
-    return mocks.with_fallback(own, rules)
+    none = F.lit(None).cast("string")
+    empty = table(spark, d, "supplier").where("s_suppkey % 10 = 0").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("case_id"), ((F.col("n_regionkey") + 1) % 5).cast("string").alias("tool"), F.lit(None).cast("int").alias("rule_idx"), none.alias("match_args"), none.alias("response"))
+    return mocks.with_fallback(own.unionByName(empty), rules)
 
 
-@query("""WITH s(strategy, tool, behavior) AS (VALUES ('default', 'MACHINERY', 'steady'), ('default', 'BUILDING', 'slow'), ('FRANCE', 'BUILDING', 'odd'), ('5', 'MACHINERY', 'five'))
-SELECT c_custkey AS case_id, c_mktsegment AS tool, coalesce(a.behavior, b.behavior, 'generic') AS behavior FROM customer LEFT JOIN s a ON a.strategy = c_nationkey::VARCHAR AND a.tool = c_mktsegment LEFT JOIN s b ON b.strategy = 'default' AND b.tool = c_mktsegment""")
+@query("""WITH s(strategy, tool, behavior) AS (VALUES ('default', 'MACHINERY', 'steady'), ('default', 'BUILDING', 'slow'), ('FRANCE', 'BUILDING', 'odd'), ('5', 'MACHINERY', 'five'), ('6', 'BUILDING', ''))
+SELECT c_custkey AS case_id, c_mktsegment AS tool, coalesce(nullif(coalesce(a.behavior, b.behavior), ''), 'generic') AS behavior, CASE WHEN a.strategy = '5' THEN '{"ok": 5}' WHEN a.strategy IS NULL AND b.behavior = 'slow' THEN '{"ok": 0}' END AS fallback_response, CASE WHEN a.strategy = '5' THEN 1 ELSE 0 END AS n_examples FROM customer LEFT JOIN s a ON a.strategy = c_nationkey::VARCHAR AND a.tool = c_mktsegment LEFT JOIN s b ON b.strategy = 'default' AND b.tool = c_mktsegment""")
 def strategy_resolution(spark, d):
-    s = spark.createDataFrame([("default", "MACHINERY", "steady"), ("default", "BUILDING", "slow"), ("FRANCE", "BUILDING", "odd"), ("5", "MACHINERY", "five")], "strategy string, tool string, behavior string")
+    entries = [("default", "MACHINERY", "steady", [], None), ("default", "BUILDING", "slow", [], '{"ok": 0}'), ("FRANCE", "BUILDING", "odd", [], None), ("5", "MACHINERY", "five", ["{}"], '{"ok": 5}'), ("6", "BUILDING", "", [], None)]
+    s = spark.createDataFrame(entries, "strategy string, tool string, behavior string, examples array<string>, fallback_response string")
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("case_id"), F.col("c_mktsegment").alias("tool"), F.col("c_nationkey").cast("string").alias("strategy"))
-    return mocks.resolve_strategy(c, s).select("case_id", "tool", "behavior")
+    return mocks.resolve_strategy(c, s).select("case_id", "tool", "behavior", "fallback_response", F.size("examples").alias("n_examples"))
 
 
 @query(f"WITH {LEDGER_SQL} SELECT case_id, count(*)::INT AS n, arg_min(tool, seq) AS first_tool, arg_max(tool, seq) AS last_tool FROM ledger WHERE layer IN ('rule', 'llm', 'real', 'fallback') GROUP BY case_id")
@@ -232,6 +236,11 @@ def mock_history(spark, d):
     return h.select("case_id", F.size("history").alias("n"), F.get(F.col("history.tool"), F.lit(0)).alias("first_tool"), F.element_at(F.col("history.tool"), -1).alias("last_tool"))
 
 
+@query(f"WITH {LEDGER_SQL} SELECT case_id, string_agg(tool, ' ' ORDER BY seq) AS tools FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY seq DESC) AS n FROM ledger WHERE layer IN ('rule', 'llm', 'real', 'fallback')) WHERE n <= 12 GROUP BY case_id")
+def mock_history_window(spark, d):
+    return mocks.mock_history(ad.event_ledger(spark, d), 12).select("case_id", F.array_join("history.tool", " ").alias("tools"))
+
+
 # evaluators -------------------------------------------------------------------------
 
 
@@ -256,6 +265,62 @@ def expected_tools_eval(spark, d):
     return _user_calls(spark, d).select("case_id", ev.names_in_order(F.col("names"), want).alias("score"))
 
 
+def _order_calls(spark, d):
+    """An order's lines as calls: the return flag is the tool, the status an argument. An order has few lines."""
+    one = F.struct("run_ordinal", F.col("l_returnflag").alias("name"), F.struct(F.col("l_linestatus").alias("s"), F.struct(F.col("l_tax").alias("t")).alias("deep")).alias("args"))
+    lines = ad.lines(spark, d).groupBy(F.col("l_orderkey").alias("case_id")).agg(F.sort_array(F.collect_list(one)).alias("c"))
+    return lines.select("case_id", F.to_json(F.transform("c", lambda x: F.struct(x["name"].alias("name"), x["args"].alias("args")))).alias("calls"))
+
+
+_ORDER_CALLS = """o AS (SELECT l_orderkey AS case_id, count(*) AS n, count(*) FILTER (l_returnflag = 'A') AS a, count(*) FILTER (l_returnflag = 'N') AS x, count(*) FILTER (l_returnflag = 'R') AS r,
+arg_min(l_returnflag, run_ordinal) AS first, arg_max(l_returnflag, run_ordinal) AS last, min(run_ordinal) FILTER (l_returnflag = 'A' AND l_linestatus = 'F') AS af, max(run_ordinal) FILTER (l_returnflag = 'N') AS xl FROM lines GROUP BY 1)"""
+
+
+@query(f"WITH {LINES_SQL}, {_ORDER_CALLS} SELECT case_id, (r = 0 AND coalesce(af < xl, false))::INT::DOUBLE AS score FROM o")
+def expected_tools_args(spark, d):
+    want = json.dumps([{"name": "A", "args": {"s": "F", "deep": {}}}, {"name": "N"}])
+    return _order_calls(spark, d).select("case_id", ev.expected_tools("calls", F.lit(want), F.lit('["R"]')).alias("score"))
+
+
+@query(f"""WITH {LINES_SQL}, {_ORDER_CALLS} SELECT case_id, (n = 2 AND first = 'A' AND last = 'N')::INT::DOUBLE AS strict, (n = 2 AND a = 1 AND x = 1)::INT::DOUBLE AS unordered, (a >= 1 AND x >= 1)::INT::DOUBLE AS superset,
+(a <= 1 AND x <= 1 AND r = 0)::INT::DOUBLE AS subset FROM o""")
+def trajectory_match(spark, d):
+    want = F.lit(json.dumps([{"name": "A"}, {"name": "N"}]))
+    modes = ("strict", "unordered", "superset", "subset")
+    return _order_calls(spark, d).select("case_id", *[ev.trajectory_match(m, "ignore")("calls", want).alias(m) for m in modes])
+
+
+@query("""SELECT event_id, CASE WHEN event_type = 'view' THEN '$: missing required ' || chr(39) || 'q' || chr(39) WHEN event_type = 'click' THEN '$.q: expected string, got int' WHEN event_type = 'error' THEN '$.n: above maximum 9; $: unexpected property ' || chr(39) || 'z' || chr(39) ELSE '' END AS problems FROM events""")
+def schema_problems(spark, d):
+    schema = {"type": "object", "required": ["q"], "properties": {"q": {"type": "string"}, "n": {"type": "integer", "maximum": 9}}, "additionalProperties": False}
+    t = F.col("event_type")
+    value = F.when(t == "view", '{"n": 3}').when(t == "click", '{"q": 5}').when(t == "error", '{"q": "x", "n": 12, "z": 1}').otherwise('{"q": "x"}')
+    return table(spark, d, "events").select("event_id", F.array_join(js.schema_problems(schema)(value), "; ").alias("problems"))
+
+
+@query("""WITH t AS (SELECT n_name AS tool, n_regionkey::INT AS m FROM nation), e AS (
+SELECT tool, 1 AS place, 'missing_required' AS kind, 'days' AS field, '`days` (integer) is required by ' || tool || ' but the user does not provide it' AS detail, 'Ask the user for `days` instead of calling ' || tool || ' with a guessed or placeholder value.' AS expected_behavior FROM t UNION ALL
+SELECT tool, 2, 'wrong_type', 'days', '`days` expects integer; the user gives a non-conforming value', 'Do not pass the malformed `days` to ' || tool || '; ask for a valid integer or explain the requirement.' FROM t UNION ALL
+SELECT tool, 3, 'out_of_enum', 'unit', '`unit` must be one of [''C'', 2, True]; the user asks for a value outside that set', 'Offer the allowed values [''C'', 2, True] and do not call ' || tool || ' with an invalid `unit`.' FROM t UNION ALL
+SELECT tool, 4, 'boundary', 'days', '`days` has limits (min 1, max ' || (m + 5) || '); the user''s value violates them', 'Refuse or adjust the out-of-range `days` and explain the limit (min 1, max ' || (m + 5) || ') before calling ' || tool || '.' FROM t UNION ALL
+SELECT tool, 5, 'malformed_output', NULL, tool || ' returns a payload missing required fields [''x'', ''y'', ''z''] of its output schema', 'Do not present fabricated values; tell the user the ' || tool || ' result was incomplete and offer to retry.' FROM t UNION ALL
+SELECT tool, 6, 'missing_required', 'code', '`code` (Code) is required by ' || tool || ' but the user does not provide it', 'Ask the user for `code` instead of calling ' || tool || ' with a guessed or placeholder value.' FROM t UNION ALL
+SELECT tool, 7, 'wrong_type', 'code', '`code` expects Code matching ''^x$''; the user gives a non-conforming value', 'Do not pass the malformed `code` to ' || tool || '; ask for a valid Code or explain the requirement.' FROM t)
+SELECT tool, place::INT AS place, kind, field, 'edge.' || tool || '.' || kind || coalesce('.' || field, '') AS id, detail, CASE WHEN place = 5 THEN 'tool_error_handling' ELSE 'input_validation' END AS failure_mode, expected_behavior, 'schema:' || tool || coalesce('.' || field, '') AS evidence FROM e""".replace("(Code) is required", "(string) is required"))
+def edge_cases(spark, d):
+    args = '{"$defs": {"Code": {"type": "string", "pattern": "^x$"}}, "properties": {"days": {"type": "integer", "minimum": 1, "maximum": %d}, "unit": {"enum": ["C", 2, true]}, "code": {"$ref": "#/$defs/Code"}}, "required": ["days", "code"]}'
+    t = table(spark, d, "nation").select(F.col("n_name").alias("tool"), F.format_string(args, (F.col("n_regionkey") + 5).cast("int")).alias("args_schema"), F.lit('{"required": ["x", "y", "z", "w"]}').alias("output_schema"))
+    e = js.edge_cases(t)
+    return e.select("tool", "place", "kind", "field", "id", "detail", "failure_mode", "expected_behavior", F.array_join("evidence", ",").alias("evidence"))
+
+
+@query("SELECT n_nationkey AS k, CASE WHEN n_regionkey = 0 THEN 'Root,A,B' ELSE 'A,B' END AS names FROM nation")
+def model_names(spark, d):
+    kind = F.when(F.col("n_regionkey") == 0, "object").otherwise("array")
+    schema = F.concat(F.lit('{"title": "Root", "type": "'), kind, F.lit('", "$defs": {"A": {}, "B": {}}}'))
+    return table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.array_join(js.model_names(schema), ",").alias("names"))
+
+
 @query(f"WITH {_CALLS} SELECT case_id, len(list_filter(names, lambda n: n IN ('error', 'purchase'))) AS n_forbidden, coalesce(list_filter(names, lambda n: n IN ('error', 'purchase'))[1], '') AS first_forbidden FROM calls")
 def forbidden_tools_eval(spark, d):
     used = ev.forbidden_used(F.col("names"), F.array(F.lit("error"), F.lit("purchase")))
@@ -311,16 +376,19 @@ def case_identity_hash(spark, d):
     return table(spark, d, "events").select("event_id", case_identity("props", none, none, none, "event_type").alias("case_id"))
 
 
-@query("""SELECT event_id, 0 AS ordinal, CASE WHEN event_type = 'view' THEN NULL ELSE replace(props, ' ', '') END AS inputs, event_type AS reference_outputs, 'import' AS source FROM events""")
+@query("""SELECT event_id, 0 AS ordinal, CASE WHEN event_type = 'view' THEN NULL ELSE replace(props, ' ', '') END AS inputs, CASE WHEN event_type <> 'purchase' THEN event_type END AS reference_outputs, 'import' AS source, 'in.json' AS source_path, 'import/in.json' AS marks FROM events""")
 def import_normalize(spark, d):
     q = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
     key = F.when(F.col("event_type") == "click", "cases").when(F.col("event_type") == "error", "examples").otherwise("goldens")
-    item = F.concat(F.lit('{'), F.when(F.col("event_type") != "view", F.concat(F.lit('"inputs": '), "props", F.lit(", "))).otherwise(""), F.lit('"id": "x", "outputs": '), q(F.col("event_type")), F.lit("}"))
+    nothing = F.when(F.col("event_type") == "purchase", F.lit('"reference_outputs": null, ')).otherwise("")
+    item = F.concat(F.lit('{'), F.when(F.col("event_type") != "view", F.concat(F.lit('"inputs": '), "props", F.lit(", "))).otherwise(""), nothing, F.lit('"id": "x", "outputs": '), q(F.col("event_type")), F.lit("}"))
     docs = table(spark, d, "events").select("event_id", F.concat(F.lit("{"), q(key), F.lit(": ["), item, F.lit("]}")).alias("doc"))
     # the operator keeps no other column, so the id travels as metadata
-    tagged = docs.withColumn("doc", F.regexp_replace("doc", r'"id": "x"', F.concat(F.lit('"metadata": {"e": '), F.col("event_id").cast("string"), F.lit("}"))))
-    i = cs.import_rows(tagged)
-    return i.select(F.get_json_object("metadata", "$.e").cast("long").alias("event_id"), "ordinal", "inputs", "reference_outputs", "source")
+    name = F.when(F.col("event_id") % 2 == 0, F.lit('"metadata": {}, "additional_metadata": {"source": "old", "e": ')).otherwise(F.lit('"metadata": {"e": '))
+    tagged = docs.withColumn("doc", F.regexp_replace("doc", r'"id": "x"', F.concat(name, F.col("event_id").cast("string"), F.lit("}"))))
+    i = cs.import_rows(tagged, source_path="in.json")
+    at = lambda k: F.get_json_object("metadata", f"$.{k}")
+    return i.select(at("e").cast("long").alias("event_id"), "ordinal", "inputs", "reference_outputs", "source", "source_path", F.concat_ws("/", at("source"), at("source_path")).alias("marks"))
 
 
 @query("SELECT what, value, count(*) AS n FROM (SELECT CASE o_orderstatus WHEN 'F' THEN 'approved' WHEN 'O' THEN 'pending' ELSE 'rejected' END AS status, o_orderpriority AS failure_mode, 'import' AS source FROM orders) UNPIVOT (value FOR what IN (status, failure_mode, source)) GROUP BY ALL")
@@ -347,10 +415,39 @@ def set_review(spark, d):
     return cs.set_review(_order_dataset(spark, d), decisions).select("case_id", "review_status")
 
 
-@query("SELECT o_orderkey AS case_id, 'duplicate id' AS problem FROM orders WHERE false UNION ALL SELECT o_orderkey, 'inputs must be a non-empty object' FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT o_orderkey, 'invalid review status' FROM orders WHERE o_orderpriority = '5-LOW'")
+@query("""SELECT NULL AS case_id, problem FROM (SELECT unnest(['schema must be demo/dataset/v1', 'mocks must be an object', 'mocks.tools.t must be a list of rules']) AS problem)""")
+def dataset_headers(spark, d):
+    h = spark.createDataFrame([("demo/dataset/v1", '{"tools": {"w": []}}'), ("odd", '{"tools": {"t": 5}}'), ("demo/dataset/v1", "[1]")], "schema string, mocks string")
+    return cs.dataset_header_problems(h, "demo/dataset/v1").select(F.lit(None).cast("int").alias("case_id"), "problem")
+
+
+@query("""WITH b AS (SELECT p_partkey, p_size % 5 AS m, p_size % 3 AS s FROM part)
+SELECT problem, count(*) AS n FROM (SELECT 'invalid on_miss' AS problem FROM b WHERE m = 4 UNION ALL SELECT 'model is required when on_miss is llm' FROM b WHERE m = 3 AND s = 0
+UNION ALL SELECT 'model must be provider:model' FROM b WHERE m = 3 AND s = 1 UNION ALL SELECT 'max_repairs must not be negative' FROM b WHERE s = 2 UNION ALL SELECT 'strategy is not declared' FROM b WHERE m < 2) GROUP BY problem""")
+def mock_policy_problems(spark, d):
+    m, s = F.col("p_size") % 5, F.col("p_size") % 3
+    b = table(spark, d, "part").select(
+        F.get(F.array(*[F.lit(x) for x in ("real", "strict", "fallback", "llm", "odd")]), m.cast("int")).alias("on_miss"), F.when(s == 0, "").when(s == 1, "plain").otherwise("api:big").alias("model"), F.lit(None).cast("string").alias("on_invalid"),
+        F.when(s == 2, -1).otherwise(1).alias("max_repairs"), F.lit("x").alias("strategy"), F.when(m < 2, F.array(F.lit("y"))).otherwise(F.array().cast("array<string>")).alias("strategies"),
+    )
+    return cs.policy_problems(b).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT c_custkey AS case_id, 'invalid review status maybe' AS problem FROM customer WHERE c_acctbal < 0 UNION ALL SELECT c_custkey, 'unknown case id' FROM customer WHERE c_custkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0)""")
+def review_problems(spark, d):
+    decisions = table(spark, d, "customer").select(F.col("c_custkey").alias("case_id"), F.when(F.col("c_acctbal") < 0, "maybe").otherwise("approved").alias("status"))
+    return cs.review_problems(_order_dataset(spark, d).where("case_id % 2 = 0"), decisions)
+
+
+@query("""WITH o AS (SELECT o_orderkey // 3 AS case_id, o_orderstatus, o_orderpriority FROM orders)
+SELECT case_id, 'duplicate id' AS problem FROM o GROUP BY case_id HAVING count(*) > 1 UNION ALL SELECT case_id, 'inputs must be a non-empty object' FROM o WHERE o_orderstatus = 'P' UNION ALL SELECT case_id, 'invalid review status' FROM o WHERE o_orderpriority = '5-LOW'
+UNION ALL SELECT n_nationkey, 't[' || n_regionkey || ']: response is missing' FROM nation UNION ALL SELECT n_nationkey, 'unknown mock strategy s' || n_regionkey FROM nation WHERE n_regionkey <> 2""")
 def dataset_problems(spark, d):
-    o = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("case_id"), F.when(F.col("o_orderstatus") == "P", "{}").otherwise('{"q": 1}').alias("inputs"), F.when(F.col("o_orderpriority") == "5-LOW", "odd").otherwise("pending").alias("review_status"))
-    return cs.problems(o).select(F.col("case_id").cast("long").alias("case_id"), "problem")
+    n = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("case_id"), F.col("n_regionkey").cast("int").alias("r"))
+    rules = n.select("case_id", F.lit("t").alias("tool"), F.col("r").alias("rule_idx"), F.lit('{"matchArgs": {}}').alias("rule"))
+    own = n.select("case_id", F.concat(F.lit("s"), F.col("r").cast("string")).alias("strategy"), F.array(F.lit("s2")).alias("strategies"))
+    o = table(spark, d, "orders").select(F.floor(F.col("o_orderkey") / 3).cast("string").alias("case_id"), F.when(F.col("o_orderstatus") == "P", "{}").otherwise('{"q": 1}').alias("inputs"), F.when(F.col("o_orderpriority") == "5-LOW", "odd").otherwise("pending").alias("review_status"))
+    return cs.problems(o, rules, own).select(F.col("case_id").cast("long").alias("case_id"), "problem")
 
 
 @query("SELECT o_orderkey AS case_id, o_totalprice FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderstatus IN ('F')")
@@ -436,21 +533,114 @@ def tool_intent(spark, d):
     return cov.tool_intents(tools, s, i)
 
 
-@query("""SELECT coalesce(s_nationkey, n_nationkey) AS id, coalesce(n_name, 'live only') AS name, coalesce(n, 0) AS suppliers FROM nation FULL JOIN (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1) ON s_nationkey = n_nationkey""")
+@query("""WITH v AS (SELECT s_nationkey + 3 AS k, count(*) AS n FROM supplier GROUP BY 1)
+SELECT 't' || coalesce(k, n_nationkey) AS tool, coalesce('live ' || n, CASE WHEN n_nationkey % 5 > 0 THEN n_name WHEN n_nationkey IS NOT NULL THEN '' END) AS description, coalesce(CASE WHEN k % 2 = 1 THEN '{"live": 1}' END, CASE WHEN n_nationkey IS NOT NULL THEN '{}' END) AS args_schema, k IS NOT NULL AS live,
+n_nationkey IS NULL AS last, coalesce(n_nationkey, k)::INT AS n FROM nation FULL JOIN v ON k = n_nationkey""")
 def merge_live_tools(spark, d):
-    live = table(spark, d, "supplier").groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("n"))
-    return table(spark, d, "nation").join(live, F.col("n_nationkey") == F.col("s_nationkey"), "full").select(F.coalesce("s_nationkey", "n_nationkey").alias("id"), F.coalesce("n_name", F.lit("live only")).alias("name"), F.coalesce("n", F.lit(0)).alias("suppliers"))
+    k = F.col("s_nationkey") + 3
+    name = lambda c: F.concat(F.lit("t"), c.cast("string")).alias("tool")
+    live = table(spark, d, "supplier").groupBy(k.alias("k")).agg(F.count(F.lit(1)).alias("n")).select(name(F.col("k")), F.col("k").cast("int").alias("ordinal"), F.concat(F.lit("live "), F.col("n").cast("string")).alias("description"), F.when(F.col("k") % 2 == 1, '{"live": 1}').alias("args_schema"))
+    source = table(spark, d, "nation").select(name(F.col("n_nationkey")), F.col("n_nationkey").cast("int").alias("ordinal"), F.when(F.col("n_nationkey") % 5 > 0, F.col("n_name")).otherwise("").alias("description"), F.lit("{}").alias("args_schema"))
+    return am.merged_tools(source, live).select("tool", "description", "args_schema", "live", "place.last", "place.n")
 
 
-@query("SELECT p_brand AS id, arg_max(p_type, p_partkey) FILTER (p_size > 10) AS kind, count(DISTINCT p_name) AS evidence FROM part GROUP BY p_brand")
+@query("""SELECT p_brand AS id, coalesce(arg_max(p_type, p_partkey) FILTER (p_size > 10), 'graph-node') AS kind, arg_max(p_name, p_partkey) FILTER (p_size > 30) AS prompt, (SELECT string_agg(t, ',' ORDER BY t) FROM (SELECT DISTINCT p_type AS t FROM part x WHERE x.p_brand = part.p_brand)) AS evidence FROM part GROUP BY p_brand""")
 def graph_node_merge(spark, d):
-    p = table(spark, d, "part")
-    return p.groupBy(F.col("p_brand").alias("id")).agg(F.max_by("p_type", F.when(F.col("p_size") > 10, F.col("p_partkey"))).alias("kind"), F.countDistinct("p_name").alias("evidence"))
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("ordinal"), F.col("p_brand").alias("id"), F.when(F.col("p_size") > 10, F.col("p_type")).otherwise("graph-node").alias("kind"), F.when(F.col("p_size") > 30, F.col("p_name")).otherwise("").alias("prompt"), F.array("p_type").alias("evidence"))
+    return am.merged_nodes(p).select("id", "kind", "prompt", F.array_join("evidence", ",").alias("evidence"))
+
+
+@query("""WITH s AS (SELECT n_name AS skill FROM nation WHERE n_nationkey < 4)
+SELECT p_partkey AS node, skill, CASE WHEN p_size % 3 = 0 THEN 'shown' WHEN p_size % 3 = 1 THEN 'prompt' ELSE 'loader' END AS how FROM part, s
+WHERE CASE p_size % 3 WHEN 0 THEN skill IN ('NATION_0', 'NATION_1') WHEN 1 THEN skill = 'NATION_1' ELSE p_size % 2 = 0 END""")
+def node_skills(spark, d):
+    three = F.col("p_size") % 3
+    skills = table(spark, d, "nation").where("n_nationkey < 4").select(F.col("n_name").alias("skill"))
+    nodes = table(spark, d, "part").select(
+        F.col("p_partkey").alias("id"), F.lit("llm").alias("kind"), F.when(three < 2, "say NATION_1 now").otherwise("nothing").alias("prompt"), F.when(F.col("p_size") % 2 == 0, F.array(F.lit("read_skill"))).alias("tools"),
+        F.when(three == 0, F.array(F.lit("NATION_0"))).alias("skills"), F.when(three == 0, "shown").alias("source"),
+    )
+    return am.node_skills(nodes, skills)
+
+
+@query("SELECT p_partkey AS node, 't' || p_size AS tool FROM part WHERE p_size < 9 AND p_partkey % 2 = 0")
+def node_tools(spark, d):
+    nodes = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("use t"), F.col("p_size").cast("string"), F.lit(", then stop")).alias("prompt"), F.when(F.col("p_partkey") % 2 == 1, F.array(F.lit("own"))).alias("tools"))
+    tools = spark.range(9).select(F.concat(F.lit("t"), F.col("id").cast("string")).alias("tool"))
+    return am.node_tools(nodes, tools)
+
+
+@query("SELECT n_name AS skill FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_custkey % 40 = 0)")
+def uncovered_skills(spark, d):
+    n = table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("skill"))
+    used = table(spark, d, "customer").where("c_custkey % 40 = 0").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("case_id"), "skill")
+    return am.uncovered_skills(n, used)
+
+
+@query("SELECT n_nationkey AS k, 'a,b' || CASE WHEN n_regionkey = 1 THEN ',c' ELSE '' END AS constraints FROM nation")
+def merged_constraints(spark, d):
+    found = F.when(F.col("n_regionkey") == 1, F.array(F.lit("b"), F.lit("c"))).otherwise(F.array(F.lit("a")))
+    return table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.array_join(am.merged_constraints(F.array(F.lit("a"), F.lit("b")), found), ",").alias("constraints"))
+
+
+@query("""WITH i AS (SELECT lower(r_name) AS intent, r_regionkey AS k FROM region), s AS (SELECT n_name AS scenario, lower(r_name) AS intent, n_nationkey AS k FROM nation JOIN region ON n_regionkey = r_regionkey)
+SELECT 'intent' AS kind, intent AS id, 'id is no slug' AS problem FROM i WHERE intent LIKE '% %' UNION ALL SELECT 'intent', intent, 'no evidence' FROM i WHERE k = 3
+UNION ALL SELECT 'intent', intent, 'no happy scenario' FROM i WHERE intent NOT IN (SELECT intent FROM s WHERE k % 3 > 0) UNION ALL SELECT 'intent', intent, 'no failure scenario' FROM i WHERE intent NOT IN (SELECT intent FROM s WHERE k % 3 = 0)
+UNION ALL SELECT 'scenario', scenario, 'id is no slug' FROM s UNION ALL SELECT 'scenario', scenario, 'failure mode does not apply' FROM s WHERE k % 3 = 0 AND k % 2 = 1
+UNION ALL SELECT 'scenario', scenario, 'unknown tool t' || k % 7 FROM s WHERE k % 7 > 4 UNION ALL SELECT 'scenario', scenario, 'unknown skill k' || k FROM s WHERE k % 5 = 0 AND k > 0""")
+def map_problems(spark, d):
+    r = table(spark, d, "region")
+    intents = r.select(F.lower("r_name").alias("intent"), F.when(F.col("r_regionkey") != 3, F.array(F.lit("doc:1"))).otherwise(F.array().cast("array<string>")).alias("evidence"))
+    k = F.col("n_nationkey")
+    scenarios = table(spark, d, "nation").join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(
+        F.col("n_name").alias("scenario"), F.lower("r_name").alias("intent"), F.when(k % 3 == 0, "failure").otherwise("happy").alias("kind"), F.when(k % 3 == 0, F.when(k % 2 == 1, "odd").otherwise("timeout")).alias("failure_mode"),
+        F.when(k % 5 == 0, F.array(F.concat(F.lit("k"), k.cast("string")))).otherwise(F.array().cast("array<string>")).alias("skills"), F.array(F.concat(F.lit("tool:t"), (k % 7).cast("string"))).alias("evidence"),
+    )
+    tools = r.select(F.concat(F.lit("t"), F.col("r_regionkey").cast("string")).alias("tool"))
+    return am.map_problems(intents, scenarios, spark.createDataFrame([("timeout",)], "failure_type string"), tools, spark.createDataFrame([("k0",)], "skill string"))
+
+
+@query("SELECT r_name AS intent, r_regionkey::INT AS ordinal, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey AND n_nationkey % 2 = 0) AS scenarios, (SELECT count(*) FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = r_regionkey) AS cases FROM region")
+def intent_counts(spark, d):
+    r, n = table(spark, d, "region"), table(spark, d, "nation")
+    named = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("r_name").alias("intent"))
+    own = table(spark, d, "supplier").join(named, F.col("s_nationkey") == F.col("n_nationkey"))
+    return cs.intent_counts(r.select(F.col("r_regionkey").cast("int").alias("ordinal"), F.col("r_name").alias("intent")), named.where("n_nationkey % 2 = 0"), own)
 
 
-@query("SELECT o_orderpriority AS intent, count(*) AS cases, count(DISTINCT c_mktsegment) AS scenarios FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1")
-def intent_counts(spark, d):
-    return ad.order_cases(spark, d).where("variant is not null").groupBy("intent").agg(F.count(F.lit(1)).alias("cases"), F.countDistinct("variant").alias("scenarios"))
+_TOPPED = f"""{PARTS_SQL}, t AS (SELECT *, sum(n) OVER () AS s, count(*) FILTER (kind = 'happy') OVER () AS h, row_number() OVER (PARTITION BY kind ORDER BY ordinal) - 1 AS i FROM plan),
+topped AS (SELECT ordinal, kind, (n + CASE WHEN kind = 'happy' THEN 57 // h + (i < 57 % h)::INT ELSE 0 END)::INT AS c FROM t)"""
+
+
+def _topped(spark, d):
+    plan = ad.part_plan(spark, d).drop("multi_turn").withColumn("ordinal", F.col("ordinal").cast("int")).withColumn("variants", F.array(F.lit("happy")))
+    total = plan.agg(F.sum("count")).first()[0]
+    return cov.topped_up(plan, int(total) + 57)
+
+
+@query(f"WITH {_TOPPED} SELECT ordinal::INT AS ordinal, c AS \"count\" FROM topped")
+def topped_up(spark, d):
+    return _topped(spark, d).select("ordinal", F.col("count").cast("int").alias("count"))
+
+
+@query(f"""WITH RECURSIVE {_TOPPED}, q AS (SELECT ordinal, c, row_number() OVER (ORDER BY c DESC, ordinal) AS p FROM topped), w AS (SELECT 0 AS p, 12::BIGINT AS rest, NULL::BIGINT AS ordinal, 0::BIGINT AS take
+UNION ALL SELECT q.p, rest - least(c, greatest(1, rest // 2)), q.ordinal, least(c, greatest(1, rest // 2)) FROM w JOIN q ON q.p = w.p + 1 WHERE rest > 0)
+SELECT t.ordinal::INT AS ordinal, coalesce(w.take, 0)::INT AS multi_turn FROM topped t LEFT JOIN w ON w.ordinal = t.ordinal""")
+def multi_turn(spark, d):
+    topped = _topped(spark, d)
+    total = topped.agg(F.sum("count")).first()[0]
+    return cov.multi_turn(topped.withColumn("count", F.col("count").cast("int")), 12 / total).select("ordinal", F.col("multi_turn").cast("int").alias("multi_turn"))
+
+
+@query(f"""WITH {LINES_SQL} SELECT case_id, metric, string_agg((score > 0.45)::INT::VARCHAR, ' ' ORDER BY run_ordinal) AS scores, avg(score) >= 0.45001 AS good FROM scores GROUP BY ALL""")
+def case_scores(spark, d):
+    rows = sc.case_rows(ad.ordered_line_scores(spark, d))
+    return rows.select("case_id", "metric", F.array_join(F.transform("scores", lambda s: (s > 0.45).cast("int").cast("string")), " ").alias("scores"), (F.col("mean") >= 0.45001).alias("good"))
+
+
+@query(f"WITH {GRADES_SQL} SELECT metric, count(*) AS errors FROM marks WHERE outcome = 'error' GROUP BY metric")
+def dead_evaluators(spark, d):
+    return sc.dead_evaluators(sc.run_stats(ad.document_scores(spark, d).where("outcome <> 'scored'")))
 
 
 # simulation -------------------------------------------------------------------------
@@ -461,10 +651,14 @@ def sim_outcomes(spark, d):
     return sim.outcomes(ad.talks(spark, d)).select("conv_id", "turns", "stop_reason", F.array_join("violations", "; ").alias("violations"))
 
 
-@query(f"WITH {TALKS_SQL} SELECT conv_id, asked[1] AS first_message, greatest(least(n_asked, greatest(turns, 1)) - 1, 0)::INT AS n_user_turns, stop_reason FROM results WHERE (len(violations) > 0 OR stop_reason = 'max_turns') AND n_asked > 0")
+@query(f"""WITH {TALKS_SQL}, heard AS (SELECT conv_id, turn, role, role || ': ' || text AS line, count(*) FILTER (role = 'assistant') OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS k FROM conversations),
+played AS (SELECT conv_id, list(line ORDER BY turn) AS said FROM heard JOIN results USING (conv_id) WHERE turns = 0 OR k < turns OR (k = turns AND heard.role = 'assistant') GROUP BY conv_id)
+SELECT conv_id, asked[1] AS first_message, greatest(least(n_asked, greatest(turns, 1)) - 1, 0)::INT AS n_user_turns, stop_reason, array_to_string(p.said[greatest(1, len(p.said) - 3):], ' | ') AS tail
+FROM results JOIN played p USING (conv_id) WHERE (len(violations) > 0 OR stop_reason = 'max_turns') AND n_asked > 0""")
 def mined_failures(spark, d):
     m = sim.mined(sim.outcomes(ad.talks(spark, d)))
-    return m.select("conv_id", "first_message", F.size("user_turns").alias("n_user_turns"), "stop_reason")
+    tail = F.array_join(F.transform("transcript_tail", lambda x: F.concat(x["role"], F.lit(": "), x["content"])), " | ")
+    return m.select("conv_id", "first_message", F.size("user_turns").alias("n_user_turns"), "stop_reason", tail.alias("tail"))
 
 
 @query(f"WITH {TALKS_SQL} SELECT conv_id, array_to_string(said[greatest(1, len(said) - 3):], ' | ') AS tail FROM talks")
@@ -480,8 +674,7 @@ def sim_totals(spark, d):
 
 @query("SELECT conv_id, turn, greatest(0, n - lag(n, 1, 0) OVER (PARTITION BY conv_id ORDER BY turn))::INT AS delta FROM (SELECT conv_id, turn, length(text) AS n FROM conversations)")
 def turn_call_delta(spark, d):
-    n = F.length("text")
-    return table(spark, d, "conversations").select("conv_id", "turn", F.greatest(F.lit(0), n - F.lag(n, 1, 0).over(Window.partitionBy("conv_id").orderBy("turn"))).alias("delta"))
+    return sim.call_deltas(table(spark, d, "conversations").select("conv_id", "turn", F.length("text").alias("calls"))).select("conv_id", "turn", "delta")
 
 
 # progress and views -----------------------------------------------------------------
@@ -500,16 +693,70 @@ def progress_by_intent(spark, d):
     return progress(table(spark, d, "events").select(F.col("user_id").alias("group"), (F.col("event_type") == "error").alias("error")))
 
 
-@query("SELECT lower(regexp_replace(lower(p_name), '[^a-z0-9._-]+', '-', 'g')) AS slug, regexp_matches(p_name, '^[a-z0-9][a-z0-9._-]*$') AS is_slug, left(regexp_replace(lower(p_brand), '[^a-z0-9]+', '-', 'g'), 50) AS label, greatest(2, least(p_size, 6)) AS turns, p_partkey FROM part")
+@query(r"""WITH x AS (SELECT *, CASE WHEN p_size % 9 = 0 THEN '##' ELSE '--' || p_brand || '__' || repeat(p_type || '-', p_size % 7) || '.' END AS t FROM part)
+SELECT lower(regexp_replace(lower(p_name), '[^a-z0-9._-]+', '-', 'g')) AS slug, regexp_matches(p_name, '^[a-z0-9][a-z0-9._-]*$') AS is_slug, left(coalesce(nullif(trim(regexp_replace(lower(t), '[^a-z0-9-]', '-', 'g'), '-'), ''), 'agent'), 50) AS label,
+greatest(2, least(p_size, 6)) AS turns, p_partkey, (p_partkey * 125) || '%' AS pct, 'google_genai|m@' || p_size || '|high' AS spec, p_size % 2 = 0 AS side FROM x""")
 def text_functions(spark, d):
     p = table(spark, d, "part")
-    return p.select("p_partkey", tx.slug(F.col("p_name")).alias("slug"), tx.is_slug(F.col("p_name")).alias("is_slug"), tx.dns_label(F.col("p_brand")).alias("label"), tx.clamp(F.col("p_size"), 2, 6).alias("turns"))
+    size = F.col("p_size").cast("string")
+    t = F.when(F.col("p_size") % 9 == 0, "##").otherwise(F.concat(F.lit("--"), "p_brand", F.lit("__"), F.repeat(F.concat("p_type", F.lit("-")), F.col("p_size") % 7), F.lit(".")))
+    spec = tx.model_spec(F.concat(F.lit("gemini:m@"), size, F.lit("@high")))
+    told = F.when(F.col("p_size") % 2 == 0, "Has side effects; use with care").otherwise("Reads only")
+    return p.select(
+        "p_partkey", tx.slug(F.col("p_name")).alias("slug"), tx.is_slug(F.col("p_name")).alias("is_slug"), tx.dns_label(t).alias("label"), tx.clamp(F.col("p_size"), 2, 6).alias("turns"),
+        tx.percent(F.col("p_partkey") * 1.25).alias("pct"), F.concat_ws("|", spec["provider"], spec["model"], spec["effort"]).alias("spec"), tx.has_side_effect(told).alias("side"),
+    )
+
+
+def _skill_files(spark, d):
+    """A skill file a nation."""
+    k = F.col("n_nationkey")
+    parts = ["---\nname: ", F.col("n_name"), "\ndescription: About ", F.col("n_name"), "\nallowed-tools: t1, t", (k % 9).cast("string"), "\n---\n# Head\n\n> Some words\nwrapped here.\n\n##Steps\n- Dont use x.t2-y without\n  asking first.\n- short\n"]
+    return table(spark, d, "nation").select(F.col("n_name").alias("name"), F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts]).alias("text"))
+
+
+@query("SELECT n_name AS name, unnest(['Some words wrapped here.', 'Dont use x.t2-y without asking first.', 'short']) AS line FROM nation")
+def skill_lines(spark, d):
+    return tx.logical_lines(_skill_files(spark, d)).select("name", "line")
+
+
+@query("SELECT n_name AS name, 'Dont use x.t2-y without asking first.' AS line FROM nation")
+def skill_rules(spark, d):
+    return tx.rules(_skill_files(spark, d)).select("name", "line")
+
+
+@query("SELECT n_name AS name, 'About ' || n_name || chr(10) || 'Head: Some words' || chr(10) || 'Steps: Dont use x.t2-y without' || chr(10) || 'rule: Dont use x.t2-y without asking first.' AS summary FROM nation")
+def skill_summary(spark, d):
+    return tx.summaries(_skill_files(spark, d))
+
+
+@query("""SELECT n_name AS name, 't1' AS tool, 'allowed' AS how FROM nation UNION ALL SELECT n_name, 't' || n_nationkey % 9, CASE WHEN n_nationkey % 9 < 5 THEN 'allowed' ELSE 'unknown' END FROM nation WHERE n_nationkey % 9 <> 1
+UNION ALL SELECT n_name, 't2', 'mentioned' FROM nation WHERE n_nationkey % 9 <> 2""")
+def skill_tools(spark, d):
+    tools = table(spark, d, "region").select(F.concat(F.lit("t"), F.col("r_regionkey").cast("string")).alias("tool"))
+    return tx.skill_tools(_skill_files(spark, d), tools)
+
+
+@query("SELECT n_nationkey AS k, 'skill ' || n_name || ' (prompt) → tools ' || CASE n_regionkey WHEN 0 THEN 'a' WHEN 1 THEN 'a, b (not wired on this node)' ELSE 'a, b' END || ' — done' AS line FROM nation")
+def capability_lines(spark, d):
+    wired = F.when(F.col("n_regionkey") == 0, F.array(F.lit("a"))).when(F.col("n_regionkey") == 1, F.array(F.lit("z")))
+    return table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), tx.capability_line(F.col("n_name"), F.array(F.lit("a"), F.lit("b")), F.lit("done"), F.lit("prompt"), wired).alias("line"))
+
+
+@query("""SELECT event_id, CASE event_type WHEN 'view' THEN props WHEN 'click' THEN props WHEN 'error' THEN props END AS object, CASE event_type WHEN 'purchase' THEN '"' || event_id || ' x"' WHEN 'signup' THEN '7' END AS scalar FROM events""")
+def lenient_json(spark, d):
+    t = F.col("event_type")
+    answer = F.when(t == "view", F.col("props")).when(t == "click", F.concat(F.lit("```json"), "props", F.lit("```"))).when(t == "error", F.concat(F.lit("So: "), "props", F.lit(" as told."))).otherwise("[1] none")
+    other = F.when(t == "purchase", F.concat(F.col("event_id").cast("string"), F.lit(" x"))).when(t == "signup", "7")
+    return table(spark, d, "events").select("event_id", tx.lenient_object(answer).alias("object"), tx.json_or_scalar(other, True).alias("scalar"))
 
 
-@query("SELECT o_orderkey AS case_id, count(l_orderkey) AS runs, round(sum(l_quantity), 4) AS quantity FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey = 7 GROUP BY 1")
+@query("SELECT o_orderkey AS case_id, count(l_orderkey) AS runs, count(l_orderkey) FILTER (l_returnflag = 'R') AS failed, count(l_orderkey) AS marks, round(avg((l_linestatus = 'F')::INT), 3) AS mean FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey = 7 GROUP BY 1")
 def case_drilldown(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey = 7")
-    return o.join(table(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"), "left").groupBy(F.col("o_orderkey").alias("case_id")).agg(F.count("l_orderkey").alias("runs"), F.round(F.sum("l_quantity"), 4).alias("quantity"))
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("case_id"), F.when(F.col("l_returnflag") == "R", "returned").alias("error"))
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("case_id"))
+    out = sc.case_drilldown(o, rows, ad.line_scores(spark, d).where("metric = 'settled'"), 7)
+    return out.select("case_id", "runs", "failed", "marks", F.round("mean", 3).alias("mean"))
 
 
 @query(f"WITH {_CALLS} SELECT case_id, sha256(array_to_string(names, ' → ')) AS calls FROM calls")

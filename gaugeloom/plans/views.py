@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import cases as cs, coverage as cov, mocks, scores as sc, simulation as sim, stability as st
+from ..operators import agentmap as am, cases as cs, coverage as cov, mocks, scores as sc, simulation as sim, stability as st
 from ..schemas import SLICE_DIMS
 from ..sources import artifacts as art
 
@@ -29,7 +29,7 @@ class Report:
         return sc.slice_rates(self.scores, self.cases.select("case_id", *SLICE_DIMS), self.slice_min)
 
     def verdict(self) -> DataFrame:
-        return sc.verdict(self.metrics(), sc.weak_slices(self.slices()), self.slice_min, self.overall_pass)
+        return sc.verdict_of(self.scores, self.cases.select("case_id", *SLICE_DIMS), self.thresholds, self.default, self.slice_min, self.overall_pass)
 
     def summary(self) -> DataFrame:
         """One row: the verdict, metrics that pass, approved cases and the share of stable cases."""
@@ -90,16 +90,14 @@ class Report:
         """intent, scenarios, cases: the map's intents with what the dataset holds of each."""
         own = art.one(self.docs, "agent_map")
         i = art.items(own, "$.intents", []).select("ordinal", art.text("item", "$.id").alias("intent"))
-        s = art.items(own, "$.scenarios", []).select(art.text("item", "$.intent").alias("intent")).groupBy("intent").agg(F.count(F.lit(1)).alias("scenarios"))
-        c = self.cases.groupBy("intent").agg(F.count(F.lit(1)).alias("cases"))
-        return i.join(s, "intent", "left").join(c, "intent", "left").select("ordinal", "intent", F.coalesce("scenarios", F.lit(0)).alias("scenarios"), F.coalesce("cases", F.lit(0)).alias("cases"))
+        s = art.items(own, "$.scenarios", []).select(art.text("item", "$.intent").alias("intent"))
+        return cs.intent_counts(i, s, self.cases)
 
     def nodes(self) -> DataFrame:
         """A row a node of the agent's graph: a kind other than graph-node wins, the last of other fields, evidence together."""
         n = art.items(art.one(self.docs, "agent_map"), "$.graph.nodes", [])
         n = n.select("ordinal", art.text("item", "$.id").alias("id"), art.text("item", "$.kind").alias("kind"), art.text("item", "$.prompt").alias("prompt"), art.text("item", "$.evidence", "array<string>").alias("evidence"))
-        own = F.when(F.col("kind") != "graph-node", F.col("ordinal"))
-        return n.groupBy("id").agg(F.coalesce(F.max_by("kind", own), F.max("kind")).alias("kind"), F.max_by("prompt", F.when(F.col("prompt").isNotNull() & (F.col("prompt") != ""), F.col("ordinal"))).alias("prompt"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("evidence")))).alias("evidence"))
+        return am.merged_nodes(n)
 
     def problems(self) -> DataFrame:
         return art.problems(self.docs)

@@ -70,7 +70,12 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     A document says what it is by its schema; its name decides only if it has none.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(folder)
-    named = kind_of_files(raw.select("path", F.decode("content", "UTF-8").alias("text")), spark)
+    return identified(raw.select("path", F.decode("content", "UTF-8").alias("text")))
+
+
+def identified(files: DataFrame) -> DataFrame:
+    """The same of any files (path, text)."""
+    named = kind_of_files(files, files.sparkSession)
     doc = F.try_parse_json("text")
     known = named.withColumn("doc", doc)
     by_schema = kind_of_schema(F.try_variant_get("doc", "$.schema", "string"))
@@ -123,11 +128,16 @@ def cases(docs: DataFrame) -> DataFrame:
     )
 
 
+def run_order(runs: DataFrame) -> DataFrame:
+    """_run, _at, run_ordinal of distinct runs (run_id, timestamp) by time: the window sees two short texts a run, never a document."""
+    short = runs.select(F.col("run_id").alias("_run"), F.col("timestamp").alias("_at")).distinct()
+    return short.withColumn("run_ordinal", F.dense_rank().over(Window.orderBy("_at", "_run")) - 1)
+
+
 def runs(docs: DataFrame) -> DataFrame:
     """Case runs with their hashes; run_ordinal follows the time stamps."""
-    # over the runs of one folder: a few rows
-    order = F.dense_rank().over(Window.orderBy("timestamp", "run_id")) - 1
-    r = one(docs, "run").select("doc", "run_id", text("doc", "$.timestamp").alias("timestamp")).withColumn("run_ordinal", order)
+    r = one(docs, "run").select("doc", "run_id", text("doc", "$.timestamp").alias("timestamp"))
+    r = r.join(run_order(r), r["run_id"].eqNullSafe(F.col("_run")) & r["timestamp"].eqNullSafe(F.col("_at"))).drop("_run", "_at")
     c = items(r, "$.case_runs", ["run_id", "run_ordinal"])
     calls = F.coalesce(F.from_json(json_text("item", "$.tool_calls"), "array<variant>"), F.array().cast("array<variant>"))
     pairs = F.to_json(F.transform(calls, lambda x: F.array(F.to_json(F.try_variant_get(x, "$.name", "variant")), F.coalesce(F.to_json(F.try_variant_get(x, "$.args", "variant")), F.lit("{}")))))
@@ -145,10 +155,12 @@ def ledger(case_runs: DataFrame) -> DataFrame:
     return case_runs.select("run_id", "case_id", F.posexplode(F.from_json("mock_calls", entry)).alias("seq", "e")).select("run_id", "case_id", "seq", "e.*")
 
 
-def scores(docs: DataFrame, run_order: DataFrame | None = None) -> DataFrame:
-    """The long score table of all score reports; run_ordinal by run_order (run_id, run_ordinal) or by run_id."""
+def scores(docs: DataFrame, order: DataFrame | None = None) -> DataFrame:
+    """The long score table of all score reports; run_ordinal by ``order`` (run_id, run_ordinal) or by run_id."""
     rep = one(docs, "score_report").select("doc", "run_id")
-    rep = rep.join(run_order, "run_id", "left") if run_order is not None else rep.withColumn("run_ordinal", F.dense_rank().over(Window.orderBy("run_id")) - 1)
+    if order is None:
+        order = rep.select("run_id").distinct().withColumn("run_ordinal", F.dense_rank().over(Window.orderBy("run_id")) - 1)
+    rep = rep.join(order, "run_id", "left")
     c = items(rep, "$.cases", ["run_id", "run_ordinal"]).withColumn("case_id", text("item", "$.case_id"))
     got = c.select("run_id", "run_ordinal", "case_id", F.explode(F.from_json(json_text("item", "$.scores"), "map<string,struct<score:double,comment:string>>")).alias("metric", "s"))
     good = got.select("run_id", "run_ordinal", "case_id", "metric", F.lit("scored").alias("outcome"), F.col("s.score").alias("score"), F.col("s.comment").alias("comment"))
@@ -179,6 +191,11 @@ def mock_rules(docs: DataFrame) -> DataFrame:
     return d.unionByName(own)
 
 
+def upload(docs: DataFrame) -> DataFrame:
+    """path, kind, run_id, rank, doc, text of uploaded files (path: the name, text) instead of a folder's."""
+    return identified(docs.select("path", "text"))
+
+
 def log_tail(spark: SparkSession, path: str, lines: int = 40) -> DataFrame:
     """line_no, line: the last lines of a log, in order."""
     whole = spark.read.text(path, wholetext=True).select(F.split(F.regexp_replace("value", r"\s+$", ""), r"\r?\n").alias("l"))

@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..operators.cases import not_published, problems, to_publish
 
 
-def stamped(doc: Column, namespace: str, kind: str) -> Column:
-    """A document (struct) with its schema id before its own fields."""
-    return F.struct(F.lit(f"{namespace}/{kind.replace('_', '-')}/v1").alias("schema"), doc.alias("body"))
+def stamped(doc: Column, namespace: str, kind: str, fields: list[str], wrap_key: str | None = None) -> Column:
+    """A document (struct with the named fields) with its schema id before its own fields, or under ``wrap_key`` if the kind has one."""
+    schema = F.lit(f"{namespace}/{kind.replace('_', '-')}/v1").alias("schema")
+    return F.struct(schema, doc.alias(wrap_key)) if wrap_key else F.struct(schema, *[doc[f].alias(f) for f in fields if f != "schema"])
 
 
 def save_json(rows: DataFrame, folder: str, pretty: bool = False) -> None:
@@ -21,10 +22,17 @@ def save_json(rows: DataFrame, folder: str, pretty: bool = False) -> None:
 
 
 def save_valid(cases: DataFrame, folder: str) -> DataFrame:
-    """Writes cases only if none breaks a rule; returns the broken rules."""
-    bad = problems(cases)
-    if not bad.limit(1).count():
-        cases.write.mode("overwrite").parquet(folder)
+    """Writes cases only if none breaks a rule; returns the broken rules.
+
+    The cases are written to a folder beside it first and read from there, so what was
+    checked is what is kept, and they are computed once.
+    """
+    staged = f"{folder.rstrip('/')}.checked"
+    cases.write.mode("overwrite").parquet(staged)
+    own = cases.sparkSession.read.schema(cases.schema).parquet(staged)
+    bad = problems(own)
+    if bad.isEmpty():
+        own.write.mode("overwrite").parquet(folder)
     return bad
 
 

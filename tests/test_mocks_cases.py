@@ -37,7 +37,7 @@ def test_merge_and_fallback(spark):
     merged = sorted((r.case_id, r.tool, r.rule_idx, r.response) for r in mocks.merge_rules(data, own).collect())
     assert merged == [("c", "a", 0, "d"), ("c", "b", 0, "e"), ("z", "a", 0, "d"), ("z", "b", 0, "all")]
     more = sorted((r.case_id, r.rule_idx, r.response) for r in mocks.with_fallback(own, data).collect())
-    assert more == [("c", 0, "e"), ("c", 2, "f"), ("z", 0, "all")]
+    assert more == [("c", 0, "e"), ("c", 1, "f"), ("z", 0, "all")]
 
 
 def test_ledger_counts_twice_where_marked(spark):
@@ -67,7 +67,7 @@ def test_json_valid(spark):
 def test_import_and_dedup(spark):
     doc = {"cases": [], "examples": [{"inputs": {"q": 1}, "outputs": {"r": 2}, "additional_metadata": {"m": 3}}]}
     got = cs.import_rows(spark.createDataFrame([(json.dumps(doc),), (json.dumps([{"inputs": 5}]),)], "doc string")).collect()
-    assert {(r.inputs, r.reference_outputs, r.metadata, r.source) for r in got} == {('{"q":1}', '{"r":2}', '{"m":3}', "import"), ("5", None, "{}", "import")}
+    assert {(r.inputs, r.reference_outputs, r.metadata, r.source) for r in got} == {('{"q":1}', '{"r":2}', '{"m":3,"source":"import","source_path":null}', "import"), ("5", None, '{"source":"import","source_path":null}', "import")}
     have = spark.createDataFrame([("a",)], "case_id string")
     new = spark.createDataFrame([("a", 0), ("b", 1), ("b", 2)], "case_id string, ordinal int")
     add, dup = cs.add_new(have, new)

@@ -137,14 +137,32 @@ def test_repeats_are_removed(spark, seed):
     assert got == Counter((d, *want[2**63 - 1 if d is None else d, (t or "").encode()]) for d, t in rows)
 
 
-def test_many_contexts_of_one_core_are_spread():
-    """A core with many contexts in a slab is dealt by context; the answers stay right."""
-    n = 500
-    core, context = np.full(n, 1 << 40, np.uint64), np.arange(1, n + 1, dtype=np.uint64) << np.uint64(20)
-    b = suffixdedup.messages(core, context, np.arange(n), np.zeros(n, np.int64), np.zeros(n, np.int64), 7, True)
-    kinds = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in b.column("k")])
-    assert (kinds == suffixdedup.SPREAD).sum() == n and (kinds == suffixdedup.WITNESS).sum() == 2
-    assert len(set(b.column("bucket").to_pylist())) > 3
+def test_many_contexts_of_one_core_are_spread(spark):
+    """A core with many contexts in a slab is dealt by context, its own bucket gets a witness; the answers stay right."""
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    core = "".join(rng.choice(string.ascii_lowercase) for _ in range(90))
+    rows = [(i, "".join(rng.choice("uvwxyz") for _ in range(57 + i % 3)) + core + "".join(rng.choice("uvwxyz") for _ in range(60))) for i in range(300)]
+    rows += [(1000 + i, t) for i, (_, t) in enumerate(rows[:150])]
+    slab = next(textbytes.slabs(pa.array([t for _, t in rows])))
+    s = suffixdedup.Sample(slab, 7)
+    assert (s.kind == suffixdedup.SPREAD).sum() > 300 and 0 < len(s.witness) < 30 and s.later.sum() > 100
+    want = plain_removal(rows)
+    got = Counter(map(tuple, suffixdedup.remove_repeats(spark.createDataFrame(rows, SHORT).repartition(6), blocks=2, bucket_entries=500).collect()))
+    assert got == Counter((d, *want[d, t.encode()]) for d, t in rows)
+
+
+def test_long_texts_and_other_ids(spark):
+    """Texts of several slabs' size, ids that are words, and slabs that meet the same strings."""
+    rng = random.Random(10)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(5000))
+    long = "".join(rng.choice("abcdefgh ") for _ in range(150_000))
+    texts = [long + passage, passage + long[:70_000], passage[100:4000], long[1000:1099], long[1000:1100]] + [passage[: 300 + 7 * i] for i in range(40)]
+    rows = [(f"k{i:03d}", t) for i, t in enumerate(texts)]
+    want = {f"k{d:03d}": v for (d, _), v in plain_removal(list(enumerate(texts))).items()}
+    got = {r[0]: tuple(r)[1:] for r in suffixdedup.remove_repeats(spark.createDataFrame(rows, "doc_id string, text string").repartition(4), bucket_entries=3000).collect()}
+    assert got == want
 
 
 def test_repeats_of_nothing(spark):

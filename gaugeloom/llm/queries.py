@@ -102,7 +102,7 @@ placed AS (
   FROM draws JOIN rack USING (doc_id) WHERE level = 'shard' AND right(name, 1)::INT // 2 = k GROUP BY doc_id
 )
 SELECT s.doc_id, s.size, s.text_crc32, 'key' AS law, p.shard,
-  (row_number() OVER (PARTITION BY p.shard ORDER BY left(md5(coalesce(s.doc_id::VARCHAR, 'null') || '/slot'), 3), s.doc_id, s.text_crc32, s.size) - 1)::BIGINT AS slot,
+  (row_number() OVER (PARTITION BY p.shard ORDER BY left(md5(coalesce(s.doc_id::VARCHAR, 'null') || '/' || s.text_crc32 || '/slot'), 3), s.doc_id, s.text_crc32, s.size) - 1)::BIGINT AS slot,
   CASE WHEN p.grown THEN 8 ELSE p.shard END AS grown_shard
 FROM sums s JOIN placed p ON s.doc_id IS NOT DISTINCT FROM p.doc_id
 """

@@ -23,15 +23,22 @@ class Leaf:
     weight: float = 1.0
 
 
-def tree(n_shards: int) -> list[Leaf]:
-    """n equal shards: two racks of two shards in each region while these fill up, then the rest one a region."""
-    whole = n_shards - n_shards % 4
-    leaves = [Leaf(f"g{i // 4}", f"k{i // 2}", i) for i in range(whole)]
-    return leaves + [Leaf(f"g+{i}", f"k+{i}", i) for i in range(whole, n_shards)]
+def tree(n_shards: int, base: int = 8) -> list[Leaf]:
+    """n equal shards: the first ``base`` in racks of two and regions of two racks, each further one as ``grow`` adds it.
+
+    So tree(n + 1, base) is tree(n, base) with one more shard. ``base`` is the number a
+    cluster started with; to start with fewer than eight shards, give it.
+    """
+    if n_shards < base or base < 1:
+        raise ValueError(f"{n_shards} shards are fewer than the {base} that the tree starts with")
+    leaves = [Leaf(f"g{i // 4}", f"k{i // 2}", i) for i in range(base)]
+    for _ in range(n_shards - base):
+        leaves = grow(leaves)
+    return leaves
 
 
 def grow(leaves: list[Leaf], weight: float = 1.0) -> list[Leaf]:
-    """One more shard, in a region of its own."""
+    """One more shard, in a region of its own: no older draw changes, so rows move only into it."""
     i = max(x.shard for x in leaves) + 1
     return [*leaves, Leaf(f"g+{i}", f"k+{i}", i, weight)]
 
@@ -93,23 +100,27 @@ def with_slots(rows: DataFrame, shard: str, block: str, order: list[Column], slo
     return joined.withColumn(slot, (F.col("_before") + F.col("_k")).cast("long")).drop("_s", "_b", "_before", "_k")
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 8) -> DataFrame:
+def shard_documents(docs: DataFrame, n_shards: int = 8, base: int = 8) -> DataFrame:
     """All rows of ``docs`` (doc_id, text, ...) with shard, slot and the shard after growth by one.
 
     Null texts have size 1 and the checksum of the empty text; a null doc_id is a key of
-    its own. Repeated rows share a shard and get a slot each. Slots follow 4096 blocks of
-    the key's hash and in each doc_id, checksum and size. Other columns are not read.
+    its own. Repeated rows share a shard and get a slot each. Texts of any length are read
+    for their size and checksum alone. Slots follow 4096 blocks of a hash of doc_id and
+    checksum and in each doc_id, checksum and size. An empty table gives no rows. Other
+    columns are not read.
     """
-    leaves = tree(n_shards)
+    leaves = tree(n_shards, base)
     text = F.coalesce(F.col("text"), F.lit(""))
+    crc = F.crc32(text.cast("binary")).cast("long")
     rows = docs.select(
         "doc_id",
         (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
+        crc.alias("text_crc32"),
         F.lit("key").alias("law"),
         place(F.col("doc_id"), leaves).alias("shard"),
         place(F.col("doc_id"), grow(leaves)).alias("grown_shard"),
-        F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("/slot"))), 1, 3).alias("_block"),
     )
+    key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("/"), F.col("text_crc32").cast("string"), F.lit("/slot"))
+    rows = rows.withColumn("_block", F.substring(F.md5(key), 1, 3))
     out = with_slots(rows, "shard", "_block", [F.col("doc_id"), F.col("text_crc32"), F.col("size")])
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from . import hashedterms as ht, textbytes as tb
 
 BITS = 22
+#: Length of the factors.
+RANK = 4
 
 
 @dataclass
@@ -72,14 +74,14 @@ def paired_terms(row: np.ndarray, term: np.ndarray, label: np.ndarray, least: in
     """Terms of pairs that go with label 0 or 1 further than either member's own share or that of all rows.
 
     Tried are the pairs of the PAIRED terms that most rows with label 1 have, but for
-    those in half of all rows; the same bound holds as for single terms, with the number
+    those in three quarters of all rows; the same bound holds as for single terms, with the number
     of pairs tried. Two terms that tell nothing alone so become active if they tell
     something together or apart.
     """
     both = np.unique(row.astype(np.int64) << BITS | term)
     row, term = both >> BITS, both & ((1 << BITS) - 1)
     having, toxic = np.bincount(term, minlength=1 << BITS), np.bincount(term, label[row], 1 << BITS)
-    tried = np.flatnonzero((toxic >= least) & (having * 2 <= len(label)))
+    tried = np.flatnonzero((toxic >= least) & (having * 4 <= 3 * len(label)))
     tried = np.sort(tried[np.lexsort((tried, -toxic[tried]))[:PAIRED]])
     if len(tried) < 2:
         return np.zeros(0, np.int64)
@@ -103,7 +105,7 @@ def paired_terms(row: np.ndarray, term: np.ndarray, label: np.ndarray, least: in
     return tried[found.any(1)]
 
 
-def fit_factors(row: np.ndarray, term: np.ndarray, label: np.ndarray, rank: int = 4, steps: int = 200, rate: float = 0.03, l2: float = 1e-4, least: int = 4, seed: int = 5) -> FactorModel:
+def fit_factors(row: np.ndarray, term: np.ndarray, label: np.ndarray, rank: int = RANK, steps: int = 200, rate: float = 0.03, l2: float = 1e-4, least: int = 4, seed: int = 5) -> FactorModel:
     """Adam on the whole sample with logistic loss. Without rows of both labels the score is flat."""
     if not len(label) or label.min() == label.max():
         share = (label.sum() + 0.5) / (len(label) + 1.0)
@@ -150,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 10000, seed: int = 13)
     got = ht.trained(docs, rated, BITS, most, seed, fit)
     if not got:
         return fit_factors(*[np.zeros(0, np.int64)] * 3)
-    return FactorModel(got["terms"].astype(np.int64), float(got["bias"][0]), got["weights"], got["factors"].reshape(len(got["terms"]), -1))
+    return FactorModel(got["terms"].astype(np.int64), float(got["bias"][0]), got["weights"], got["factors"].reshape(len(got["terms"]), RANK))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most: int = 10000) -> DataFrame:

@@ -3,8 +3,8 @@
 Writing: every page is a response record, or a revisit if another page has the same
 payload. A response carries an HTTP message whose body is chunked; a block longer than
 ``segment`` bytes is split into a first record and continuation records that name it as
-their origin. Each record is a gzip member of its own; the members of a partition make a
-.warc.gz file.
+their origin. Each record is a gzip member of its own; members of about ``file_bytes`` make a
+.warc.gz file, so no reader holds more than that and a record.
 
 Reading: members are parsed one by one, continuations are grouped by origin and put in
 order of segment number, the total length is verified and the chunks are decoded.
@@ -21,19 +21,22 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .shared import shared_folder
+
 SEGMENT = 1 << 20
 CHUNK = 1 << 16
 END = b"\r\n"
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, which the whole cluster sees; in tests without it, under /tmp."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/gaugeloom"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def page_urn(page: object) -> str:
+    """An id of any text, escaped; a null id has a name of its own."""
+    return "urn:nopage:" if page is None else f"urn:page:{quote(str(page), safe='')}"
 
 
 def http_message(payload: bytes) -> bytes:
@@ -73,13 +76,13 @@ def member(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def page_records(page: str, url: str | None, payload: bytes, digest: str, refers: str | None, segment: int) -> Iterator[tuple[int, bytes]]:
+def page_records(page: object, url: str | None, payload: bytes, digest: str, refers: object, segment: int) -> Iterator[tuple[int, bytes]]:
     """(segment number, record) of a page."""
-    rid = f"<urn:page:{page}#{uuid.uuid4().hex}>"  # rows that repeat a page_id are records of their own
+    rid = f"<{page_urn(page)}#{uuid.uuid4().hex}>"  # rows that repeat a page_id are records of their own
     common = [("WARC-Target-URI", "".join((url or "about:blank").split())), ("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Payload-Digest", f"sha256:{digest}")]
     if refers is not None:
         profile = ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-        yield 1, record("revisit", [("WARC-Record-ID", rid), *common, profile, ("WARC-Refers-To", f"<urn:page:{refers}>"), ("Content-Type", "application/http;msgtype=response")], b"HTTP/1.1 200 OK\r\n\r\n")
+        yield 1, record("revisit", [("WARC-Record-ID", rid), *common, profile, ("WARC-Refers-To", f"<{page_urn(refers)}>"), ("Content-Type", "application/http;msgtype=response")], b"HTTP/1.1 200 OK\r\n\r\n")
         return
     block = http_message(payload)
     pieces = [block[i : i + segment] for i in range(0, len(block), segment)]
@@ -91,7 +94,7 @@ def page_records(page: str, url: str | None, payload: bytes, digest: str, refers
 
 
 def with_referrals(pages: DataFrame, least: int) -> DataFrame:
-    """Adds digest and refers_to. Only ids, digests and lengths are shuffled; groups are reduced to their smallest page_id before the join."""
+    """Adds digest and refers_to. Groups of equal payloads are reduced to their smallest page_id by ids and digests alone; the join with these moves each payload once."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     p = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     firsts = p.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first"))
@@ -101,22 +104,29 @@ def with_referrals(pages: DataFrame, least: int) -> DataFrame:
     return joined.select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
 
 
-def write_archives(pages: DataFrame, folder: str, least: int = 100, segment: int = SEGMENT, file_records: int = 4096) -> None:
-    """Writes part files of gzip members, at most ``file_records`` records each."""
+def write_archives(pages: DataFrame, folder: str, least: int = 100, segment: int = SEGMENT, file_bytes: int = 64 << 20) -> None:
+    """Writes part files of gzip members, each closed by the record that fills ``file_bytes``."""
     if segment > 8 << 20:
         raise ValueError("a record must stay under 16 MiB")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, block, size = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
             rows = zip(*[batch.column(c) for c in ("page_id", "url", "payload", "digest", "refers_to")], strict=True)
             for page, url, payload, digest, refers in rows:
-                got = page_records(str(page.as_py()), url.as_py(), payload.as_py(), digest.as_py(), None if refers.as_py() is None else str(refers.as_py()), segment)
                 # one page at a time: a batch of large pages never lies twice in memory
-                yield pa.RecordBatch.from_arrays([pa.array([member(data)[:-1] for _, data in got], pa.binary())], ["value"])
-
-    records = with_referrals(pages, least).mapInArrow(run, "value binary")
+                values, names = [], []
+                for _, data in page_records(page.as_py(), url.as_py(), payload.as_py(), digest.as_py(), refers.as_py(), segment):
+                    values.append(member(data)[:-1])
+                    names.append(f"{part:06d}-{block:06d}")
+                    size += len(values[-1])
+                    if size >= file_bytes:
+                        block, size = block + 1, 0
+                yield pa.RecordBatch.from_arrays([pa.array(values, pa.binary()), pa.array(names, pa.string())], ["value", "block"])
+
+    records = with_referrals(pages, least).mapInArrow(run, "value binary, block string")
     # binary as string: Spark keeps the bytes as they are
-    records.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\u0000").option("maxRecordsPerFile", file_records).text(folder)
+    records.select(F.col("value").cast("string").alias("value"), "block").write.partitionBy("block").option("lineSep", "\u0000").text(folder)
 
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
@@ -168,7 +178,7 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
         names = ["id", "origin", "segment", "total", "type", "digest", "refers_to", "block"]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(folder).select("content")
     return files.mapInArrow(run, "id string, origin string, segment int, total long, type string, digest string, refers_to string, block binary")
 
 
@@ -210,7 +220,7 @@ def read_pages(spark: SparkSession, folder: str, page_type: str = "long") -> Dat
     A revisit has no payload of its own; its length is that of the response it names.
     """
     got = reassemble(read_records(spark, folder))
-    page = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^<urn:page:([^#>]*)', 1) as {page_type})")
+    page = lambda c: F.when(F.col(c).startswith("<urn:page:"), F.expr(f"try_cast(url_decode(regexp_extract({c}, '^<urn:page:([^#>]*)', 1)) as {page_type})"))
     rows = got.select(page("id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), page("refers_to").alias("refers_to"))
     sizes = rows.where("record_type = 'response'").groupBy("payload_digest").agg(F.max("payload_bytes").alias("_n"))
     return rows.join(sizes, "payload_digest", "left").select("page_id", F.coalesce("payload_bytes", "_n").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
@@ -221,9 +231,10 @@ def round_trip(pages: DataFrame, least: int = 100, segment: int = SEGMENT) -> Da
 
     A null html is an empty payload, a null url is about:blank. Payloads under ``least``
     bytes are all responses. Of equal payloads the smallest page_id is the response; a
-    null page_id is never smallest unless all are null, and is read back as null. Rows
-    that repeat a page_id whole are each a record. Other columns are not read. An empty
-    table gives empty archives.
+    null page_id is never smallest and is read back as null, any other id as it was. Rows
+    that repeat a page_id whole are each a record. A page of any length is one segment
+    after another; its task holds it whole, some three times. Other columns are not read.
+    An empty table gives empty archives.
     """
     spark = pages.sparkSession
     folder = shared_folder(spark, "warc")

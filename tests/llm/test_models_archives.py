@@ -139,7 +139,7 @@ def test_segments_are_real_records_and_checked(spark, tmp_path):
     warc.write_archives(df, str(tmp_path / "w"), segment=1000)
     import gzip
 
-    raw = b"".join(gzip.decompress(p.read_bytes() + b"") for p in sorted((tmp_path / "w").glob("part-*")))
+    raw = b"".join(gzip.decompress(p.read_bytes() + b"") for p in sorted((tmp_path / "w").glob("block=*/part-*")))
     assert raw.count(b"WARC-Type: continuation") == 5 and raw.count(b"WARC-Segment-Total-Length") == 1
     records = warc.read_records(spark, str(tmp_path / "w"))
     assert warc.reassemble(records).first().payload_bytes == 5000
@@ -147,14 +147,178 @@ def test_segments_are_real_records_and_checked(spark, tmp_path):
         warc.reassemble(records.where("segment != 3")).collect()
 
 
-def test_pipeline_stages(spark):
+def test_ordinal_probabilities_equal_the_plain_ones():
+    """Each grade's chance from counts, logarithms and thresholds, one document at a time."""
+    import math
+
+    import pyarrow as pa
+
+    from gaugeloom.llm import hashedterms as ht, textbytes as tb
+
+    rng = np.random.default_rng(3)
+    model = quality.OrdinalModel(rng.normal(0, 1, 1 << quality.BITS), np.array([-0.4, 0.9]), 8.0)
+    texts = ["one two two THREE", "", "!!! one", "two " * 50 + "words longer than five"]
+    for slab in tb.slabs(pa.array(texts)):
+        row, term = ht.slab_terms(slab, quality.BITS)
+        got = model.latent(slab)
+        for i in range(len(texts)):
+            counts = Counter(term[row == i].tolist())
+            x = {t: math.log1p(n) for t, n in counts.items()}
+            norm = math.sqrt(sum(v * v for v in x.values())) or 1.0
+            want = sum(model.weights[t] * 8.0 * v / norm for t, v in x.items())
+            assert abs(got[i] - want) < 1e-9
+            tail = [1 / (1 + math.exp(t - want)) for t in model.thresholds]
+            assert tail[0] > tail[1] and abs(ht.sigmoid(got[i : i + 1] - model.thresholds[0])[0] - tail[0]) < 1e-9
+
+
+def test_factor_sum_equals_all_pairs():
+    rng = np.random.default_rng(4)
+    model = toxicity.FactorModel(np.arange(0, 60, 2), -0.3, rng.normal(0, 1, 30), rng.normal(0, 1, (30, 4)))
+    rows = [np.unique(rng.integers(0, 60, 12)) for _ in range(8)]
+    row, at = model.find(np.repeat(np.arange(8), [len(r) for r in rows]), np.concatenate(rows))
+    got = model.score(row, at, 9)
+    for i in range(9):
+        own = at[row == i]
+        total = model.bias + model.weights[own].sum() + sum(model.factors[a] @ model.factors[b] for n, a in enumerate(own) for b in own[:n])
+        assert abs(got[i] - 1 / (1 + np.exp(-total))) < 1e-9
+
+
+def test_a_pure_pair_is_learned_and_an_additive_model_fails(spark):
+    """Toxic if both words or neither are there: each word alone tells nothing."""
+    rng = random.Random(15)
+    words = [f"w{i}" for i in range(300)]
+    docs, labels = [], []
+    for i in range(1600):
+        both = (rng.random() < 0.5, rng.random() < 0.5)
+        extra = [w for w, on in zip(("scum", "folk"), both, strict=True) if on]
+        docs.append((i, " ".join([*rng.sample(words, 20), *extra])))
+        labels.append((i, 1, int(both[0] == both[1])))
+    d, lab = spark.createDataFrame(docs, SHORT), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    truth = {i: t for i, _, t in labels}
+    held = [r for r in toxicity.score_toxicity(d, lab, threshold=0.5).collect() if r.held_out]
+    assert np.mean([r.predicted == truth[r.doc_id] for r in held]) > 0.95
+    x = np.array([[1.0, "scum" in t.split(), "folk" in t.split()] for _, t in docs])
+    y = np.array([truth[i] for i, _ in docs])
+    w = np.linalg.lstsq(x, y, rcond=None)[0]
+    assert abs(np.mean((x @ w > 0.5) == y) - 0.5) < 0.15
+
+
+def test_neighbours_of_large_equal_vectors(spark):
+    """Scores of 10**12: equal vectors come by vec_id, in a short list too."""
+    rows = [(i, [1e6, 1e6 + (i % 3)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ivfpq.search(df, k=5, cells=2, short=8).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    for q, found in got.items():
+        want = [i for i in range(2, 400, 3) if i != q][:5]
+        assert [v for _, v in sorted(found)] == want
+    exact = ivfpq.search(df, k=5, probes=1.0, short=None).collect()
+    assert all(r.vec_id % 3 == 2 for r in exact) and len(exact) == 100
+
+
+def test_archives_keep_any_id_and_roll_by_bytes(spark, tmp_path):
+    ids = [None, "a#b", "a b", "é>", "", "None", "%41+"]
+    rows = [(p, "q" * 150 + str(i % 3), "u") for i, p in enumerate(ids)]
+    df = spark.createDataFrame(rows, "page_id string, html string, url string")
+    got = warc.round_trip(df).collect()
+    assert Counter(r.page_id for r in got) == Counter(ids)
+    first = {i: min((p for p, h, _ in rows if h.endswith(str(i)) and p is not None)) for i in range(3)}
+    for r in got:
+        own = next(first[int(h[-1])] for p, h, _ in rows if p == r.page_id)
+        assert r.refers_to == (None if r.page_id in (own, None) and r.page_id == own else own)
+    many = spark.range(60).select(F.col("id").alias("page_id"), F.repeat(F.sha2(F.col("id").cast("string"), 512), 40).alias("html"), F.lit("u").alias("url")).coalesce(1)
+    warc.write_archives(many, str(tmp_path / "w"), file_bytes=2000)
+    files = list((tmp_path / "w").glob("block=*/part-*"))
+    assert len(files) > 5 and max(f.stat().st_size for f in files) < 8000
+    assert warc.read_pages(spark, str(tmp_path / "w")).count() == 60
+
+
+def odd_documents(spark):
+    """Documents of the table with nulls in every column, empty and very long texts, repeated rows and clashing names."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(220)
+    odd = spark.createDataFrame([(None, None, None, None, None), (900001, "", "en", "web", 0), (900002, None, "en", None, 0), (900003, "long " * 60_000, "en", "web", 300_000), (None, "some words of no id", None, "web", 19), (900004, "  \t ", "en", "web", 4)], docs.schema)
+    every = docs.unionByName(odd).unionByName(docs.limit(5)).unionByName(odd)
+    for name in ("row", "d", "t", "s", "n", "doc", "digest", "size", "copies", "_p_usable", "_text", "label", "a.b"):
+        every = every.withColumn(name, F.lit(f"clash {name}"))
+    path = warc.shared_folder(spark, "odd")
+    every.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_pipeline_stages_equal_plain_ones(spark):
+    """Each stage on its own input, against select, brute force or arithmetic on the rows."""
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontamination", "mixing", "sharding"]
-    extra = docs.withColumn("size", F.lit("clash")).limit(150)
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, extra, SF)
-        assert out.columns == extra.columns, name
+    from gaugeloom.llm import neardup, sharding
+    from test_native import descend, plain_mix
+    from test_text_ops import plain_hits, shingle_weights, similarity
+
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["quality", "near_duplicates", "decontamination", "mixing", "sharding"]
+    docs = odd_documents(spark)
+    rows = lambda df: Counter((r.doc_id, r.text, r.source) for r in df.select("doc_id", "text", "source").collect())
+    before = rows(docs)
+
+    kept = stages["quality"](spark, docs, SF)
+    assert kept.columns == docs.columns and kept.first()["a.b"] == "clash a.b"
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.train(docs, labels)
+    import pyarrow as pa
+
+    from gaugeloom.llm import hashedterms as ht, textbytes as tb
+
+    texts = list(before)
+    usable = {k: float(ht.sigmoid(model.latent(next(tb.slabs(pa.array([k[1] or ""]))))[0] - model.thresholds[0])) >= 0.3 for k in texts}
+    assert rows(kept) == Counter({k: n for k, n in before.items() if usable[k]})
+
+    once = stages["near_duplicates"](spark, docs, SF)
+    assert once.columns == docs.columns
+    words = Counter(t for _, t, _ in before.elements() if t)
+    df = Counter()
+    for t, n in words.items():
+        df.update({g: n for g in shingle_weights(t, Counter(), 2)})
+    weights = {t: shingle_weights(t, df, sum(before.values())) for t in words}
+    real = [t for t in words if weights[t]]
+    label = {t: t for t in real}
+    for i, a in enumerate(real):
+        for b in real[:i]:
+            if label[a] != label[b] and weights[a].keys() & weights[b].keys() and similarity(weights[a], weights[b]) >= 0.8:
+                old, new = label[a], label[b]
+                label = {k: new if v == old else v for k, v in label.items()}
+    best = {}
+    for d, t, _ in before:
+        if t in label:
+            best[label[t]] = min(best.get(label[t], (True, 0)), (d is None, d or 0))
+    want = {(d, t) for d, t, _ in before if t not in label or best[label[t]] == (d is None, d or 0)}
+    assert set((d, t) for d, t, _ in rows(once)) == want and sum(rows(once).values()) == len(want)
+
+    clean = stages["decontamination"](spark, docs, SF)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    hit = {k: bool(plain_hits([(0, k[1])], items).most_common()[0][0][-1]) for k in before}
+    assert rows(clean) == Counter({k: n for k, n in before.items() if not hit[k]}) and clean.columns == docs.columns
+
+    mixed = rows(stages["mixing"](spark, docs, SF))
+    taken = Counter()
+    for (d, n, _, _, k), c in plain_mix([(d, t, s) for d, t, s in before.elements()]).items():
+        taken[d, n] += k * c
+    import re
+
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    for k, n in before.items():
+        same = sum(m for o, m in before.items() if (o[0], o[2], size(o[1])) == (k[0], k[2], size(k[1])))
+        if size(k[1]) == 0:
+            assert mixed[k] == n
+        elif sum(1 for o in before if (o[0], size(o[1])) == (k[0], size(k[1]))) == 1:
+            assert mixed[k] == n * int(taken[k[0], size(k[1])] / same / size(k[1]) + 0.5)
+
+    placed = stages["sharding"](spark, docs, SF).collect()
+    assert len(placed) == sum(before.values()) and all(r["shard"] == descend(r.doc_id, sharding.tree(8)) for r in placed)
+    for name, stage in stages.items():
         assert stage(spark, docs.limit(0), SF).count() == 0, name
+    assert neardup.keep_one(docs.limit(1)).count() == 1
+
+
+def test_pipeline_runs(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
     ran = corpus_pipeline.run(spark, SF)
     assert ran.count() > 300 and {r["shard"] for r in ran.select("shard").distinct().collect()} == set(range(8))

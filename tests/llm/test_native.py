@@ -72,6 +72,18 @@ def test_weights_set_the_shares_and_confine_movement(spark):
         sharding.place(F.lit(1), [sharding.Leaf("g", "k", 0, 0.0)])
 
 
+@pytest.mark.parametrize("base", [1, 3, 8])
+def test_one_more_shard_takes_rows_only_into_itself(spark, base):
+    keys = spark.range(3000)
+    for n in range(base, 21, 4):
+        before, after, grown = sharding.tree(n, base), sharding.tree(n + 1, base), sharding.grow(sharding.tree(n, base))
+        assert after == grown
+        got = keys.select(sharding.place(F.col("id"), before).alias("a"), sharding.place(F.col("id"), after).alias("b")).collect()
+        assert all(r.a == r.b or r.b == n for r in got) and any(r.b == n for r in got)
+    with pytest.raises(ValueError):
+        sharding.tree(base - 1, base)
+
+
 def plain_mix(rows, seed=7):
     sized = [(d, s, len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))) for d, t, s, *_ in rows]
     sources = sorted({s for _, s, _ in sized}, key=lambda s: (s is None, s or ""))

@@ -75,6 +75,18 @@ def test_decontamination(spark):
     assert not any(r.contaminated for r in winnowing.decontaminate(df, spark.createDataFrame([], "item_id long, text string")).collect())
 
 
+def test_long_and_repetitive_items(spark):
+    """An item of a book's length is shuffled by its surroundings alone; repetitions meet once."""
+    rng = random.Random(21)
+    book = text_of(rng, 16_000).split(" ")
+    items = [("book", " ".join(book)), ("same", "one " * 3000)]
+    docs = [(1, " ".join(book[5000:5040])), (2, "one " * 5000), (3, text_of(rng, 30_000)), (4, " ".join([*book[200:209], "stop"])), (5, " ".join(book))]
+    prints = winnowing.item_fingerprints(spark.createDataFrame(items, "item_id string, text string"))
+    assert prints.select(F.max(F.size("item_words"))).first()[0] <= 3 * winnowing.SPAN and prints.where("item_id = 'same'").count() < 100
+    got = {r.doc_id: (r.n_hit, r.n_items) for r in winnowing.decontaminate(spark.createDataFrame(docs, SHORT), spark.createDataFrame(items, "item_id string, text string")).collect()}
+    assert got == {1: (40, 1), 2: (5000, 1), 3: (0, 0), 4: (0, 0), 5: (16_000, 1)}
+
+
 def test_token_counts_equal_the_library(spark):
     tokenizers = pytest.importorskip("tokenizers")
     lib = tokenizers.Tokenizer.from_file(tokens.tokenizer_path("byte_bpe_50k.json"))

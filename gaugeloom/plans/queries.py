@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 from ..functions import jsonschema as js, text as tx
 from ..functions.jsonvalues import case_identity, json_valid
-from ..operators import agentmap as am, cases as cs, coverage as cov, evaluators as ev, mocks, scores as sc, simulation as sim, stability as st
+from ..operators import agentmap as am, authoring as au, cases as cs, coverage as cov, evaluators as ev, mocks, scores as sc, simulation as sim, stability as st
 from ..streaming.progress import progress, with_totals
 from . import adapters as ad, folder_queries  # noqa: F401  (enters its queries)
 from .adapters import GRADES_SQL, LEDGER_SQL, LINES_SQL, PARTS_SQL, RULES_SQL, TALKS_SQL, table
@@ -643,6 +643,53 @@ def dead_evaluators(spark, d):
     return sc.dead_evaluators(sc.run_stats(ad.document_scores(spark, d).where("outcome <> 'scored'")))
 
 
+def _authored(spark, d):
+    """Tools: the regions, with an output schema; entries: the nations, a strategy a third of them."""
+    tools = table(spark, d, "region").select(F.concat(F.lit("t"), F.col("r_regionkey").cast("string")).alias("tool"), F.lit('{"properties": {"q": {"type": "string"}}}').alias("args_schema"), F.lit('{"type": "object", "required": ["n"], "properties": {"n": {"type": "integer", "minimum": 3}}}').alias("output_schema"))
+    k = F.col("n_nationkey")
+    example = F.when(k % 3 == 0, '{"args": {"q": 5}, "response": {"n": 4}}').when(k % 3 == 1, '{"args": [], "response": 1}').otherwise('{"args": {"z": 5}, "response": {"n": 1}}')
+    entries = table(spark, d, "nation").select(F.concat(F.lit("s"), (k % 4).cast("string")).alias("strategy"), F.concat(F.lit("t"), (k % 6).cast("string")).alias("tool"), F.when(k % 7 > 0, F.col("n_name")).otherwise(" ").alias("behavior"), F.when(k % 2 == 0, '{"n": "x"}').alias("fallback_response"), F.array(example).alias("examples"), k.alias("k"))
+    return tools, entries
+
+
+@query("""WITH e AS (SELECT n_nationkey AS k, 's' || n_nationkey % 4 AS strategy, 't' || n_nationkey % 6 AS tool, n_nationkey % 6 < 5 AS known, n_nationkey % 7 > 0 AS told FROM nation)
+SELECT strategy, tool, 'unknown tool' AS problem FROM e WHERE NOT known UNION ALL SELECT strategy, tool, 'needs a behavior text' FROM e WHERE known AND NOT told
+UNION ALL SELECT strategy, tool, 'fallback_response $.n: expected integer, got str' FROM e WHERE known AND told AND k % 2 = 0 UNION ALL SELECT strategy, tool, 'example 0 args $.q: expected string, got int' FROM e WHERE known AND told AND k % 3 = 0
+UNION ALL SELECT strategy, tool, 'example 0 needs args (object) and response' FROM e WHERE known AND told AND k % 3 = 1 UNION ALL SELECT strategy, tool, 'example 0 response $.n: below minimum 3' FROM e WHERE known AND told AND k % 3 = 2
+UNION ALL SELECT NULL, NULL, 'a default strategy is required'""")
+def strategy_problems(spark, d):
+    tools, entries = _authored(spark, d)
+    return au.strategy_problems(entries, tools)
+
+
+@query("""SELECT 's' || n_nationkey % 4 AS strategy, 't' || n_nationkey % 6 AS tool, n_name AS behavior, CASE WHEN n_nationkey % 2 = 0 THEN '{"n": 3}' END AS fallback_response FROM nation WHERE n_nationkey % 6 < 5 AND n_nationkey % 7 > 0
+UNION ALL SELECT 'default', 't' || r_regionkey, 'generic', NULL FROM region""")
+def completed_strategies(spark, d):
+    tools, entries = _authored(spark, d)
+    return au.completed_strategies(entries, tools)
+
+
+@query("""WITH r AS (SELECT 't' || n_nationkey % 6 AS tool, (row_number() OVER (PARTITION BY n_nationkey % 6 ORDER BY n_nationkey) - 1)::INT AS rule_idx, n_nationkey AS k FROM nation WHERE n_nationkey % 6 <> 4),
+last AS (SELECT tool, max(rule_idx) AS n, arg_max(k, rule_idx) AS k FROM r GROUP BY tool)
+SELECT tool, rule_idx, CASE WHEN k % 5 = 0 THEN '{ }' ELSE '{"k": 1}' END AS match_args, CASE WHEN k % 2 = 0 THEN '{"n": 3}' ELSE '{"n": 7}' END AS response, k % 2 = 0 AS repaired FROM r WHERE tool <> 't5'
+UNION ALL SELECT 't' || r_regionkey, coalesce(n + 1, 0)::INT, '{}', '{"n": 3}', false FROM region LEFT JOIN last ON tool = 't' || r_regionkey WHERE n IS NULL OR k % 5 > 0""")
+def authored_rules(spark, d):
+    tools, entries = _authored(spark, d)
+    own = Window.partitionBy("tool").orderBy("k")
+    rules = entries.where("tool <> 't4'").withColumn("rule_idx", (F.row_number().over(own) - 1).cast("int"))
+    rules = rules.select("tool", "rule_idx", F.when(F.col("k") % 5 == 0, "{ }").otherwise('{"k": 1}').alias("match_args"), F.when(F.col("k") % 2 == 0, '{"n": "x"}').otherwise('{"n": 7}').alias("response"))
+    return au.authored_rules(rules, tools)
+
+
+@query("""SELECT p_partkey AS ordinal, 'cell is out of range' AS problem FROM part WHERE p_size - 5 NOT BETWEEN 0 AND 39 UNION ALL SELECT p_partkey, 'message is empty' FROM part WHERE p_size % 4 = 0
+UNION ALL SELECT p_partkey, 'unknown variant ' || p_type FROM part WHERE p_type NOT IN ('SMALL', 'ECONOMY') UNION ALL SELECT p_partkey, 'unknown tool t' || p_size % 8 FROM part WHERE p_size % 8 > 4""")
+def authored_case_problems(spark, d):
+    tools, _ = _authored(spark, d)
+    tool = F.concat(F.lit("t"), (F.col("p_size") % 8).cast("string"))
+    cases = table(spark, d, "part").select(F.col("p_partkey").alias("ordinal"), (F.col("p_size") - 5).alias("cell"), F.when(F.col("p_size") % 4 > 0, F.col("p_name")).otherwise("  ").alias("message"), F.array(tool, tool).alias("expected"), F.col("p_type").alias("variant"))
+    return au.case_problems(cases, 40, tools, ["SMALL", "ECONOMY"])
+
+
 # simulation -------------------------------------------------------------------------
 
 

@@ -2,30 +2,14 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
+from ..sources.folders import shared_folder  # noqa: F401  (for the operators)
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir.
-
-    Where that is unset, a session of one machine gets a folder of its own; a cluster
-    must name one, as its executors see nothing else in common.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
-        root = tempfile.mkdtemp(prefix="gaugeloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @contextmanager

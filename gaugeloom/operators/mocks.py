@@ -80,13 +80,13 @@ def with_fallback(case_rules: DataFrame, dataset_rules: DataFrame) -> DataFrame:
     return case_rules.where(real).select(*columns).unionByName(ranked.select(*columns))
 
 
-def unanswered(calls: DataFrame, rules: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def unanswered(calls: DataFrame, rules: DataFrame, keys: list[str] | None = None, nested: bool = True) -> DataFrame:
     """Calls whose tool has a rule list but no rule that matches. Tools without a list are left alone.
 
-    An empty list is a row of ``rules`` with a null rule_idx.
+    An empty list is a row of ``rules`` with a null rule_idx. ``nested`` as in first_match.
     """
     mocked = rules.select("tool", *(keys or [])).distinct()
-    hit = first_match(calls, rules.where("rule_idx is not null"), keys)
+    hit = first_match(calls, rules.where("rule_idx is not null"), keys, nested)
     return hit.where("rule_idx is null").join(mocked, ["tool", *(keys or [])], "left_semi").drop("rule_idx", "response")
 
 

@@ -181,12 +181,12 @@ def rule_match_nested(spark, d):
 
 @query(_MATCH + "SELECT event_id AS call_id, event_type AS tool, props AS args FROM events WHERE event_type IN (SELECT tool FROM rules UNION SELECT 'error') AND event_id NOT IN (SELECT call_id FROM hit)")
 def rule_misses_anti(spark, d):
-    return mocks.unanswered(ad.event_calls(spark, d), ad.rule_table(spark)).select("call_id", "tool", "args")
+    return mocks.unanswered(ad.event_calls(spark, d), ad.rule_table(spark), nested=False).select("call_id", "tool", "args")
 
 
 @query(_MATCH + ", miss AS (SELECT count(*) AS n FROM events WHERE event_type IN (SELECT tool FROM rules UNION SELECT 'error') AND event_id NOT IN (SELECT call_id FROM hit)) SELECT 'real' AS policy, n AS misses, 0::BIGINT AS llm_answered, n = 0 AS ok FROM miss")
 def verify_summary(spark, d):
-    return mocks.verify_summary(mocks.unanswered(ad.event_calls(spark, d), ad.rule_table(spark)), "real")
+    return mocks.verify_summary(mocks.unanswered(ad.event_calls(spark, d), ad.rule_table(spark), nested=False), "real")
 
 
 @query(_MATCH + "SELECT event_type AS tool, CASE WHEN rule_idx IS NOT NULL THEN 'rule' ELSE 'llm' END AS layer, count(*) AS n FROM events LEFT JOIN hit ON call_id = event_id GROUP BY ALL")

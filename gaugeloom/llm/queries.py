@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ivfpq, mixing, neardup, quality, sharding, suffixdedup, tokens, toxicity, warc, winnowing
+from . import ivfpq, linededup, mixing, neardup, quality, sharding, suffixdedup, tokens, toxicity, warc, winnowing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_report(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -60,7 +64,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_sharding, op2_quality, op3_suffix_dedup, op4_toxicity, op5_token_counts, op6_neighbours, op7_mixing, op8_near_duplicates, op9_decontamination, op10_warc, pipeline)
+    own = (op1_sharding, op2_quality, op3_suffix_dedup, op4_toxicity, op5_token_counts, op6_neighbours, op7_mixing, op8_near_duplicates, op9_decontamination, op10_warc, op13_line_dedup, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -155,6 +159,20 @@ SELECT p.page_id, octet_length(p.body)::BIGINT AS payload_bytes, sha256(p.body)
 FROM p LEFT JOIN f USING (body)
 """
 
+_OP13 = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+k AS (
+  SELECT r, doc_id, lines, list_transform(lines, lambda x: translate(trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS keys
+  FROM d
+),
+common AS (SELECT key FROM (SELECT r, unnest(list_distinct(keys)) AS key FROM k) WHERE key <> '' GROUP BY key HAVING count(*) >= 10),
+x AS (
+  SELECT doc_id, len(lines) AS n, list_filter(list_zip(lines, keys), lambda p: NOT list_contains(coalesce(gone, []), p[2])) AS kept
+  FROM k LEFT JOIN (SELECT r, list(key) AS gone FROM (SELECT r, unnest(list_distinct(keys)) AS key FROM k) JOIN common USING (key) GROUP BY r) USING (r)
+)
+SELECT doc_id, n::BIGINT AS n_lines, (n - len(kept))::BIGINT AS n_dropped, sha256(coalesce(array_to_string(list_transform(kept, lambda p: p[1]), chr(10)), '')) AS kept_sha256 FROM x
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": _OP1, "op7_mixing": _OP7, "op9_decontamination": _OP9, "op10_warc": _OP10}
+    return {"op1_sharding": _OP1, "op7_mixing": _OP7, "op9_decontamination": _OP9, "op10_warc": _OP10, "op13_line_dedup": _OP13}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ivfpq, linededup, mixing, neardup, quality, sharding, suffixdedup, tokens, toxicity, warc, winnowing
+from . import divergence, ivfpq, linededup, mixing, neardup, quality, sharding, suffixdedup, tokens, toxicity, warc, winnowing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_report(table(spark, sf_dir, "documents"))
 
@@ -64,7 +68,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_sharding, op2_quality, op3_suffix_dedup, op4_toxicity, op5_token_counts, op6_neighbours, op7_mixing, op8_near_duplicates, op9_decontamination, op10_warc, op13_line_dedup, pipeline)
+    own = (op1_sharding, op2_quality, op3_suffix_dedup, op4_toxicity, op5_token_counts, op6_neighbours, op7_mixing, op8_near_duplicates, op9_decontamination, op10_warc, op12_source_divergence, op13_line_dedup, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -159,6 +163,30 @@ SELECT p.page_id, octet_length(p.body)::BIGINT AS payload_bytes, sha256(p.body)
 FROM p LEFT JOIN f USING (body)
 """
 
+_OP12 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+),
+t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS total FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v, sum(total)::HUGEINT AS n FROM kept GROUP BY lang),
+g AS (
+  SELECT x.lang, x.source, coalesce(v.v, 0)::HUGEINT AS v, coalesce(v.n, 0) AS lang_n, coalesce(s.n, 0)::HUGEINT AS n
+  FROM (SELECT DISTINCT lang, source FROM d) x LEFT JOIN v USING (lang) LEFT JOIN (SELECT lang, source, sum(n) AS n FROM c GROUP BY ALL) s USING (lang, source)
+),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS cnt, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (g.n + 2 * g.v) AS p, 1 + (1000000000::HUGEINT * (k.total + 2)) // (g.lang_n + 2 * g.v) AS q
+  FROM g JOIN kept k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value FROM p WHERE cnt > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INT AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
 _OP13 = """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 k AS (
@@ -175,4 +203,4 @@ SELECT doc_id, n::BIGINT AS n_lines, (n - len(kept))::BIGINT AS n_dropped, sha25
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": _OP1, "op7_mixing": _OP7, "op9_decontamination": _OP9, "op10_warc": _OP10, "op13_line_dedup": _OP13}
+    return {"op1_sharding": _OP1, "op7_mixing": _OP7, "op9_decontamination": _OP9, "op10_warc": _OP10, "op12_source_divergence": _OP12, "op13_line_dedup": _OP13}

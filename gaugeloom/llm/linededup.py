@@ -16,11 +16,12 @@ by one pass over the counts and sent along, so the outcome is exact. Filters lar
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
@@ -32,6 +33,8 @@ SHARDS = 256
 #: The filters of all shards together are sent to the tasks up to this size, and so many falsely held keys.
 FILTER_BYTES = 32 << 20
 FALSE_KEYS = 1 << 16
+#: Texts are worked on in runs of rows of so many bytes.
+SLICE_BYTES = 2 << 20
 SLOTS = 4
 KICKS = 400
 WHITE = b" \t\n\x0b\x0c\r"
@@ -123,18 +126,33 @@ class Filters:
         return [held and key not in self.false for held, key in zip(self.may_hold(keys).tolist(), keys, strict=True)]
 
 
-def texts_of(batch: pa.RecordBatch) -> Iterator[bytes]:
-    for value in batch.column("_text"):
-        yield value.as_py() or b""
+def slices(batches: Iterable[pa.RecordBatch], text: Callable[[pa.RecordBatch], pa.Array]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Runs of rows of some SLICE_BYTES of text, one row at least, with their texts in UTF-8."""
+    for batch in batches:
+        values = text(batch).cast(pa.binary())
+        ends = np.cumsum(np.array(pc.fill_null(pc.binary_length(values), 0)), dtype=np.int64)
+        at = 0
+        while at < len(values):
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, "right")))
+            yield batch.slice(at, end - at), [x or b"" for x in values.slice(at, end - at).to_pylist()]
+            at = end
+
+
+def own_text(batch: pa.RecordBatch) -> pa.Array:
+    return batch.column("text")
+
+
+def row_text(batch: pa.RecordBatch) -> pa.Array:
+    return pc.struct_field(batch.column("row"), "text")
 
 
 def keys_of(docs: DataFrame, names: list[str]) -> DataFrame:
-    """``names`` and keys: the distinct digests of each row's lines; ``docs`` has the text as bytes in _text."""
+    """``names`` and keys: the distinct digests of the lines of each row's ``text``."""
     out = StructType([*[docs.schema[c] for c in names], StructField("keys", ArrayType(BinaryType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = pa.array([sorted(set(digests(text)) - {b""}) for text in texts_of(batch)], pa.list_(pa.binary()))
+        for batch, texts in slices(batches, own_text):
+            keys = pa.array([sorted(set(digests(text)) - {b""}) for text in texts], pa.list_(pa.binary()))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], keys], [*names, "keys"])
 
     return docs.mapInArrow(run, out)
@@ -198,7 +216,7 @@ class LineStore:
     def insert(self, docs: DataFrame) -> LineStore:
         """The state with the rows of ``docs`` (doc_id, text; null texts are one empty line, others are not read)."""
         at = self.version + 1
-        rows = keys_of(docs.select("doc_id", F.col("text").cast("binary").alias("_text")), ["doc_id"])
+        rows = keys_of(docs.select("doc_id", "text"), ["doc_id"])
         rows = saved(rows.withColumn("at", F.lit(at)), f"{self.folder}/members-{at}")
         saved(docs.select("doc_id", F.lit(at).alias("at")).limit(0), f"{self.folder}/gone-{at}")
         return self._updated(rows.select(F.explode("keys").alias("key"), F.lit(1).alias("n")))
@@ -277,7 +295,7 @@ class LineStore:
         documents go, wherever they stand; lines of white space alone stay. A null text is
         an empty one, which is one empty line.
         """
-        rows = docs.select(whole_row(docs), F.col("text").cast("binary").alias("_text"))
+        rows = docs.select(whole_row(docs))
         out = StructType([rows.schema["row"], StructField("n_lines", LongType()), StructField("n_dropped", LongType()), StructField("kept", BinaryType())])
         filters = self._sent()
         if filters is None:
@@ -285,30 +303,31 @@ class LineStore:
         sent = self.spark.sparkContext.broadcast(filters)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keys = [digests(text) for text in texts_of(batch)]
+            for batch, texts in slices(batches, row_text):
+                keys = [digests(text) for text in texts]
                 held = iter(sent.value.hold([k for own in keys for k in own if k]))
                 gone = [[bool(k) and next(held) for k in own] for own in keys]
-                yield finished(batch, [(len(own), sum(own), without(text, own)) for text, own in zip(texts_of(batch), gone, strict=True)])
+                yield finished(batch, [(len(own), sum(own), without(text, own)) for text, own in zip(texts, gone, strict=True)])
 
         return self._as_text(rows.mapInArrow(run, out))
 
     def _joined(self, rows: DataFrame, out: StructType) -> DataFrame:
         """The same by a join of each distinct text's keys with the counts."""
-        rows = rows.withColumn("_id", F.sha2(F.coalesce("_text", F.lit(b"")), 256))
+        text = F.col("row")["text"]
+        rows = rows.withColumn("_id", F.sha2(F.coalesce(text.cast("binary"), F.lit(b"")), 256))
         held = self.counts().where(F.col("n") >= self.least).select("key")
-        keys = keys_of(rows.select("_id", "_text"), ["_id"]).select("_id", F.explode("keys").alias("key")).distinct()
+        keys = keys_of(rows.select("_id", text.alias("text")), ["_id"]).select("_id", F.explode("keys").alias("key")).distinct()
         gone = keys.join(held, "key").groupBy("_id").agg(F.collect_list("key").alias("_gone"))  # at most a text's lines
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch, texts in slices(batches, row_text):
                 made = []
-                for text, drop in zip(texts_of(batch), batch.column("_gone").to_pylist(), strict=True):
+                for text, drop in zip(texts, batch.column("_gone").to_pylist(), strict=True):
                     keys, drop = digests(text), set(drop or ())
                     made.append((len(keys), sum(k in drop for k in keys), without(text, [k in drop for k in keys])))
                 yield finished(batch, made)
 
-        return self._as_text(rows.join(gone, "_id", "left").select("row", "_text", "_gone").mapInArrow(run, out))
+        return self._as_text(rows.join(gone, "_id", "left").select("row", "_gone").mapInArrow(run, out))
 
     @staticmethod
     def _as_text(made: DataFrame) -> DataFrame:

@@ -46,12 +46,12 @@ def digests(text: bytes) -> list[bytes]:
     return [xxhash.xxh3_128_digest(key) if key else b"" for key in (line.strip(WHITE).lower() for line in text.split(b"\n"))]
 
 
-def parts(keys: list[bytes], shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Shard, first bucket (before the mask) and fingerprint of each digest."""
+def parts(keys: list[bytes], shards: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shard, first bucket (before the mask) and fingerprint, of ``bits`` bits and never 0, of each digest."""
     raw = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, 16)
     shard = (raw[:, 0].astype(np.int64) * 256 + raw[:, 1]) % shards
     words = raw.view(WORD)
-    return shard, words[:, 1].astype(np.int64), np.maximum(words[:, 2], 1).astype(np.int64)
+    return shard, words[:, 1].astype(np.int64), np.maximum(words[:, 2] >> np.uint32(32 - bits), 1).astype(np.int64)
 
 
 def other(bucket, mark, mask):
@@ -61,7 +61,7 @@ def other(bucket, mark, mask):
 
 
 class Cuckoo:
-    """A cuckoo filter of 32-bit fingerprints, four slots a bucket; what finds no place lies in a short list beside it."""
+    """A cuckoo filter of fingerprints of up to 32 bits, four slots a bucket; what finds no place lies in a short list beside it."""
 
     def __init__(self, table: np.ndarray, spare: Iterable[int] = ()) -> None:
         self.table, self.spare = table, list(spare)
@@ -100,9 +100,9 @@ class Cuckoo:
 class Filters:
     """The filters of all shards in one array, asked for many keys at once."""
 
-    def __init__(self, shards: int, rows: list[tuple[int, bytes, list[int]]], false: list[bytes]) -> None:
+    def __init__(self, shards: int, bits: int, rows: list[tuple[int, bytes, list[int]]], false: list[bytes]) -> None:
         tables = {shard: np.frombuffer(table, WORD).reshape(-1, SLOTS) for shard, table, _ in rows}
-        self.shards, self.false = shards, set(false)
+        self.shards, self.bits, self.false = shards, bits, set(false)
         self.mask, self.first = np.zeros(shards, np.int64), np.zeros(shards, np.int64)
         at = 1
         for shard, table in tables.items():
@@ -114,7 +114,7 @@ class Filters:
     def may_hold(self, keys: list[bytes]) -> np.ndarray:
         if not keys:
             return np.zeros(0, bool)
-        shard, bucket, mark = parts(keys, self.shards)
+        shard, bucket, mark = parts(keys, self.shards, self.bits)
         mask, first = self.mask[shard], self.first[shard]
         bucket = bucket & mask
         held = (self.table[first + bucket] == mark[:, None]).any(1) | (self.table[first + other(bucket, mark, mask)] == mark[:, None]).any(1)
@@ -177,18 +177,19 @@ class LineStore:
     folder: str
     least: int = LEAST
     shards: int = SHARDS
+    bits: int = 32
     version: int = 0
 
     @classmethod
-    def create(cls, spark: SparkSession, least: int = LEAST, shards: int = SHARDS) -> LineStore:
-        """An empty store in a new shared folder; ``shards``: at most 65,536, each one task's work in an update."""
-        return cls(spark, shared_folder(spark, "lines"), least, shards)
+    def create(cls, spark: SparkSession, least: int = LEAST, shards: int = SHARDS, bits: int = 32) -> LineStore:
+        """An empty store in a new shared folder; ``shards``: at most 65,536, each one task's work in an update; ``bits``: of a fingerprint, at most 32."""
+        return cls(spark, shared_folder(spark, "lines"), least, shards, bits)
 
     @classmethod
     def open(cls, spark: SparkSession, folder: str) -> LineStore:
         """The last whole state in a folder."""
         row = spark.read.parquet(f"{folder}/states").orderBy(F.col("version").desc()).first()
-        return cls(spark, folder, row["least"], row["shards"], row["version"])
+        return cls(spark, folder, row["least"], row["shards"], row["bits"], row["version"])
 
     def _table(self, name: str, schema: str) -> DataFrame:
         if not self.version:
@@ -239,7 +240,7 @@ class LineStore:
         merged = both.groupBy("key").agg(F.sum("n").alias("n"), F.sum("was").alias("was")).withColumn("shard", shard)
         counts = saved(merged.where("n > 0 or was > 0"), f"{self.folder}/counts-{at}")
         self._filtered(counts, f"{self.folder}/filters-{at}")
-        done = self.spark.createDataFrame([(at, self.least, self.shards)], "version int, least int, shards int")
+        done = self.spark.createDataFrame([(at, self.least, self.shards, self.bits)], "version int, least int, shards int, bits int")
         done.coalesce(1).write.mode("append").parquet(f"{self.folder}/states")
         return replace(self, version=at)
 
@@ -251,7 +252,7 @@ class LineStore:
         anew = sizes.join(old.select("shard", "buckets"), "shard", "left").where(F.coalesce(F.col("keys") > 0.9 * SLOTS * F.col("buckets"), F.lit(True))).select("shard", F.lit(True).alias("anew"))
         marked = counts.where(held | was).join(anew, "shard", "left")
         change = marked.where(F.when(F.col("anew"), held).otherwise(held != was)).select("shard", "key", held.alias("held"))
-        shards = self.shards
+        shards, bits = self.shards, self.bits
 
         def run(change: pa.Table, old: pa.Table) -> pa.Table:
             keys, into = change.column("key").to_pylist(), change.column("held").to_pylist()
@@ -261,7 +262,7 @@ class LineStore:
             else:
                 own = Cuckoo.sized(len(keys))
             shard = (change if keys else old).column("shard")[0].as_py()
-            _, buckets, marks = parts(keys, shards)
+            _, buckets, marks = parts(keys, shards, bits)
             steps = sorted(zip(into, buckets.tolist(), marks.tolist(), strict=True))  # out before in
             for inside, bucket, mark in steps:
                 (own.add if inside else own.remove)(bucket, mark)
@@ -278,7 +279,7 @@ class LineStore:
         if size > FILTER_BYTES:
             return None
         rows = [(r["shard"], bytes(r["table"]), r["spare"]) for r in self.filters().toLocalIterator()]
-        sent = self.spark.sparkContext.broadcast(Filters(self.shards, rows, []))
+        sent = self.spark.sparkContext.broadcast(Filters(self.shards, self.bits, rows, []))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -286,7 +287,7 @@ class LineStore:
 
         below = self.counts().where(F.col("n") < self.least).select("key")
         false = below.mapInArrow(run, "key binary").limit(FALSE_KEYS + 1).toArrow().column("key").to_pylist()
-        return Filters(self.shards, rows, false) if len(false) <= FALSE_KEYS else None
+        return Filters(self.shards, self.bits, rows, false) if len(false) <= FALSE_KEYS else None
 
     def apply(self, docs: DataFrame) -> DataFrame:
         """row (all columns of ``docs`` as a struct), n_lines, n_dropped and kept, the text without its dropped lines.

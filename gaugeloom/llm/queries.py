@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import divergence, ivfpq, linededup, mixing, neardup, quality, sharding, suffixdedup, tokens, toxicity, warc, winnowing
+from . import divergence, ivfpq, linededup, mixing, neardup, phrases, quality, sharding, suffixdedup, tokens, toxicity, warc, winnowing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_phrases(table(spark, sf_dir, "documents"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit_sources(table(spark, sf_dir, "documents"))
 
@@ -68,7 +72,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_sharding, op2_quality, op3_suffix_dedup, op4_toxicity, op5_token_counts, op6_neighbours, op7_mixing, op8_near_duplicates, op9_decontamination, op10_warc, op12_source_divergence, op13_line_dedup, pipeline)
+    own = (op1_sharding, op2_quality, op3_suffix_dedup, op4_toxicity, op5_token_counts, op6_neighbours, op7_mixing, op8_near_duplicates, op9_decontamination, op10_warc, op11_collocations, op12_source_divergence, op13_line_dedup, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -163,6 +167,31 @@ SELECT p.page_id, octet_length(p.body)::BIGINT AS payload_bytes, sha256(p.body)
 FROM p LEFT JOIN f USING (body)
 """
 
+_OP11 = r"""
+WITH pieces AS (
+  SELECT row_number() OVER () AS r, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
+),
+totals AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM pieces GROUP BY lang),
+starts AS (SELECT lang, w, unnest(range(len(w))) AS i FROM pieces),
+grams AS (SELECT lang, m, w[i + 1:i + m] AS g FROM starts, range(1, 6) AS x(m) WHERE i + m <= len(w)),
+f AS (SELECT lang, m, g, array_to_string(g, ' ') AS phrase, count(*)::HUGEINT AS c FROM grams GROUP BY lang, m, g HAVING count(*) >= 100),
+cuts AS (SELECT lang, m, g, phrase, c AS a, unnest(range(1, m)) AS k FROM f WHERE m >= 2),
+sides AS (
+  SELECT x.lang, x.phrase, x.m, x.a, x.k, l.c AS l, r.c AS r, t.n, (1000 * x.a * t.n) // (l.c * r.c) AS score
+  FROM cuts x JOIN f l ON l.lang = x.lang AND l.g = x.g[1:x.k] JOIN f r ON r.lang = x.lang AND r.g = x.g[x.k + 1:x.m] JOIN totals t ON t.lang = x.lang
+),
+lowest AS (SELECT * FROM sides QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+gone AS (
+  SELECT DISTINCT s.lang, s.phrase FROM f s JOIN f y ON y.lang = s.lang AND y.m > s.m AND 100 * y.c >= 100 * s.c
+  WHERE s.m >= 2 AND contains(' ' || y.phrase || ' ', ' ' || s.phrase || ' ')
+)
+SELECT lang, rank::INT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM lowest ANTI JOIN gone USING (lang, phrase)
+) WHERE rank <= 2000
+"""
+
 _OP12 = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
@@ -203,4 +232,4 @@ SELECT doc_id, n::BIGINT AS n_lines, (n - len(kept))::BIGINT AS n_dropped, sha25
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": _OP1, "op7_mixing": _OP7, "op9_decontamination": _OP9, "op10_warc": _OP10, "op12_source_divergence": _OP12, "op13_line_dedup": _OP13}
+    return {"op1_sharding": _OP1, "op7_mixing": _OP7, "op9_decontamination": _OP9, "op10_warc": _OP10, "op11_collocations": _OP11, "op12_source_divergence": _OP12, "op13_line_dedup": _OP13}

@@ -17,12 +17,14 @@ and give the right parts.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
@@ -35,13 +37,14 @@ DEPTH = 5
 TOP = 2000
 #: A phrase goes where a longer one has this share of its occurrences, in per cent.
 SHARE = 100
-#: Words of a shard; the bit table has at most 2**TABLE_BITS bits (16 MiB), and 16 for each phrase if they fit.
-SHARD_WORDS, PART = 1 << 20, 1 << 20
+#: What a task holds at once, words and bytes of text, and how much of a text it cuts into words at a time.
+SHARD_WORDS, SHARD_BYTES, PART = 1 << 22, 64 << 20, 1 << 20
+#: The bit table has at most 2**TABLE_BITS bits (16 MiB), and 16 for each phrase if they fit.
 TABLE_BITS = 27
 #: Words with very many phrases are joined in so many parts.
 PARTS = 16
 
-#: Stands for the end of a piece: no byte of UTF-8.
+#: Stands for the end of a piece: no byte of UTF-8, and behind all words in their order.
 BREAK = b"\xff"
 _FOLD = bytearray(range(256))
 _FOLD[65:91] = range(97, 123)
@@ -61,119 +64,165 @@ def tokens(text: bytes) -> Iterator[list[bytes]]:
         at = end
 
 
-def shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[str, list[bytes]]]:
-    """(lang, tokens) of runs of rows. A task holds ``most`` tokens, whatever the number of languages: then the largest shard is handed on."""
-    held: dict[str, list[bytes]] = defaultdict(list)
-    size: Counter = Counter()
+@dataclass
+class Held:
+    """Words of one language as numbers, while a shard grows."""
+
+    ids: dict[bytes, int] = field(default_factory=lambda: defaultdict(count().__next__))
+    parts: list[np.ndarray] = field(default_factory=list)
+    words: int = 0
+
+    def add(self, words: list[bytes]) -> None:
+        self.parts.append(np.fromiter(map(self.ids.__getitem__, words), np.int32, len(words)))
+        self.words += len(words)
+
+
+@dataclass
+class Shard:
+    """names: the distinct words in order, and perhaps BREAK; at: the number of the word at each place."""
+
+    lang: str
+    names: list[bytes]
+    at: np.ndarray
+
+    @classmethod
+    def of(cls, lang: str, held: Held) -> Shard:
+        names = list(held.ids)
+        order = sorted(range(len(names)), key=names.__getitem__)
+        rank = np.empty(len(names), np.int64)
+        rank[order] = np.arange(len(names))
+        return cls(lang, [names[i] for i in order], rank[np.concatenate(held.parts)])
+
+    def words(self) -> pa.Array:
+        return pa.array(self.names, pa.binary())
+
+    def marked(self) -> tuple[np.ndarray, np.ndarray]:
+        """The hash of each distinct word, and whether it is a word."""
+        head = f"{self.lang}\t".encode()
+        hashes = np.fromiter((xxhash.xxh64_intdigest(head + w, 42) for w in self.names), np.uint64, len(self.names))  # as xxhash64 in SQL
+        return hashes, np.array([w != BREAK for w in self.names], bool)
+
+
+def shards(batches: Iterator[pa.RecordBatch], words: int, size: int) -> Iterator[Shard]:
+    """Runs of rows. A task holds so many words or bytes, whatever the number of languages: then the largest shard is handed on."""
+    held: dict[str, Held] = defaultdict(Held)
+    total = read = 0
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
-            for words in tokens(text.as_py() or b""):
-                held[lang] += words
-                size[lang] += len(words)
-                if size.total() >= most:
-                    largest = max(size, key=size.get)
-                    size.pop(largest)
-                    yield largest, held.pop(largest)
-    yield from held.items()
+            blob = text.as_py() or b""
+            for part in tokens(blob):
+                held[lang].add(part)
+                total, read = total + len(part), read + min(len(blob), PART)
+                if read >= size or total >= words:
+                    largest = max(held, key=lambda k: held[k].words)
+                    total, read = total - held[largest].words, 0
+                    yield Shard.of(largest, held.pop(largest))
+    for lang, own in held.items():
+        yield Shard.of(lang, own)
 
 
-def nodes(lang: str, found: dict[bytes, int]) -> pa.RecordBatch:
-    """A trie written down: its phrases in order with their numbers of words and counts."""
-    phrases = sorted(found)
-    words = [p.count(b" ") + 1 for p in phrases]
-    columns = [pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(words, pa.int32()), pa.array([found[p] for p in phrases], pa.int64())]
-    return pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "m", "n"])
+NODES = "lang string, phrase string, n long"
 
 
-NODES = "lang string, phrase string, m int, n long"
+def nodes(lang: str, phrases: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+    """Nodes of a trie, in order, written down with their counts."""
+    return pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), phrases.cast(pa.string()), pa.array(counts, pa.int64())], ["lang", "phrase", "n"])
 
 
 def word_tries(rows: DataFrame) -> DataFrame:
-    """The tries of depth 1, and a node without words (m 0) that counts all of a shard's words."""
+    """The tries of depth 1, and a node without words that counts all of a shard's words."""
+    words, size = SHARD_WORDS, SHARD_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, words in shards(batches, SHARD_WORDS):
-            found = Counter(words)
-            found.pop(BREAK, None)
-            yield nodes(lang, found)
-            yield pa.RecordBatch.from_pydict({"lang": [lang], "phrase": [""], "m": pa.array([0], pa.int32()), "n": [found.total()]})
+        for shard in shards(batches, words, size):
+            n = len(shard.names) - (shard.names[-1] == BREAK)
+            counts = np.bincount(shard.at, minlength=len(shard.names))[:n]
+            yield nodes(shard.lang, shard.words()[:n], counts)
+            yield nodes(shard.lang, pa.array([b""], pa.binary()), counts.sum(keepdims=True))
 
     return rows.mapInArrow(run, NODES)
 
 
-def numbered(words: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-    """The distinct words and, for every word, its place among them."""
-    ids: dict[bytes, int] = defaultdict(count().__next__)
-    at = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
-    return list(ids), at
+def pair_mark(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The hash of a pair of words from theirs."""
+    return ((first << np.uint64(7)) | (first >> np.uint64(57))) ^ second
 
 
 class Marks:
-    """The bit table of some frequent phrases."""
+    """The bit table of some frequent words, or of pairs of them."""
 
-    def __init__(self, frequent: DataFrame) -> None:
-        count_ = frequent.count()
-        self.bits = min(TABLE_BITS, max(16, (16 * count_).bit_length()))
-        place = F.shiftrightunsigned(F.xxhash64(F.concat("lang", F.lit("\t"), "phrase")), 64 - self.bits)
+    def __init__(self, frequent: DataFrame, pairs: bool) -> None:
+        self.bits = min(TABLE_BITS, max(16, (16 * frequent.count()).bit_length()))
+        word = lambda i: F.xxhash64(F.concat("lang", F.lit("\t"), F.split("phrase", " ")[i]))
+        turned = F.shiftleft(word(0), 7).bitwiseOR(F.shiftrightunsigned(word(0), 57))
+        place = F.shiftrightunsigned(turned.bitwiseXOR(word(1)) if pairs else word(0), 64 - self.bits)
         words = frequent.select(place.alias("place")).selectExpr("cast(place div 64 as int) as w", "shiftleft(1L, cast(place % 64 as int)) as b")
         found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # at most 2**(TABLE_BITS - 6) rows
         table = np.zeros(1 << (self.bits - 6), np.int64)
         table[found["w"].to_numpy()] = found["b"].to_numpy()
         self.table = table.view(np.uint64)
 
-    def test(self, lang: str, phrases: list[bytes]) -> np.ndarray:
-        head, seed = f"{lang}\t".encode(), 42  # as xxhash64 of the same text in SQL
-        place = np.fromiter((xxhash.xxh64_intdigest(head + p, seed) for p in phrases), np.uint64, len(phrases)) >> np.uint64(64 - self.bits)
+    def test(self, hashes: np.ndarray) -> np.ndarray:
+        place = hashes >> np.uint64(64 - self.bits)
         return (self.table[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
 
 
-def pair_nodes(lang: str, words: list[bytes], marks: Marks) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The shard's distinct words, the word at each place, the places that begin a pair of marked words, the pairs, and which pair each place begins."""
-    names, at = numbered(words)
-    good = (marks.test(lang, names) & np.array([name != BREAK for name in names]))[at]
-    begin = np.flatnonzero(good[:-1] & good[1:])
-    pairs, own = np.unique(at[begin] << 32 | at[begin + 1], return_inverse=True)
-    return names, at, begin, pairs, own
+@dataclass
+class Level:
+    """The nodes of one depth of a shard's trie in order, and the places where an occurrence of a node begins."""
+
+    phrases: pa.Array
+    begin: np.ndarray
+    node: np.ndarray
+
+    def counts(self) -> np.ndarray:
+        return np.bincount(self.node, minlength=len(self.phrases))
 
+    def grown(self, words: pa.Array, begin: np.ndarray, parent: np.ndarray, last: np.ndarray) -> Level:
+        """The level below: a node is its parent with one more word."""
+        keys, node = np.unique(parent << 32 | last, return_inverse=True)
+        phrases = pc.binary_join_element_wise(self.phrases.take(pa.array(keys >> 32)), words.take(pa.array(keys & 0xFFFFFFFF)), b" ")
+        return Level(phrases, begin, node)
 
-def pair_names(names: list[bytes], pairs: np.ndarray) -> list[bytes]:
-    return [names[a] + b" " + names[b] for a, b in zip((pairs >> 32).tolist(), (pairs & 0xFFFFFFFF).tolist(), strict=True)]
+
+def pair_level(shard: Shard, good: np.ndarray) -> Level:
+    """The nodes of two good words."""
+    places = good[shard.at]
+    begin = np.flatnonzero(places[:-1] & places[1:])
+    return Level(shard.words(), begin, begin).grown(shard.words(), begin, shard.at[begin], shard.at[begin + 1])
 
 
 def pair_tries(rows: DataFrame, marks: Broadcast) -> DataFrame:
     """The nodes of depth 2 whose words are marked."""
+    words, size = SHARD_WORDS, SHARD_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, words in shards(batches, SHARD_WORDS):
-            names, _, _, pairs, own = pair_nodes(lang, words, marks.value)
-            yield nodes(lang, dict(zip(pair_names(names, pairs), np.bincount(own, minlength=len(pairs)).tolist(), strict=True)))
+        for shard in shards(batches, words, size):
+            hashes, real = shard.marked()
+            level = pair_level(shard, marks.value.test(hashes) & real)
+            yield nodes(shard.lang, level.phrases, level.counts())
 
     return rows.mapInArrow(run, NODES)
 
 
 def deep_tries(rows: DataFrame, marks: Broadcast, pair_marks: Broadcast, depth: int) -> DataFrame:
-    """The nodes of depths 3 to ``depth`` whose neighbouring pairs are all marked.
-
-    A node is the pair of its parent's number and its last word, so each level takes one
-    sort of the places that are left.
-    """
+    """The nodes of depths 3 to ``depth`` whose neighbouring pairs are all marked, a level at a time."""
+    words, size = SHARD_WORDS, SHARD_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, words in shards(batches, SHARD_WORDS):
-            names, at, begin, pairs, own = pair_nodes(lang, words, marks.value)
-            phrases = pair_names(names, pairs)
-            good = pair_marks.value.test(lang, phrases)[own] if phrases else np.zeros(0, bool)
+        for shard in shards(batches, words, size):
+            hashes, real = shard.marked()
+            level = pair_level(shard, marks.value.test(hashes) & real)
+            at = shard.at
+            good = pair_marks.value.test(pair_mark(hashes[at[level.begin]], hashes[at[level.begin + 1]]))
             link = np.zeros(len(at) + depth, bool)  # does a marked pair begin here?
-            link[begin[good]] = True
-            begin, own = begin[good], own[good]
-            found: dict[bytes, int] = {}
+            link[level.begin[good]] = True
+            level = Level(level.phrases, level.begin[good], level.node[good])
             for m in range(3, depth + 1):
-                more = link[begin + m - 2]
-                begin, own = begin[more], own[more]
-                level, own = np.unique(own << 32 | at[begin + m - 1], return_inverse=True)
-                phrases = [phrases[parent] + b" " + names[word] for parent, word in zip((level >> 32).tolist(), (level & 0xFFFFFFFF).tolist(), strict=True)]
-                found.update(zip(phrases, np.bincount(own, minlength=len(level)).tolist(), strict=True))
-            yield nodes(lang, found)
+                more = link[level.begin + m - 2]
+                begin = level.begin[more]
+                level = level.grown(shard.words(), begin, level.node[more], at[begin + m - 1])
+                yield nodes(shard.lang, level.phrases, level.counts())
 
     return rows.mapInArrow(run, NODES)
 
@@ -189,7 +238,7 @@ def with_head(tries: DataFrame) -> DataFrame:
 def merged(tries: DataFrame, least: int) -> DataFrame:
     """The nodes of all shards summed by prefix range, as far as they are frequent."""
     dealt = with_head(tries).repartitionByRange("lang", "head")
-    return dealt.groupBy("lang", "head", "phrase", "m").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("lang", "phrase", "m", "n")
+    return dealt.groupBy("lang", "head", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("lang", "phrase", "n")
 
 
 def walked(frequent: DataFrame, share: int) -> DataFrame:
@@ -199,7 +248,7 @@ def walked(frequent: DataFrame, share: int) -> DataFrame:
     phrase that begins with it has ``share`` per cent of its occurrences. A range is read
     in the order of words, so a stack holds the ancestors of the node at hand.
     """
-    ordered = with_head(frequent.where("m >= 2")).repartitionByRange("lang", "head").withColumn("words", words_in("phrase")).sortWithinPartitions("lang", "words")
+    ordered = with_head(frequent.where("instr(phrase, ' ') > 0")).repartitionByRange("lang", "head").withColumn("words", words_in("phrase")).sortWithinPartitions("lang", "words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stack: list[list] = []  # lang, words, phrase, count, inside
@@ -274,12 +323,12 @@ def mine_phrases(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, top: i
     spark = docs.sparkSession
     folder = shared_folder(spark, "phrases")
     rows = docs.select(F.coalesce(column("lang"), F.lit("und")).alias("lang"), column("text").cast("binary").alias("text"))
-    words = saved(word_tries(rows).groupBy("lang", "phrase", "m").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("m") == 0)), f"{folder}/words")
-    singles, totals = words.where("m = 1"), words.where("m = 0").select("lang", "n")
-    marks = spark.sparkContext.broadcast(Marks(singles))
-    pairs = pair_tries(rows, marks).groupBy("lang", "phrase", "m").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    pairs = saved(pairs, f"{folder}/pairs")
-    pair_marks = spark.sparkContext.broadcast(Marks(pairs))
+    summed = lambda tries: tries.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    words = saved(summed(word_tries(rows)).where((F.col("n") >= least) | (F.col("phrase") == "")), f"{folder}/words")
+    singles, totals = words.where("phrase <> ''"), words.where("phrase = ''").select("lang", "n")
+    marks = spark.sparkContext.broadcast(Marks(singles, False))
+    pairs = saved(summed(pair_tries(rows, marks)).where(F.col("n") >= least), f"{folder}/pairs")
+    pair_marks = spark.sparkContext.broadcast(Marks(pairs, True))
     tries = saved(deep_tries(rows, marks, pair_marks, depth), f"{folder}/tries")
     deep = saved(merged(tries, least), f"{folder}/deep")
     best = scored(singles.unionByName(pairs).unionByName(deep), totals, share)

@@ -91,6 +91,16 @@ def test_bit_places_are_those_of_sql(spark):
     assert row % (1 << 64) == xxhash.xxh64_intdigest("en\tél an".encode(), 42)
 
 
+def test_bit_table_holds_all_it_was_given(spark):
+    pairs = [("en", f"w{i} é{i % 7}") for i in range(500)]
+    marks = phrases.Marks(spark.createDataFrame(pairs, "lang string, phrase string"), True)
+    h = lambda w: phrases.np.array([xxhash.xxh64_intdigest(f"en\t{x}".encode(), 42) for x in w], phrases.np.uint64)
+    first, second = zip(*[p.split(" ") for _, p in pairs], strict=True)
+    assert marks.test(phrases.pair_mark(h(first), h(second))).all()
+    others = marks.test(phrases.pair_mark(h(second), h(first)))
+    assert others.mean() < 0.2
+
+
 # source divergence
 
 

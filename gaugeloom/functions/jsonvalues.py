@@ -1,4 +1,4 @@
-"""JSON semantics that Spark's own functions don't have, as small Arrow UDFs over JSON text.
+"""Identities of JSON values, and the plain versions of containment and canonical form that the JVM's are tested against.
 
 Equality is Python's (1 == 1.0 == True), key order never matters, and containment is
 recursive over objects but exact over lists.
@@ -12,6 +12,8 @@ import json
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
+from . import jsontext
+
 
 def contains(actual: object, expected: object) -> bool:
     """Whether the object ``expected`` is part of ``actual``."""
@@ -27,79 +29,63 @@ def contains(actual: object, expected: object) -> bool:
     return True
 
 
-def _load(text: str | None, default: object) -> object:
-    return default if text is None else json.loads(text)
-
-
-@F.pandas_udf(T.BooleanType())
-def json_contains(actual: pd.Series, expected: pd.Series) -> pd.Series:
-    """args ⊇ matchArgs; a null or empty expectation is part of everything, a null actual is no object."""
-    return pd.Series([not _load(e, {}) or contains(_load(a, None), _load(e, {})) for a, e in zip(actual, expected, strict=True)], dtype=bool)
+def canonical(value: object) -> str:
+    """Sorted keys, ", " and ": " as separators, no escapes: the text whose hash is an identity."""
+    return json.dumps(value, sort_keys=True, ensure_ascii=False, default=str)
 
 
-def scalar_members(text: Column) -> Column:
-    """name -> value of a JSON object: numbers and booleans in one spelling (1, 1.0 and true are equal), all else as JSON text."""
-    number = lambda v: v.try_cast("double").cast("string")
-    spelled = lambda v: F.when(v.isin("true", "false"), F.when(v == "true", "1.0").otherwise("0.0")).when(v.rlike("^[-0-9]"), F.coalesce(number(v), v)).otherwise(v)
-    return F.transform_values(F.from_json(text, "map<string,variant>"), lambda _, v: spelled(F.coalesce(F.to_json(v), F.lit("null"))))
+def digest(value: object) -> str:
+    return hashlib.sha256(canonical(value).encode("utf-8")).hexdigest()
 
 
-@F.pandas_udf(T.IntegerType())
-def first_containing(actual: pd.Series, expected: pd.Series) -> pd.Series:
-    """The place of the first of the expectations that is part of ``actual``; null if none is or there are none."""
+#: The tags that make a case what it is, with what an absent one counts as (fixed values).
+TAGS = {"failure_mode": "none", "intent": "unspecified", "scenario": "unspecified", "topic": "unspecified"}
 
-    def one(a: str | None, wanted: list[str] | None) -> int | None:
-        have = _load(a, None)
-        return next((i for i, e in enumerate(wanted) if not _load(e, {}) or contains(have, _load(e, {}))), None)
 
-    return pd.Series([None if w is None else one(a, w) for a, w in zip(actual, expected, strict=True)], dtype="Int32")
+def _column(c: Column | str) -> Column:
+    return F.col(c) if isinstance(c, str) else c
 
 
-def canonical(value: object) -> str:
-    """Sorted keys, ", " and ": " as separators, no escapes: the text whose hash is an identity."""
-    return json.dumps(value, sort_keys=True, ensure_ascii=False, default=str)
+def _object(members: dict[str, Column]) -> Column:
+    """The canonical text of an object with these members, in canonical form themselves."""
+    parts = [F.concat(F.lit(f'"{name}": '), members[name]) for name in sorted(members)]
+    return F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
 
 
-def digest(value: object) -> str:
-    return hashlib.sha256(canonical(value).encode("utf-8")).hexdigest()
+def _digits(text: Column, n: int) -> Column:
+    return F.substring(F.sha2(text.cast("binary"), 256), 1, n)
 
 
-@F.pandas_udf(T.StringType())
-def json_digest(text: pd.Series) -> pd.Series:
+def json_digest(text: Column | str) -> Column:
     """SHA-256 of the canonical form of JSON text; null stays null."""
-    return text.map(lambda t: None if t is None else digest(json.loads(t)))
+    return jsontext.digest(_column(text))
 
 
-@F.pandas_udf(T.StringType())
-def case_identity(inputs: pd.Series, intent: pd.Series, topic: pd.Series, scenario: pd.Series, failure_mode: pd.Series) -> pd.Series:
+def case_identity(inputs: Column | str, intent: Column | str, topic: Column | str, scenario: Column | str, failure_mode: Column | str) -> Column:
     """case- and ten digits of the hash of what makes a case; absent tags have their defaults, absent inputs are null."""
-    rows = zip(inputs, intent, topic, scenario, failure_mode, strict=True)
-    part = lambda x, default: default if x is None else x
-    out = [digest({"inputs": _load(i, None), "intent": part(a, "unspecified"), "topic": part(t, "unspecified"), "scenario": part(s, "unspecified"), "failure_mode": part(m, "none")}) for i, a, t, s, m in rows]
-    return pd.Series([f"case-{d[:10]}" for d in out])
+    given = {"intent": intent, "topic": topic, "scenario": scenario, "failure_mode": failure_mode}
+    tags = {k: jsontext.json_string(F.coalesce(_column(c), F.lit(TAGS[k]))) for k, c in given.items()}
+    return F.concat(F.lit("case-"), _digits(_object({**tags, "inputs": F.coalesce(jsontext.canonical(_column(inputs)), F.lit("null"))}), 10))
 
 
-@F.pandas_udf(T.StringType())
-def document_identity(inputs: pd.Series, metadata: pd.Series) -> pd.Series:
+def document_identity(inputs: Column | str, metadata: Column | str) -> Column:
     """case_identity of inputs and metadata as JSON text: a tag that is null there stays null, one that is absent has its default."""
-    out = []
-    for i, m in zip(inputs, metadata, strict=True):
-        tags = _load(m, {}) or {}
-        own = {k: tags.get(k, d) for k, d in (("intent", "unspecified"), ("topic", "unspecified"), ("scenario", "unspecified"), ("failure_mode", "none"))}
-        out.append(f"case-{digest({'inputs': _load(i, None), **own})[:10]}")
-    return pd.Series(out)
+    tags = {k: F.coalesce(jsontext.canonical_member(_column(metadata), k), F.lit(f'"{default}"')) for k, default in TAGS.items()}
+    return F.concat(F.lit("case-"), _digits(_object({**tags, "inputs": F.coalesce(jsontext.canonical(_column(inputs)), F.lit("null"))}), 10))
 
 
-@F.pandas_udf(T.StringType())
-def trajectory_hash(calls: pd.Series, error: pd.Series) -> pd.Series:
+def _did(calls: Column | str, error: Column | str) -> dict[str, Column]:
+    return {"tool_calls": F.coalesce(jsontext.canonical(_column(calls)), F.lit("[]")), "error": jsontext.json_string(_column(error))}
+
+
+def trajectory_hash(calls: Column | str, error: Column | str) -> Column:
     """Twelve digits for what the agent did: its calls in order and its error. calls: JSON list of [name, args]."""
-    return pd.Series([digest({"tool_calls": _load(c, []), "error": e})[:12] for c, e in zip(calls, error, strict=True)])
+    return _digits(_object(_did(calls, error)), 12)
 
 
-@F.pandas_udf(T.StringType())
-def output_hash(response: pd.Series, calls: pd.Series, error: pd.Series) -> pd.Series:
+def output_hash(response: Column | str, calls: Column | str, error: Column | str) -> Column:
     """trajectory_hash with the response."""
-    return pd.Series([digest({"response": r, "tool_calls": _load(c, []), "error": e})[:12] for r, c, e in zip(response, calls, error, strict=True)])
+    return _digits(_object({**_did(calls, error), "response": jsontext.json_string(_column(response))}), 12)
 
 
 def _parses(text: str | None) -> bool:
@@ -114,16 +100,3 @@ def _parses(text: str | None) -> bool:
 def json_valid(text: pd.Series) -> pd.Series:
     """Whether text is one JSON value with nothing after it; repeated keys and NaN are let through."""
     return text.map(_parses).astype(bool)
-
-
-def flat_match(props: Column, rule: dict) -> Column:
-    """A constant rule of scalar values as a plain predicate on JSON text, without Python: for rule lists known when the plan is made."""
-    out = F.lit(True)
-    for key, want in rule.items():
-        if isinstance(want, (dict, list)):
-            raise ValueError("only flat rules compile to a predicate")
-        have = F.get_json_object(props, f"$.{key}")
-        number = isinstance(want, (int, float)) and not isinstance(want, bool)
-        same = have.try_cast("double") == float(want) if number else have == F.lit(json.dumps(want) if isinstance(want, bool) else want)
-        out = out & F.coalesce(same, F.lit(False))
-    return out

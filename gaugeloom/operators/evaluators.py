@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.jsonvalues import contains as part_of, json_valid
+from ..functions.matching import all_matched
 
 DETERMINISTIC = ("expected_tools", "contains", "json_valid", "trajectory_match")
 JUDGED = ("correctness", "contract", "trajectory_llm")
@@ -64,24 +65,22 @@ def _match(mode: str, args: str, have: list[dict], want: list[dict]) -> bool:
         a, b = h.get("args") or {}, w.get("args") or {}
         return args == "ignore" or (a == b if args == "exact" else part_of(a, b))
 
-    def covers(big: list[dict], small: list[dict], flip: bool) -> bool:
-        left = list(big)
-        for s in small:
-            at = next((i for i, b in enumerate(left) if (same(s, b) if flip else same(b, s))), None)
-            if at is None:
-                return False
-            left.pop(at)
-        return True
+    def covered(small: list[dict], suits: Callable[[dict, dict], bool], big: list[dict]) -> bool:
+        return len(small) <= len(big) and all_matched([[i for i, b in enumerate(big) if suits(s, b)] for s in small])
 
     if mode == "strict":
         return len(have) == len(want) and all(map(same, have, want))
-    if mode == "unordered":
-        return len(have) == len(want) and covers(have, want, False)
-    return covers(have, want, False) if mode == "superset" else covers(want, have, True)
+    if mode == "subset":
+        return covered(have, same, want)
+    return (mode == "superset" or len(have) == len(want)) and covered(want, lambda w, h: same(h, w), have)
 
 
 def trajectory_match(mode: str = "unordered", args: str = "subset") -> Callable[..., Column]:
-    """A function of (calls, reference) as JSON text: strict, unordered, subset or superset; null without a reference."""
+    """A function of (calls, reference) as JSON text: strict, unordered, subset or superset; null without a reference.
+
+    Without order, calls and reference are matched one to one (bipartite matching), so a
+    call that suits several references takes none that another needs.
+    """
     if mode not in ("strict", "unordered", "subset", "superset") or args not in ("exact", "ignore", "subset"):
         raise ValueError(f"unknown trajectory match {mode}/{args}")
 

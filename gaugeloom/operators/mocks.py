@@ -7,43 +7,84 @@ joined with lists, one row each.
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.jsonvalues import first_containing, flat_match, json_digest, scalar_members
+from ..functions import jsontext
+from ..functions.jsonvalues import json_digest
+
+
+def deepest(rules: DataFrame) -> int:
+    """How deep the matchers of a rule table are: one number, by a pass over the rules."""
+    return rules.agg(F.coalesce(F.max(jsontext.depth_of(F.col("match_args"))), F.lit(1))).first()[0] or 1
 
 
-def first_match(calls: DataFrame, rules: DataFrame, keys: list[str] | None = None, nested: bool = True) -> DataFrame:
+def first_match(calls: DataFrame, rules: DataFrame, keys: list[str] | None = None, depth: int | None = None) -> DataFrame:
     """``calls`` with rule_idx and response of the first rule that matches; nulls if none does.
 
     ``keys``: further columns that calls and rules share, such as the case. A list of
-    rules is one array, so a call meets its list in one row and rows don't multiply.
-    Members that are no objects or lists are compared by Spark; only calls whose first
-    candidate has others go to Python. ``nested`` false: there are none, and no Python.
+    rules is one array, so a call meets its list in one row and rows don't multiply; for
+    tools with very many rules there is ``first_match_indexed``. A rule matches a call
+    that has all its leaves (jsontext.leaves); ``depth``: of the deepest matcher, found by
+    a pass over the rules if it isn't given.
+    """
+    on = ["tool", *(keys or [])]
+    depth = depth or deepest(rules)
+    wanted = jsontext.wanted_leaves(F.col("match_args"), depth).alias("wanted")
+    lists = rules.groupBy(*on).agg(F.sort_array(F.collect_list(F.struct("rule_idx", "response", wanted))).alias("_rules"))
+    held = calls.join(lists, on, "left").withColumn("_args", jsontext.leaves(F.col("args"), depth))
+    found = F.get(F.filter("_rules", lambda r: jsontext.met(r["wanted"], F.col("_args"))), F.lit(0))
+    return held.withColumn("_found", found).withColumn("rule_idx", F.col("_found.rule_idx")).withColumn("response", F.col("_found.response")).drop("_rules", "_args", "_found")
+
+
+def first_match_indexed(calls: DataFrame, rules: DataFrame, keys: list[str] | None = None, depth: int | None = None) -> DataFrame:
+    """first_match for thousands of rules a tool: calls are looked up in an inverted index from leaves to rules.
+
+    A rule stands in the index once, under that of its leaves which the fewest rules of
+    its tool share, and only the first of rules that ask the same. Calls of one tool with
+    equal args have one answer, so each is looked up once, by all its leaves; a rule found
+    matches if the call has the rest of its leaves too. Rules without leaves match all
+    calls. The first of the matching rules is the answer.
     """
     on = ["tool", *(keys or [])]
-    lists = rules.groupBy(*on).agg(F.sort_array(F.collect_list(F.struct("rule_idx", "match_args", "response"))).alias("list"))
-    lists = lists.select(*on, F.transform("list", lambda r: F.struct(r["rule_idx"].alias("rule_idx"), r["match_args"].alias("match_args"), r["response"].alias("response"), scalar_members(F.coalesce(r["match_args"], F.lit("{}"))).alias("members"))).alias("_rules"))
-    met = calls.join(lists, on, "left").withColumn("_args", scalar_members(F.col("args")))
-    deep = lambda value: value.rlike(r"^[\[{]")
-    fits = lambda r: F.forall(F.map_entries(r["members"]), lambda m: deep(m["value"]) | F.coalesce(F.try_element_at(F.col("_args"), m["key"]) == m["value"], F.lit(False)))
-    met = met.withColumn("_rules", F.filter("_rules", fits))
-    found = F.get("_rules", F.lit(0))
-    if nested:
-        unsure = F.exists(F.map_values(found["members"]), deep)
-        place = first_containing(F.when(unsure, F.col("args")), F.when(unsure, F.transform("_rules", lambda r: r["match_args"])))
-        met = met.withColumn("_place", place)
-        found = F.when(F.coalesce(unsure, F.lit(False)), F.get("_rules", F.col("_place"))).otherwise(found)
-    return met.withColumn("rule_idx", found["rule_idx"]).withColumn("response", found["response"]).drop("_rules", "_args", "_place")
+    depth = depth or deepest(rules)
+    wanted = F.array_sort(F.array_distinct(jsontext.wanted_leaves(F.col("match_args"), depth))).alias("wanted")
+    listed = rules.where("rule_idx is not null").select(*on, "rule_idx", "response", wanted)
+    known = listed.groupBy(*on, "wanted").agg(F.min("rule_idx").alias("rule_idx"))
+    entries = known.select(*on, "rule_idx", "wanted", F.explode("wanted").alias("leaf"))
+    sharing = entries.groupBy(*on, "leaf").agg(F.count("*").alias("sharing"))
+    rarest = F.min_by("leaf", F.struct("sharing", "leaf")).alias("leaf")
+    index = entries.join(sharing, [*on, "leaf"]).groupBy(*on, "rule_idx").agg(rarest, F.first("wanted").alias("wanted"))
+    free = known.where(F.size("wanted") == 0).select(*on, F.col("rule_idx").alias("free"))
+    asked = calls.select(*on, "args").distinct().select(*on, F.sha2("args", 256).alias("_id"), F.array_distinct(jsontext.leaves(F.col("args"), depth)).alias("have"))
+    looked = asked.select("*", F.explode("have").alias("leaf"))
+    hits = looked.join(index, [*on, "leaf"]).where(jsontext.met(F.col("wanted"), F.col("have")))
+    first = hits.groupBy(*on, "_id").agg(F.min("rule_idx").alias("hit"))
+    found = calls.withColumn("_id", F.sha2("args", 256)).join(first, [*on, "_id"], "left").join(free, on, "left")
+    found = found.withColumn("rule_idx", F.least("hit", "free")).drop("_id", "hit", "free")
+    return found.join(listed.select(*on, "rule_idx", "response"), [*on, "rule_idx"], "left").select(*calls.columns, "rule_idx", "response")
 
 
 def first_match_constant(calls: DataFrame, rules: dict[str, list[tuple[dict, str]]]) -> DataFrame:
-    """first_match for rule lists known when the plan is made: a chain of predicates, no join and no Python."""
-    index, response = F.lit(None).cast("int"), F.lit(None).cast("string")
-    for tool, own in rules.items():
-        for i in range(len(own) - 1, -1, -1):
-            hit = (F.col("tool") == tool) & flat_match(F.col("args"), own[i][0])
-            index, response = F.when(hit, i).otherwise(index), F.when(hit, F.lit(own[i][1])).otherwise(response)
-    return calls.withColumn("rule_idx", index).withColumn("response", response)
+    """first_match for rule lists known when the plan is made: a chain of predicates, no join."""
+    flat = [(tool, i, json.dumps(matcher), response) for tool, own in rules.items() for i, (matcher, response) in enumerate(own)]
+    table = calls.sparkSession.createDataFrame(flat, "tool string, rule_idx int, match_args string, response string")
+    depth = deepest(table)
+    leaves = table.select("tool", "rule_idx", "response", jsontext.wanted_leaves(F.col("match_args"), depth).alias("wanted")).orderBy("rule_idx").collect()
+    place = F.lit(None).cast("int")
+    for r in reversed(leaves):
+        hit = F.col("tool") == r["tool"]
+        if r["wanted"]:
+            hit &= F.coalesce(reduce(and_, [F.array_contains("_args", leaf) for leaf in r["wanted"]]), F.lit(False))
+        place = F.when(hit, r["rule_idx"]).otherwise(place)
+    texts = {tool: F.array(*[F.lit(response) for _, response in own]) for tool, own in rules.items()}
+    response = F.lit(None).cast("string")
+    for tool, own in texts.items():
+        response = F.when(F.col("tool") == tool, F.get(own, F.col("rule_idx"))).otherwise(response)
+    return calls.withColumn("_args", jsontext.leaves(F.col("args"), depth)).withColumn("rule_idx", place).withColumn("response", response).drop("_args")
 
 
 def merge_rules(dataset_rules: DataFrame, case_rules: DataFrame) -> DataFrame:
@@ -80,13 +121,13 @@ def with_fallback(case_rules: DataFrame, dataset_rules: DataFrame) -> DataFrame:
     return case_rules.where(real).select(*columns).unionByName(ranked.select(*columns))
 
 
-def unanswered(calls: DataFrame, rules: DataFrame, keys: list[str] | None = None, nested: bool = True) -> DataFrame:
+def unanswered(calls: DataFrame, rules: DataFrame, keys: list[str] | None = None, depth: int | None = None) -> DataFrame:
     """Calls whose tool has a rule list but no rule that matches. Tools without a list are left alone.
 
-    An empty list is a row of ``rules`` with a null rule_idx. ``nested`` as in first_match.
+    An empty list is a row of ``rules`` with a null rule_idx. ``depth`` as in first_match.
     """
     mocked = rules.select("tool", *(keys or [])).distinct()
-    hit = first_match(calls, rules.where("rule_idx is not null"), keys, nested)
+    hit = first_match(calls, rules.where("rule_idx is not null"), keys, depth)
     return hit.where("rule_idx is null").join(mocked, ["tool", *(keys or [])], "left_semi").drop("rule_idx", "response")
 
 

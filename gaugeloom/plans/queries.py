@@ -167,7 +167,7 @@ def rule_first_match(spark, d):
 
 @query(_MATCH + "SELECT event_id AS call_id, event_type AS tool, rule_idx, response FROM events LEFT JOIN hit ON call_id = event_id")
 def rule_first_match_join(spark, d):
-    return mocks.first_match(ad.event_calls(spark, d), ad.rule_table(spark).where("rule_idx is not null"), nested=False).select("call_id", "tool", "rule_idx", "response")
+    return mocks.first_match(ad.event_calls(spark, d), ad.rule_table(spark).where("rule_idx is not null"), depth=1).select("call_id", "tool", "rule_idx", "response")
 
 
 @query("""SELECT event_id AS call_id, CASE WHEN event_type = 'view' AND event_id % 3 = 1 THEN 0 WHEN event_type = 'view' AND event_id % 3 = 2 THEN 2 WHEN event_type = 'click' THEN 1 END AS rule_idx FROM events""")
@@ -179,14 +179,43 @@ def rule_match_nested(spark, d):
     return mocks.first_match(e, spark.createDataFrame(rules, "tool string, rule_idx int, match_args string, response string")).select("call_id", "rule_idx")
 
 
+#: Rules of one member that look alike, and calls of each kind: which rule answers it.
+_TYPED = (("1", 0), ("1.0", 0), ("true", 0), ('"1"', 1), ("null", 2), ("9007199254740993", 3), ("9007199254740992", 4), ("9007199254740992.0", 4), ('{"b": 2, "c": 0}', 5), ('{"b": 3}', 7), ("[1, {\"x\": true}]", 6), ("[1.0, {\"x\": 1}]", 6), ("[{\"x\": 1}, 1]", None), ("{}", 7), ("[]", None))
+_TYPED_RULES = ("1", '"1"', "null", "9007199254740993", "9007199254740992", '{"b": 2}', "[true, {\"x\": 1.0}]", "{}")
+
+
+@query(f"SELECT event_id AS call_id, ([{', '.join('NULL' if r is None else str(r) for _, r in _TYPED)}])[event_id % {len(_TYPED)} + 1]::INT AS by_list, ([{', '.join('NULL' if r is None else str(r) for _, r in _TYPED)}])[event_id % {len(_TYPED)} + 1]::INT AS by_chain FROM events")
+def rule_match_types(spark, d):
+    """Numbers, strings, booleans, nulls, objects and lists that look alike: the same answer by list and by constant chain."""
+    args = F.get(F.array(*[F.lit(f'{{"a": {v}}}') for v, _ in _TYPED]), (F.col("event_id") % len(_TYPED)).cast("int"))
+    e = table(spark, d, "events").select(F.col("event_id").alias("call_id"), F.lit("t").alias("tool"), args.alias("args"))
+    rules = spark.createDataFrame([("t", i, f'{{"a": {v}}}', "x") for i, v in enumerate(_TYPED_RULES)], "tool string, rule_idx int, match_args string, response string")
+    both = mocks.first_match(e, rules).select("call_id", "tool", "args", F.col("rule_idx").alias("by_list"))
+    chain = mocks.first_match_constant(both, {"t": [(json.loads(f'{{"a": {v}}}'), "x") for v in _TYPED_RULES]})
+    return chain.select("call_id", "by_list", F.col("rule_idx").alias("by_chain"))
+
+
+@query("""SELECT o_orderkey AS call_id, r.rule_idx, r.response FROM orders LEFT JOIN (
+SELECT c_custkey, (c_custkey * 2)::INT AS rule_idx, 'urgent' AS response, '1-URGENT' AS p FROM customer UNION ALL SELECT c_custkey, (c_custkey * 2 + 1)::INT, c_name, NULL FROM customer WHERE c_custkey % 3 > 0) r
+ON o_custkey = r.c_custkey AND (r.p IS NULL OR r.p = o_orderpriority) QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY r.rule_idx) = 1""")
+def rule_match_indexed(spark, d):
+    """One tool with up to two rules a customer: an order is a call that names its customer in an object."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("call_id"), F.lit("order").alias("tool"), F.to_json(F.struct(F.struct(F.col("o_custkey").alias("key"), F.lit(True).alias("known")).alias("customer"), F.col("o_orderpriority").alias("priority"), F.col("o_totalprice").alias("total"))).alias("args"))
+    c = table(spark, d, "customer")
+    key = F.struct(F.col("c_custkey").cast("double").alias("key"))
+    urgent = c.select(F.lit("order").alias("tool"), (F.col("c_custkey") * 2).cast("int").alias("rule_idx"), F.to_json(F.struct(F.lit("1-URGENT").alias("priority"), key.alias("customer"))).alias("match_args"), F.lit("urgent").alias("response"))
+    plain = c.where("c_custkey % 3 > 0").select(F.lit("order").alias("tool"), (F.col("c_custkey") * 2 + 1).cast("int").alias("rule_idx"), F.to_json(F.struct(key.alias("customer"))).alias("match_args"), F.col("c_name").alias("response"))
+    return mocks.first_match_indexed(o, urgent.unionByName(plain), depth=2).select("call_id", "rule_idx", "response")
+
+
 @query(_MATCH + "SELECT event_id AS call_id, event_type AS tool, props AS args FROM events WHERE event_type IN (SELECT tool FROM rules UNION SELECT 'error') AND event_id NOT IN (SELECT call_id FROM hit)")
 def rule_misses_anti(spark, d):
-    return mocks.unanswered(ad.event_calls(spark, d), ad.rule_table(spark), nested=False).select("call_id", "tool", "args")
+    return mocks.unanswered(ad.event_calls(spark, d), ad.rule_table(spark), depth=1).select("call_id", "tool", "args")
 
 
 @query(_MATCH + ", miss AS (SELECT count(*) AS n FROM events WHERE event_type IN (SELECT tool FROM rules UNION SELECT 'error') AND event_id NOT IN (SELECT call_id FROM hit)) SELECT 'real' AS policy, n AS misses, 0::BIGINT AS llm_answered, n = 0 AS ok FROM miss")
 def verify_summary(spark, d):
-    return mocks.verify_summary(mocks.unanswered(ad.event_calls(spark, d), ad.rule_table(spark), nested=False), "real")
+    return mocks.verify_summary(mocks.unanswered(ad.event_calls(spark, d), ad.rule_table(spark), depth=1), "real")
 
 
 @query(_MATCH + "SELECT event_type AS tool, CASE WHEN rule_idx IS NOT NULL THEN 'rule' ELSE 'llm' END AS layer, count(*) AS n FROM events LEFT JOIN hit ON call_id = event_id GROUP BY ALL")
@@ -290,6 +319,17 @@ def trajectory_match(spark, d):
     return _order_calls(spark, d).select("case_id", *[ev.trajectory_match(m, "ignore")("calls", want).alias(m) for m in modes])
 
 
+@query(f"""WITH {LINES_SQL}, o AS (SELECT l_orderkey AS case_id, count(*) AS n, count(*) FILTER (l_returnflag = 'A') AS a, count(*) FILTER (l_returnflag = 'A' AND l_linestatus = 'F') AS f, bool_and(l_tax = 0.02) AS low FROM lines GROUP BY 1)
+SELECT case_id, (n = 2 AND a = 2 AND f >= 1)::INT::DOUBLE AS unordered, (a >= 2 AND f >= 1)::INT::DOUBLE AS superset, (n <= 2 AND a = n AND (n < 2 OR f >= 1))::INT::DOUBLE AS subset, (n = 2 AND a = 2 AND f = 2 AND low)::INT::DOUBLE AS exact FROM o""")
+def trajectory_match_args(spark, d):
+    """A reference that any call with flag A suits, listed before one that only some suit: a call must not be wasted on the first."""
+    want = F.lit(json.dumps([{"name": "A", "args": {}}, {"name": "A", "args": {"s": "F"}}]))
+    same = F.lit(json.dumps([{"name": "A", "args": {"deep": {"t": 0.02}, "s": "F"}}] * 2))
+    calls = _order_calls(spark, d)
+    scores = [ev.trajectory_match(m)("calls", want).alias(m) for m in ("unordered", "superset", "subset")]
+    return calls.select("case_id", *scores, ev.trajectory_match("unordered", "exact")("calls", same).alias("exact"))
+
+
 @query("""SELECT event_id, CASE WHEN event_type = 'view' THEN '$: missing required ' || chr(39) || 'q' || chr(39) WHEN event_type = 'click' THEN '$.q: expected string, got int' WHEN event_type = 'error' THEN '$.n: above maximum 9; $: unexpected property ' || chr(39) || 'z' || chr(39) ELSE '' END AS problems FROM events""")
 def schema_problems(spark, d):
     schema = {"type": "object", "required": ["q"], "properties": {"q": {"type": "string"}, "n": {"type": "integer", "maximum": 9}}, "additionalProperties": False}

@@ -153,7 +153,7 @@ def _short_escapes(s: Column) -> Column:
     """Control characters escaped with small digits, as Python does."""
     low = s
     for digit in "ABCDEF":
-        low = F.when(low.rlike(rf"\\u00[01]{digit}"), F.regexp_replace(low, rf"(\\u00[01]){digit}", f"$1{digit.lower()}")).otherwise(low)
+        low = F.regexp_replace(low, rf"(\\u00[01]){digit}", f"$1{digit.lower()}")
     return F.when(s.contains("\\u00"), low).otherwise(s)
 
 
@@ -164,8 +164,8 @@ def digest(text: Column) -> Column:
 
 def json_string(value: Column) -> Column:
     """A string as canonical JSON; null is the word null."""
-    listed = F.to_json(F.array(value))
-    return F.when(value.isNull(), "null").otherwise(_short_escapes(F.substring(listed, F.lit(2), F.length(listed) - 2)))
+    listed = F.transform(F.array(value), lambda v: F.struct(v.alias("v"), F.to_json(F.array(v)).alias("text")))
+    return F.get(F.transform(listed, lambda x: F.when(x["v"].isNull(), "null").otherwise(unmasked(_short_escapes(F.replace(F.substring(x["text"], F.lit(2), F.length(x["text"]) - 2), F.lit("\\\\"), F.lit(_SLASH)))))), F.lit(0))
 
 
 def equal_number(number: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.jsonschema import argument_problems, conformance, sample_of
+from ..functions.jsonschema import argument_problems, conformance, known_schemas, sample_of
 
 DEFAULT = "default"
 
@@ -21,6 +21,11 @@ def _prefixed(prefix: Column, problems: Column) -> Column:
     return F.transform(problems, lambda p: F.concat(prefix, F.lit(" "), p))
 
 
+def _outputs(tools: DataFrame) -> DataFrame:
+    """tool, its output schema and a sample of it: a row a tool."""
+    return tools.select("tool", F.coalesce("output_schema", F.lit("{}")).alias("_output")).withColumn("_sample", sample_of("_output"))
+
+
 def strategy_problems(strategies: DataFrame, tools: DataFrame) -> DataFrame:
     """strategy, tool, problem of entries (strategy, tool, behavior, fallback_response, examples: array of JSON text).
 
@@ -29,12 +34,13 @@ def strategy_problems(strategies: DataFrame, tools: DataFrame) -> DataFrame:
     schema; there is a strategy called default.
     """
     keys = ["strategy", "tool"]
+    args_schemas, output_schemas = (known_schemas(tools, c) for c in ("args_schema", "output_schema"))
     known = tools.select("tool", F.coalesce("args_schema", F.lit("{}")).alias("_args"), F.coalesce("output_schema", F.lit("{}")).alias("_output"), F.lit(True).alias("_known"))
     e = strategies.join(known, "tool", "left")
     lost = e.where("_known is null").select(*keys, F.lit("unknown tool").alias("problem"))
     silent = e.where("_known and coalesce(trim(behavior), '') = ''").select(*keys, F.lit("needs a behavior text").alias("problem"))
     usable = e.where("_known and coalesce(trim(behavior), '') <> ''")
-    fallback = _problem(usable.where("fallback_response is not null"), keys, _prefixed(F.lit("fallback_response"), conformance("fallback_response", "_output")))
+    fallback = _problem(usable.where("fallback_response is not null"), keys, _prefixed(F.lit("fallback_response"), conformance("fallback_response", "_output", output_schemas)))
     x = usable.select(*keys, "_args", "_output", F.posexplode("examples").alias("i", "x"))
     where = F.concat(F.lit("example "), F.col("i").cast("string"))
     members = F.json_object_keys("x")
@@ -43,7 +49,7 @@ def strategy_problems(strategies: DataFrame, tools: DataFrame) -> DataFrame:
     x = x.withColumns({"_where": where, "_whole": whole, "_a": args, "_r": F.coalesce(response, F.lit("null"))})
     broken = x.where(~F.col("_whole")).select(*keys, F.concat("_where", F.lit(" needs args (object) and response")).alias("problem"))
     good = x.where("_whole")
-    wrong = _problem(good, keys, _prefixed(F.concat("_where", F.lit(" args")), argument_problems("_a", "_args"))).unionByName(_problem(good, keys, _prefixed(F.concat("_where", F.lit(" response")), conformance("_r", "_output"))))
+    wrong = _problem(good, keys, _prefixed(F.concat("_where", F.lit(" args")), argument_problems("_a", "_args", args_schemas))).unionByName(_problem(good, keys, _prefixed(F.concat("_where", F.lit(" response")), conformance("_r", "_output", output_schemas))))
     named = strategies.agg(F.coalesce(F.bool_or(F.col("strategy") == DEFAULT), F.lit(False)).alias("has"))
     missing = named.where("not has").select(F.lit(None).cast("string").alias("strategy"), F.lit(None).cast("string").alias("tool"), F.lit("a default strategy is required").alias("problem"))
     out = lost
@@ -57,10 +63,10 @@ def completed_strategies(strategies: DataFrame, tools: DataFrame, behavior: str
 
     A fallback that doesn't conform is replaced by a sample of the output schema.
     """
-    known = tools.select("tool", F.coalesce("output_schema", F.lit("{}")).alias("_output"))
+    known = _outputs(tools)
     own = strategies.where("coalesce(trim(behavior), '') <> ''").join(known, "tool")
-    fits = F.col("fallback_response").isNull() | (F.size(conformance("fallback_response", "_output")) == 0)
-    own = own.withColumn("_fits", fits).select("strategy", "tool", "behavior", F.when(F.col("_fits"), F.col("fallback_response")).otherwise(sample_of("_output")).alias("fallback_response"))
+    fits = F.col("fallback_response").isNull() | (F.size(conformance("fallback_response", "_output", known_schemas(tools, "output_schema"))) == 0)
+    own = own.withColumn("_fits", fits).select("strategy", "tool", "behavior", F.when(F.col("_fits"), F.col("fallback_response")).otherwise(F.col("_sample")).alias("fallback_response"))
     bare = tools.select("tool").distinct().join(own.where(F.col("strategy") == DEFAULT).select("tool"), "tool", "left_anti")
     return own.unionByName(bare.select(F.lit(DEFAULT).alias("strategy"), "tool", F.lit(behavior).alias("behavior"), F.lit(None).cast("string").alias("fallback_response")))
 
@@ -71,15 +77,15 @@ def authored_rules(rules: DataFrame, tools: DataFrame, wildcard: bool = True) ->
     With ``wildcard`` a tool whose last rule doesn't match all, or that has none, gets one
     more that does and answers with a sample.
     """
-    known = tools.select("tool", F.coalesce("output_schema", F.lit("{}")).alias("_output"))
-    own = rules.join(known, "tool").withColumn("repaired", F.size(conformance("response", "_output")) > 0)
-    own = own.select("tool", "rule_idx", "match_args", F.when(F.col("repaired"), sample_of("_output")).otherwise(F.col("response")).alias("response"), "repaired")
+    known = _outputs(tools)
+    own = rules.join(known, "tool").withColumn("repaired", F.size(conformance("response", "_output", known_schemas(tools, "output_schema"))) > 0)
+    own = own.select("tool", "rule_idx", "match_args", F.when(F.col("repaired"), F.col("_sample")).otherwise(F.col("response")).alias("response"), "repaired")
     if not wildcard:
         return own
     last = own.groupBy("tool").agg(F.max("rule_idx").alias("_last"), F.max_by("match_args", "rule_idx").alias("_match"))
     wild = F.coalesce(F.regexp_replace("_match", r"\s", ""), F.lit("none")) == "{}"
     short = known.join(last, "tool", "left").where(~wild)
-    more = short.select("tool", (F.coalesce("_last", F.lit(-1)) + 1).cast("int").alias("rule_idx"), F.lit("{}").alias("match_args"), sample_of("_output").alias("response"), F.lit(False).alias("repaired"))
+    more = short.select("tool", (F.coalesce("_last", F.lit(-1)) + 1).cast("int").alias("rule_idx"), F.lit("{}").alias("match_args"), F.col("_sample").alias("response"), F.lit(False).alias("repaired"))
     return own.unionByName(more)
 
 

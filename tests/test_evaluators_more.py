@@ -3,7 +3,7 @@ import json
 import pandas as pd
 from pyspark.sql import functions as F
 
-from gaugeloom.functions import jsonschema as js, text as tx
+from gaugeloom.functions import jsonschema as js, samples as sm, text as tx
 from gaugeloom.operators import coverage as cov, evaluators as ev, simulation as sim
 
 
@@ -53,16 +53,13 @@ def test_judge_seam(spark):
 def test_schema_messages(spark):
     schema = {"type": "object", "properties": {"query": {"type": "string"}, "n": {"type": "integer", "minimum": 1}, "k": {"$ref": "#/$defs/K"}}, "required": ["query"], "$defs": {"K": {"enum": ["a", "b"]}}}
     check = js.schema_problems(schema)
-    f = lambda v: one(spark, check("v"), v=v)
+    f = lambda v: one(spark, check(F.col("v")), v=v)
     assert f({"query": 5}) == ["$.query: expected string, got int"]
     assert f({"query": "x", "n": True}) == ["$.n: expected integer, got bool"]
     assert f({"n": 0}) == ["$: missing required 'query'", "$.n: below minimum 1"]
     assert f({"query": "x", "k": "c"}) == ["$.k: 'c' not in enum ['a', 'b']"]
     assert f({"query": "x"}) == []
     assert js.Validator(schema, partial=True).problems({}) == []
-    flat = {"type": "object", "properties": {"query": {"type": "string"}}, "required": ["query"]}
-    assert one(spark, js.flat_problems(F.col("v"), flat), v={"query": 5}) == ["$.query: expected string, got int"]
-    assert one(spark, js.flat_problems(F.col("v"), flat), v={}) == ["$: missing required 'query'"]
 
 
 def test_edge_cases_take_turns(spark):
@@ -149,11 +146,10 @@ def test_skill_text(spark):
 
 def test_samples_conform_and_corruptions_do_not():
     schema = {"type": "object", "required": ["n"], "properties": {"n": {"type": "integer", "minimum": 3}, "when": {"type": "string", "format": "date"}, "code": {"type": "string", "pattern": "^\\d{4}$"}, "k": {"anyOf": [{"type": "null"}, {"$ref": "#/$defs/K"}]}, "l": {"type": "array", "items": {"type": "number", "exclusiveMaximum": 1}, "minItems": 2}}, "$defs": {"K": {"enum": ["a"]}}}
-    own = js.Sampler(schema)
-    assert own.good() == {"n": 3, "when": "2026-01-15", "code": "1111", "k": "a", "l": [0.0, 0.0]}
+    assert sm.sample(schema) == {"n": 3, "when": "2026-01-15", "code": "1111", "k": "a", "l": [0.0, 0.0]}
     check = js.Validator(schema)
-    assert check.problems(own.good()) == []
-    assert check.problems(own.bad()) == ["$: missing required 'n'"] and check.problems(own.bad("wrong_type")) == ["$.n: expected integer, got str"]
+    assert check.problems(sm.sample(schema)) == []
+    assert check.problems(sm.spoiled(schema)) == ["$: missing required 'n'"] and check.problems(sm.spoiled(schema, "wrong_type")) == ["$.n: expected integer, got str"]
 
 
 def test_map_checks(spark):

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeloom.functions import jsonschema as js, text as tx
+from gaugeloom.functions import jsonschema as js, samples as sm, text as tx
 from gaugeloom.functions.jsonvalues import case_identity, digest, document_identity
 from gaugeloom.operators import agentmap as am, cases as cs, mocks, scores as sc, simulation as sim
 from gaugeloom.sources import sinks
@@ -89,12 +89,12 @@ def test_identities_keep_nulls(spark):
 
 
 def test_samples_follow_the_order_of_keywords():
-    own = lambda s: js.Sampler(s).good()
+    own = sm.sample
     assert own({"const": 1, "enum": [2], "examples": [3]}) == 1 and own({"enum": [2], "examples": [3]}) == 2 and own({}) == {}
     assert own({"type": "string", "minLength": 12}) == "example-exam" and own({"type": "integer", "exclusiveMinimum": 4}) == 5
     assert own({"allOf": [{"type": "number"}, {"maximum": -2}]}) == -2.0
-    assert js.Sampler({}).bad() == {"error": "malformed tool output"} and js.Sampler({"type": "string"}).bad() == "malformed: example"
-    assert js.Sampler({"properties": {"o": {"type": ["null", "object"]}}}).bad("wrong_type") == {"o": "free text instead of structured data"}
+    assert sm.spoiled({}) == {"error": "malformed tool output"} and sm.spoiled({"type": "string"}) == "malformed: example"
+    assert sm.spoiled({"properties": {"o": {"type": ["null", "object"]}}}, "wrong_type") == {"o": "free text instead of structured data"}
 
 
 def test_stamps_and_wraps(spark):

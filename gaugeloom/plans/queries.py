@@ -338,6 +338,21 @@ def schema_problems(spark, d):
     return table(spark, d, "events").select("event_id", F.array_join(js.schema_problems(schema)(value), "; ").alias("problems"))
 
 
+@query(f"""WITH {LINES_SQL}, l AS (SELECT l_orderkey AS k, run_ordinal AS i, l_returnflag AS f, l_tax AS t FROM lines),
+x AS (SELECT k, string_agg(nullif(concat_ws('; ', CASE WHEN f = 'R' THEN '$.lines[' || i || '].flag: ''R'' not in enum [''A'', ''N'']' END, CASE WHEN t > 0.06 THEN '$.lines[' || i || '].deep.tax: above maximum 0.06' END), ''), '; ' ORDER BY i) AS texts, count(*) AS n FROM l GROUP BY k)
+SELECT o_orderkey AS case_id, concat_ws('; ', CASE WHEN o_orderpriority[1] > '3' THEN '$.priority: does not match pattern {chr(39) * 2}^[1-3]-{chr(39) * 2}' END, CASE WHEN o_totalprice > 300000 THEN '$.total: matches no anyOf branch ($.total: above maximum 300000; $.total: expected string, got float)' END,
+texts, CASE WHEN n > 6 THEN '$.lines: more than 6 items' END, CASE WHEN o_orderstatus = 'F' THEN '$: unexpected property ''done''' END) AS problems FROM orders JOIN x ON k = o_orderkey""")
+def schema_problems_nested(spark, d):
+    """An order and its lines as one document, against a schema of references, lists, branches, limits and patterns."""
+    line = {"type": "object", "properties": {"flag": {"enum": ["A", "N"]}, "deep": {"properties": {"tax": {"$ref": "#/$defs/Tax"}}}}, "required": ["flag"]}
+    schema = {"type": "object", "properties": {"priority": {"type": "string", "pattern": "^[1-3]-"}, "total": {"anyOf": [{"maximum": 300000}, {"type": "string"}]}, "lines": {"type": "array", "items": {"$ref": "#/$defs/Line"}, "maxItems": 6}}, "additionalProperties": False, "$defs": {"Line": line, "Tax": {"type": "number", "maximum": 0.06}}}
+    one = F.struct("run_ordinal", F.struct(F.col("l_returnflag").alias("flag"), F.struct(F.col("l_tax").alias("tax")).alias("deep")).alias("line"))
+    lines = ad.lines(spark, d).groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(one))["line"].alias("lines"))
+    o = table(spark, d, "orders").join(lines, "o_orderkey")
+    document = F.to_json(F.struct(F.col("o_orderpriority").alias("priority"), F.col("o_totalprice").cast("double").alias("total"), "lines", F.when(F.col("o_orderstatus") == "F", True).alias("done")))
+    return o.select(F.col("o_orderkey").alias("case_id"), F.array_join(js.schema_problems(schema)(document), "; ").alias("problems"))
+
+
 @query("""WITH t AS (SELECT n_name AS tool, n_regionkey::INT AS m FROM nation), e AS (
 SELECT tool, 1 AS place, 'missing_required' AS kind, 'days' AS field, '`days` (integer) is required by ' || tool || ' but the user does not provide it' AS detail, 'Ask the user for `days` instead of calling ' || tool || ' with a guessed or placeholder value.' AS expected_behavior FROM t UNION ALL
 SELECT tool, 2, 'wrong_type', 'days', '`days` expects integer; the user gives a non-conforming value', 'Do not pass the malformed `days` to ' || tool || '; ask for a valid integer or explain the requirement.' FROM t UNION ALL

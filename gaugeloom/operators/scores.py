@@ -58,23 +58,40 @@ def case_means(scores: DataFrame) -> DataFrame:
     return scored(scores).groupBy("case_id", "metric").agg(F.avg("score").alias("mean"), F.min("score").alias("low"), F.count("score").alias("n"))
 
 
-def metric_rates(scores: DataFrame, thresholds: dict[str, float] | None = None, default: float = 0.6) -> DataFrame:
-    """metric, pass_rate, min_over_repeats, n_cases, n_scores, errors, threshold, passed; rates unrounded.
-
-    Metrics that only failed keep a row with null rates; metrics that were only skipped have none.
-    """
-    counted = scores.where("outcome <> 'skipped'").groupBy("case_id", "metric").agg(
-        F.avg(F.when(F.col("outcome") == "scored", F.col("score"))).alias("mean"),
-        F.min(F.when(F.col("outcome") == "scored", F.col("score"))).alias("low"),
-        F.count_if(F.col("outcome") == "scored").alias("n"), F.count_if(F.col("outcome") == "error").alias("bad"),
+def case_cells(scores: DataFrame) -> DataFrame:
+    """case_id, metric, total, n, low, high, bad: a case's repeats in one row a metric, in parts that can be merged."""
+    hit = F.when(F.col("outcome") == "scored", F.col("score"))
+    return scores.where("outcome <> 'skipped'").groupBy("case_id", "metric").agg(
+        F.sum(hit).alias("total"), F.count_if(F.col("outcome") == "scored").alias("n"), F.min(hit).alias("low"), F.max(hit).alias("high"), F.count_if(F.col("outcome") == "error").alias("bad"),
     )
-    rates = counted.groupBy("metric").agg(
+
+
+def merged_cells(cells: DataFrame) -> DataFrame:
+    """The cells of all scores from those of parts of them."""
+    return cells.groupBy("case_id", "metric").agg(F.sum("total").alias("total"), F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("bad").alias("bad"))
+
+
+def _mean() -> Column:
+    return F.when(F.col("n") > 0, F.col("total") / F.col("n"))
+
+
+def rates_of_cells(cells: DataFrame, thresholds: dict[str, float] | None = None, default: float = 0.6) -> DataFrame:
+    """metric_rates from a case's cells."""
+    rates = cells.withColumn("mean", _mean()).groupBy("metric").agg(
         F.avg("mean").alias("pass_rate"), F.avg("low").alias("min_over_repeats"), F.count("mean").alias("n_cases"),
         F.sum("n").alias("n_scores"), F.sum("bad").alias("errors"),
     )
     return rates.withColumn("threshold", threshold_of(F.col("metric"), thresholds, default)).withColumn("passed", F.coalesce(F.col("pass_rate") >= F.col("threshold"), F.lit(False)))
 
 
+def metric_rates(scores: DataFrame, thresholds: dict[str, float] | None = None, default: float = 0.6) -> DataFrame:
+    """metric, pass_rate, min_over_repeats, n_cases, n_scores, errors, threshold, passed; rates unrounded.
+
+    Metrics that only failed keep a row with null rates; metrics that were only skipped have none.
+    """
+    return rates_of_cells(case_cells(scores), thresholds, default)
+
+
 def threshold_of(metric: Column, thresholds: dict[str, float] | None, default: float) -> Column:
     if not thresholds:
         return F.lit(float(default))
@@ -86,21 +103,26 @@ def cube(scores: DataFrame, cases: DataFrame, dims: tuple[str, ...] = SLICE_DIMS
     """dim, value, metric, n, rate, low, n_cases, n_scores, errors: all that rates, slices and the verdict need, from one pass.
 
     The dim ``all`` has the metrics over all cases. A row without metric has the number n
-    of cases of its slice. Scores and cases meet once, by case_id; from there on a case
-    is one row with its metrics, of which there are few, in an array.
+    of cases of its slice. A case's repeats are combined before they are shuffled; scores
+    and cases meet by case_id, where a case is one row with its metrics, of which there
+    are few; cases of equal tags are added up before they become a row a dimension.
     """
     is_scored = F.col("outcome") == "scored"
-    per = scores.repartition("case_id").groupBy("case_id", "metric").agg(
+    per = scores.groupBy("case_id", "metric").agg(
         F.avg(F.when(is_scored, F.col("score"))).alias("mean"), F.min(F.when(is_scored, F.col("score"))).alias("low"),
         F.count_if(is_scored).alias("n"), F.count_if(F.col("outcome") == "error").alias("bad"),
     )
     own = per.groupBy("case_id").agg(F.collect_list(F.struct("metric", "mean", "low", "n", "bad")).alias("own"))
-    known = own.join(cases.select("case_id", *dims), "case_id", "left").withColumn("all", F.lit("all"))
+    known = own.join(cases.select("case_id", *dims), "case_id", "left")
     marker = F.array(F.struct(F.lit(None).cast("string").alias("metric"), F.lit(None).cast("double").alias("mean"), F.lit(None).cast("double").alias("low"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("bad")))
-    rows = by_dimension(known, ("all", *dims)).select("dim", "value", F.explode(F.concat("own", marker)).alias("m"))
-    return rows.groupBy("dim", "value", "m.metric").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("m.mean").alias("rate"), F.avg("m.low").alias("low"), F.count("m.mean").alias("n_cases"),
-        F.sum("m.n").alias("n_scores"), F.sum("m.bad").alias("errors"),
+    tagged = known.select(*dims, F.explode(F.concat("own", marker)).alias("m")).groupBy(*dims, "m.metric").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("m.mean").alias("means"), F.sum("m.low").alias("lows"), F.count("m.mean").alias("cases"), F.sum("m.n").alias("scores"), F.sum("m.bad").alias("bad"),
+    )
+    rows = by_dimension(tagged.withColumn("all", F.lit("all")), ("all", *dims))
+    average = lambda c: F.try_divide(F.sum(c), F.sum("cases"))
+    return rows.groupBy("dim", "value", "metric").agg(
+        F.sum("rows").alias("n"), average("means").alias("rate"), average("lows").alias("low"), F.sum("cases").alias("n_cases"),
+        F.sum("scores").alias("n_scores"), F.sum("bad").alias("errors"),
     )
 
 

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 
 def progress(done: DataFrame) -> DataFrame:
@@ -24,36 +24,65 @@ def with_totals(counts: DataFrame, planned: DataFrame) -> DataFrame:
 
 
 OUT = "conv_id long, turns int, stop_reason string"
-STATE = "turns int, users int, stopped boolean"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def follow(messages: DataFrame, needle: str, max_turns: int) -> DataFrame:
-    """A row for each conversation that stops: success as soon as a reply holds the needle, max_turns when a user goes on after the last turn.
+class Talk(StatefulProcessor):
+    """One conversation: its replies so far, and a timer for its silence.
 
-    messages (a stream): conv_id, turn, role, text. Messages of a batch are put in order of
-    turn; a conversation that has stopped ignores what follows.
+    The state of a conversation goes when it is over or falls silent. That it is over is
+    remembered for as long as its messages may come late, by a timer too, and then
+    forgotten.
     """
-    low = needle.lower()
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        turns, users, stopped = state.get if state.exists else (0, 0, False)
-        rows = pd.concat(list(batches)).sort_values("turn", kind="stable")
+    def __init__(self, needle: str, max_turns: int, idle_ms: int) -> None:
+        self.needle, self.max_turns, self.idle_ms = needle.lower(), max_turns, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.talk = handle.getValueState("talk", "turns int, over boolean, at long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        turns, over, before = self.talk.get() if self.talk.exists() else (0, False, None)
+        messages = pd.concat(list(rows)).sort_values("turn", kind="stable")
         reason = None
-        for role, text in zip(rows["role"], rows["text"], strict=True):
-            if stopped:
+        for role, text in zip(messages["role"], messages["text"], strict=True):
+            if over:
                 break
             if role == "user":
-                users += 1
-                reason = "max_turns" if turns >= max_turns else None
+                reason = "max_turns" if turns >= self.max_turns else None
             elif role == "assistant":
                 turns += 1
-                reason = "success" if low and low in (text or "").lower() else None
-            stopped = reason is not None
-        state.update((turns, users, stopped))
+                reason = "success" if self.needle and self.needle in (text or "").lower() else None
+            over = reason is not None
+        at = max(int(messages["ts"].max().timestamp() * 1000), before - self.idle_ms if before else 0) + self.idle_ms
+        if before is not None and before != at:
+            self.handle.deleteTimer(before)
+        self.handle.registerTimer(at)
+        self.talk.update((turns, over, at))
         if reason is not None:
             yield pd.DataFrame({"conv_id": [key[0]], "turns": [turns], "stop_reason": [reason]})
 
-    return messages.groupBy("conv_id").applyInPandasWithState(step, OUT, STATE, "append", "NoTimeout")
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        turns, over, _ = self.talk.get() if self.talk.exists() else (0, True, None)
+        self.talk.clear()
+        if not over:
+            yield pd.DataFrame({"conv_id": [key[0]], "turns": [min(turns, self.max_turns)], "stop_reason": ["exhausted"]})
+
+    def close(self) -> None:
+        pass
+
+
+def follow(messages: DataFrame, needle: str, max_turns: int, idle_seconds: int = 3600, late: str = "0 seconds") -> DataFrame:
+    """A row for each conversation that ends: success as soon as a reply holds the needle, max_turns when a user goes on after the last turn, exhausted when it has been silent for ``idle_seconds``.
+
+    messages (a stream): conv_id, turn, role, text, ts. Messages of a batch are put in
+    order of turn; a conversation that is over ignores what follows. Time is that of the
+    messages, which may come ``late``. The session keeps state in RocksDB from here on.
+    """
+    messages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    keyed = messages.withWatermark("ts", late).groupBy("conv_id")
+    return keyed.transformWithStateInPandas(Talk(needle, max_turns, idle_seconds * 1000), OUT, "Append", "EventTime")
 
 
 def conversations(cases: DataFrame, agent, max_turns: int = 20) -> DataFrame:

@@ -86,15 +86,6 @@ def test_progress_stream_equals_batch(spark, tmp_path):
     assert {r.group: r.fraction for r in pg.with_totals(pg.progress(rows), planned).collect()} == {"i": 0.5, "k": 1.0}
 
 
-def test_conversations_are_followed_to_their_stop(spark, tmp_path):
-    m = [(1, 0, "user", "a"), (1, 1, "assistant", "DONE now"), (2, 0, "user", "a"), (2, 1, "assistant", "b"), (2, 2, "user", "c"), (3, 0, "user", "x")]
-    df = spark.createDataFrame(m, "conv_id long, turn long, role string, text string")
-    df.write.parquet(str(tmp_path / "talk"))
-    q = pg.follow(spark.readStream.schema(df.schema).parquet(str(tmp_path / "talk")), "done", 1).writeStream.outputMode("append").format("memory").queryName("talks").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert sorted(map(tuple, spark.table("talks").collect())) == [(1, 1, "success"), (2, 1, "max_turns")]
-
-
 def test_replay_stops_at_an_error(spark):
     cases = spark.createDataFrame([("a", "hi", ["more"]), ("b", "fail", ["never"])], "case_id string, opening string, user_turns array<string>")
 

@@ -110,6 +110,22 @@ def test_neighbours_of_odd_vectors(spark):
     assert ivfpq.search(df.limit(0)).collect() == []
 
 
+def test_neighbours_of_repeated_and_clashing_rows(spark):
+    """A query row that is there twice asks once; two vectors of one id are two queries; other columns may have the operator's own names."""
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(100)]
+    other = rng.normal(size=8).tolist()
+    rows += [rows[20], rows[40], (40, other)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as cell", "2 as version", "'x' as v", "3 as `a.b`", "4 as query_id")
+    got = ivfpq.search(df, k=5, probes=1.0, short=None).collect()
+    want = []
+    for q, v in {(i, tuple(v)) for i, v in rows if i % 20 == 0}:
+        scored = sorted((-float(np.dot(v, x)), i) for i, x in rows if i != q)[:5]
+        want += [(q, n, i, round(-s, 9)) for n, (s, i) in enumerate(scored, 1)]
+    assert sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in got) == sorted(want)
+    assert Counter(r.query_id for r in got) == {0: 5, 20: 5, 40: 10, 60: 5, 80: 5}
+
+
 def plain_pages(rows):
     first = {}
     for p, h, _ in rows:

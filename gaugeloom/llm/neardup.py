@@ -11,12 +11,11 @@ chance equal to their weighted Jaccard similarity. ROWS draws make a band; texts
 equal band share a bucket. All members of a bucket of up to GROUP texts are compared with
 each other. A larger one is first dealt into blocks of about GROUP, each with the same
 PIVOTS texts; the members of a block are compared, which joins most copies. Then each
-member outside the bucket's largest class is compared with all members of the bucket.
-Only where these would be more than MOST pairs, the bucket is first split by each further
-band, and what is still beyond that is dealt into blocks again. Pairs of weighted Jaccard
-similarity ``least`` or more are linked; classes are the connected components. A pair of
-similarity 0.8 has no band in common with a chance of (1 - 0.8**ROWS)**BANDS, 0.02 per
-cent, and no second one with 0.3 per cent.
+member outside the bucket's largest class is compared with all members of the bucket, in
+tasks of PROBES by PART texts however many there are, so no pair of a bucket goes
+uncompared unless its classes are one. Pairs of weighted Jaccard similarity ``least`` or
+more are linked; classes are the connected components. A pair of similarity 0.8 has no
+band in common with a chance of (1 - 0.8**ROWS)**BANDS, 0.02 per cent.
 """
 
 from __future__ import annotations
@@ -34,8 +33,8 @@ from .shared import dropped, saved, shared_folder, whole_row
 SHINGLE = 5
 BANDS, ROWS = 12, 3
 GROUP, PIVOTS = 64, 16
-#: Members outside the largest class, and members in all, that meet in a task; pairs of a bucket that are all compared.
-PROBES, PART, MOST = 256, 512, 1 << 24
+#: Members outside the largest class, and members in all, that meet in a task.
+PROBES, PART = 256, 512
 #: A share of all documents: rarer shingles weigh as if they had it.
 FLOOR = 1 / 100
 
@@ -220,7 +219,7 @@ def small_groups(members: DataFrame) -> DataFrame:
     return listed.select("group", F.lit(0).alias("part"), F.explode("all").alias("one"), F.lit(True).alias("probe")).select("group", "part", "one.node", "one.label", "probe")
 
 
-def dealt_groups(large: DataFrame, salt: int) -> DataFrame:
+def dealt_groups(large: DataFrame, salt: int = 0) -> DataFrame:
     """The same of larger buckets: blocks of about GROUP with the same PIVOTS nodes, those of the rarest labels first."""
     parts = lambda n: F.ceil(n / (GROUP - PIVOTS)).cast("int")
     dealt = large.select("bucket", F.pmod(F.xxhash64("node", "bucket", F.lit(salt)), parts(F.col("n"))).cast("int").alias("part"), "node", "label")
@@ -246,19 +245,20 @@ def probed_groups(large: DataFrame) -> DataFrame:
     return probes.unionByName(others).select(F.xxhash64("bucket", "chunk").alias("group"), "part", "node", "label", "probe")
 
 
-#: Nodes whose texts will be compared mark bits of a table of this many bits, a fixed 512 KiB.
-FILTER_BITS = 22
+#: Nodes whose texts will be compared mark bits of a table of at most 2**FILTER_BITS bits (16 MiB), of 16 bits a node if they fit.
+FILTER_BITS = 27
 
 
 def texts_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     """node, text of the wanted nodes (node, digest, and the smallest doc_id as first), from one row of each.
 
-    Texts pass a filter of fixed size before they are shuffled; beyond some millions of
-    nodes it lets more and more through, but nothing it should hold back is lost.
+    Texts pass a filter before they are shuffled; beyond some millions of nodes it lets
+    more and more through, but no text that is wanted is held back.
     """
-    slot = wanted.select(F.shiftrightunsigned(F.xxhash64("digest"), 64 - FILTER_BITS).alias("slot"))
+    bits_ = min(FILTER_BITS, max(16, (16 * wanted.count()).bit_length()))
+    slot = wanted.select(F.shiftrightunsigned(F.xxhash64("digest"), 64 - bits_).alias("slot"))
     words = slot.selectExpr("cast(slot div 64 as int) as w", "shiftleft(1L, cast(slot % 64 as int)) as b").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    table = np.zeros(1 << (bits_ - 6), np.int64)
     table[words["w"].to_numpy()] = words["b"].to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast(table.tobytes())
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -271,7 +271,7 @@ def texts_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
                 yield batch.filter(pa.array(own)).select(["doc_id", "digest", "text"])
 
     digest = F.md5(F.col("text").cast("binary"))
-    rows = docs.where("text is not null").select("doc_id", digest.alias("digest"), "text", F.shiftrightunsigned(F.xxhash64(digest), 64 - FILTER_BITS).alias("slot"))
+    rows = docs.where("text is not null").select("doc_id", digest.alias("digest"), "text", F.shiftrightunsigned(F.xxhash64(digest), 64 - bits_).alias("slot"))
     some = rows.mapInArrow(run, f"doc_id {kind}, digest string, text string")
     need = wanted.select("node", F.col("digest").alias("_digest"), "first")
     return some.join(need, (F.col("digest") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("first"))).select("node", "text")
@@ -348,20 +348,13 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
 def linked(near: DataFrame, texts: DataFrame, members: DataFrame, known: Frequencies, least: float, folder: str) -> DataFrame:
     """(node, label): the classes of near (node, bands). members: the mixed buckets while each node is a class of its own."""
     large = members.where(F.col("n") > GROUP)
-    groups = small_groups(members).unionByName(dealt_groups(large, 0))
+    groups = small_groups(members).unionByName(dealt_groups(large))
     labels = components(saved(verified(groups, texts, known, least), f"{folder}/links0"), f"{folder}/labels0")
     if large.isEmpty():
         return labels
     now = large.select("bucket", "node").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
     rest = saved(with_rest(mixed_members(now)), f"{folder}/rest")
-    few = F.col("n") * F.col("rest") <= MOST
-    groups = probed_groups(rest.where(few))
-    if not rest.where(~few).isEmpty():
-        split = rest.where(~few).join(near.select("node", F.posexplode("bands").alias("band", "key")), "node")
-        split = split.where(F.xxhash64("band", "key") != F.col("bucket")).select(F.xxhash64("bucket", "band", "key").alias("bucket"), "node", "label")
-        finer = saved(mixed_members(split), f"{folder}/finer")
-        again = saved(with_rest(finer.where(F.col("n") > GROUP)), f"{folder}/again")
-        groups = groups.unionByName(small_groups(finer)).unionByName(probed_groups(again.where(few))).unionByName(dealt_groups(again.where(~few).drop("top", "rest"), 1))
+    groups = probed_groups(rest)
     links = saved(verified(groups, texts, known, least), f"{folder}/links1")
     return components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(links), f"{folder}/labels1")
 
@@ -412,7 +405,7 @@ def keep_one(docs: DataFrame, least: float = 0.8) -> DataFrame:
     Of rows that repeat a doc_id with the same text one stays; null and empty texts stay
     once a doc_id. An empty table stays empty.
     """
-    doc = lambda: F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    doc = lambda: F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("null"))
     kept = classes(docs, least).where("keep").select(doc().alias("doc"), F.coalesce("digest", F.lit("")).alias("digest")).distinct()
     keyed = docs.select(doc().alias("doc"), F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("")).alias("digest"), whole_row(docs))
     return keyed.join(kept, ["doc", "digest"], "left_semi").dropDuplicates(["doc", "digest"]).select("row.*")

@@ -90,7 +90,7 @@ def source_slots(spark: SparkSession, plan: DataFrame, slots: int, cells: int =
 
 
 def shuffle_key(doc_id: Column, size: Column, seed: int) -> Column:
-    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit("/"), size.cast("string"), F.lit(f"/{seed}")))
+    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.when(doc_id.isNull(), "//").otherwise("/"), size.cast("string"), F.lit(f"/{seed}")))
 
 
 def stream_offsets(sized: DataFrame, seed: int) -> DataFrame:
@@ -132,7 +132,10 @@ def schedule(sized: DataFrame, folder: str, weights: list[float] = (1.0, 2.0, 3.
 
 
 def mix(docs: DataFrame, weights: list[float] = (1.0, 2.0, 3.0), most: float = 3.0, block: int = 1024, seed: int = 7) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken (words the mix takes, repeats counted) of every row.
+    """doc_id, source, size, source_size, target, taken (words the mix takes, repeats counted) and first_slot of every row.
+
+    first_slot: the slot of the schedule, from 0, in which the mix first takes a word of the
+    row; null if it takes none. The schedule's order is the order of the mix.
 
     Null texts and texts of white space have size 0 and take nothing; a null source is a
     source, last in order; an empty table gives no rows. A text of any length is cut where
@@ -141,15 +144,16 @@ def mix(docs: DataFrame, weights: list[float] = (1.0, 2.0, 3.0), most: float = 3
     order in one task, a small row a source.
     """
     folder = shared_folder(docs.sparkSession, "mixing")
-    return mix_sizes(saved(sizes_of(docs), f"{folder}/sized"), folder, weights, most, block, seed)
+    return mix_sizes(saved(sizes_of(docs), f"{folder}/sized"), folder, weights, most, block, seed).drop("turns")
 
 
 def mix_sizes(sized: DataFrame, folder: str, weights: list[float] = (1.0, 2.0, 3.0), most: float = 3.0, block: int = 1024, seed: int = 7) -> DataFrame:
-    """The same of a written table of doc_id, source and size."""
+    """The same of a written table of doc_id, source and size, with turns: the slots in which the mix begins the row, one a copy."""
     plan, slots = schedule(sized, folder, weights, most, block)
     took = slots.groupBy("sid", "at").agg(
         F.sum(F.when(F.col("words") == F.col("whole"), 1).otherwise(0)).alias("times"),
         F.max(F.when(F.col("words") < F.col("whole"), F.col("words")).otherwise(0)).alias("cut"),
+        F.sort_array(F.collect_list("slot")).alias("turns"),  # a block is taken ``most`` times and once more at most
     )
     known = plan.select(F.col("source").alias("_source"), "sid", "source_size", "target")
     numbered = sized.join(known, sized["source"].eqNullSafe(known["_source"])).drop("_source")
@@ -161,17 +165,20 @@ def mix_sizes(sized: DataFrame, folder: str, weights: list[float] = (1.0, 2.0, 3
     lo = F.greatest(F.col("offset") - F.col("at") * block, F.lit(0))
     hi = F.least(F.col("end") - F.col("at") * block, F.lit(block))
     got = F.greatest(hi - lo, F.lit(0)) * F.coalesce("times", F.lit(0)) + F.greatest(F.least(hi, F.coalesce("cut", F.lit(0))) - lo, F.lit(0))
-    joined = parts.join(took, ["sid", "at"], "left").select("sid", "row", got.alias("got"), (F.col("at") == F.floor(F.col("offset") / block)).cast("int").alias("begins"))
+    begins = F.col("at") == F.floor(F.col("offset") / block)
+    joined = parts.join(took, ["sid", "at"], "left").select("sid", "row", got.alias("got"), begins.cast("int").alias("begins"), F.when(begins, F.col("turns")).alias("turns"))
     # offsets tell rows apart unless their size is 0: equal rows of size 0 are counted and unfolded
-    per_row = joined.groupBy("sid", "row").agg(F.sum("got").cast("long").alias("taken"), F.sum("begins").alias("copies"))
+    per_row = joined.groupBy("sid", "row").agg(F.sum("got").cast("long").alias("taken"), F.sum("begins").alias("copies"), F.first("turns", ignorenulls=True).alias("turns"))
+    per_row = per_row.withColumn("turns", F.when(F.col("taken") > 0, F.col("turns")))
     copies = F.when(F.col("row.size") > 0, F.lit(1)).otherwise(F.col("copies")).cast("int")
     per_row = per_row.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies)))
-    return per_row.select("row.doc_id", "row.source", "row.size", "row.source_size", "row.target", "taken")
+    return per_row.select("row.doc_id", "row.source", "row.size", "row.source_size", "row.target", "taken", F.get("turns", F.lit(0)).alias("first_slot"), "turns")
 
 
 def take_documents(docs: DataFrame, **params) -> DataFrame:
-    """The mix as whole documents: each row of ``docs`` as often as the mix takes its words, rounded to whole copies.
+    """The mix as whole documents in the order of the schedule: each row of ``docs`` as often as the mix takes its words, rounded to whole copies.
 
+    A copy stands where the schedule begins it; rows without words stand first.
     A document of which the mix takes less than half is left out. Rows without words have
     no size to mix and stay once; an empty table stays empty. Rows that share doc_id,
     source and size share what was taken of them evenly. All columns are kept, whatever
@@ -181,8 +188,11 @@ def take_documents(docs: DataFrame, **params) -> DataFrame:
     # words are counted once; all that follows reads the counts
     counted = saved(docs.select(F.col("doc_id").alias("d"), F.col("source").alias("s"), word_count(F.col("text")).alias("n"), whole_row(docs)), f"{folder}/counted")
     mixed = mix_sizes(counted.select(F.col("d").alias("doc_id"), F.col("s").alias("source"), F.col("n").alias("size")), folder, **params)
-    took = mixed.groupBy("doc_id", "source", "size").agg(F.avg("taken").alias("took"))
+    took = mixed.groupBy("doc_id", "source", "size").agg(F.avg("taken").alias("took"), F.min("turns").alias("turns"))
     copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.round(F.col("took") / F.greatest("size", F.lit(1)))).cast("int")
     took = took.withColumn("copies", copies).where("copies > 0")
     same = F.col("d").eqNullSafe(F.col("doc_id")) & F.col("s").eqNullSafe(F.col("source")) & (F.col("n") == F.col("size"))
-    return counted.join(took, same).select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    copy = F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy")
+    taken = counted.join(took, same).select("row", "turns", copy)
+    slot = F.coalesce(F.get("turns", F.least(F.col("copy"), F.size("turns") - 1)), F.lit(-1))
+    return taken.withColumn("slot", slot).repartitionByRange("slot").sortWithinPartitions("slot").select("row.*")

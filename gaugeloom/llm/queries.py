@@ -38,7 +38,7 @@ def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,14 +134,33 @@ levels AS (
 ),
 chosen AS (SELECT arg_min(level, place) AS level FROM levels WHERE level * weight <= "full"),
 goals AS (SELECT source, source_size, least(weight * coalesce((SELECT level FROM chosen), 0.0), "full") AS target FROM weighed),
+plan AS (
+  SELECT *, row_number() OVER (ORDER BY encode(source) NULLS LAST) AS sid, floor(target + 1e-6)::BIGINT AS quota,
+    (quota // greatest(source_size, 1)) * ceil(source_size / 1024.0)::BIGINT + ceil((quota % greatest(source_size, 1)) / 1024.0)::BIGINT AS slots FROM goals
+),
+shares AS (SELECT sid, slots, sum(slots) OVER (ORDER BY sid)::DOUBLE AS upto, greatest(sum(slots) OVER (), 1)::DOUBLE AS "all" FROM plan WHERE slots > 0),
+points AS (SELECT i, (i + 0.5::DOUBLE) * 0.6180339887498949::DOUBLE AS x FROM range((SELECT coalesce(sum(slots), 0)::BIGINT FROM plan)) AS r(i)),
+drawn AS (
+  SELECT sid, slots, i AS slot, row_number() OVER (PARTITION BY sid ORDER BY i) - 1 AS rank
+  FROM points JOIN shares ON x - floor(x) >= (upto - slots) / "all" AND x - floor(x) < upto / "all"
+),
+missing AS (
+  SELECT sid, unnest(range(have, slots)) AS rank FROM (SELECT s.sid, any_value(s.slots) AS slots, count(d.slot) AS have FROM shares s LEFT JOIN drawn d ON d.sid = s.sid GROUP BY s.sid) WHERE have < slots
+),
+schedule AS (
+  SELECT sid, rank, slot FROM drawn WHERE rank < slots
+  UNION ALL SELECT sid, rank, (SELECT sum(slots) FROM plan)::BIGINT + rank FROM missing
+),
 placed AS (
-  SELECT s.doc_id, s.size, g.source_size, g.target, floor(g.target + 1e-6)::BIGINT AS quota,
-    (sum(s.size) OVER (PARTITION BY s.source ORDER BY md5(coalesce(s.doc_id::VARCHAR, 'null') || '/' || s.size || '/7'), s.doc_id, s.size ROWS UNBOUNDED PRECEDING) - s.size)::BIGINT AS "offset"
-  FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source
+  SELECT s.doc_id, s.size, g.source_size, g.target, g.quota, g.sid,
+    (sum(s.size) OVER (PARTITION BY s.source ORDER BY md5(coalesce(s.doc_id::VARCHAR || '/', 'null//') || s.size || '/7'), s.doc_id, s.size ROWS UNBOUNDED PRECEDING) - s.size)::BIGINT AS "offset"
+  FROM sized s JOIN plan g ON s.source IS NOT DISTINCT FROM g.source
+),
+taken AS (
+  SELECT *, CASE WHEN size = 0 THEN 0 ELSE size * (quota // source_size) + greatest(0, least("offset" + size, quota % source_size) - "offset") END::BIGINT AS taken FROM placed
 )
-SELECT doc_id, size, source_size, target,
-  CASE WHEN size = 0 THEN 0 ELSE size * (quota // source_size) + greatest(0, least("offset" + size, quota % source_size) - "offset") END::BIGINT AS taken
-FROM placed
+SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN slot END AS first_slot
+FROM taken t LEFT JOIN schedule c ON c.sid = t.sid AND c.rank = t."offset" // 1024
 """
 
 _OP9 = r"""

@@ -129,6 +129,26 @@ def test_schedule_is_even_along_its_way(spark):
             assert abs(order[:i].count(sid) - i * n / len(order)) <= 8
 
 
+def test_another_schedule_is_another_mix(spark, monkeypatch):
+    """The order comes from the points: with other points the same words are taken in another order."""
+    docs, _ = documents(spark)
+    order = lambda: sorted((r.doc_id or -1, r["size"], r.taken, r.first_slot) for r in mixing.mix(docs, block=16).collect() if r.taken)
+    golden = order()
+    monkeypatch.setattr(mixing, "GOLDEN", 0.4142135623730951)
+    other = order()
+    assert [r[:3] for r in golden] == [r[:3] for r in other] and [r[3] for r in golden] != [r[3] for r in other]
+
+
+def test_documents_are_taken_in_the_order_of_the_schedule(spark):
+    rows = [(i, " ".join(["w"] * 40), "ab"[i % 2], "en", i) for i in range(60)]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("slot", F.lit("clash"))
+    first = {r.doc_id: r.first_slot for r in mixing.mix(docs, block=40, weights=[1.0, 1.0]).collect()}
+    taken = [r.doc_id for r in mixing.take_documents(docs, block=40, weights=[1.0, 1.0]).collect()]
+    assert [first[d] for d in taken] == sorted(first.values())
+    turns = [d % 2 for d in taken]
+    assert all(abs(sum(turns[:n]) - n / 2) <= 3 for n in range(1, 61))  # both sources all along the way
+
+
 def test_mix_of_nothing(spark):
     docs, _ = documents(spark)
     assert mixing.mix(docs.limit(0)).collect() == []

@@ -3,9 +3,11 @@
 Of every ``window`` neighbouring k-grams of words the one with the smallest hash is a
 fingerprint (of equals the last). With window + k - 1 = span, two texts that share
 ``span`` words share the fingerprint chosen in them, so a join of the fingerprints of
-training and test texts misses no shared span. Each joined pair is extended word by word
-on both sides; runs of at least ``span`` equal words are hits. Benchmark items shorter
-than a span are matched whole, with their own length as k and a window of 1.
+training and test texts misses no shared span. Each fingerprint is joined together with
+the spans it lies in, extended word by word to ``span`` words on both sides; a span is
+known by 128 bits of its words. All items that hold a span are one list, named by a hash,
+so a passage of many documents and of many items is joined once a document. Benchmark
+items shorter than a span are matched whole, with their own length as k and a window of 1.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from . import textbytes as tb
@@ -22,8 +25,8 @@ from .shared import saved, shared_folder, whole_row
 SPAN = 10
 K = 5
 
-#: Fingerprints of the benchmark mark bits of a table of this many bits, a fixed 512 KiB.
-FILTER_BITS = 22
+#: Fingerprints of the benchmark mark bits of a table of at most 2**FILTER_BITS bits (16 MiB), of 16 bits a fingerprint if they fit.
+FILTER_BITS = 27
 
 #: A word: any characters but those of ASCII that are not digits or small letters.
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -62,113 +65,113 @@ def fingerprints(h: np.ndarray, row: np.ndarray, short: list[int]) -> tuple[np.n
     return tuple(np.concatenate(x) for x in zip(*[(a, tb.mix(g, k), np.full(len(a), k)) for a, g, k in parts], strict=True))
 
 
-def item_fingerprints(benchmark: DataFrame) -> DataFrame:
-    """item_id, fp, need, item_at, item_words: fingerprints of each item with up to SPAN words before and 2 * SPAN from there on.
+def spans_at(slab: tb.Slab, words: tuple, folded: bytes, at: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+    """(which fingerprint, first word, digest, number of words) of every span that a fingerprint (place, k) lies in.
 
-    need: the words that must be equal. A fingerprint whose surroundings an item repeats
-    is given once.
+    A fingerprint of K words lies in up to SPAN - K + 1 spans of its text; a short one is
+    a span itself.
     """
+    begin, end, row, cut = words
+    long = k == K + 100
+    need = np.where(long, SPAN, k)
+    which, first = [], []
+    for back in range(SPAN - K + 1):
+        start = at - back
+        fits = (start >= cut[row[at]]) & (start + need <= cut[row[at] + 1]) & (long | (back == 0))
+        which.append(np.flatnonzero(fits))
+        first.append(start[fits])
+    which, first = np.concatenate(which), np.concatenate(first)
+    b, e = begin.tolist(), end.tolist()
+    known: dict[tuple[int, int], bytes] = {}
+    digests = []
+    for i, n in zip(first.tolist(), need[which].tolist(), strict=True):
+        if (i, n) not in known:
+            known[i, n] = xxhash.xxh3_128_digest(b" ".join([folded[b[w] : e[w]] for w in range(i, i + n)]))
+        digests.append(known[i, n])
+    return which, first, digests, need[which]
+
+
+def text_words(slab: tb.Slab) -> tuple[tuple, bytes, np.ndarray]:
+    """Begin, end and row of each word with the bounds of the rows; the text with A-Z taken as a-z; the hash of each word."""
+    begin, end, row = tb.runs(slab, tb.WORD)
+    fold = tb.ascii_lower()
+    h = tb.mix(tb.span(tb.prefix(tb.byte_codes(slab.buf, fold)), begin, end))
+    return (begin, end, row, row_bounds(row, len(slab.starts))), fold[slab.buf].tobytes(), h
+
+
+def item_fingerprints(benchmark: DataFrame) -> DataFrame:
+    """item_id, fp, span, need: the fingerprints of each item with the spans (digests of ``need`` words) they lie in."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for slab in tb.slabs(batch.column("text")):
-                begin, end, row = tb.runs(slab, tb.WORD)
-                fold = tb.ascii_lower()
-                h = tb.mix(tb.span(tb.prefix(tb.byte_codes(slab.buf, fold)), begin, end))
-                cut = row_bounds(row, len(slab.starts))
+                words, folded, h = text_words(slab)
+                _, _, row, cut = words
                 size = np.diff(cut)
                 at, g, k = fingerprints(h, row, sorted({int(n) for n in size if 0 < n < SPAN}))
                 own = np.where(size[row[at]] < SPAN, size[row[at]], K + 100) == k
-                yield surroundings(batch, slab, ["item_id"], (begin, end, row, cut), fold, at[own], g[own], {"need": np.minimum(size[row[at[own]]], SPAN)}, "item_")
+                at, g, k = at[own], g[own], k[own]
+                which, _, digests, need = spans_at(slab, words, folded, at, k)
+                ids = batch.column("item_id").slice(slab.first, len(slab.starts)).take(pa.array(row[at[which]]))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(g[which].astype(np.int64)), pa.array(digests, pa.binary()), pa.array(need.astype(np.int64))], ["item_id", "fp", "span", "need"])
 
-    found = items.mapInArrow(run, "item_id string, fp long, item_at long, item_words array<string>, item_first long, need long")
-    return found.select("item_id", "fp", "need", (F.col("item_at") - F.col("item_first")).alias("item_at"), "item_words").distinct()
+    return items.mapInArrow(run, "item_id string, fp long, span binary, need long").distinct()
 
 
-def surroundings(batch: pa.RecordBatch, slab: tb.Slab, keys: list[str], words: tuple, fold: np.ndarray, at: np.ndarray, fp: np.ndarray, more: dict[str, np.ndarray], prefix: str) -> pa.RecordBatch:
-    """``keys``, fp and, of each fingerprint at the words given: its place in the text, the words around and the place of the first of these."""
-    begin, end, row, cut = words
-    around, firsts = [], []
-    for i in at.tolist():
-        a, z = cut[row[i]], cut[row[i] + 1]
-        x, y = max(a, i - SPAN), min(z, i + 2 * SPAN)
-        around.append([fold[slab.buf[begin[w] : end[w]]].tobytes().decode("utf-8", "replace") for w in range(x, y)])
-        firsts.append(x - a)
-    own = batch.slice(slab.first, len(slab.starts)).take(pa.array(row[at]))
-    columns = [*[own.column(c) for c in keys], pa.array(fp.astype(np.int64)), pa.array(at - cut[row[at]]), pa.array(around, pa.list_(pa.string())), pa.array(np.array(firsts, np.int64)), *[pa.array(x) for x in more.values()]]
-    return pa.RecordBatch.from_arrays(columns, [*keys, "fp", f"{prefix}at", f"{prefix}words", f"{prefix}first", *more])
-
-
-def filter_table(prints: DataFrame) -> bytes:
-    """A bit for each value that FILTER_BITS bits of a fingerprint take: at most 2**16 words reach the driver."""
-    slot = prints.select(F.shiftrightunsigned("fp", 64 - FILTER_BITS).alias("slot"))
+def filter_table(prints: DataFrame) -> tuple[int, bytes]:
+    """How many bits of a fingerprint name a bit, and a bit for each that the fingerprints take: at most 2**(FILTER_BITS - 6) words reach the driver."""
+    bits = min(FILTER_BITS, max(16, (16 * prints.select("fp").distinct().count()).bit_length()))
+    slot = prints.select(F.shiftrightunsigned("fp", 64 - bits).alias("slot"))
     marks = slot.selectExpr("cast(slot div 64 as int) as w", "shiftleft(1L, cast(slot % 64 as int)) as b")
     words = marks.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    table = np.zeros(1 << (bits - 6), np.int64)
     table[words["w"].to_numpy()] = words["b"].to_numpy()
-    return table.tobytes()
+    return bits, table.tobytes()
 
 
-def document_hits(docs: DataFrame, table: bytes, short: list[int], keys: list[str]) -> DataFrame:
-    """``keys``, fp, at, words, first: fingerprints of documents that may be in the benchmark, with up to SPAN words on both sides."""
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+def document_fingerprints(docs: DataFrame, marks: tuple[int, bytes], short: list[int], keys: list[str]) -> DataFrame:
+    """``keys``, fp, span, lo, hi: fingerprints of documents that may be in the benchmark, with the spans they lie in."""
+    shared = docs.sparkSession.sparkContext.broadcast(marks)
     kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(shared.value, np.uint8), bitorder="little").view(bool)
-        fold = tb.ascii_lower()
+        size, table = shared.value
+        bits = np.frombuffer(table, np.uint64)
         for batch in batches:
             for slab in tb.slabs(batch.column("text")):
-                begin, end, row = tb.runs(slab, tb.WORD)
-                h = tb.mix(tb.span(tb.prefix(tb.byte_codes(slab.buf, fold)), begin, end))
-                at, g, _ = fingerprints(h, row, short)
-                may = bits[(g >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]
-                yield surroundings(batch, slab, keys, (begin, end, row, row_bounds(row, len(slab.starts))), fold, at[may], g[may], {}, "")
-
-    return docs.select(*dict.fromkeys([*keys, "text"])).mapInArrow(run, f"{kept}, fp long, at long, words array<string>, first long")
-
-
-def run_lengths(doc: list[str], p: int, item: list[str], q: int) -> tuple[int, int]:
-    """How many words before place p of doc and q of item are equal, and how many from there on."""
-    left, right = 0, 0
-    while left < min(p, q) and doc[p - left - 1] == item[q - left - 1]:
-        left += 1
-    while p + right < len(doc) and q + right < len(item) and doc[p + right] == item[q + right]:
-        right += 1
-    return left, right
-
-
-def extended(pairs: DataFrame) -> DataFrame:
-    """words, p, item_id, left, right: pairs (words, p, item_id, item_words, item_at, need) with ``need`` equal words or more around the fingerprint."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("words", "p", "item_words", "item_at", "need")]
-            sides = [(i, *run_lengths(doc, p, item, there), need) for i, (doc, p, item, there, need) in enumerate(zip(*cols, strict=True))]
-            hits = [(i, left, right) for i, left, right, need in sides if right and left + right >= need]
-            i, left, right = np.array(hits, np.int64).reshape(-1, 3).T
-            own = batch.take(pa.array(i))
-            yield pa.RecordBatch.from_arrays([*[own.column(c) for c in ("words", "p", "item_id")], pa.array(left), pa.array(right)], ["words", "p", "item_id", "left", "right"])
-
-    return pairs.mapInArrow(run, "words array<string>, p long, item_id string, left long, right long")
-
-
-def find_spans(docs: DataFrame, benchmark: DataFrame, keys: list[str]) -> DataFrame:
-    """Distinct ``keys``, item_id, lo, hi of every hit.
-
-    Fingerprints of documents pass a filter of fixed size before they are shuffled. What
-    is joined are distinct surroundings, so a passage or a repetition that many documents
-    or one document hold many times is compared with the items once.
+                words, folded, h = text_words(slab)
+                _, _, row, cut = words
+                at, g, k = fingerprints(h, row, short)
+                place = g >> np.uint64(64 - size)
+                may = (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+                at, g, k = at[may], g[may], k[may]
+                which, first, digests, need = spans_at(slab, words, folded, at, k)
+                own = batch.slice(slab.first, len(slab.starts)).take(pa.array(row[at[which]]))
+                lo = first - cut[row[at[which]]]
+                columns = [*[own.column(c) for c in keys], pa.array(g[which].astype(np.int64)), pa.array(digests, pa.binary()), pa.array(lo), pa.array(lo + need)]
+                yield pa.RecordBatch.from_arrays(columns, [*keys, "fp", "span", "lo", "hi"])
+
+    return docs.select(*dict.fromkeys([*keys, "text"])).mapInArrow(run, f"{kept}, fp long, span binary, lo long, hi long")
+
+
+def find_spans(docs: DataFrame, benchmark: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Distinct ``keys``, lo, hi, list of every span of a document that items hold, and (list, items): the sorted items of each list.
+
+    Fingerprints of documents pass a filter before they are shuffled; a document's span
+    meets one row of the benchmark, however many items hold it. The items of one span
+    are gathered in an array: a benchmark is far smaller than a corpus.
     """
     folder = shared_folder(docs.sparkSession, "winnowing")
     prints = saved(item_fingerprints(benchmark), f"{folder}/items")
     short = sorted(r[0] for r in prints.select("need").distinct().collect() if r[0] < SPAN)  # at most 9 lengths
-    hits = saved(document_hits(docs, filter_table(prints), short, keys).select(*keys, "at", "fp", "words", (F.col("at") - F.col("first")).alias("p")), f"{folder}/hits")
-    pairs = hits.select("fp", "words", "p").distinct().join(prints, "fp")
-    met = extended(pairs.select("words", "p", "item_id", "item_words", "item_at", "need")).distinct()
-    back = hits.select(*keys, "at", "words", "p").join(met, ["words", "p"])
-    return back.select(*keys, "item_id", (F.col("at") - F.col("left")).alias("lo"), (F.col("at") + F.col("right")).alias("hi")).distinct()
+    held = prints.groupBy("span").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    held = held.withColumn("list", F.sha2(F.to_json("items"), 256))
+    lists = saved(held.select("list", "items").dropDuplicates(["list"]), f"{folder}/lists")
+    index = prints.select("fp", "span").distinct().join(held.select("span", "list"), "span")
+    hits = document_fingerprints(docs, filter_table(prints), short, keys)
+    spans = saved(hits.join(index, ["fp", "span"]).select(*keys, "lo", "hi", "list").distinct(), f"{folder}/spans")
+    return spans, lists
 
 
 def word_counts(keyed: DataFrame) -> DataFrame:
@@ -195,21 +198,26 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     key = F.xxhash64("text").alias("_text")
     keyed = docs.select("doc_id", key, "text")
-    spans = find_spans(keyed, benchmark, ["doc_id", "_text"])
-    # a document's distinct runs are no more than its words; overlaps are merged in order
+    spans, lists = find_spans(keyed, benchmark, ["doc_id", "_text"])
+    # a document's distinct spans are no more than its words; overlaps are merged in order
     found = spans.groupBy(F.col("doc_id").alias("_d"), F.col("_text").alias("_t")).agg(
-        F.sort_array(F.collect_set("item_id")).alias("items"), F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("runs"),
+        F.sort_array(F.collect_set("list")).alias("lists"), F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("runs"),
     )
     zero = F.lit(0).cast("long")
     merged = F.aggregate(
         "runs", F.struct(zero.alias("n"), zero.alias("done")),
         lambda acc, r: F.struct((acc["n"] + F.greatest(r["hi"] - F.greatest(r["lo"], acc["done"]), zero)).alias("n"), F.greatest(acc["done"], r["hi"]).alias("done")),
     )
-    found = found.select("_d", "_t", "items", merged["n"].alias("n_hit"))
-    out = word_counts(keyed).join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("_text").eqNullSafe(F.col("_t")), "left")
+    # documents that hold the same lists have the same items: these are joined once
+    found = saved(found.select("_d", "_t", "lists", F.sha2(F.array_join("lists", ","), 256).alias("_set"), merged["n"].alias("n_hit")), shared_folder(docs.sparkSession, "found"))
+    sets = found.select("_set", "lists").dropDuplicates(["_set"]).select("_set", F.explode("lists").alias("list")).join(lists, "list")
+    sets = sets.groupBy("_set").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("ids"))
+    sets = sets.select("_set", F.size("ids").cast("long").alias("n"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("sha"))
+    named = found.drop("lists").join(sets, "_set", "left")
+    out = word_counts(keyed).join(named, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("_text").eqNullSafe(F.col("_t")), "left")
     hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    ids = F.coalesce("items", F.array().cast("array<string>"))
-    return out.select("doc_id", "n_words", hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+    none = F.sha2(F.lit(b""), 256)
+    return out.select("doc_id", "n_words", hit.alias("n_hit"), F.coalesce("n", F.lit(0)).cast("long").alias("n_items"), F.coalesce("sha", none).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -219,6 +227,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     stays empty.
     """
     keyed = docs.select("doc_id", F.xxhash64("text").alias("_text"), "text")
-    hit = find_spans(keyed, benchmark, ["doc_id", "_text"]).select(F.col("doc_id").alias("hit_doc"), F.col("_text").alias("hit_text")).distinct()
+    hit = find_spans(keyed, benchmark, ["doc_id", "_text"])[0].select(F.col("doc_id").alias("hit_doc"), F.col("_text").alias("hit_text")).distinct()
     rows = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), whole_row(docs))
     return rows.join(hit, F.col("d").eqNullSafe(F.col("hit_doc")) & (F.col("t") == F.col("hit_text")), "left_anti").select("row.*")

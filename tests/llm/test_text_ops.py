@@ -82,11 +82,27 @@ def test_long_and_repetitive_items(spark):
     items = [("book", " ".join(book)), ("same", "one " * 3000)]
     docs = [(1, " ".join(book[5000:5040])), (2, "one " * 5000), (3, text_of(rng, 30_000)), (4, " ".join([*book[200:209], "stop"])), (5, " ".join(book))]
     prints = winnowing.item_fingerprints(spark.createDataFrame(items, "item_id string, text string"))
-    assert prints.select(F.max(F.size("item_words"))).first()[0] <= 3 * winnowing.SPAN and prints.where("item_id = 'same'").count() < 100
+    assert prints.where("item_id = 'same'").count() < 10 and prints.where("item_id = 'book'").count() < 6 * 16_000
     got = {r.doc_id: (r.n_hit, r.n_items) for r in winnowing.decontaminate(spark.createDataFrame(docs, SHORT), spark.createDataFrame(items, "item_id string, text string")).collect()}
     assert got == {1: (40, 1), 2: (5000, 1), 3: (0, 0), 4: (0, 0), 5: (16_000, 1)}
 
 
+def test_a_passage_of_many_texts_and_items_is_joined_once_a_text(spark):
+    """Some hundred documents and items share an instruction: spans grow with their sum, not with their product."""
+    rng = random.Random(33)
+    instruction = "read the text below and answer with one word of your own"
+    own = lambda n: " ".join(f"x{rng.randrange(10**9)}" for _ in range(n))
+    docs = [(i, f"{own(20)} {instruction} {own(20)}") for i in range(300)] + [(400, own(50))]
+    items = [(f"q{i:03d}", f"{own(12)}. {instruction}. {own(12)}") for i in range(300)] + [("q000", "another text of this item")]
+    d, b = spark.createDataFrame(docs, SHORT), spark.createDataFrame(items, "item_id string, text string")
+    spans, lists = winnowing.find_spans(d.withColumn("_text", F.lit(0)), b, ["doc_id", "_text"])
+    windows = len(instruction.split()) - winnowing.SPAN + 1
+    assert spans.count() == 300 * windows and lists.where(F.size("items") == 300).count() == 1
+    got = {tuple(r)[2:] for r in winnowing.decontaminate(d, b).collect() if r.doc_id < 400}
+    ids = ",".join(sorted({i for i, _ in items}))
+    assert got == {(12, 300, hashlib.sha256(ids.encode()).hexdigest(), True)}
+
+
 def test_token_counts_equal_the_library(spark):
     tokenizers = pytest.importorskip("tokenizers")
     lib = tokenizers.Tokenizer.from_file(tokens.tokenizer_path("byte_bpe_50k.json"))

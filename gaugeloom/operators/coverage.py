@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from ..functions.positions import numbered, numbered_within
 from ..schemas import EMPTY
 
 CELL = ("intent", "topic", "scenario", "failure_mode")
@@ -65,15 +66,15 @@ def intent_cells(scenarios: DataFrame, topics: list[str], happy: int, failure: i
     """Cells of intents: each kind's number of cases spread over an intent's scenarios, topics in rotation.
 
     scenarios: intent_ord, scenario_ord, intent, scenario, kind, failure_mode. The
-    rotation numbers all cells in order, so it is one window over the plan's few rows.
+    rotation follows the positions of all cells, however many.
     """
     kind_ord = F.when(F.col("kind") == "happy", 0).otherwise(1)
     own = Window.partitionBy("intent", "kind")
     s = scenarios.withColumn("n", F.count(F.lit(1)).over(own)).withColumn("i", F.row_number().over(own.orderBy("scenario_ord")) - 1)
     s = s.withColumn("count", spread(F.when(F.col("kind") == "happy", happy).otherwise(failure), F.col("n"), F.col("i")))
-    place = F.row_number().over(Window.orderBy("intent_ord", kind_ord, "scenario_ord")) - 1
     names = F.array(*[F.lit(t) for t in topics or [EMPTY]])
-    s = s.withColumn("ordinal", place).withColumn("topic", F.get(names, F.pmod(F.col("ordinal"), F.size(names))))
+    s = numbered(s.withColumn("_kind", kind_ord), ["intent_ord", "_kind", "scenario_ord"], "_place").withColumn("ordinal", F.col("_place").cast("int"))
+    s = s.withColumn("topic", F.get(names, F.pmod(F.col("ordinal"), F.size(names))))
     mode = F.when(F.col("kind") == "happy", "none").otherwise(F.coalesce("failure_mode", F.lit("none")))
     variants = F.when(F.col("kind") == "happy", F.array(F.lit("happy"))).otherwise(F.array(F.lit("boundary"), F.lit("adversarial")))
     return s.select("ordinal", "intent", "topic", "scenario", mode.alias("failure_mode"), "kind", "count", variants.alias("variants"))
@@ -81,35 +82,62 @@ def intent_cells(scenarios: DataFrame, topics: list[str], happy: int, failure: i
 
 def topped_up(plan: DataFrame, total: int) -> DataFrame:
     """If the plan asks for fewer than ``total`` cases, happy cells share the rest, each getting one at least."""
-    everything = Window.partitionBy()
     happy = F.col("kind") == "happy"
-    p = plan.withColumn("_sum", F.sum("count").over(everything)).withColumn("_n", F.count_if(happy).over(everything))
-    p = p.withColumn("_i", F.row_number().over(Window.partitionBy("kind").orderBy("ordinal")) - 1)
+    sums = plan.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("_sum"), F.count_if(happy).alias("_n"))  # one row
+    p = numbered_within(plan, ["kind"], ["ordinal"], "_i").join(sums)
     more = happy & (F.col("_sum") < total)
     extra = F.when(more, spread(F.lit(total) - F.col("_sum"), F.greatest("_n", F.lit(1)), F.col("_i"))).otherwise(0)
     variants = F.when(more, F.array(*[F.lit(x) for x in ("happy", "linguistic", "boundary")])).otherwise(F.col("variants"))
     return p.withColumn("count", F.col("count") + extra).withColumn("variants", variants).drop("_sum", "_n", "_i")
 
 
+def halving_takes(sizes: list[tuple[int, int]], wanted: int) -> tuple[dict[int, int], int]:
+    """Greedy takes from cells by size, each at most half of what is still wanted, but one at least.
+
+    sizes: (cases of a cell, number of such cells), the largest first. Returns the takes of
+    the cells that are not taken whole, by position, and the position where all stops:
+    cells before it without a take of their own are taken whole. A cell that isn't taken
+    whole halves what is wanted, so there are few; runs of whole cells are arithmetic.
+    """
+    parts: dict[int, int] = {}
+    place, left = 0, wanted
+    for size, cells in sizes:
+        if size <= 0:
+            break
+        end = place + cells
+        while place < end and left > 0:
+            most = max(1, left // 2)
+            if size <= most:
+                # whole as long as left // 2 >= size, or one when only ones are taken
+                run = max(1, (left - 2 * size) // size + 1) if left >= 2 * size else 1
+                run = min(run, end - place)
+                left, place = left - run * size, place + run
+            else:
+                parts[place] = most
+                left, place = left - most, place + 1
+        if left <= 0:
+            break
+    return parts, place
+
+
 def multi_turn(plan: DataFrame, share: float) -> DataFrame:
     """multi_turn a cell: a share of all cases, taken greedily from the largest cells of intents.
 
-    Each take depends on what is left, so it is a fold over the sorted cells of the plan.
+    Cells of one size are one entry, and a plan of n cases has at most the root of 2 n
+    sizes: these are folded on the driver (halving_takes); cells then find their takes by
+    their positions.
     """
-    cells = plan.agg(
-        F.sum("count").alias("total"),
-        F.sort_array(F.collect_list(F.when(F.col("kind").isin("happy", "failure"), F.struct((-F.col("count")).alias("k"), "ordinal")))).alias("cells"),
-    )
-    wanted = F.bround(F.col("total") * F.lit(share)).cast("int")
-    start = F.struct(wanted.alias("left"), F.array().cast("array<struct<ordinal:int,take:int>>").alias("out"))
-
-    def step(acc: Column, cell: Column) -> Column:
-        half = F.floor(acc["left"] / 2).cast("int")
-        take = F.when(acc["left"] <= 0, 0).otherwise(F.least((-cell["k"]).cast("int"), F.greatest(F.lit(1), half)))
-        return F.struct((acc["left"] - take).alias("left"), F.concat(acc["out"], F.array(F.struct(cell["ordinal"].cast("int").alias("ordinal"), take.cast("int").alias("take")))).alias("out"))
-
-    taken = cells.select(F.explode(F.aggregate("cells", start, step)["out"]).alias("t")).select(F.col("t.ordinal").alias("_o"), F.col("t.take").alias("multi_turn"))
-    return plan.join(taken, F.col("ordinal") == F.col("_o"), "left").withColumn("multi_turn", F.coalesce("multi_turn", F.lit(0))).drop("_o")
+    own = F.col("kind").isin("happy", "failure")
+    total = plan.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"))
+    wanted = int(total.select(F.bround(F.col("n") * F.lit(share)).cast("long")).first()[0])
+    sizes = plan.where(own).groupBy("count").agg(F.count(F.lit(1)).alias("cells")).orderBy(F.desc("count")).collect()
+    parts, end = halving_takes([(r["count"], r["cells"]) for r in sizes], wanted)
+    cells = numbered(plan.where(own).withColumn("_less", -F.col("count")), ["_less", "ordinal"], "_at").drop("_less")
+    take = F.when(F.col("_at") < end, F.col("count")).otherwise(0)
+    for place, part in parts.items():
+        take = F.when(F.col("_at") == place, part).otherwise(take)
+    rest = plan.where(~own | F.col("kind").isNull()).withColumn("multi_turn", F.lit(0))
+    return cells.withColumn("multi_turn", take.cast("int")).drop("_at").unionByName(rest)
 
 
 def round_robin(edges: DataFrame, per_tool: int | None = None) -> DataFrame:

@@ -11,8 +11,8 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.window import Window
 
+from ..functions.positions import even_chunk, numbered
 from ..schemas import EMPTY, SLICE_DIMS
 
 DIGITS = 4
@@ -245,5 +245,7 @@ def matrix_rows(matrix: DataFrame, metrics: list[str]) -> DataFrame:
 
 
 def contiguous_chunks(rows: DataFrame, order: str, n: int) -> DataFrame:
-    """chunk 0..n-1: near-equal runs in order. One sequence is one window: meant for lists of a run's cases."""
-    return rows.withColumn("chunk", F.ntile(n).over(Window.orderBy(order)) - 1)
+    """chunk 0..n-1: near-equal runs in order, of any number of rows."""
+    total = rows.agg(F.count(F.lit(1)).alias("_total"))  # one row
+    placed = numbered(rows, [order], "_at").join(total)
+    return placed.withColumn("chunk", even_chunk(F.col("_at"), F.col("_total"), n)).drop("_at", "_total")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..sources import datasource as ds, publication as pub
+from ..operators import custom
+from ..sources import artifacts as art, datasource as ds, publication as pub
 from ..sources.folders import shared_folder
 from ..streaming import progress as pg
 from ..streaming.incremental import LiveScores
@@ -124,3 +126,22 @@ def live_metric_rates(spark, d):
     apart = live.disagreeing().groupBy("metric").agg(F.count(F.lit(1)).alias("disagreeing"))
     m = live.metrics(default=0.6).join(apart, "metric", "left")
     return m.select("metric", r6(F.col("pass_rate")).alias("pass_rate"), r6(F.col("min_over_repeats")).alias("min_over_repeats"), "n_cases", "n_scores", "passed", F.coalesce("disagreeing", F.lit(0)).alias("disagreeing"))
+
+
+@query("""SELECT source AS case_id, doc_id::INT AS run_ordinal, 'longer' AS metric, 'scored' AS outcome, (n_chars > coalesce(max(n_chars) OVER w, -1))::INT::DOUBLE AS score, coalesce(n_chars || ' after ' || max(n_chars) OVER w, 'first') AS comment
+FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+def custom_evaluator(spark, d):
+    """Documents scored in SQL by an evaluator named module:function, a source a case, with what it remembers of the case."""
+    custom.register(spark, "score_longer", "gaugeloom.operators.custom:longer_than_before", "longer")
+    runs = table(spark, d, "documents").select(F.col("source").alias("case_id"), F.col("doc_id").cast("int").alias("run_ordinal"), "n_chars")
+    return spark.sql("SELECT * FROM score_longer(TABLE({runs}))", runs=runs)
+
+
+@query("WITH t AS (SELECT event_id, ts, event_type, row_number() OVER (ORDER BY event_id DESC) AS n FROM events) SELECT (least(40, (SELECT count(*) FROM t)) - n)::INT AS line_no, event_id || ' ' || event_type AS line FROM t WHERE n <= 40")
+def log_end(spark, d):
+    """The last lines of a log of all events, read from the file's end."""
+    root = shared_folder(spark, "log")
+    lines = table(spark, d, "events").orderBy("event_id").select(F.concat_ws(" ", F.col("event_id").cast("string"), "event_type").alias("value"))
+    lines.coalesce(1).write.text(f"{root}/log")
+    name = [f.path for f in ds.opened(f"{root}/log".removeprefix("file://"))[0].get_file_info(fs.FileSelector(f"{root}/log".removeprefix("file://"))) if f.path.endswith(".txt")]
+    return art.log_tail(spark, name[0])

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from ..functions.jsonvalues import output_hash, trajectory_hash
+from .datasource import register
 from .kinds import KINDS
 
 
@@ -175,9 +176,12 @@ def upload(docs: DataFrame) -> DataFrame:
 
 
 def log_tail(spark: SparkSession, path: str, lines: int = 40) -> DataFrame:
-    """line_no, line: the last lines of a log, in order."""
-    whole = spark.read.text(path, wholetext=True).select(F.split(F.regexp_replace("value", r"\s+$", ""), r"\r?\n").alias("l"))
-    return whole.select(F.posexplode(F.slice("l", F.greatest(F.lit(1), F.size("l") - (lines - 1)), lines)).alias("line_no", "line"))
+    """line_no, line: the last lines of a log, in order. Blank lines at its end don't count.
+
+    The file is read from its end, a block at a time, until it has given so many lines.
+    """
+    register(spark)
+    return spark.read.format("tail").option("lines", str(lines)).load(path).select("line_no", "line")
 
 
 def agent_targets(spark: SparkSession, folder: str) -> DataFrame:

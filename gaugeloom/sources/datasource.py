@@ -6,7 +6,7 @@ size. Reading as a stream goes on from the last file's time and path. Writing is
 two steps: tasks write below ``_staging``, each attempt under a name of its own, and the
 driver moves the files of the attempts that succeeded to their places when all have.
 
-``register`` enters both sources of this library in a session. Folders are those that
+``register`` enters this library's sources in a session. Folders are those that
 pyarrow can open (local, hdfs://, s3://, gs://).
 """
 
@@ -245,10 +245,11 @@ class Artifacts(DataSource):
 def register(spark: SparkSession) -> None:
     """Enters the sources and lets Spark push filters into them."""
     from .publication import Publication
+    from .tail import Tail
 
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    spark.dataSource.register(Artifacts)
-    spark.dataSource.register(Publication)
+    for source in (Artifacts, Publication, Tail):
+        spark.dataSource.register(source)
 
 
 def artifacts(spark: SparkSession, folder: str) -> DataFrame:

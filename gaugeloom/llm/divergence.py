@@ -19,7 +19,7 @@ its terms before anything is shuffled.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +35,9 @@ BILLION = 1_000_000_000
 #: Groups of a block, and columns of an array operation.
 BLOCK, WIDE = 64, 4096
 #: A task hands on its counts when they have so many entries or bytes of words.
-ENTRIES, TERM_BYTES = 1 << 18, 32 << 20
+ENTRIES, TERM_BYTES = 1 << 19, 32 << 20
+#: One number counts both: occurrences in the low bits, documents above them.
+LOW_BITS = 36
 #: A text is cut into words so many bytes at a time.
 PART = 1 << 20
 #: Sums of a task are handed on beyond so many bytes.
@@ -60,33 +62,32 @@ def words_of(text: bytes) -> Iterator[list[bytes]]:
 def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, n, docs: occurrences, and rows that have the term, of each group; ``docs`` has lang, source, text."""
 
-    def rows(held: dict[tuple[str, str], tuple[Counter, Counter]]) -> Iterator[pa.RecordBatch]:
-        for (lang, source), (n, docs) in held.items():
-            terms = sorted(n)
-            size = len(terms)
-            columns = [pa.array([lang] * size, pa.string()), pa.array([source] * size, pa.string()), pa.array(terms, pa.binary()).cast(pa.string())]
-            columns += [pa.array([c[t] for t in terms], pa.int64()) for c in (n, docs)]
+    def rows(held: dict[tuple[str, str], Counter]) -> Iterator[pa.RecordBatch]:
+        for (lang, source), both in held.items():
+            size, counts = len(both), np.fromiter(both.values(), np.int64, len(both))
+            terms = pa.array(list(both), pa.binary()).cast(pa.string())
+            columns = [pa.array([lang] * size, pa.string()), pa.array([source] * size, pa.string()), terms, pa.array(counts & ((1 << LOW_BITS) - 1)), pa.array(counts >> LOW_BITS)]
             yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-        unseen = 0
+        held: dict[tuple[str, str], Counter] = defaultdict(Counter)
+        document, unseen = 1 << LOW_BITS, 0
         for batch in batches:
             keys = zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), strict=True)
             for key, text in zip(keys, batch.column("text"), strict=True):
-                n, docs = held.setdefault(key, (Counter(), Counter()))
-                own: set[bytes] = set()
+                both, own = held[key], set()
                 blob = text.as_py() or b""
                 for words in words_of(blob):
-                    n.update(words)
+                    both.update(words)
                     own.update(words)
-                docs.update(own)
+                for term in own:
+                    both[term] += document
                 unseen += len(blob)
                 if unseen > TERM_BYTES // 8:
                     unseen = 0
-                    if sum(len(n) for n, _ in held.values()) > ENTRIES or sum(len(t) for n, _ in held.values() for t in n) > TERM_BYTES:
+                    if sum(map(len, held.values())) > ENTRIES or sum(len(t) for both in held.values() for t in both) > TERM_BYTES:
                         yield from rows(held)
-                        held = {}
+                        held = defaultdict(Counter)
         yield from rows(held)
 
     return docs.mapInArrow(run, "lang string, source string, term string, n long, docs long")
@@ -113,7 +114,8 @@ class Audit:
         self.folder = shared_folder(docs.sparkSession, "divergence")
         empty = lambda name: F.coalesce(column(name), F.lit("")).alias(name)
         rows = docs.select(empty("lang"), empty("source"), column("text").cast("binary").alias("text"))
-        counts = term_counts(rows).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+        # tasks have counted already: rows are dealt out before they are added up
+        counts = term_counts(rows).repartition("lang", "source", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
         posting = F.collect_list(F.struct("source", "n")).alias("groups")  # one entry a source of the language
         kept = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("total"), posting)
         self.kept = saved(kept.where(F.col("docs") >= least_docs).select("lang", "term", "total", "groups"), f"{self.folder}/kept")

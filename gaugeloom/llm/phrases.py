@@ -323,7 +323,8 @@ def mine_phrases(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, top: i
     spark = docs.sparkSession
     folder = shared_folder(spark, "phrases")
     rows = docs.select(F.coalesce(column("lang"), F.lit("und")).alias("lang"), column("text").cast("binary").alias("text"))
-    summed = lambda tries: tries.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    # shards have counted already: nodes are dealt out before they are added up
+    summed = lambda tries: tries.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
     words = saved(summed(word_tries(rows)).where((F.col("n") >= least) | (F.col("phrase") == "")), f"{folder}/words")
     singles, totals = words.where("phrase <> ''"), words.where("phrase = ''").select("lang", "n")
     marks = spark.sparkContext.broadcast(Marks(singles, False))

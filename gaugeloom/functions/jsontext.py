@@ -221,9 +221,13 @@ def depth_of(text: Column) -> Column:
 
 
 def wanted_leaves(matcher: Column, depth: int) -> Column:
-    """The leaves that args must have. Nothing, an empty object and other empty values ask for none; any other value can't be met."""
+    """The leaves that args must have. Nothing, an empty object and other empty values ask for none; any other value can't be met.
+
+    A matcher deeper than ``depth`` is an error: it would be met by too little.
+    """
     nothing = F.coalesce(F.regexp_replace(matcher, r"\s", ""), F.lit("{}")).isin("{}", "null", "[]", '""', "0", "false", "")
-    return F.when(nothing, F.array().cast("array<string>")).otherwise(F.coalesce(leaves(matcher, depth), F.array(F.lit("="))))
+    deep = F.raise_error(F.concat(F.lit(f"deeper than {depth} levels: "), F.substring(matcher, 1, 80))).cast("array<string>")
+    return F.when(nothing, F.array().cast("array<string>")).when(depth_of(matcher) > depth, deep).otherwise(F.coalesce(leaves(matcher, depth), F.array(F.lit("="))))
 
 
 def met(wanted: Column, have: Column) -> Column:

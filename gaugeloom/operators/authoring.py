@@ -6,9 +6,10 @@ Everything wrong is a row of problems, everything usable goes on.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.jsonschema import argument_problems, conformance, known_schemas, sample_of
+from ..functions.jsonschema import argument_problems, conformance, known_schemas, sample_of, spoiled_of
+from ..functions.jsontext import json_string, parsed
 
 DEFAULT = "default"
 
@@ -99,3 +100,84 @@ def case_problems(cases: DataFrame, cells: int, tools: DataFrame, variants: list
     own = _problem(cases, ["ordinal"], F.filter(bad, lambda b: b.isNotNull()))
     named = cases.select("ordinal", F.explode(F.array_distinct("expected")).alias("tool")).join(tools.select("tool").distinct(), "tool", "left_anti")
     return own.unionByName(named.select("ordinal", F.concat(F.lit("unknown tool "), "tool").alias("problem")))
+
+
+#: An authored case as a generator writes it; args, matchers and responses are JSON texts or values.
+RAW = """struct<cell:variant,user_message:string,expected_tools:array<struct<name:string,args:string>>,forbidden_tools:array<string>,
+ mock_overrides:array<struct<tool:string,match_args:string,response:string>>,variant:string,user_turns:array<string>,expected_response:string,
+ contains:string,contract:string,evidence:array<string>,mock_strategy:string>"""
+
+
+def _said(text: Column) -> Column:
+    return F.coalesce(F.trim(text), F.lit(""))
+
+
+def _json_text(value: Column) -> Column:
+    """A value that may be JSON text or JSON: null if it is neither."""
+    return F.when(parsed(value).isNotNull(), value)
+
+
+def authored_cases(raw: DataFrame, cells: DataFrame, tools: DataFrame, strategies: list[str], variants: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(cases, errors) of what a generator wrote for a plan's cells.
+
+    raw: ordinal, doc (JSON text, see RAW); cells: cell (from 0), key, intent, topic,
+    scenario, failure_mode, count, variants (array), tool, edge (kind of an edge case). A
+    case of no cell, without a message or with an unknown expected tool is dropped;
+    overrides of unknown tools or without a response, unknown variants and strategies are
+    ignored; args that break their schema are told and kept. A cell on malformed output
+    gets a rule that answers with one. Of a cell's cases the first ``count`` stay.
+
+    cases: ordinal, cell, key, the cell's tags, variant, message, expected_tools (JSON),
+    forbidden_tools, user_turns, mocks (JSON list of tool, matchArgs, response), strategy,
+    reference (response, contains, contract), evidence. errors: ordinal, place, error.
+    """
+    args_schemas = known_schemas(tools, "args_schema")
+    names = tools.agg(F.coalesce(F.collect_set("tool"), F.array().cast("array<string>")).alias("_known"))  # one row: the tools of an agent
+    r = raw.select("ordinal", F.from_json("doc", RAW).alias("r")).where("r is not null").join(names)
+    index = F.try_variant_get(F.col("r.cell"), "$", "int")
+    given = F.when(F.schema_of_variant(F.col("r.cell")) == "BIGINT", index)
+    r = r.withColumn("cell", given).join(cells.withColumnRenamed("cell", "_cell"), F.col("cell") == F.col("_cell"), "left")
+    empty = F.array().cast("array<string>")
+    known = lambda t: F.coalesce(F.array_contains(F.col("_known"), t), F.lit(False))
+    strangers = F.filter(F.coalesce("r.expected_tools", F.array().cast("array<struct<name:string,args:string>>")), lambda e: ~known(e["name"]))
+    r = r.withColumn("_message", _said(F.col("r.user_message"))).withColumn("_lost", F.get(strangers, F.lit(0)))
+    no_cell = F.col("_cell").isNull()
+    dropped = (
+        F.when(no_cell, F.concat(F.lit("case with unknown cell index "), F.coalesce(F.to_json("r.cell"), F.lit("null")), F.lit(" dropped")))
+        .when(F.col("_message") == "", F.concat(F.lit("empty user_message for cell "), "key", F.lit(" dropped")))
+        .when(F.size(strangers) > 0, F.concat(F.lit("case for "), "key", F.lit(" expects unknown tool "), F.coalesce(F.concat(F.lit("'"), F.col("_lost.name"), F.lit("'")), F.lit("None")), F.lit("; dropped")))
+    )
+    r = r.withColumn("_dropped", dropped)
+    lost = r.where("_dropped is not null").select("ordinal", F.lit(-1).alias("place"), F.col("_dropped").alias("error"))
+    good = r.where("_dropped is null")
+    calls = good.select("ordinal", "key", F.posexplode("r.expected_tools").alias("place", "e"))
+    own_args = F.when(F.ltrim(F.col("e.args")).startswith("{") & parsed(F.col("e.args")).isNotNull(), F.col("e.args")).otherwise("{}")
+    calls = calls.select("ordinal", "key", "place", F.col("e.name").alias("tool"), own_args.alias("args")).join(tools.select("tool", F.coalesce("args_schema", F.lit("{}")).alias("_args")), "tool")
+    wrong = calls.select("ordinal", "key", "place", "tool", F.explode(argument_problems("args", "_args", args_schemas)).alias("p"))
+    wrong = wrong.select("ordinal", "place", F.concat(F.lit("case for "), "key", F.lit(": expected_tools "), "tool", F.lit(" args violate args_schema: "), "p").alias("error"))
+    listed = calls.groupBy("ordinal").agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("place", "tool", "args"))), lambda c: F.struct(c["tool"].alias("name"), F.parse_json(c["args"]).alias("args")))).alias("expected_tools"))
+    overrides = good.select("ordinal", "key", "_known", F.posexplode("r.mock_overrides").alias("place", "o"))
+    response, matcher = _json_text(F.col("o.response")), F.when(F.ltrim(F.col("o.match_args")).startswith("{"), _json_text(F.col("o.match_args")))
+    overrides = overrides.select("ordinal", "key", F.col("place"), F.col("o.tool").alias("tool"), known(F.col("o.tool")).alias("is_known"), F.coalesce(matcher, F.lit("{}")).alias("match_args"), response.alias("response"))
+    ignored = overrides.where("not is_known or response is null").select("ordinal", (F.col("place") + 1000).alias("place"), F.when(~F.col("is_known"), F.concat(F.lit("mock override for unknown tool in "), "key", F.lit(" ignored"))).otherwise(F.concat(F.lit("mock override for "), "tool", F.lit(" in "), "key", F.lit(" ignored (invalid JSON)"))).alias("error"))
+    malformed = good.where("edge = 'malformed_output' and tool is not null").select("ordinal", F.col("tool").alias("_edge_tool"))
+    broken = tools.select(F.col("tool").alias("_edge_tool"), spoiled_of(F.coalesce("output_schema", F.lit("{}"))).alias("response"))
+    injected = malformed.join(broken, "_edge_tool").select("ordinal", F.lit(10**6).alias("place"), F.col("_edge_tool").alias("tool"), F.lit("{}").alias("match_args"), "response")
+    rules = overrides.where("is_known and response is not null").select("ordinal", "place", "tool", "match_args", "response")
+    rules = rules.join(malformed.withColumnRenamed("_edge_tool", "tool"), ["ordinal", "tool"], "left_anti").unionByName(injected)
+    one = F.concat(F.lit('{"tool":'), json_string(F.col("tool")), F.lit(',"matchArgs":'), "match_args", F.lit(',"response":'), "response", F.lit("}"))
+    mocks = rules.groupBy("ordinal").agg(F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list(F.struct("place", one.alias("x"))))["x"], ","), F.lit("]")).alias("mocks"))
+    chosen = _said(F.col("r.mock_strategy"))
+    strange = good.where((chosen != "") & ~chosen.isin(strategies)).select("ordinal", F.lit(10**6).alias("place"), F.concat(F.lit("case for "), "key", F.lit(": unknown mock strategy '"), chosen, F.lit("' ignored")).alias("error"))
+    turns = F.filter(F.coalesce("r.user_turns", empty), lambda t: F.trim(t) != "")
+    variant = F.when(F.size(turns) > 0, "multi-turn").when(F.col("r.variant").isin(variants), F.col("r.variant")).otherwise(F.get("variants", F.lit(0)))
+    told = F.nullif(F.col("r.evidence"), empty)
+    kept = good.withColumn("_n", F.row_number().over(Window.partitionBy("cell").orderBy("ordinal"))).where(F.col("_n") <= F.col("count"))
+    kept = kept.join(listed, "ordinal", "left").join(mocks, "ordinal", "left").select(
+        "ordinal", "cell", "key", "intent", "topic", "scenario", "failure_mode", "tool", "edge", variant.alias("variant"), F.col("_message").alias("message"), F.coalesce("expected_tools", F.lit("[]")).alias("expected_tools"),
+        F.filter(F.coalesce("r.forbidden_tools", empty), known).alias("forbidden_tools"), turns.alias("user_turns"), "mocks", F.when(chosen.isin(strategies), chosen).alias("strategy"),
+        F.struct(F.coalesce("r.expected_response", F.lit("")).alias("response"), F.nullif(_said(F.col("r.contains")), F.lit("")).alias("contains"), F.nullif(_said(F.col("r.contract")), F.lit("")).alias("contract")).alias("reference"),
+        F.coalesce(told, F.array("scenario")).alias("evidence"),
+    )
+    errors = lost.unionByName(wrong).unionByName(ignored).unionByName(strange)
+    return kept, errors

@@ -82,3 +82,8 @@ def longer_than_before(row: dict, memory: dict) -> dict | None:
     most = memory.get("most", -1)
     memory["most"] = max(most, size)
     return {"score": float(size > most), "comment": f"{size} after {most}" if most >= 0 else "first"}
+
+
+def brief(row: dict, memory: dict) -> float | None:
+    """An example: has the response at most 16 characters?"""
+    return None if row.get("response") is None else float(len(row["response"]) <= 16)

@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ..functions import jsontext
 from ..functions.jsonvalues import contains as part_of, json_valid
 from ..functions.matching import all_matched
 
@@ -31,20 +32,28 @@ def valid_json(text: Column) -> Column:
     return json_valid(text).cast("double")
 
 
-def subsequence(expected: list[dict], actual: list[dict]) -> bool:
-    """Each expected call finds, after the one before, a call of its name whose args hold its args."""
-    rest = iter(actual)
-    return all(any(a.get("name") == e.get("name") and part_of(a.get("args") or {}, e.get("args") or {}) for a in rest) for e in expected)
+#: Arguments are compared to so many levels; expectations deeper than that are an error.
+DEPTH = 8
 
+_CALLS = "array<struct<name:string,args:string>>"
 
-@F.pandas_udf(T.DoubleType())
-def expected_tools(calls: pd.Series, expected: pd.Series, forbidden: pd.Series) -> pd.Series:
-    """calls, expected: JSON lists of {name, args}; forbidden: JSON list of names. No expectations pass."""
-    out = []
-    for c, e, f in zip(calls, expected, forbidden, strict=True):
-        actual, names = json.loads(c or "[]"), set(json.loads(f or "[]"))
-        out.append(float(subsequence(json.loads(e or "[]"), actual) and not any(a.get("name") in names for a in actual)))
-    return pd.Series(out, dtype=float)
+
+def expected_tools(calls: Column | str, expected: Column | str, forbidden: Column | str, depth: int = DEPTH) -> Column:
+    """1.0 if each expected call finds, after the one before, a call of its name whose args hold its args, and no forbidden tool is called.
+
+    calls, expected: JSON lists of {name, args}; forbidden: JSON list of names. No
+    expectations pass.
+    """
+    calls, expected, forbidden = (F.col(c) if isinstance(c, str) else c for c in (calls, expected, forbidden))
+    made = F.coalesce(F.from_json(calls, _CALLS), F.array().cast(_CALLS))
+    have = F.transform(made, lambda c: F.struct(c["name"].alias("name"), jsontext.leaves(c["args"], depth).alias("leaves")))
+    want = F.transform(F.coalesce(F.from_json(expected, _CALLS), F.array().cast(_CALLS)), lambda e: F.struct(e["name"].alias("name"), jsontext.wanted_leaves(e["args"], depth).alias("wanted")))
+    fits = lambda e, c: F.coalesce((e["name"] == c["name"]) & jsontext.met(e["wanted"], c["leaves"]), F.lit(False))
+    # both lists are made once, then the expected calls are crossed off in order
+    lists = F.array(F.struct(have.alias("have"), want.alias("want")))
+    left = F.transform(lists, lambda x: F.size(x["want"]) - F.aggregate(x["have"], F.lit(0), lambda at, c: F.when((at < F.size(x["want"])) & fits(F.get(x["want"], at), c), at + 1).otherwise(at)))
+    taboo = F.coalesce(F.from_json(forbidden, "array<string>"), F.array().cast("array<string>"))
+    return ((F.get(left, F.lit(0)) == 0) & ~F.arrays_overlap(F.transform(made, lambda c: F.coalesce(c["name"], F.lit(""))), taboo)).cast("double")
 
 
 def names_in_order(names: Column, expected: Column) -> Column:

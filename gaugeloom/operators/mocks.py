@@ -121,6 +121,27 @@ def with_fallback(case_rules: DataFrame, dataset_rules: DataFrame) -> DataFrame:
     return case_rules.where(real).select(*columns).unionByName(ranked.select(*columns))
 
 
+def mock_blocks(cases: DataFrame, case_rules: DataFrame, dataset_rules: DataFrame, on_miss: str | None = None, strategy: str | None = None, dataset_on_miss: str | None = None, dataset_strategy: str | None = None) -> DataFrame:
+    """One answer a case: case_id, on_miss, strategy and tools, a map from a tool to its rules in order.
+
+    A case's own list of a tool goes before the dataset's, an empty one too. What a run
+    asks for on a miss goes before the dataset's, that before ``real``; a case's own
+    strategy (cases: case_id, strategy) before the run's, that before the dataset's.
+    case_rules: case_id and the columns of dataset_rules: tool, rule_idx (null: an empty
+    list), match_args, response.
+    """
+    rule = F.struct("rule_idx", "match_args", "response")
+    listed = lambda rows, *keys: rows.groupBy(*keys, "tool").agg(F.sort_array(F.collect_list(F.when(F.col("rule_idx").isNotNull(), rule))).alias("rules"))
+    in_map = F.map_from_entries(F.collect_list(F.struct("tool", "rules")))
+    shared = listed(dataset_rules).agg(in_map.alias("_shared"))  # one row: a dataset mocks some dozens of tools
+    own = listed(case_rules, "case_id").groupBy("case_id").agg(in_map.alias("_own"))
+    none = F.from_json(F.lit("{}"), "map<string,array<struct<rule_idx:int,match_args:string,response:string>>>")
+    kept = F.map_filter("_shared", lambda tool, _: ~F.map_contains_key(F.coalesce("_own", none), tool))
+    chosen = F.coalesce(F.nullif(F.col("strategy"), F.lit("")), F.lit(strategy or None), F.lit(dataset_strategy or None))
+    out = cases.select("case_id", "strategy").join(own, "case_id", "left").join(shared)
+    return out.select("case_id", F.lit(on_miss or dataset_on_miss or "real").alias("on_miss"), chosen.alias("strategy"), F.map_concat(kept, F.coalesce("_own", none)).alias("tools"))
+
+
 def unanswered(calls: DataFrame, rules: DataFrame, keys: list[str] | None = None, depth: int | None = None) -> DataFrame:
     """Calls whose tool has a rule list but no rule that matches. Tools without a list are left alone.
 

@@ -11,7 +11,7 @@ from ..functions import jsonschema as js, text as tx
 from ..functions.jsonvalues import case_identity, json_valid
 from ..operators import agentmap as am, authoring as au, cases as cs, coverage as cov, evaluators as ev, mocks, scores as sc, simulation as sim, stability as st
 from ..streaming.progress import progress, with_totals
-from . import adapters as ad, authoring_queries, folder_queries, live_queries  # noqa: F401  (enter their queries)
+from . import adapters as ad, authoring_queries, folder_queries, live_queries, project_queries  # noqa: F401  (enter their queries)
 from .adapters import GRADES_SQL, LEDGER_SQL, LINES_SQL, PARTS_SQL, RULES_SQL, TALKS_SQL, table
 from .registry import QUERIES, SQL, query, r6  # noqa: F401
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions import jsontext
 from ..operators import agentmap as am, cases as cs, coverage as cov, mocks, scores as sc, simulation as sim, stability as st
 from ..schemas import SLICE_DIMS
 from ..sources import artifacts as art
@@ -102,6 +103,73 @@ class Report:
     def problems(self) -> DataFrame:
         return art.problems(self.docs)
 
+    def bundle(self) -> DataFrame:
+        """One row: how many cases, intents, scenarios, tools, skills and runs the folder holds."""
+        counted = [self.cases.agg(F.count(F.lit(1)).alias("cases"))]
+        counted += [art.items(art.one(self.docs, "agent_map"), f"$.{part}", []).agg(F.count(F.lit(1)).alias(part)) for part in ("intents", "scenarios", "tools", "skills")]
+        counted.append(self.runs.agg(F.countDistinct("run_id").alias("runs")))
+        out = counted[0]
+        for one in counted[1:]:
+            out = out.join(one)  # one row each
+        return out
+
+    def running_stage(self, order: list[str]) -> DataFrame:
+        """path, stage: the first stage, in the order given, that is running in each state."""
+        place = F.array_position(F.array(*[F.lit(s) for s in order]), F.col("stage"))
+        return self.stages.where("status = 'running'").groupBy("path").agg(F.min_by("stage", F.when(place > 0, place).otherwise(len(order) + 1)).alias("stage"))
+
+    def text(self, name: str, problems: int = 15) -> DataFrame:
+        """section, place, line: the report as lines of text; sections and places give their order."""
+        number = lambda c: F.coalesce(jsontext.python_number(F.col(c).cast("string")), F.lit("None"))
+        real = lambda c: F.coalesce(jsontext.python_float(F.col(c).cast("string")), F.lit("None"))
+        line = lambda rows, section, place, *parts: rows.select(F.lit(section).alias("section"), place.cast("long").alias("place"), F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]).alias("line"))
+        zero = F.lit(0)
+        verdict = self.verdict()
+        out = [line(verdict, 0, zero, f"{name}: verdict=", F.col("verdict"), " overall=", real("overall_score"))]
+        out.append(line(verdict.select(F.posexplode("reasons").alias("i", "r")), 1, F.col("i"), "  - ", F.col("r")))
+        stage = F.format_string("  %-10s %-16s %7.1fs  %s", "stage", "status", F.coalesce("seconds", F.lit(0.0)), F.substring(F.coalesce("reason", "error", F.lit("")), 1, 90))
+        out.append(line(self.stages, 2, zero, stage))
+        rates = self.metrics().withColumn("pass_rate", F.bround("pass_rate", 4))
+        mark = F.when(F.col("passed"), "ok").otherwise("FAIL")
+        out.append(line(rates, 3, zero, F.format_string("  %-18s pass_rate=", "metric"), real("pass_rate"), " threshold=", real("threshold"), " errors=", number("errors"), " [", mark, "]"))
+        out.append(line(cov.coverage_percent(self.coverage()), 4, zero, "coverage: ", number("covered"), "/", number("planned"), " (", real("pct"), "%)"))
+        steady = st.summary(self.behaviour())
+        repeats = self.runs.agg(F.countDistinct("run_id").alias("repeats"))
+        out.append(line(steady.join(repeats), 5, zero, "stability: repeats=", number("repeats"), " unstable_cases=", number("unstable"), " text_varies=", number("text_varies")))
+        wrong = self.problems().orderBy("path").limit(problems)
+        out.append(line(wrong, 6, zero, "  [warning] ", F.regexp_extract("path", "([^/]+)$", 1), ": ", F.substring("problem", 1, 120)))
+        rows = out[0]
+        for more in out[1:]:
+            rows = rows.unionByName(more)
+        return rows
+
+    def analysis(self, gaps: int = 20, failing: int = 40) -> DataFrame:
+        """One row for whoever analyses the report: the verdict with its reasons, weak slices, and the first gaps, failing cases and evaluator errors.
+
+        Lists are cut before they are gathered.
+        """
+        listed = lambda rows, order, item, name: rows.agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, item.alias("item")))), lambda x: x["item"]).alias(name))
+        missing = self.coverage().where("covered < count").orderBy("ordinal").limit(gaps)
+        cell = F.concat_ws("/", *cov.CELL)
+        bad = self.failing().orderBy("case_id").limit(failing)
+        errors = sc.evaluator_errors(self.scores)
+        weak = sc.weak_slices(self.slices())
+        return (
+            self.verdict().select("verdict", "overall_score", "reasons").join(listed(weak, ["dim", "value"], F.col("weak"), "weak_slices")).join(listed(missing, ["ordinal"], cell, "coverage_gaps"))
+            .join(listed(bad, ["case_id"], F.col("case_id"), "failing_cases")).join(listed(errors, ["metric"], F.concat(F.col("metric"), F.lit(": "), F.col("errors").cast("string"), F.lit(" error(s)")), "evaluator_errors"))
+        )
+
+    def tool_briefs(self, width: int = 3000) -> DataFrame:
+        """tool, brief: a tool as JSON text for a prompt; what is empty or usual is left out, the text is cut."""
+        t = self.tools()
+        parts = F.struct("tool", "description", F.when(F.col("kind") != "tool", F.col("kind")).alias("kind"), F.when(F.col("side_effecting"), True).alias("side_effecting"), "args_schema", "output_schema")
+        return t.select("ordinal", "tool", F.substring(F.to_json(parts), 1, width).alias("brief"))
+
+    def review_progress(self) -> DataFrame:
+        """One row: cases by what became of their review, and finished runs."""
+        n = lambda status: F.count_if(F.col("review_status") == status).alias(status)
+        return self.cases.agg(n("approved"), n("pending"), n("rejected")).join(self.runs.agg(F.countDistinct("run_id").alias("runs"), F.count("error").alias("failed_runs")))
+
     def register(self, prefix: str = "v_") -> list[str]:
         """Every view that needs no argument as a temporary view."""
         names = ("metrics", "run_metrics", "slices", "verdict", "summary", "unstable", "flips", "failing", "case_table", "mock_rules", "ledger_totals", "coverage", "coverage_by_kind", "simulation_totals", "stage_totals", "tools", "intents", "nodes", "problems")

@@ -65,7 +65,7 @@ def fingerprints(h: np.ndarray, row: np.ndarray, short: list[int]) -> tuple[np.n
     return tuple(np.concatenate(x) for x in zip(*[(a, tb.mix(g, k), np.full(len(a), k)) for a, g, k in parts], strict=True))
 
 
-def spans_at(slab: tb.Slab, words: tuple, folded: bytes, at: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+def spans_at(slab: tb.Slab, words: tuple, fold: np.ndarray, at: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
     """(which fingerprint, first word, digest, number of words) of every span that a fingerprint (place, k) lies in.
 
     A fingerprint of K words lies in up to SPAN - K + 1 spans of its text; a short one is
@@ -81,22 +81,25 @@ def spans_at(slab: tb.Slab, words: tuple, folded: bytes, at: np.ndarray, k: np.n
         which.append(np.flatnonzero(fits))
         first.append(start[fits])
     which, first = np.concatenate(which), np.concatenate(first)
-    b, e = begin.tolist(), end.tolist()
-    known: dict[tuple[int, int], bytes] = {}
-    digests = []
-    for i, n in zip(first.tolist(), need[which].tolist(), strict=True):
-        if (i, n) not in known:
-            known[i, n] = xxhash.xxh3_128_digest(b" ".join([folded[b[w] : e[w]] for w in range(i, i + n)]))
-        digests.append(known[i, n])
-    return which, first, digests, need[which]
-
-
-def text_words(slab: tb.Slab) -> tuple[tuple, bytes, np.ndarray]:
-    """Begin, end and row of each word with the bounds of the rows; the text with A-Z taken as a-z; the hash of each word."""
+    size = need[which]
+    digests = np.empty(len(which), object)
+    for n in np.unique(size).tolist():  # at most SPAN lengths
+        own = np.flatnonzero(size == n)
+        starts, place = np.unique(first[own], return_inverse=True)
+        word = starts[:, None] + np.arange(n)
+        known = np.empty(len(starts), object)
+        for i, (b, e) in enumerate(zip(begin[word].tolist(), end[word].tolist(), strict=True)):
+            text = fold[slab.buf[b[0] : e[-1]]].tobytes()
+            known[i] = xxhash.xxh3_128_digest(b" ".join([text[x - b[0] : y - b[0]] for x, y in zip(b, e, strict=True)]))
+        digests[own] = known[place]
+    return which, first, digests.tolist(), size
+
+
+def text_words(slab: tb.Slab, fold: np.ndarray) -> tuple[tuple, np.ndarray]:
+    """Begin, end and row of each word with the bounds of the rows; the hash of each word, A-Z taken as a-z."""
     begin, end, row = tb.runs(slab, tb.WORD)
-    fold = tb.ascii_lower()
     h = tb.mix(tb.span(tb.prefix(tb.byte_codes(slab.buf, fold)), begin, end))
-    return (begin, end, row, row_bounds(row, len(slab.starts))), fold[slab.buf].tobytes(), h
+    return (begin, end, row, row_bounds(row, len(slab.starts))), h
 
 
 def item_fingerprints(benchmark: DataFrame) -> DataFrame:
@@ -104,15 +107,16 @@ def item_fingerprints(benchmark: DataFrame) -> DataFrame:
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold = tb.ascii_lower()
         for batch in batches:
             for slab in tb.slabs(batch.column("text")):
-                words, folded, h = text_words(slab)
+                words, h = text_words(slab, fold)
                 _, _, row, cut = words
                 size = np.diff(cut)
                 at, g, k = fingerprints(h, row, sorted({int(n) for n in size if 0 < n < SPAN}))
                 own = np.where(size[row[at]] < SPAN, size[row[at]], K + 100) == k
                 at, g, k = at[own], g[own], k[own]
-                which, _, digests, need = spans_at(slab, words, folded, at, k)
+                which, _, digests, need = spans_at(slab, words, fold, at, k)
                 ids = batch.column("item_id").slice(slab.first, len(slab.starts)).take(pa.array(row[at[which]]))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(g[which].astype(np.int64)), pa.array(digests, pa.binary()), pa.array(need.astype(np.int64))], ["item_id", "fp", "span", "need"])
 
@@ -137,16 +141,16 @@ def document_fingerprints(docs: DataFrame, marks: tuple[int, bytes], short: list
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size, table = shared.value
-        bits = np.frombuffer(table, np.uint64)
+        bits, fold = np.frombuffer(table, np.uint64), tb.ascii_lower()
         for batch in batches:
             for slab in tb.slabs(batch.column("text")):
-                words, folded, h = text_words(slab)
+                words, h = text_words(slab, fold)
                 _, _, row, cut = words
                 at, g, k = fingerprints(h, row, short)
                 place = g >> np.uint64(64 - size)
                 may = (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
                 at, g, k = at[may], g[may], k[may]
-                which, first, digests, need = spans_at(slab, words, folded, at, k)
+                which, first, digests, need = spans_at(slab, words, fold, at, k)
                 own = batch.slice(slab.first, len(slab.starts)).take(pa.array(row[at[which]]))
                 lo = first - cut[row[at[which]]]
                 columns = [*[own.column(c) for c in keys], pa.array(g[which].astype(np.int64)), pa.array(digests, pa.binary()), pa.array(lo), pa.array(lo + need)]

@@ -168,11 +168,11 @@ def json_string(value: Column) -> Column:
     return F.get(F.transform(listed, lambda x: F.when(x["v"].isNull(), "null").otherwise(unmasked(_short_escapes(F.replace(F.substring(x["text"], F.lit(2), F.length(x["text"]) - 2), F.lit("\\\\"), F.lit(_SLASH)))))), F.lit(0))
 
 
-def equal_number(number: Column) -> Column:
-    """One spelling of all numbers that are equal: whole ones by their digits, however they are written."""
+def equal_number(number: Column, broken: Callable[[Column], Column] = lambda number: number.cast("double").cast("string")) -> Column:
+    """One spelling of all numbers that are equal: whole ones by their digits, however they are written, others by ``broken``."""
     d = number.cast("double")
     integral = (F.abs(d) < 9.2e18) & (d == F.floor(d).cast("double"))
-    return F.when(whole(number), python_int(number)).when(integral, d.cast("long").cast("string")).otherwise(python_float(number))
+    return F.when(whole(number), python_int(number)).when(integral, d.cast("long").cast("string")).otherwise(broken(number))
 
 
 def equal_form(text: Column) -> Column:

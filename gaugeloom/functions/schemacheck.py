@@ -125,7 +125,7 @@ def printed(x: Column) -> Column:
 
 def spelled(x: Column) -> Column:
     """One text for all values that are equal."""
-    scalar = lambda v: _scalar(v, jt.equal_number, {"true": "1", "false": "0", "null": "null"}, jt.json_string)
+    scalar = lambda v: _scalar(v, lambda n: jt.equal_number(n, jt.python_float), {"true": "1", "false": "0", "null": "null"}, jt.json_string)
     deep = F.to_json(F.try_parse_json(_inside(x, lambda v: jt.json_string(scalar(v)), ",", ":")))
     return F.when(is_object(x) | is_list(x), deep).otherwise(scalar(x))
 

@@ -35,9 +35,10 @@ def first_match(calls: DataFrame, rules: DataFrame, keys: list[str] | None = Non
     depth = depth or deepest(rules)
     wanted = jsontext.wanted_leaves(F.col("match_args"), depth).alias("wanted")
     lists = rules.groupBy(*on).agg(F.sort_array(F.collect_list(F.struct("rule_idx", "response", wanted))).alias("_rules"))
-    held = calls.join(lists, on, "left").withColumn("_args", jsontext.leaves(F.col("args"), depth))
-    found = F.get(F.filter("_rules", lambda r: jsontext.met(r["wanted"], F.col("_args"))), F.lit(0))
-    return held.withColumn("_found", found).withColumn("rule_idx", F.col("_found.rule_idx")).withColumn("response", F.col("_found.response")).drop("_rules", "_args", "_found")
+    # the leaves of a call are made once, not once a rule
+    first = lambda have: F.get(F.filter("_rules", lambda r: jsontext.met(r["wanted"], have)), F.lit(0))
+    found = F.get(F.transform(F.array(jsontext.leaves(F.col("args"), depth)), lambda have: first(have)), F.lit(0))
+    return calls.join(lists, on, "left").withColumn("_found", found).withColumn("rule_idx", F.col("_found.rule_idx")).withColumn("response", F.col("_found.response")).drop("_rules", "_found")
 
 
 def first_match_indexed(calls: DataFrame, rules: DataFrame, keys: list[str] | None = None, depth: int | None = None) -> DataFrame:
@@ -60,7 +61,8 @@ def first_match_indexed(calls: DataFrame, rules: DataFrame, keys: list[str] | No
     index = entries.join(sharing, [*on, "leaf"]).groupBy(*on, "rule_idx").agg(rarest, F.first("wanted").alias("wanted"))
     free = known.where(F.size("wanted") == 0).select(*on, F.col("rule_idx").alias("free"))
     asked = calls.select(*on, "args").distinct().select(*on, F.sha2("args", 256).alias("_id"), F.array_distinct(jsontext.leaves(F.col("args"), depth)).alias("have"))
-    looked = asked.select("*", F.explode("have").alias("leaf"))
+    # an outer explode, as Spark would compute the leaves again to filter empty ones for another
+    looked = asked.select("*", F.explode_outer("have").alias("leaf"))
     hits = looked.join(index, [*on, "leaf"]).where(jsontext.met(F.col("wanted"), F.col("have")))
     first = hits.groupBy(*on, "_id").agg(F.min("rule_idx").alias("hit"))
     found = calls.withColumn("_id", F.sha2("args", 256)).join(first, [*on, "_id"], "left").join(free, on, "left")
@@ -70,16 +72,18 @@ def first_match_indexed(calls: DataFrame, rules: DataFrame, keys: list[str] | No
 
 def first_match_constant(calls: DataFrame, rules: dict[str, list[tuple[dict, str]]]) -> DataFrame:
     """first_match for rule lists known when the plan is made: a chain of predicates, no join."""
-    flat = [(tool, i, json.dumps(matcher), response) for tool, own in rules.items() for i, (matcher, response) in enumerate(own)]
-    table = calls.sparkSession.createDataFrame(flat, "tool string, rule_idx int, match_args string, response string")
-    depth = deepest(table)
-    leaves = table.select("tool", "rule_idx", "response", jsontext.wanted_leaves(F.col("match_args"), depth).alias("wanted")).orderBy("rule_idx").collect()
+    def levels(value: object) -> int:
+        return 1 + max(map(levels, value.values()), default=0) if isinstance(value, dict) else 0
+
+    flat = [(tool, i, matcher or {}) for tool, own in rules.items() for i, (matcher, _) in enumerate(own)]
+    depth = max((levels(matcher) for *_, matcher in flat), default=1)
+    one = calls.sparkSession.range(1).select(*[jsontext.wanted_leaves(F.lit(json.dumps(matcher)), depth).alias(f"r{n}") for n, (*_, matcher) in enumerate(flat)])
     place = F.lit(None).cast("int")
-    for r in reversed(leaves):
-        hit = F.col("tool") == r["tool"]
-        if r["wanted"]:
-            hit &= F.coalesce(reduce(and_, [F.array_contains("_args", leaf) for leaf in r["wanted"]]), F.lit(False))
-        place = F.when(hit, r["rule_idx"]).otherwise(place)
+    for (tool, i, _), wanted in reversed(list(zip(flat, one.first() if flat else (), strict=True))):
+        hit = F.col("tool") == tool
+        if wanted:
+            hit &= F.coalesce(reduce(and_, [F.array_contains("_args", leaf) for leaf in wanted]), F.lit(False))
+        place = F.when(hit, i).otherwise(place)
     texts = {tool: F.array(*[F.lit(response) for _, response in own]) for tool, own in rules.items()}
     response = F.lit(None).cast("string")
     for tool, own in texts.items():

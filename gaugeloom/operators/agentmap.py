@@ -135,7 +135,7 @@ def node_skills(nodes: DataFrame, skills: DataFrame) -> DataFrame:
     some dozens of skills: their names are one small array.
     """
     names = skills.agg(F.sort_array(F.collect_set("skill")).alias("_all"))  # one row
-    n = nodes.where("kind = 'llm'").join(F.broadcast(names))
+    n = nodes.where("kind = 'llm'").join(names)
     shown = F.coalesce("skills", F.array().cast("array<string>"))
     told = F.filter("_all", lambda s: F.contains(F.coalesce("prompt", F.lit("")), s))
     n = n.withColumn("_own", F.array_union(shown, told)).withColumn("_how", F.coalesce(F.col("source"), F.when(F.size(F.array_except(told, shown)) > 0, "prompt")))

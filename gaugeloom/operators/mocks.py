@@ -100,7 +100,7 @@ def merge_rules(dataset_rules: DataFrame, case_rules: DataFrame) -> DataFrame:
     """
     own = case_rules.groupBy("case_id").agg(F.collect_set("tool").alias("own"))
     tools = dataset_rules.agg(F.collect_set("tool").alias("tools"))  # one row
-    missing = own.join(F.broadcast(tools)).select("case_id", F.explode(F.array_except("tools", "own")).alias("tool"))
+    missing = own.join(tools).select("case_id", F.explode(F.array_except("tools", "own")).alias("tool"))
     inherited = missing.join(dataset_rules, "tool")
     columns = ["case_id", "tool", "rule_idx", "match_args", "response"]
     return case_rules.select(*columns).unionByName(inherited.select(*columns))

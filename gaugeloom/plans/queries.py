@@ -470,10 +470,15 @@ def set_review(spark, d):
     return cs.set_review(_order_dataset(spark, d), decisions).select("case_id", "review_status")
 
 
-@query("""SELECT NULL AS case_id, problem FROM (SELECT unnest(['schema must be demo/dataset/v1', 'mocks must be an object', 'mocks.tools.t must be a list of rules']) AS problem)""")
+@query("""WITH h AS (SELECT p_partkey AS k, p_size AS z FROM part)
+SELECT problem, count(*) AS n FROM (SELECT 'schema must be demo/dataset/v1' AS problem FROM h WHERE k % 3 = 0 UNION ALL SELECT 'mocks must be an object' FROM h WHERE z % 4 = 1 UNION ALL SELECT 'mocks.tools must be an object' FROM h WHERE z % 4 = 2 UNION ALL SELECT 'mocks.tools.t' || z || ' must be a list of rules' FROM h WHERE z % 4 = 3) GROUP BY problem""")
 def dataset_headers(spark, d):
-    h = spark.createDataFrame([("demo/dataset/v1", '{"tools": {"w": []}}'), ("odd", '{"tools": {"t": 5}}'), ("demo/dataset/v1", "[1]")], "schema string, mocks string")
-    return cs.dataset_header_problems(h, "demo/dataset/v1").select(F.lit(None).cast("int").alias("case_id"), "problem")
+    """A dataset a part: other schemas, and mock blocks and tools that are none."""
+    z = F.col("p_size")
+    tool = lambda rules: F.concat(F.lit('{"tools": {"t'), z.cast("string"), F.lit(f'": {rules}}}}}'))
+    mocks_ = F.when(z % 4 == 1, "[1]").when(z % 4 == 2, '{"tools": 5}').when(z % 4 == 3, tool("5")).otherwise(tool("[]"))
+    h = table(spark, d, "part").select(F.when(F.col("p_partkey") % 3 == 0, "odd").otherwise("demo/dataset/v1").alias("schema"), mocks_.alias("mocks"))
+    return cs.dataset_header_problems(h, "demo/dataset/v1").groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""WITH b AS (SELECT p_partkey, p_size % 5 AS m, p_size % 3 AS s FROM part)

@@ -25,7 +25,8 @@ def save_valid(cases: DataFrame, folder: str) -> DataFrame:
     """Writes cases only if none breaks a rule; returns the broken rules.
 
     The cases are written to a folder beside it first and read from there, so what was
-    checked is what is kept, and they are computed once.
+    checked is what is kept, and they are computed once. That folder stays only if a rule
+    is broken: then the broken cases are read from it.
     """
     staged = f"{folder.rstrip('/')}.checked"
     cases.write.mode("overwrite").parquet(staged)
@@ -33,6 +34,9 @@ def save_valid(cases: DataFrame, folder: str) -> DataFrame:
     bad = problems(own)
     if bad.isEmpty():
         own.write.mode("overwrite").parquet(folder)
+        path = cases.sparkSession._jvm.org.apache.hadoop.fs.Path(staged)
+        path.getFileSystem(cases.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        return cases.sparkSession.createDataFrame([], bad.schema)
     return bad
 
 

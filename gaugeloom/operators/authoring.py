@@ -108,6 +108,22 @@ RAW = """struct<cell:variant,user_message:string,expected_tools:array<struct<nam
  contains:string,contract:string,evidence:array<string>,mock_strategy:string>"""
 
 
+#: What is said of an authored case and of its parts that can't be used (fixed wording).
+SAID = {
+    "cell": "case with unknown cell index %s dropped",
+    "message": "empty user_message for cell %s dropped",
+    "tool": "case for %s expects unknown tool %s; dropped",
+    "args": "case for %s: expected_tools %s args violate args_schema: %s",
+    "override": "mock override for unknown tool in %s ignored",
+    "response": "mock override for %s in %s ignored (invalid JSON)",
+    "strategy": "case for %s: unknown mock strategy '%s' ignored",
+}
+
+
+def _error(kind: str, *values: Column | str) -> Column:
+    return F.format_string(SAID[kind], *values)
+
+
 def _said(text: Column) -> Column:
     return F.coalesce(F.trim(text), F.lit(""))
 
@@ -142,10 +158,9 @@ def authored_cases(raw: DataFrame, cells: DataFrame, tools: DataFrame, strategie
     strangers = F.filter(F.coalesce("r.expected_tools", F.array().cast("array<struct<name:string,args:string>>")), lambda e: ~known(e["name"]))
     r = r.withColumn("_message", _said(F.col("r.user_message"))).withColumn("_lost", F.get(strangers, F.lit(0)))
     no_cell = F.col("_cell").isNull()
+    quoted = F.coalesce(F.concat(F.lit("'"), F.col("_lost.name"), F.lit("'")), F.lit("None"))
     dropped = (
-        F.when(no_cell, F.concat(F.lit("case with unknown cell index "), F.coalesce(F.to_json("r.cell"), F.lit("null")), F.lit(" dropped")))
-        .when(F.col("_message") == "", F.concat(F.lit("empty user_message for cell "), "key", F.lit(" dropped")))
-        .when(F.size(strangers) > 0, F.concat(F.lit("case for "), "key", F.lit(" expects unknown tool "), F.coalesce(F.concat(F.lit("'"), F.col("_lost.name"), F.lit("'")), F.lit("None")), F.lit("; dropped")))
+        F.when(no_cell, _error("cell", F.coalesce(F.to_json("r.cell"), F.lit("null")))).when(F.col("_message") == "", _error("message", "key")).when(F.size(strangers) > 0, _error("tool", "key", quoted))
     )
     r = r.withColumn("_dropped", dropped)
     lost = r.where("_dropped is not null").select("ordinal", F.lit(-1).alias("place"), F.col("_dropped").alias("error"))
@@ -154,12 +169,12 @@ def authored_cases(raw: DataFrame, cells: DataFrame, tools: DataFrame, strategie
     own_args = F.when(F.ltrim(F.col("e.args")).startswith("{") & parsed(F.col("e.args")).isNotNull(), F.col("e.args")).otherwise("{}")
     calls = calls.select("ordinal", "key", "place", F.col("e.name").alias("tool"), own_args.alias("args")).join(tools.select("tool", F.coalesce("args_schema", F.lit("{}")).alias("_args")), "tool")
     wrong = calls.select("ordinal", "key", "place", "tool", F.explode(argument_problems("args", "_args", args_schemas)).alias("p"))
-    wrong = wrong.select("ordinal", "place", F.concat(F.lit("case for "), "key", F.lit(": expected_tools "), "tool", F.lit(" args violate args_schema: "), "p").alias("error"))
+    wrong = wrong.select("ordinal", "place", _error("args", "key", "tool", "p").alias("error"))
     listed = calls.groupBy("ordinal").agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("place", "tool", "args"))), lambda c: F.struct(c["tool"].alias("name"), F.parse_json(c["args"]).alias("args")))).alias("expected_tools"))
     overrides = good.select("ordinal", "key", "_known", F.posexplode("r.mock_overrides").alias("place", "o"))
     response, matcher = _json_text(F.col("o.response")), F.when(F.ltrim(F.col("o.match_args")).startswith("{"), _json_text(F.col("o.match_args")))
     overrides = overrides.select("ordinal", "key", F.col("place"), F.col("o.tool").alias("tool"), known(F.col("o.tool")).alias("is_known"), F.coalesce(matcher, F.lit("{}")).alias("match_args"), response.alias("response"))
-    ignored = overrides.where("not is_known or response is null").select("ordinal", (F.col("place") + 1000).alias("place"), F.when(~F.col("is_known"), F.concat(F.lit("mock override for unknown tool in "), "key", F.lit(" ignored"))).otherwise(F.concat(F.lit("mock override for "), "tool", F.lit(" in "), "key", F.lit(" ignored (invalid JSON)"))).alias("error"))
+    ignored = overrides.where("not is_known or response is null").select("ordinal", (F.col("place") + 1000).alias("place"), F.when(~F.col("is_known"), _error("override", "key")).otherwise(_error("response", "tool", "key")).alias("error"))
     malformed = good.where("edge = 'malformed_output' and tool is not null").select("ordinal", F.col("tool").alias("_edge_tool"))
     broken = tools.select(F.col("tool").alias("_edge_tool"), spoiled_of(F.coalesce("output_schema", F.lit("{}"))).alias("response"))
     injected = malformed.join(broken, "_edge_tool").select("ordinal", F.lit(10**6).alias("place"), F.col("_edge_tool").alias("tool"), F.lit("{}").alias("match_args"), "response")
@@ -168,7 +183,7 @@ def authored_cases(raw: DataFrame, cells: DataFrame, tools: DataFrame, strategie
     one = F.concat(F.lit('{"tool":'), json_string(F.col("tool")), F.lit(',"matchArgs":'), "match_args", F.lit(',"response":'), "response", F.lit("}"))
     mocks = rules.groupBy("ordinal").agg(F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list(F.struct("place", one.alias("x"))))["x"], ","), F.lit("]")).alias("mocks"))
     chosen = _said(F.col("r.mock_strategy"))
-    strange = good.where((chosen != "") & ~chosen.isin(strategies)).select("ordinal", F.lit(10**6).alias("place"), F.concat(F.lit("case for "), "key", F.lit(": unknown mock strategy '"), chosen, F.lit("' ignored")).alias("error"))
+    strange = good.where((chosen != "") & ~chosen.isin(strategies)).select("ordinal", F.lit(10**6).alias("place"), _error("strategy", "key", chosen).alias("error"))
     turns = F.filter(F.coalesce("r.user_turns", empty), lambda t: F.trim(t) != "")
     variant = F.when(F.size(turns) > 0, "multi-turn").when(F.col("r.variant").isin(variants), F.col("r.variant")).otherwise(F.get("variants", F.lit(0)))
     told = F.nullif(F.col("r.evidence"), empty)

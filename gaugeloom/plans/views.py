@@ -119,7 +119,7 @@ class Report:
         return self.stages.where("status = 'running'").groupBy("path").agg(F.min_by("stage", F.when(place > 0, place).otherwise(len(order) + 1)).alias("stage"))
 
     def text(self, name: str, problems: int = 15) -> DataFrame:
-        """section, place, line: the report as lines of text; sections and places give their order."""
+        """section, place, line: the report as lines of text (their wording and widths are fixed); sections and places give their order."""
         number = lambda c: F.coalesce(jsontext.python_number(F.col(c).cast("string")), F.lit("None"))
         real = lambda c: F.coalesce(jsontext.python_float(F.col(c).cast("string")), F.lit("None"))
         line = lambda rows, section, place, *parts: rows.select(F.lit(section).alias("section"), place.cast("long").alias("place"), F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]).alias("line"))

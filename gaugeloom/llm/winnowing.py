@@ -25,7 +25,7 @@ from .shared import saved, shared_folder, whole_row
 SPAN = 10
 K = 5
 
-#: Fingerprints of the benchmark mark bits of a table of at most 2**FILTER_BITS bits (16 MiB), of 16 bits a fingerprint if they fit.
+#: Fingerprints of the benchmark mark bits of a table of at most 2**FILTER_BITS bits (16 MiB), of 256 bits a fingerprint if they fit.
 FILTER_BITS = 27
 
 #: A word: any characters but those of ASCII that are not digits or small letters.
@@ -125,7 +125,7 @@ def item_fingerprints(benchmark: DataFrame) -> DataFrame:
 
 def filter_table(prints: DataFrame) -> tuple[int, bytes]:
     """How many bits of a fingerprint name a bit, and a bit for each that the fingerprints take: at most 2**(FILTER_BITS - 6) words reach the driver."""
-    bits = min(FILTER_BITS, max(16, (16 * prints.select("fp").distinct().count()).bit_length()))
+    bits = min(FILTER_BITS, max(16, (256 * prints.select("fp").distinct().count()).bit_length()))
     slot = prints.select(F.shiftrightunsigned("fp", 64 - bits).alias("slot"))
     marks = slot.selectExpr("cast(slot div 64 as int) as w", "shiftleft(1L, cast(slot % 64 as int)) as b")
     words = marks.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()

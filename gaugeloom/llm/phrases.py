@@ -39,7 +39,7 @@ TOP = 2000
 SHARE = 100
 #: What a task holds at once, words and bytes of text, and how much of a text it cuts into words at a time.
 SHARD_WORDS, SHARD_BYTES, PART = 1 << 22, 64 << 20, 1 << 20
-#: The bit table has at most 2**TABLE_BITS bits (16 MiB), and 16 for each phrase if they fit.
+#: The bit table has at most 2**TABLE_BITS bits (16 MiB), and 256 for each phrase if they fit.
 TABLE_BITS = 27
 #: Words with very many phrases are joined in so many parts.
 PARTS = 16
@@ -152,7 +152,7 @@ class Marks:
     """The bit table of some frequent words, or of pairs of them."""
 
     def __init__(self, frequent: DataFrame, pairs: bool) -> None:
-        self.bits = min(TABLE_BITS, max(16, (16 * frequent.count()).bit_length()))
+        self.bits = min(TABLE_BITS, max(16, (256 * frequent.count()).bit_length()))
         word = lambda i: F.xxhash64(F.concat("lang", F.lit("\t"), F.split("phrase", " ")[i]))
         turned = F.shiftleft(word(0), 7).bitwiseOR(F.shiftrightunsigned(word(0), 57))
         place = F.shiftrightunsigned(turned.bitwiseXOR(word(1)) if pairs else word(0), 64 - self.bits)

@@ -28,6 +28,9 @@ K = 5
 #: Fingerprints of the benchmark mark bits of a table of at most 2**FILTER_BITS bits (16 MiB), of 256 bits a fingerprint if they fit.
 FILTER_BITS = 27
 
+#: Spans whose words are looked up at a time.
+CHUNK = 4096
+
 #: A word: any characters but those of ASCII that are not digits or small letters.
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -86,11 +89,12 @@ def spans_at(slab: tb.Slab, words: tuple, fold: np.ndarray, at: np.ndarray, k: n
     for n in np.unique(size).tolist():  # at most SPAN lengths
         own = np.flatnonzero(size == n)
         starts, place = np.unique(first[own], return_inverse=True)
-        word = starts[:, None] + np.arange(n)
         known = np.empty(len(starts), object)
-        for i, (b, e) in enumerate(zip(begin[word].tolist(), end[word].tolist(), strict=True)):
-            text = fold[slab.buf[b[0] : e[-1]]].tobytes()
-            known[i] = xxhash.xxh3_128_digest(b" ".join([text[x - b[0] : y - b[0]] for x, y in zip(b, e, strict=True)]))
+        for a in range(0, len(starts), CHUNK):
+            word = starts[a : a + CHUNK, None] + np.arange(n)
+            for i, (b, e) in enumerate(zip(begin[word].tolist(), end[word].tolist(), strict=True), a):
+                text = fold[slab.buf[b[0] : e[-1]]].tobytes()
+                known[i] = xxhash.xxh3_128_digest(b" ".join([text[x - b[0] : y - b[0]] for x, y in zip(b, e, strict=True)]))
         digests[own] = known[place]
     return which, first, digests.tolist(), size
 

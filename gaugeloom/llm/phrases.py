@@ -335,4 +335,4 @@ def mine_phrases(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, top: i
     best = scored(singles.unionByName(pairs).unionByName(deep), totals, share)
     order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
     ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

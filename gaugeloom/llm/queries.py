@@ -205,7 +205,7 @@ gone AS (
   SELECT DISTINCT s.lang, s.phrase FROM f s JOIN f y ON y.lang = s.lang AND y.m > s.m AND 100 * y.c >= 100 * s.c
   WHERE s.m >= 2 AND contains(' ' || y.phrase || ' ', ' ' || s.phrase || ' ')
 )
-SELECT lang, rank::INT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
 FROM (
   SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM lowest ANTI JOIN gone USING (lang, phrase)
 ) WHERE rank <= 2000

@@ -58,10 +58,13 @@ def case_means(scores: DataFrame) -> DataFrame:
     return scored(scores).groupBy("case_id", "metric").agg(F.avg("score").alias("mean"), F.min("score").alias("low"), F.count("score").alias("n"))
 
 
-def case_cells(scores: DataFrame) -> DataFrame:
-    """case_id, metric, total, n, low, high, bad: a case's repeats in one row a metric, in parts that can be merged."""
+def case_cells(scores: DataFrame, skipped: bool = False) -> DataFrame:
+    """case_id, metric, total, n, low, high, bad: a case's repeats in one row a metric, in parts that can be merged.
+
+    With ``skipped`` also the metrics that a case was only skipped for: they tell that it ran.
+    """
     hit = F.when(F.col("outcome") == "scored", F.col("score"))
-    return scores.where("outcome <> 'skipped'").groupBy("case_id", "metric").agg(
+    return (scores if skipped else scores.where("outcome <> 'skipped'")).groupBy("case_id", "metric").agg(
         F.sum(hit).alias("total"), F.count_if(F.col("outcome") == "scored").alias("n"), F.min(hit).alias("low"), F.max(hit).alias("high"), F.count_if(F.col("outcome") == "error").alias("bad"),
     )
 
@@ -107,11 +110,12 @@ def cube(scores: DataFrame, cases: DataFrame, dims: tuple[str, ...] = SLICE_DIMS
     and cases meet by case_id, where a case is one row with its metrics, of which there
     are few; cases of equal tags are added up before they become a row a dimension.
     """
-    is_scored = F.col("outcome") == "scored"
-    per = scores.groupBy("case_id", "metric").agg(
-        F.avg(F.when(is_scored, F.col("score"))).alias("mean"), F.min(F.when(is_scored, F.col("score"))).alias("low"),
-        F.count_if(is_scored).alias("n"), F.count_if(F.col("outcome") == "error").alias("bad"),
-    )
+    return cube_of_cells(case_cells(scores, True), cases, dims)
+
+
+def cube_of_cells(cells: DataFrame, cases: DataFrame, dims: tuple[str, ...] = SLICE_DIMS) -> DataFrame:
+    """The cube from case_cells, those of skipped metrics included."""
+    per = cells.select("case_id", "metric", _mean().alias("mean"), "low", "n", "bad")
     own = per.groupBy("case_id").agg(F.collect_list(F.struct("metric", "mean", "low", "n", "bad")).alias("own"))
     known = own.join(cases.select("case_id", *dims), "case_id", "left")
     marker = F.array(F.struct(F.lit(None).cast("string").alias("metric"), F.lit(None).cast("double").alias("mean"), F.lit(None).cast("double").alias("low"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("bad")))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
+from ..functions.jsontext import json_string
 from ..functions.jsonvalues import output_hash, trajectory_hash
 from .datasource import register
 from .kinds import KINDS
@@ -115,17 +116,19 @@ def run_order(runs: DataFrame) -> DataFrame:
 
 def runs(docs: DataFrame) -> DataFrame:
     """Case runs with their hashes; run_ordinal follows the time stamps."""
-    r = one(docs, "run").select("doc", "run_id", text("doc", "$.timestamp").alias("timestamp"))
+    r = one(docs, "run").select("doc", "run_id", F.col("text").alias("_text"), text("doc", "$.timestamp").alias("timestamp"))
     r = r.join(run_order(r), r["run_id"].eqNullSafe(F.col("_run")) & r["timestamp"].eqNullSafe(F.col("_at"))).drop("_run", "_at")
-    c = items(r, "$.case_runs", ["run_id", "run_ordinal"])
-    calls = F.coalesce(F.from_json(json_text("item", "$.tool_calls"), "array<variant>"), F.array().cast("array<variant>"))
-    pairs = F.to_json(F.transform(calls, lambda x: F.array(F.to_json(F.try_variant_get(x, "$.name", "variant")), F.coalesce(F.to_json(F.try_variant_get(x, "$.args", "variant")), F.lit("{}")))))
+    # a VARIANT forgets whether a number had a point, but hashes tell 1 and 1.0 apart: calls are taken from the text
+    listed = F.from_json(F.to_json(F.try_variant_get("doc", "$.case_runs", "variant")), "array<variant>")
+    raw = F.from_json("_text", "struct<case_runs:array<struct<tool_calls:string>>>")["case_runs"]["tool_calls"]
+    c = r.select("run_id", "run_ordinal", F.posexplode(F.arrays_zip(listed.alias("item"), raw.alias("raw"))).alias("ordinal", "z")).select("run_id", "run_ordinal", "ordinal", "z.item", "z.raw")
     rows = c.select(
         "run_id", "run_ordinal", text("item", "$.case_id").alias("case_id"), "ordinal", text("item", "$.outputs.response").alias("response"), text("item", "$.error").alias("error"), text("item", "$.error_class").alias("error_class"),
-        json_text("item", "$.tool_calls").alias("tool_calls"), pairs.alias("_pairs"), json_text("item", "$.mock_calls").alias("mock_calls"), json_text("item", "$.log").alias("log"),
+        json_text("item", "$.tool_calls").alias("tool_calls"), "raw", json_text("item", "$.mock_calls").alias("mock_calls"), json_text("item", "$.log").alias("log"),
     )
-    plain = F.concat(F.lit("["), F.array_join(F.transform(F.from_json("_pairs", "array<array<string>>"), lambda p: F.concat(F.lit("["), F.coalesce(F.get(p, F.lit(0)), F.lit("null")), F.lit(","), F.get(p, F.lit(1)), F.lit("]"))), ","), F.lit("]"))
-    hashed = rows.withColumn("calls", plain).drop("_pairs")
+    made = F.coalesce(F.from_json("raw", "array<struct<name:string,args:string>>"), F.array().cast("array<struct<name:string,args:string>>"))
+    pair = lambda x: F.concat(F.lit("["), json_string(x["name"]), F.lit(","), F.coalesce(x["args"], F.lit("{}")), F.lit("]"))
+    hashed = rows.withColumn("calls", F.concat(F.lit("["), F.array_join(F.transform(made, pair), ","), F.lit("]"))).drop("raw")
     return hashed.withColumn("trajectory_hash", trajectory_hash("calls", "error")).withColumn("output_hash", output_hash("response", "calls", "error"))
 
 

@@ -1,9 +1,10 @@
-"""Views over score reports that keep up with a folder: each new report is read once.
+"""Views over runs and score reports that keep up with a folder: each new document is read once.
 
-What views need of a report can be added up: sums, counts, smallest and largest scores a
-case and metric, and the statistics of its run. A batch of new reports leaves these parts
-in a folder of its own, named after the batch, so a batch that is tried again replaces
-what it left. Views merge the parts; ``compact`` merges them for good.
+What views need of a document can be added up: sums, counts, smallest and largest scores a
+case and metric, the statistics of a run, and what a case did, as sets of hashes. A batch
+of new documents leaves these parts in a folder of its own, named after the batch, so a
+batch that is tried again replaces what it left. Views merge the parts; ``compact`` merges
+them for good.
 """
 
 from __future__ import annotations
@@ -13,12 +14,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import scores as sc
+from ..operators import scores as sc, stability as st
 from ..sources import artifacts as art
 from ..sources.datasource import register
 
 CELLS = "case_id string, metric string, total double, n long, low double, high double, bad long"
 RUNS = "run_id string, metric string, n long, total double, low double, high double, errors long, skipped long"
+DID = "case_id string, trajectories array<string>, outputs array<string>, llm_mock_calls long, runs long"
+RAN = "run_id string, batch int"
 
 
 @dataclass(frozen=True)
@@ -35,17 +38,30 @@ class LiveScores:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{self.folder}/{name}")
 
+    def _new(self, files: DataFrame, kind: str, batch: int) -> DataFrame:
+        """The documents of a kind whose run no earlier batch has added."""
+        name, schema = {"run": ("ran", RAN), "score_report": ("runs", RUNS + ", batch int")}[kind]
+        docs = files.where(F.col("kind") == kind).select("path", "kind", "run_id", F.lit(0).alias("rank"), F.try_parse_json("text").alias("doc"), "text")
+        seen = self._parts(name, schema).where(F.col("batch") < batch).select("run_id").distinct()
+        return docs.join(seen, "run_id", "left_anti")
+
     def absorb(self, files: DataFrame, batch: int) -> None:
         """Adds a batch of files (path, kind, run_id, text). A run that an earlier batch has added is left out."""
-        docs = files.where("kind = 'score_report'").select("path", "kind", "run_id", F.lit(0).alias("rank"), F.try_parse_json("text").alias("doc"), "text")
-        seen = self._parts("runs", RUNS + ", batch int").where(F.col("batch") < batch).select("run_id").distinct()
-        scores = art.scores(docs.join(seen, "run_id", "left_anti"))
+        at = lambda name: f"{self.folder}/{name}/{batch:08d}"
+        scores = art.scores(self._new(files, "score_report", batch))
         runs = scores.groupBy("run_id", "metric").agg(
             F.count_if(F.col("outcome") == "scored").alias("n"), F.sum("score").alias("total"), F.min("score").alias("low"), F.max("score").alias("high"),
             F.count_if(F.col("outcome") == "error").alias("errors"), F.count_if(F.col("outcome") == "skipped").alias("skipped"),
         )
-        sc.case_cells(scores).write.mode("overwrite").parquet(f"{self.folder}/cells/{batch:08d}")
-        runs.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{self.folder}/runs/{batch:08d}")
+        sc.case_cells(scores, True).write.mode("overwrite").parquet(at("cells"))
+        ran = art.runs(self._new(files, "run", batch))
+        layers = F.from_json("mock_calls", "array<struct<layer:string>>")["layer"]
+        llm = F.coalesce(F.size(F.filter(layers, lambda x: x == "llm")), F.lit(0))
+        did = ran.groupBy("case_id").agg(F.collect_set("trajectory_hash").alias("trajectories"), F.collect_set("output_hash").alias("outputs"), F.sum(llm).cast("long").alias("llm_mock_calls"), F.count(F.lit(1)).alias("runs"))
+        did.write.mode("overwrite").parquet(at("did"))
+        # what was seen is written last: a batch that breaks off before is done again
+        ran.select("run_id").distinct().withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(at("ran"))
+        runs.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(at("runs"))
 
     def follow(self, source: str, settle: float = 1.0, **trigger: object) -> StreamingQuery:
         """Absorbs the reports of a folder of artifacts as they come; ``trigger`` as of DataStreamWriter.trigger."""
@@ -59,7 +75,30 @@ class LiveScores:
 
     def metrics(self, thresholds: dict[str, float] | None = None, default: float = 0.8) -> DataFrame:
         """As scores.metric_rates of all reports."""
-        return sc.rates_of_cells(self.cells(), thresholds, default)
+        return sc.rates_of_cells(self.cells().where("n > 0 or bad > 0"), thresholds, default)
+
+    def slices(self, cases: DataFrame, slice_min: float = 0.5) -> DataFrame:
+        """As scores.slice_rates of all reports; cases: case_id and its tags."""
+        return sc.cube_slices(sc.cube_of_cells(self.cells(), cases), slice_min)
+
+    def verdict(self, cases: DataFrame, thresholds: dict[str, float] | None = None, default: float = 0.8, slice_min: float = 0.5, overall_pass: float = 0.8) -> DataFrame:
+        """As scores.verdict_of all reports."""
+        cube = sc.cube_of_cells(self.cells(), cases)
+        return sc.verdict(sc.cube_rates(cube, thresholds, default), sc.weak_slices(sc.cube_slices(cube, slice_min)), slice_min, overall_pass)
+
+    def behaviour(self) -> DataFrame:
+        """As stability.behaviour of all runs: the sets of a case's parts are few and small."""
+        distinct = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c)))).cast("long").alias(c)
+        return self._parts("did", DID).groupBy("case_id").agg(distinct("trajectories"), distinct("outputs"), F.sum("llm_mock_calls").alias("llm_mock_calls"), F.sum("runs").alias("runs"))
+
+    def stability(self) -> DataFrame:
+        """As stability.summary of all runs."""
+        return st.summary(self.behaviour())
+
+    def flips(self, judges: list[str]) -> DataFrame:
+        """As stability.score_flips: scores that differ although the agent did the same."""
+        steady = self.behaviour().where("trajectories <= 1").select("case_id")
+        return self.disagreeing().join(steady, "case_id", "left_semi").withColumn("kind", F.when(F.col("metric").isin(judges), "evaluator").otherwise("output"))
 
     def run_metrics(self) -> DataFrame:
         """run_id, metric, n, avg, min, max, errors, skipped."""
@@ -73,5 +112,9 @@ class LiveScores:
     def compact(self, into: str) -> LiveScores:
         """The same parts merged into as few rows as they have cases and metrics, in another folder."""
         self.cells().write.parquet(f"{into}/cells/00000000")
-        self._parts("runs", RUNS + ", batch int").write.parquet(f"{into}/runs/00000000")
+        did = self._parts("did", DID)
+        merged = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
+        did.groupBy("case_id").agg(merged("trajectories"), merged("outputs"), F.sum("llm_mock_calls").alias("llm_mock_calls"), F.sum("runs").alias("runs")).write.parquet(f"{into}/did/00000000")
+        for name, schema in (("runs", RUNS + ", batch int"), ("ran", RAN)):
+            self._parts(name, schema).write.parquet(f"{into}/{name}/00000000")
         return LiveScores(self.spark, into)

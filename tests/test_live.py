@@ -190,6 +190,25 @@ def test_views_kept_up_equal_those_of_all_reports(spark, tmp_path):
         assert sorted(map(tuple, view.metrics(default=0.5).collect())) == want
         assert sorted(map(tuple, view.disagreeing().collect())) == [("a", "m", 0.0, 1.0)]
         assert len(view.run_metrics().collect()) == 5
+    cases = spark.createDataFrame([("a", "i", None, "v"), ("b", "j", "f", "v"), ("d", "never ran", None, None)], "case_id string, intent string, failure_mode string, variant string")
+    assert sorted(map(tuple, live.slices(cases).collect()), key=str) == sorted(map(tuple, sc.slice_rates(scores, cases).collect()), key=str)
+    assert live.verdict(cases, default=0.5).first() == sc.verdict_of(scores, cases, default=0.5, overall_pass=0.8).first()
     live.absorb(spark.createDataFrame([("p", "score_report", "r9", report("r9", [{"case_id": "z", "scores": {"m": score(1.0)}}]))], "path string, kind string, run_id string, text string"), 50)
     live.absorb(spark.createDataFrame([("p", "score_report", "r9", report("r9", [{"case_id": "z", "scores": {"m": score(0.0)}}]))], "path string, kind string, run_id string, text string"), 50)
     assert live.cells().where("case_id = 'z'").select("total", "n").first() == (0.0, 1)  # a batch tried again replaces itself
+
+
+def test_what_cases_did_is_kept_up_as_sets(spark, tmp_path):
+    call = lambda k: [{"name": "w", "args": {"k": k}}]
+    run = lambda run_id, rows: json.dumps({"run_id": run_id, "timestamp": f"2026-01-0{run_id[1]}", "case_runs": [{"case_id": c, "outputs": {"response": text}, "tool_calls": call(k), "mock_calls": [{"layer": layer}], "error": None} for c, text, k, layer in rows]})
+    batches = [{"r1": [("a", "x", 1, "llm"), ("b", "x", 1, "rule")]}, {"r2": [("a", "y", 1, "llm"), ("b", "x", 2, "rule")], "r1": [("a", "other", 9, "llm")]}, {"r3": [("a", "x", 1.0, "real"), ("c", None, 1, "llm")]}]
+    live, inbox = LiveScores(spark, str(tmp_path / "live")), tmp_path / "in"
+    for batch in batches:
+        for run_id, rows in batch.items():
+            put(inbox, f"results/run-{run_id}.json", run(run_id, rows))
+        live.follow(str(inbox), settle=0.0, availableNow=True).awaitTermination(120)
+    got = {r.case_id: (r.trajectories, r.outputs, r.llm_mock_calls, r.runs) for r in live.behaviour().collect()}
+    assert got == {"a": (2, 3, 2, 3), "b": (2, 2, 0, 2), "c": (1, 1, 1, 1)}  # 1 and 1.0 are hashed apart, as they print apart
+    assert live.stability().first().asDict() == {"cases": 3, "unstable": 2, "text_varies": 2, "llm_attributed": 1, "stable_fraction": 0.3333}
+    assert sorted(map(tuple, live.compact(str(tmp_path / "small")).behaviour().collect())) == sorted(map(tuple, live.behaviour().collect()))
+    assert live.flips([]).count() == 0

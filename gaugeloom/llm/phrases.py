@@ -38,7 +38,7 @@ TOP = 2000
 #: A phrase goes where a longer one has this share of its occurrences, in per cent.
 SHARE = 100
 #: What a task holds at once, words and bytes of text, and how much of a text it cuts into words at a time.
-SHARD_WORDS, SHARD_BYTES, PART = 1 << 22, 64 << 20, 1 << 20
+SHARD_WORDS, SHARD_BYTES, PART = 6 << 20, 64 << 20, 1 << 20
 #: The bit table has at most 2**TABLE_BITS bits (16 MiB), and 256 for each phrase if they fit.
 TABLE_BITS = 27
 #: Words with very many phrases are joined in so many parts.
@@ -323,9 +323,9 @@ def mine_phrases(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, top: i
     spark = docs.sparkSession
     folder = shared_folder(spark, "phrases")
     rows = docs.select(F.coalesce(column("lang"), F.lit("und")).alias("lang"), column("text").cast("binary").alias("text"))
-    summed = lambda tries: tries.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
-    # shards have counted their words already: these are dealt out before they are added up; pairs of a task's shards are combined first
-    words = saved(summed(word_tries(rows).repartition("lang", "phrase")).where((F.col("n") >= least) | (F.col("phrase") == "")), f"{folder}/words")
+    # shards have counted already: nodes are dealt out before they are added up
+    summed = lambda tries: tries.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    words = saved(summed(word_tries(rows)).where((F.col("n") >= least) | (F.col("phrase") == "")), f"{folder}/words")
     singles, totals = words.where("phrase <> ''"), words.where("phrase = ''").select("lang", "n")
     marks = spark.sparkContext.broadcast(Marks(singles, False))
     pairs = saved(summed(pair_tries(rows, marks)).where(F.col("n") >= least), f"{folder}/pairs")

@@ -309,7 +309,7 @@ def by_slab(answers: DataFrame, name: str) -> DataFrame:
     return answers.groupBy("slab").agg(F.collect_list(F.struct("bucket", "marks")).alias(name))
 
 
-def remove_repeats(docs: DataFrame, blocks: int = 3, bucket_entries: int = 1_000_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, blocks: int = 2, bucket_entries: int = 1_000_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of ``docs`` (doc_id, text).
 
     A null text is empty. Texts under LENGTH bytes lose nothing. Earlier: smaller doc_id,

@@ -137,17 +137,21 @@ def cube_rates(cells: DataFrame, thresholds: dict[str, float] | None = None, def
     return m.withColumn("threshold", threshold_of(F.col("metric"), thresholds, default)).withColumn("passed", F.coalesce(F.col("pass_rate") >= F.col("threshold"), F.lit(False)))
 
 
-def cube_slices(cells: DataFrame, slice_min: float = 0.5) -> DataFrame:
+def cube_slices(cells: DataFrame, slice_min: float = 0.5, as_recorded: bool = True) -> DataFrame:
     """slice_rates from a cube."""
     own = cells.where("dim <> 'all'")
     sizes = own.where("metric is null").select("dim", "value", "n")
-    rates = own.where("metric is not null and n_cases > 0").select("dim", "value", "metric", rounded(F.col("rate")).alias("rate"))
-    return sizes.join(rates, ["dim", "value"], "left").withColumn("passed", F.coalesce(F.col("rate") >= slice_min, F.lit(True)))
+    rate = rounded(F.col("rate"))
+    rates = own.where("metric is not null and n_cases > 0").select("dim", "value", "metric", rate.alias("rate"), ((rate if as_recorded else F.col("rate")) >= slice_min).alias("passed"))
+    return sizes.join(rates, ["dim", "value"], "left").select("dim", "value", "n", "metric", "rate", F.coalesce("passed", F.lit(True)).alias("passed"))
 
 
-def slice_rates(scores: DataFrame, cases: DataFrame, slice_min: float = 0.5, dims: tuple[str, ...] = SLICE_DIMS) -> DataFrame:
-    """Macro means: dim, value, metric, n (cases of the slice, scored or not), rate (rounded), passed."""
-    return cube_slices(cube(scores, cases, dims), slice_min)
+def slice_rates(scores: DataFrame, cases: DataFrame, slice_min: float = 0.5, dims: tuple[str, ...] = SLICE_DIMS, as_recorded: bool = True) -> DataFrame:
+    """Macro means: dim, value, metric, n (cases of the slice, scored or not), rate (rounded), passed.
+
+    A slice passes by its rate as it is recorded, rounded; without ``as_recorded`` by the unrounded one.
+    """
+    return cube_slices(cube(scores, cases, dims), slice_min, as_recorded)
 
 
 def weak_slices(rates: DataFrame) -> DataFrame:
@@ -178,10 +182,10 @@ def verdict(rates: DataFrame, weak: DataFrame, slice_min: float = 0.5, overall_p
     return both.select(F.when(ok, "pass").otherwise("fail").alias("verdict"), "overall_score", "n_metrics", "n_weak", reasons.alias("reasons"))
 
 
-def verdict_of(scores: DataFrame, cases: DataFrame, thresholds: dict[str, float] | None = None, default: float = 0.6, slice_min: float = 0.5, overall_pass: float = 0.6, dims: tuple[str, ...] = SLICE_DIMS) -> DataFrame:
-    """The verdict from scores and cases in one pass over the scores."""
+def verdict_of(scores: DataFrame, cases: DataFrame, thresholds: dict[str, float] | None = None, default: float = 0.6, slice_min: float = 0.5, overall_pass: float = 0.6, dims: tuple[str, ...] = SLICE_DIMS, as_recorded: bool = True) -> DataFrame:
+    """The verdict from scores and cases in one pass over the scores; ``as_recorded`` as of slice_rates."""
     cells = cube(scores, cases, dims)
-    return verdict(cube_rates(cells, thresholds, default), weak_slices(cube_slices(cells, slice_min)), slice_min, overall_pass, dims)
+    return verdict(cube_rates(cells, thresholds, default), weak_slices(cube_slices(cells, slice_min, as_recorded)), slice_min, overall_pass, dims)
 
 
 def incomplete(verdicts: DataFrame, stages: DataFrame, required: list[str]) -> DataFrame:

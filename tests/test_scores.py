@@ -114,3 +114,22 @@ def test_partitions_change_nothing(spark, scores, cases):
         assert rows() == before
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_slices_just_below_the_limit_are_weak(spark, tmp_path):
+    """A rate of 0.49996 is recorded as 0.5, but is below it: the queries judge as their SQL does."""
+    import duckdb
+
+    from gaugeloom.plans.queries import QUERIES, SQL
+
+    lines = [(k, 1, k, 1, 1.0, 1.0, d, 0.0, "N", "F", "1995-01-01") for k in (1, 2) for d in (0.049995, 0.049997)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, 7, "1-URGENT", "F"), (2, 7, "5-LOW", "O")], "o_orderkey long, o_custkey long, o_orderpriority string, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(7, "BUILDING")], "c_custkey long, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    db = duckdb.connect()
+    for t in ("lineitem", "orders", "customer"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    for name in ("slice_rates_macro", "weak_slices", "overall_verdict"):
+        got = QUERIES[name](spark, str(tmp_path))
+        want = db.execute(f"SELECT {', '.join(got.columns)} FROM ({SQL[name]})").fetchall()
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str), name

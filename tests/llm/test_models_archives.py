@@ -338,3 +338,22 @@ def test_pipeline_runs(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     ran = corpus_pipeline.run(spark, SF)
     assert ran.count() > 300 and {r["shard"] for r in ran.select("shard").distinct().collect()} == set(range(8))
+
+
+@pytest.mark.parametrize("kind", ["small", "large", "near copies"])
+def test_neighbours_of_vectors_of_any_size(spark, kind):
+    """Vectors beyond single precision, and so many near copies that codes can't tell them apart."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(2000, 8)) * {"small": 1e-25, "large": 1e120, "near copies": 1e-9}[kind]
+    if kind == "near copies":
+        x[:, 0] += np.where(np.arange(2000) % 40 < 20, 1.0, -1.0)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    found = {}
+    for r in ivfpq.search(df, cells=2 if kind == "near copies" else None).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = []
+    for q in range(0, 2000, 20):
+        s = np.einsum("d,nd->n", x[q], x)
+        s[q] = -np.inf
+        hits.append(len(found.get(q, set()) & set(np.lexsort((np.arange(2000), -s))[:20].tolist())) / 20)
+    assert np.mean(hits) >= 0.9

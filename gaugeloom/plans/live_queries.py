@@ -17,11 +17,6 @@ from .registry import query, r6
 _written: dict[tuple[str, str], str] = {}
 
 
-def _save(files: DataFrame, root: str) -> None:
-    ds.register(files.sparkSession)
-    files.select("path", "text").write.format("artifacts").mode("append").save(root)
-
-
 def _customer_runs(spark: SparkSession, d: str) -> str:
     """A folder with a run document a customer, a score report for every third, and a dataset."""
     key = (spark.sparkContext.applicationId, d)
@@ -32,7 +27,7 @@ def _customer_runs(spark: SparkSession, d: str) -> str:
         runs = c.select(name("run").alias("path"), F.to_json(F.struct(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("run_id"), F.array(F.struct(F.col("c_mktsegment").alias("case_id"), F.col("c_acctbal").cast("double").alias("cost"))).alias("case_runs"))).alias("text"))
         reports = c.where("c_custkey % 3 = 0").select(name("score-report").alias("path"), F.lit("{").alias("text"))
         one = c.limit(1).select(F.lit("dataset.json").alias("path"), F.lit('{"cases": []}').alias("text"))
-        _save(runs.unionByName(reports).unionByName(one), root)
+        ds.save(runs.unionByName(reports).unionByName(one), root, c.count() * 4 // 3 + 1)
         _written[key] = root
     return _written[key]
 
@@ -121,7 +116,7 @@ def live_metric_rates(spark, d):
     files = spark.read.schema(files.schema).parquet(saved)
     live = LiveScores(spark, f"{root}/live")
     for batch in ("run_ordinal = 0", "run_ordinal <= 1", "run_ordinal > 1"):
-        _save(files.where(batch), inbox)
+        ds.save(files.where(batch), inbox, files.where(batch).count())
         live.follow(inbox, settle=0.0, availableNow=True).awaitTermination()
     apart = live.disagreeing().groupBy("metric").agg(F.count(F.lit(1)).alias("disagreeing"))
     m = live.metrics(default=0.6).join(apart, "metric", "left")

@@ -33,8 +33,7 @@ def _projects(spark: SparkSession, d: str) -> str:
         skill = F.concat(F.lit("---\nname: "), name, F.lit("\n---\n# Title\n\nWords   of\n"), F.repeat(F.concat(name, F.lit(" ")), 30))
         files = {"dataset.json": F.lit('{"cases": []}'), "work/state.json": state, "work/run-progress.json": progress, "deployment.json": deployment, "scenarios.yaml": F.when(k % 11 == 0, "a: [").otherwise(scenario), "evaluators.yaml": F.when(k % 13 == 0, "evaluators: []").otherwise(evaluators), "agent.py": agent, "skills/one/SKILL.md": skill}
         rows = F.array(*[F.struct(F.concat(F.lit("p"), text, F.lit(f"/{path}")).alias("path"), body.alias("text")) for path, body in files.items()])
-        ds.register(spark)
-        s.select(F.explode(rows).alias("f")).select("f.*").where("text is not null").write.format("artifacts").mode("append").save(root)
+        ds.save(s.select(F.explode(rows).alias("f")).select("f.*").where("text is not null"), root, s.count() * len(files))
         _written[key] = root
     return _written[key]
 

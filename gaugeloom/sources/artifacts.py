@@ -44,12 +44,23 @@ def kind_of_schema(schema_id: Column) -> Column:
     return F.when(kind == "report", "score_report").otherwise(kind)
 
 
+#: So many of Spark's own partitions, of some thirty small files each, become one task.
+PARTS_A_TASK = 128
+
+
+def small_files(spark: SparkSession, folder: str, names: str) -> DataFrame:
+    """path, content of the files below a folder whose names match; Spark counts a file as 4 MB at least, so small files would be a task every thirty, each with a report to the driver."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", names).load(folder).select("path", "content")
+    parts = raw.rdd.getNumPartitions()
+    return raw.coalesce(max(PARTS_A_TASK, parts // PARTS_A_TASK)) if parts > PARTS_A_TASK else raw
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """path, kind, run_id, rank, doc (VARIANT, null if not JSON), text of every JSON file under a folder.
 
     A document says what it is by its schema; its name decides only if it has none.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(folder)
+    raw = small_files(spark, folder, "*.json")
     return identified(raw.select("path", F.decode("content", "UTF-8").alias("text")))
 
 
@@ -189,14 +200,14 @@ def log_tail(spark: SparkSession, path: str, lines: int = 40) -> DataFrame:
 
 def agent_targets(spark: SparkSession, folder: str) -> DataFrame:
     """path of Python files that define TOOLS and build_agent."""
-    src = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.py").load(folder)
+    src = small_files(spark, folder, "*.py")
     t = src.select("path", F.decode("content", "UTF-8").alias("text"))
     return t.where(F.col("text").rlike(r"(?m)^TOOLS\s*=") & F.col("text").rlike(r"(?m)^def build_agent\(")).select("path")
 
 
 def skill_files(spark: SparkSession, folder: str) -> DataFrame:
     """name (its folder), path, text of each SKILL.md."""
-    src = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "SKILL.md").load(folder)
+    src = small_files(spark, folder, "SKILL.md")
     return src.select(F.regexp_extract("path", r"([^/]+)/SKILL\.md$", 1).alias("name"), "path", F.decode("content", "UTF-8").alias("text"))
 
 

@@ -179,13 +179,29 @@ class StreamReader(DataSourceStreamReader):
 
 @dataclass
 class Staged(WriterCommitMessage):
-    """The files of one task's attempt: where they lie and where they belong."""
+    """The folder of one task's attempt, below which its files lie as they belong below the root; a message has one size however many there are."""
 
-    files: tuple[tuple[str, str], ...]
+    attempt: str
+
+
+def moved(files: fs.FileSystem, source: str, to: str) -> None:
+    """Moves what is below ``source`` to below ``to``, which is there; on a local disk a folder that is new there at once."""
+    for info in files.get_file_info(fs.FileSelector(source)):
+        at = f"{to}/{info.base_name}"
+        if info.type != fs.FileType.Directory:
+            files.move(info.path, at)
+        elif isinstance(files, fs.LocalFileSystem) and files.get_file_info(at).type == fs.FileType.NotFound:
+            files.move(info.path, at)
+        else:
+            files.create_dir(at, recursive=True)
+            moved(files, info.path, at)
 
 
 class Writer(DataSourceWriter):
-    """Writes a file a row (path below the folder, text). Nothing is in its place before all tasks have succeeded."""
+    """Writes a file a row (path below the folder, text). Nothing is in its place before all tasks have succeeded.
+
+    Of rows of one path in a task the last is kept. ``save`` gives the tasks few files each.
+    """
 
     def __init__(self, folder: str) -> None:
         self.folder, self.job = folder, uuid.uuid4().hex
@@ -194,22 +210,23 @@ class Writer(DataSourceWriter):
         files, root = opened(self.folder)
         attempt = f"{root}/{STAGING}/{self.job}/{uuid.uuid4().hex}"
         files.create_dir(attempt, recursive=True)
-        done = []
-        for i, row in enumerate(rows):
+        parent = ""
+        for row in rows:
             if not row["path"] or row["path"].startswith("/") or ".." in row["path"].split("/"):
                 raise ValueError(f"not a path below the folder: {row['path']}")
-            with files.open_output_stream(f"{attempt}/{i}") as out:
+            above = row["path"].rpartition("/")[0]
+            if above != parent:
+                files.create_dir(f"{attempt}/{above}", recursive=True)
+                parent = above
+            with files.open_output_stream(f"{attempt}/{row['path']}") as out:
                 out.write((row["text"] or "").encode("utf-8"))
-            done.append((f"{attempt}/{i}", f"{root}/{row['path']}"))
-        return Staged(tuple(done))
+        return Staged(attempt)
 
     def commit(self, messages: list[Staged | None]) -> None:
         files, root = opened(self.folder)
-        moves = [m for message in messages if message for m in message.files]
-        for parent in sorted({to.rpartition("/")[0] for _, to in moves}):
-            files.create_dir(parent, recursive=True)
-        for source, to in moves:
-            files.move(source, to)
+        for message in messages:
+            if message:
+                moved(files, message.attempt, root)
         self.abort(messages)
 
     def abort(self, messages: list[Staged | None]) -> None:
@@ -256,3 +273,9 @@ def artifacts(spark: SparkSession, folder: str) -> DataFrame:
     """path, kind, run_id, size, text, problem of a folder's files; names decide the kinds."""
     register(spark)
     return spark.read.format("artifacts").load(folder)
+
+
+def save(files: DataFrame, folder: str, n: int) -> None:
+    """Writes about ``n`` rows (path, text) as files, in tasks of PART_FILES each: a small table of many files isn't one task."""
+    register(files.sparkSession)
+    files.select("path", "text").repartition(max(1, -(-n // PART_FILES)), "path").write.format("artifacts").mode("append").save(folder)

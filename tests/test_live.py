@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import json
 import os
 import subprocess
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThan, In, StringStartsWith
 
 from gaugeloom.operators import scores as sc
-from gaugeloom.sources import datasource as ds, publication as pub
+from gaugeloom.sources import artifacts as art, datasource as ds, publication as pub
 from gaugeloom.streaming import progress as pg
 from gaugeloom.streaming.incremental import LiveScores
 
@@ -212,3 +213,20 @@ def test_what_cases_did_is_kept_up_as_sets(spark, tmp_path):
     assert live.stability().first().asDict() == {"cases": 3, "unstable": 2, "text_varies": 2, "llm_attributed": 1, "stable_fraction": 0.3333}
     assert sorted(map(tuple, live.compact(str(tmp_path / "small")).behaviour().collect())) == sorted(map(tuple, live.behaviour().collect()))
     assert live.flips([]).count() == 0
+
+
+def test_many_files_are_few_tasks_and_small_messages(spark, tmp_path):
+    """A task tells of its files in one size; a small table of many files is written by several tasks, and read by few."""
+    rows = lambda n: iter([{"path": f"p{i}/work/state.json", "text": "{}"} for i in range(n)])
+    writer = ds.Writer(str(tmp_path / "a"))
+    one, many = writer.write(rows(1)), writer.write(rows(500))
+    assert len(pickle.dumps(many)) == len(pickle.dumps(one))
+    writer.commit([one, None, many])
+    assert len(ds.listed(str(tmp_path / "a"))) == 500 and not (tmp_path / "a" / ds.STAGING / writer.job).exists()
+    again = ds.Writer(str(tmp_path / "a"))
+    again.commit([again.write(iter([{"path": "p1/work/state.json", "text": "new"}, {"path": "p1/other.json", "text": "{}"}]))])
+    assert (tmp_path / "a/p1/work/state.json").read_text() == "new" and len(ds.listed(str(tmp_path / "a"))) == 501
+    files = spark.range(9000).coalesce(1).selectExpr("concat('results/run-', id, '.json') AS path", "'{}' AS text")
+    ds.save(files, str(tmp_path / "b"), 9000)
+    assert len(ds.listed(str(tmp_path / "b"))) == 9000
+    assert art.documents(spark, str(tmp_path / "b")).count() == 9000 and art.small_files(spark, str(tmp_path / "b"), "*.json").rdd.getNumPartitions() <= 128

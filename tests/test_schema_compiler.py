@@ -101,3 +101,16 @@ def test_schemas_of_a_table_of_tools(spark):
     assert got["v", '{"n": {"k": 1, "n": {}}}'] == ["$.n.n: missing required 'k'"] and got["w", None] == ["$: not JSON"]
     flat = js.known_schemas(table.where("tool <> 'v'"), "s")
     assert not python_in(joined.where("tool <> 'v'").select(js.conformance("t", "s", flat).alias("p")))
+
+
+def test_equal_schemas_are_sampled_once_a_batch(monkeypatch):
+    import pandas as pd
+
+    from gaugeloom.functions import jsonschema as js, samples
+
+    calls = []
+    own = samples.sample
+    monkeypatch.setattr(samples, "sample", lambda s: calls.append(s) or own(s))
+    texts = ['{"type": "integer", "minimum": 4}', None, '{"type": "boolean"}'] * 50
+    got = js.sample_of.func(pd.Series(texts))
+    assert got.tolist() == [json.dumps(own(json.loads(t or "{}"))) for t in texts] and len(calls) == 3

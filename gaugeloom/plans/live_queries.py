@@ -112,11 +112,11 @@ def live_metric_rates(spark, d):
     inbox = f"{root}/in".removeprefix("file://")
     files = _report_files(ad.ordered_line_scores(spark, d))
     saved = f"{root}/files"
-    files.write.parquet(saved)
+    files.write.options(**ds.DOCUMENT_ROWS).parquet(saved)
     files = spark.read.schema(files.schema).parquet(saved)
     live = LiveScores(spark, f"{root}/live")
     for batch in ("run_ordinal = 0", "run_ordinal <= 1", "run_ordinal > 1"):
-        ds.save(files.where(batch), inbox, files.where(batch).count())
+        ds.save(files.where(batch), inbox)
         live.follow(inbox, settle=0.0, availableNow=True).awaitTermination()
     apart = live.disagreeing().groupBy("metric").agg(F.count(F.lit(1)).alias("disagreeing"))
     m = live.metrics(default=0.6).join(apart, "metric", "left")

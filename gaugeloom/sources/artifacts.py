@@ -148,17 +148,22 @@ def ledger(case_runs: DataFrame) -> DataFrame:
     return case_runs.select("run_id", "case_id", F.posexplode(F.from_json("mock_calls", entry)).alias("seq", "e")).select("run_id", "case_id", "seq", "e.*")
 
 
+def score_rows(reports: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep``, case_id, metric, outcome, score, comment of score reports (doc): each is read once for its scores, errors and skipped metrics."""
+    c = items(reports, "$.cases", keep).withColumn("case_id", text("item", "$.case_id"))
+    mark = lambda name, outcome, score, comment: F.struct(name.alias("metric"), F.lit(outcome).alias("outcome"), score.alias("score"), comment.alias("comment"))
+    entries = lambda key, value: F.map_entries(F.from_json(json_text("item", f"$.{key}"), f"map<string,{value}>"))
+    scored = F.transform(entries("scores", "struct<score:double,comment:string>"), lambda m: mark(m["key"], "scored", m["value"]["score"], m["value"]["comment"]))
+    unscored = lambda key, outcome: F.transform(entries(key, "string"), lambda m: mark(m["key"], outcome, F.lit(None).cast("double"), m["value"]))
+    return c.select(*keep, "case_id", F.explode(F.flatten(F.filter(F.array(scored, unscored("errors", "error"), unscored("skipped", "skipped")), lambda x: x.isNotNull()))).alias("m")).select(*keep, "case_id", "m.*")
+
+
 def scores(docs: DataFrame, order: DataFrame | None = None) -> DataFrame:
     """The long score table of all score reports; run_ordinal by ``order`` (run_id, run_ordinal) or by run_id."""
     rep = one(docs, "score_report").select("doc", "run_id")
     if order is None:
         order = rep.select("run_id").distinct().withColumn("run_ordinal", F.dense_rank().over(Window.orderBy("run_id")) - 1)
-    rep = rep.join(order, "run_id", "left")
-    c = items(rep, "$.cases", ["run_id", "run_ordinal"]).withColumn("case_id", text("item", "$.case_id"))
-    got = c.select("run_id", "run_ordinal", "case_id", F.explode(F.from_json(json_text("item", "$.scores"), "map<string,struct<score:double,comment:string>>")).alias("metric", "s"))
-    good = got.select("run_id", "run_ordinal", "case_id", "metric", F.lit("scored").alias("outcome"), F.col("s.score").alias("score"), F.col("s.comment").alias("comment"))
-    rest = [c.select("run_id", "run_ordinal", "case_id", F.explode(F.from_json(json_text("item", f"$.{key}"), "map<string,string>")).alias("metric", "comment")).select("run_id", "run_ordinal", "case_id", "metric", F.lit(outcome).alias("outcome"), F.lit(None).cast("double").alias("score"), "comment") for key, outcome in (("errors", "error"), ("skipped", "skipped"))]
-    return good.unionByName(rest[0]).unionByName(rest[1])
+    return score_rows(rep.join(order, "run_id", "left"), ["run_id", "run_ordinal"])
 
 
 def simulations(docs: DataFrame) -> DataFrame:

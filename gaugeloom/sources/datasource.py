@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, EqualNullSafe, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 from pyspark.sql.types import StructType
 
@@ -31,6 +31,10 @@ from .kinds import KINDS
 SCHEMA = "path string, kind string, run_id string, size long, text string, problem string"
 #: A partition has files of so many bytes, and so many files, at most (one file at least).
 PART_BYTES, PART_FILES = 64 << 20, 4096
+#: A writing task has so many bytes of text: Spark hands them to Python in one batch.
+WRITE_BYTES = 16 << 20
+#: Parquet options for rows that hold whole documents: a group of rows, which is read at once, is bounded by bytes however few rows that are.
+DOCUMENT_ROWS = {"parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
 STAGING = "_staging"
 #: A stream leaves files younger than this to its next batch, as others of the same time may follow.
 SETTLE_SECONDS = 1.0
@@ -275,7 +279,9 @@ def artifacts(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("artifacts").load(folder)
 
 
-def save(files: DataFrame, folder: str, n: int) -> None:
-    """Writes about ``n`` rows (path, text) as files, in tasks of PART_FILES each: a small table of many files isn't one task."""
+def save(files: DataFrame, folder: str, n: int | None = None) -> None:
+    """Writes rows (path, text; about ``n``, else they are counted) as files, in tasks of PART_FILES and WRITE_BYTES each: a small table of many files isn't one task, nor are few large files."""
     register(files.sparkSession)
-    files.select("path", "text").repartition(max(1, -(-n // PART_FILES)), "path").write.format("artifacts").mode("append").save(folder)
+    known = files.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).first()
+    tasks = max(1, -(-(known["n"] if n is None else n) // PART_FILES), -(-known["size"] // WRITE_BYTES))
+    files.select("path", "text").repartition(tasks, "path").write.format("artifacts").mode("append").save(folder)

@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import scores as sc, stability as st
 from ..sources import artifacts as art
-from ..sources.datasource import register
+from ..sources.datasource import DOCUMENT_ROWS, register
 
 CELLS = "case_id string, metric string, total double, n long, low double, high double, bad long"
 RUNS = "run_id string, metric string, n long, total double, low double, high double, errors long, skipped long"
@@ -46,9 +46,19 @@ class LiveScores:
         return docs.join(seen, "run_id", "left_anti")
 
     def absorb(self, files: DataFrame, batch: int) -> None:
-        """Adds a batch of files (path, kind, run_id, text). A run that an earlier batch has added is left out."""
+        """Adds a batch of files (path, kind, run_id, text). A run that an earlier batch has added is left out.
+
+        The source is read once and each report is parsed once: documents and scores are
+        kept while their parts are made.
+        """
         at = lambda name: f"{self.folder}/{name}/{batch:08d}"
-        scores = art.scores(self._new(files, "score_report", batch))
+
+        def kept(rows: DataFrame, name: str) -> DataFrame:
+            rows.write.mode("overwrite").options(**DOCUMENT_ROWS).parquet(at(name))
+            return self.spark.read.schema(rows.schema).parquet(at(name))
+
+        files = kept(files.where(F.col("kind").isin("run", "score_report")).select("path", "kind", "run_id", "text"), "_batch")
+        scores = kept(art.score_rows(self._new(files, "score_report", batch), ["run_id"]).drop("comment"), "_scores")
         runs = scores.groupBy("run_id", "metric").agg(
             F.count_if(F.col("outcome") == "scored").alias("n"), F.sum("score").alias("total"), F.min("score").alias("low"), F.max("score").alias("high"),
             F.count_if(F.col("outcome") == "error").alias("errors"), F.count_if(F.col("outcome") == "skipped").alias("skipped"),
@@ -62,6 +72,9 @@ class LiveScores:
         # what was seen is written last: a batch that breaks off before is done again
         ran.select("run_id").distinct().withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(at("ran"))
         runs.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(at("runs"))
+        for name in ("_batch", "_scores"):
+            done = self.spark._jvm.org.apache.hadoop.fs.Path(at(name))
+            done.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(done, True)
 
     def follow(self, source: str, settle: float = 1.0, **trigger: object) -> StreamingQuery:
         """Absorbs the reports of a folder of artifacts as they come; ``trigger`` as of DataStreamWriter.trigger."""

@@ -230,3 +230,34 @@ def test_many_files_are_few_tasks_and_small_messages(spark, tmp_path):
     ds.save(files, str(tmp_path / "b"), 9000)
     assert len(ds.listed(str(tmp_path / "b"))) == 9000
     assert art.documents(spark, str(tmp_path / "b")).count() == 9000 and art.small_files(spark, str(tmp_path / "b"), "*.json").rdd.getNumPartitions() <= 128
+
+
+def test_large_files_are_dealt_out_by_bytes(spark, tmp_path):
+    """A writing task is given so many bytes at most, however few files they are."""
+    tasks = []
+    files = spark.range(40).selectExpr("concat('results/run-', id, '.json') AS path", "concat('{\"a\": \"', repeat('x', 2 << 20), '\"}') AS text")
+    wide = type(files).repartition
+    try:
+        type(files).repartition = lambda self, n, *cols: tasks.append(n) or wide(self, n, *cols)
+        ds.save(files, str(tmp_path / "a"), 40)
+    finally:
+        type(files).repartition = wide
+    assert tasks == [6] and len(ds.listed(str(tmp_path / "a"))) == 40  # 80 MB, 16 MB each
+
+
+def test_a_batch_is_read_from_its_source_once(spark, tmp_path):
+    """Whatever is made of a batch, its source is read once, and nothing of it is left beside the parts."""
+    reads = spark.sparkContext.accumulator(0)
+    text = json.dumps({"run_id": "r1", "cases": [{"case_id": "a", "scores": {"m": {"score": 0.5}}, "errors": {"e": "bad"}, "skipped": {"s": "why"}}]})
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([("p", "score_report", "r1", text)], "path string, kind string, run_id string, text string").coalesce(1)
+    live = LiveScores(spark, str(tmp_path / "live"))
+    live.absorb(rows.mapInArrow(counted, rows.schema), 0)
+    assert reads.value == 1
+    assert sorted((r.metric, r.total, r.n, r.bad) for r in live.cells().collect()) == [("e", None, 0, 1), ("m", 0.5, 1, 0), ("s", None, 0, 0)]
+    assert not [f for name in ("_batch", "_scores") for f in (tmp_path / "live" / name).rglob("*.parquet")]

@@ -243,8 +243,12 @@ def case_drilldown(cases: DataFrame, case_runs: DataFrame, scores: DataFrame, ca
 
 
 def score_matrix(scores: DataFrame, metrics: list[str]) -> DataFrame:
-    """One row a case and run, a column a metric; the metrics are named, so no pass finds them."""
-    return scored(scores).groupBy("case_id", "run_ordinal").pivot("metric", metrics).agg(F.first("score"))
+    """One row a case and run, a column a metric; the metrics are named, so no pass finds them.
+
+    Each metric is a column of one aggregation: a pivot would first aggregate by metric too,
+    in a table of as many rows as there are scores.
+    """
+    return scored(scores).groupBy("case_id", "run_ordinal").agg(*[F.max(F.when(F.col("metric") == m, F.col("score"))).alias(m) for m in metrics])
 
 
 def matrix_rows(matrix: DataFrame, metrics: list[str]) -> DataFrame:

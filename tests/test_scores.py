@@ -133,3 +133,9 @@ def test_slices_just_below_the_limit_are_weak(spark, tmp_path):
         got = QUERIES[name](spark, str(tmp_path))
         want = db.execute(f"SELECT {', '.join(got.columns)} FROM ({SQL[name]})").fetchall()
         assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str), name
+
+
+def test_matrix_is_one_aggregation(spark, scores):
+    """A pivot aggregates by metric first: as many rows in memory as there are scores."""
+    wide = sc.score_matrix(scores, ["contains", "contract"])
+    assert wide._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1

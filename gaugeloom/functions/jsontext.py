@@ -31,13 +31,26 @@ def parsed(text: Column) -> Column:
     return F.when(member.isNotNull() & (F.size(items) == 1), F.get(items, F.lit(0)))
 
 
-def rewritten(text: Column, literal: Callable[[Column], Column], string: Callable[[Column], Column] | None = None, comma: str = ",", colon: str = ":") -> Column:
-    """``text`` without blanks, each number or word by ``literal``, each string with its marks by ``string`` (which sees the masks)."""
+def quoted_tokens(part: Column, token: str, replacement: str) -> Column:
+    """A part between strings with its numbers or words that match ``token`` replaced in one pass; $1 is the token."""
+    return F.regexp_replace(part, rf"(?<![^\[\]{{}},:\s])({token})(?![^\[\]{{}},:\s])", replacement)
+
+
+def rewritten(text: Column, literal: Callable[[Column], Column], string: Callable[[Column], Column] | None = None, comma: str = ",", colon: str = ":", quick: Callable[[Column], Column] | None = None) -> Column:
+    """``text`` without blanks, each number or word by ``literal``, each string with its marks by ``string`` (which sees the masks).
+
+    ``quick`` rewrites a whole part between strings, its blanks left in, or gives null for
+    ``literal`` to do it token by token.
+    """
     masked = F.replace(F.replace(text, F.lit("\\\\"), F.lit(_SLASH)), F.lit('\\"'), F.lit(_QUOTE))
 
     def outside(part: Column) -> Column:
         token = lambda t: F.when(t.rlike(r"^\s*$"), "").when(t == ",", comma).when(t == ":", colon).when(t.isin("[", "]", "{", "}"), t).otherwise(literal(t))
-        return F.array_join(F.transform(F.split(part, _CUTS), token), "")
+        slow = F.array_join(F.transform(F.split(part, _CUTS), token), "")
+        if not quick:
+            return slow
+        # most parts are a colon or a comma; the others' tokens are replaced by patterns where these say all
+        return F.when(part.isin(":", ",", "{", "}", "[", "]", ""), part).otherwise(F.coalesce(F.regexp_replace(quick(part), r"\s+", ""), slow))
 
     inside = string or (lambda s: F.concat(F.lit('"'), s, F.lit('"')))
     parts = F.transform(F.split(masked, '"', -1), lambda x, i: F.when(i % 2 == 1, inside(x)).otherwise(outside(x)))
@@ -178,9 +191,17 @@ def equal_number(number: Column, broken: Callable[[Column], Column] = lambda num
 def equal_form(text: Column) -> Column:
     """JSON text in which equal values look alike once parsed: 1, 1.0 and true are one number; whole numbers are exact."""
     literal = lambda t: F.when(t == "true", f'"{_NUMBER}1"').when(t == "false", f'"{_NUMBER}0"').otherwise(_marked(equal_number)(t))
+
+    def quick(part: Column) -> Column:
+        """Whole numbers, also those that end in .0, and words; a part with other numbers is not for patterns."""
+        plain = F.regexp_replace(part, r"(?<![^\[\]{},:\s])(-?[0-9]{1,15})\.0{1,9}(?![^\[\]{},:\s])", "$1")
+        mark = lambda p, token, text: quoted_tokens(p, token, f'"{chr(92)}{_NUMBER}{text}"')
+        made = mark(mark(mark(plain, "true", "1"), "false", "0"), "-?[0-9]+", "$1")
+        return F.when(~plain.rlike(r"[0-9][.eE]|-0"), made)
+
     # texts without points, exponents, booleans and very long numbers are what they seem
     odd = text.rlike(r"[0-9][.eE]|true|false|-0|[0-9]{18}")
-    return F.when(odd, rewritten(text, literal)).otherwise(text)
+    return F.when(odd, rewritten(text, literal, quick=quick)).otherwise(text)
 
 
 def _shown(value: Column) -> Column:
@@ -220,6 +241,11 @@ def depth_of(text: Column) -> Column:
     return F.aggregate(braces, zero, step)["most"]
 
 
+def deeper(text: Column, depth: int) -> Column:
+    """Whether more than ``depth`` objects lie in one another; a text with no more braces needs no count."""
+    return (F.length(text) - F.length(F.replace(text, F.lit("{"), F.lit(""))) > depth) & (depth_of(text) > depth)
+
+
 def wanted_leaves(matcher: Column, depth: int) -> Column:
     """The leaves that args must have. Nothing, an empty object and other empty values ask for none; any other value can't be met.
 
@@ -227,7 +253,7 @@ def wanted_leaves(matcher: Column, depth: int) -> Column:
     """
     nothing = F.coalesce(F.regexp_replace(matcher, r"\s", ""), F.lit("{}")).isin("{}", "null", "[]", '""', "0", "false", "")
     deep = F.raise_error(F.concat(F.lit(f"deeper than {depth} levels: "), F.substring(matcher, 1, 80))).cast("array<string>")
-    return F.when(nothing, F.array().cast("array<string>")).when(depth_of(matcher) > depth, deep).otherwise(F.coalesce(leaves(matcher, depth), F.array(F.lit("="))))
+    return F.when(nothing, F.array().cast("array<string>")).when(deeper(matcher, depth), deep).otherwise(F.coalesce(leaves(matcher, depth), F.array(F.lit("="))))
 
 
 def met(wanted: Column, have: Column) -> Column:

@@ -46,7 +46,10 @@ def marked(text: Column) -> Column:
     escape = lambda mark: f"\\u{ord(mark):04x}"
     literal = lambda t: F.concat(F.lit('"'), F.when(t.rlike("^[-0-9]"), escape(NUMBER)).otherwise(escape(WORD)), t, F.lit('"'))
     string = lambda s: F.concat(F.lit(f'"{escape(STRING)}'), s, F.lit('"'))
-    return F.get(F.from_json(F.concat(F.lit("["), jt.rewritten(text, literal, string), F.lit("]")), _LIST), F.lit(0))
+    put = lambda part, token, mark: jt.quoted_tokens(part, token, f'"{chr(92) * 2}{escape(mark)[1:]}$1"')
+    # words before numbers: then what a word has become doesn't begin like a number
+    quick = lambda part: put(put(part, r"[^-0-9\[\]{},:\s][^\[\]{},:\s]*", WORD), r"[-0-9][^\[\]{},:\s]*", NUMBER)
+    return F.get(F.from_json(F.concat(F.lit("["), jt.rewritten(text, literal, string, quick=quick), F.lit("]")), _LIST), F.lit(0))
 
 
 def is_object(x: Column) -> Column:

@@ -46,12 +46,14 @@ def expected_tools(calls: Column | str, expected: Column | str, forbidden: Colum
     """
     calls, expected, forbidden = (F.col(c) if isinstance(c, str) else c for c in (calls, expected, forbidden))
     made = F.coalesce(F.from_json(calls, _CALLS), F.array().cast(_CALLS))
-    have = F.transform(made, lambda c: F.struct(c["name"].alias("name"), jsontext.leaves(c["args"], depth).alias("leaves")))
-    want = F.transform(F.coalesce(F.from_json(expected, _CALLS), F.array().cast(_CALLS)), lambda e: F.struct(e["name"].alias("name"), jsontext.wanted_leaves(e["args"], depth).alias("wanted")))
-    fits = lambda e, c: F.coalesce((e["name"] == c["name"]) & jsontext.met(e["wanted"], c["leaves"]), F.lit(False))
+    deep = F.raise_error(F.lit(f"an expected call has args deeper than {depth} levels")).cast("string")
+    want = F.transform(F.coalesce(F.from_json(expected, _CALLS), F.array().cast(_CALLS)), lambda e: F.struct(e["name"].alias("name"), F.when(jsontext.deeper(e["args"], depth), deep).otherwise(e["args"]).alias("args")))
+    # leaves are made only where names agree: a call meets one expected call at most
+    holds = lambda e, c: F.get(F.transform(F.array(jsontext.wanted_leaves(e["args"], depth)), lambda w: F.when(F.size(w) == 0, True).otherwise(jsontext.met(w, jsontext.leaves(c["args"], depth)))), F.lit(0))
+    fits = lambda e, c: F.when(e["name"] == c["name"], holds(e, c)).otherwise(False)
     # both lists are made once, then the expected calls are crossed off in order
-    lists = F.array(F.struct(have.alias("have"), want.alias("want")))
-    left = F.transform(lists, lambda x: F.size(x["want"]) - F.aggregate(x["have"], F.lit(0), lambda at, c: F.when((at < F.size(x["want"])) & fits(F.get(x["want"], at), c), at + 1).otherwise(at)))
+    lists = F.array(F.struct(made.alias("made"), want.alias("want")))
+    left = F.transform(lists, lambda x: F.size(x["want"]) - F.aggregate(x["made"], F.lit(0), lambda at, c: F.when((at < F.size(x["want"])) & fits(F.get(x["want"], at), c), at + 1).otherwise(at)))
     taboo = F.coalesce(F.from_json(forbidden, "array<string>"), F.array().cast("array<string>"))
     return ((F.get(left, F.lit(0)) == 0) & ~F.arrays_overlap(F.transform(made, lambda c: F.coalesce(c["name"], F.lit(""))), taboo)).cast("double")
 

@@ -357,3 +357,26 @@ def test_neighbours_of_vectors_of_any_size(spark, kind):
         s[q] = -np.inf
         hits.append(len(found.get(q, set()) & set(np.lexsort((np.arange(2000), -s))[:20].tolist())) / 20)
     assert np.mean(hits) >= 0.9
+
+
+def test_small_cells_share_a_group_and_give_k_rows():
+    """A query meets each group once and takes k rows from it, however many of its cells it probes; large cells are groups of their own."""
+    first, blocks = ivfpq.grouped([0, 1, 2, 4, 5], [300, 300, 20_000, 10, 10], 6, 1000, 8192)
+    assert blocks.tolist() == [1, 1, 3, 0, 1, 1] and first.tolist() == [0, 0, 1, 0, 4, 4]
+    first, _ = ivfpq.grouped(list(range(4096)), [100] * 4096, 4096, 16_384, 8192)
+    assert first.max() == 25 and (np.diff(first) >= 0).all()
+    rng = np.random.default_rng(3)
+    x, q = rng.normal(size=(400, 8)), rng.normal(size=(300, 8))
+    index = ivfpq.fit(x.astype(np.float32), 12, 4)
+    cell = index.nearest(x.astype(np.float32))
+    codes = index.encode(x.astype(np.float32), cell)
+    probed = np.repeat(np.arange(300), 12), np.tile(np.arange(12), 300)
+    who, ids, scores = ivfpq.group_search(index, cell, np.arange(400), codes, x, np.arange(300), probed, q, 5, None)
+    assert len(who) == 1500
+    for i in range(300):
+        s = x @ q[i]
+        s[i] = -np.inf
+        assert ids[who == i].tolist() == np.lexsort((np.arange(400), -s))[:5].tolist() and np.allclose(scores[who == i], np.sort(s)[::-1][:5])
+    near = rng.integers(0, 4, (50, 60)).astype(np.float32)
+    want = [np.sort(np.lexsort((np.arange(60), -row))[:9]).tolist() for row in near]
+    assert ivfpq.shortlist(near, 9).tolist() == want

@@ -60,9 +60,12 @@ def yaml_json(text: pd.Series) -> pd.Series:
     """YAML (or JSON) text as JSON text; null where it is neither or nothing."""
     import yaml
 
+    # the same loader in C, where there is one
+    loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
+
     def one(t: str | None) -> str | None:
         try:
-            doc = yaml.safe_load(t) if t else None
+            doc = yaml.load(t, loader) if t else None
         except yaml.YAMLError:
             return None
         return None if doc is None else json.dumps(doc, default=str, ensure_ascii=False)
@@ -86,17 +89,18 @@ def scenario_rows(files: DataFrame) -> DataFrame:
     it lacks is its problem. A file that is neither YAML nor JSON is one row with a problem.
     """
     docs = files.select("path", yaml_json("text").alias("doc"))
-    broken = docs.where("doc is null").select("path", F.lit("not YAML").alias("problem"))
-    s = docs.select("path", F.posexplode(_listed(F.col("doc"), "scenarios", _SCENARIO)).alias("ordinal", "s"))
+    # a broken file has one row without a scenario: files are read once
+    broken, none = F.col("doc").isNull(), F.array(F.lit(None).cast(_SCENARIO))
+    s = docs.select("path", broken.alias("broken"), F.posexplode(F.when(broken, none).otherwise(_listed(F.col("doc"), "scenarios", _SCENARIO))).alias("ordinal", "s"))
     absent = lambda name, there: F.when(~F.coalesce(there, F.lit(False)), name)
     filled = lambda c: F.col(c) != ""
     expects = F.coalesce(filled("s.success_contains"), F.lit(False)) | F.col("s.expect").isNotNull()
     lacking = F.concat_ws(", ", absent("id", filled("s.id")), absent("opening", filled("s.opening")), absent("max_turns", F.col("s.max_turns") > 0), absent("success_contains or expect", expects))
-    rows = s.select(
-        "path", F.col("s.id").alias("scenario_id"), "ordinal", "s.intent", "s.persona", "s.goal", "s.opening", F.coalesce("s.followups", F.array().cast("array<string>")).alias("followups"), "s.max_turns", "s.success_contains",
-        F.col("s.expect.contains").alias("expect_contains"), F.col("s.expect.not_contains").alias("expect_not_contains"), F.when(lacking != "", F.concat(lacking, F.lit(" is missing"))).alias("problem"),
+    unbroken = lambda c: F.when(~F.col("broken"), c)
+    return s.select(
+        "path", F.col("s.id").alias("scenario_id"), unbroken(F.col("ordinal")).alias("ordinal"), "s.intent", "s.persona", "s.goal", "s.opening", unbroken(F.coalesce("s.followups", F.array().cast("array<string>"))).alias("followups"), "s.max_turns", "s.success_contains",
+        F.col("s.expect.contains").alias("expect_contains"), F.col("s.expect.not_contains").alias("expect_not_contains"), F.when(F.col("broken"), "not YAML").when(lacking != "", F.concat(lacking, F.lit(" is missing"))).alias("problem"),
     )
-    return rows.unionByName(broken, allowMissingColumns=True)
 
 
 def evaluator_rows(files: DataFrame) -> DataFrame:
@@ -104,14 +108,15 @@ def evaluator_rows(files: DataFrame) -> DataFrame:
     from ..operators.evaluators import DETERMINISTIC, JUDGED
 
     docs = files.select("path", yaml_json("text").alias("doc")).withColumn("specs", _listed(F.col("doc"), "evaluators", "struct<type:string,name:string,prompt:string,ref:string>"))
-    none = docs.where("coalesce(size(specs), 0) <= 0").select("path", F.lit("no evaluators are given").alias("problem"))
-    s = docs.select("path", F.posexplode("specs").alias("ordinal", "s")).select("path", "ordinal", "s.*")
+    # a file without any has one row without an ordinal: files are read once
+    s = docs.select("path", F.posexplode_outer(F.when(F.size("specs") > 0, F.col("specs"))).alias("ordinal", "s")).select("path", "ordinal", "s.*")
+    none = F.col("ordinal").isNull()
     known, judged = F.col("type").isin(*DETERMINISTIC), F.col("type").isin(*JUDGED)
     judge = F.coalesce(judged | ~(known | (F.col("type") == "custom")), F.lit(True))
     prompt = F.nullif(F.regexp_replace(F.lower(F.coalesce("prompt", F.lit(""))), "_prompt$", ""), F.lit(""))
     metric = F.when(known, F.col("type")).otherwise(F.coalesce(F.nullif(F.col("name"), F.lit("")), F.when(judge, prompt), F.col("type")))
-    problem = F.when(F.coalesce(F.col("type"), F.lit("")) == "", "no type").when((F.col("type") == "custom") & ~F.coalesce(F.col("ref").contains(":"), F.lit(False)), "no module:function")
-    return s.select("path", "ordinal", "type", metric.alias("metric"), judge.alias("judge"), problem.alias("problem")).unionByName(none, allowMissingColumns=True)
+    problem = F.when(none, "no evaluators are given").when(F.coalesce(F.col("type"), F.lit("")) == "", "no type").when((F.col("type") == "custom") & ~F.coalesce(F.col("ref").contains(":"), F.lit(False)), "no module:function")
+    return s.select("path", "ordinal", "type", F.when(~none, metric).alias("metric"), F.when(~none, judge).alias("judge"), problem.alias("problem"))
 
 
 @dataclass(frozen=True)

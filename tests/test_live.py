@@ -261,3 +261,44 @@ def test_a_batch_is_read_from_its_source_once(spark, tmp_path):
     assert reads.value == 1
     assert sorted((r.metric, r.total, r.n, r.bad) for r in live.cells().collect()) == [("e", None, 0, 1), ("m", 0.5, 1, 0), ("s", None, 0, 0)]
     assert not [f for name in ("_batch", "_scores") for f in (tmp_path / "live" / name).rglob("*.parquet")]
+
+
+def test_many_folders_are_listed_by_tasks(tmp_path):
+    """The driver holds a few bytes a file; of many folders it holds the folders, and filters hold below them too."""
+    for i in range(400):
+        for name in ("evaluators.yaml", "work/state.json", ".hidden.json", "skills/one/SKILL.md"):
+            put(tmp_path, f"many/p{i}/{name}", "{}")
+    put(tmp_path, "many/dataset.json", "{}")
+    reader = ds.Reader(str(tmp_path / "many"))
+    parts = reader.partitions()
+    assert [type(p).__name__ for p in parts] == ["Files", "Folders"] and len(pickle.dumps(parts)) < 10 * 1201
+    paths = lambda r: [p for part in r.partitions() for b in r.read(part) for p in b.column("path").to_pylist()]
+    assert sorted(paths(reader)) == sorted(a.path for a in ds.listed(str(tmp_path / "many"))) and len(paths(reader)) == 1201
+    assert list(reader.pushFilters([EqualTo(("kind",), "evaluators")])) == [] and len(paths(reader)) == 400
+    assert len(paths(ds.Reader(str(tmp_path / "many"), "SKILL.md"))) == 400
+    stream = ds.StreamReader(str(tmp_path / "many"), 0.0)
+    start, end = stream.initialOffset(), stream.latestOffset()
+    put(tmp_path, "many/p7/evaluators.yaml", "{} ")
+    late = stream.latestOffset()
+    read = lambda a, b: [p for part in stream.partitions(a, b) for batch in stream.read(part) for p in batch.column("path").to_pylist()]
+    assert len(read(start, end)) == 1200 and read(end, late) == [str(tmp_path / "many/p7/evaluators.yaml")] and len(read(start, late)) == 1201
+    for i in range(5000):
+        put(tmp_path, f"flat/results/run-c{i}.json", "{}")
+    flat = ds.Reader(str(tmp_path / "flat")).partitions()
+    assert [len(p.files) for p in flat] == [4096, 904] and len(pickle.dumps(flat)) < 40 * 5000
+
+
+def test_small_projects_are_written_whole(spark, tmp_path):
+    """A project's files are one task's, so its folder is moved at once; a folder of more files than a task has is dealt out by file."""
+    dealt = []
+    wide = type(spark.range(1)).repartition
+    try:
+        wide_type = type(spark.range(1))
+        wide_type.repartition = lambda self, n, *cols: dealt.append((n, str(cols[0]))) or wide(self, n, *cols)
+        rows = spark.range(6000).selectExpr("concat('p', id div 3, '/', id % 3, '/dataset.json') AS path", "'{}' AS text")
+        ds.save(rows, str(tmp_path / "a"))
+        ds.save(rows.selectExpr("concat('all/', path) AS path", "text"), str(tmp_path / "b"))
+    finally:
+        wide_type.repartition = wide
+    assert [n for n, _ in dealt] == [2, 2] and "regexp_extract" in dealt[0][1] and "regexp_extract" not in dealt[1][1]
+    assert len(ds.listed(str(tmp_path / "a"))) == len(ds.listed(str(tmp_path / "b"))) == 6000

@@ -101,3 +101,22 @@ def test_authored_cases_with_odd_documents(spark):
     assert [(r.ordinal, r.message, r.expected_tools, r.mocks, r.reference.contains, r.evidence) for r in kept] == [(8, "hi", '[{"name":"t","args":{}}]', '[{"tool":"t","matchArgs":{},"response":5}]', "c", ["doc"])]
     said = {r.ordinal: r.error for r in errors.collect()}
     assert said[6] == "empty user_message for cell k dropped" and said[7] == "case for k expects unknown tool None; dropped" and {3, 4, 5} <= set(said) and 8 not in said
+
+
+def test_specification_files_are_read_once(spark):
+    """Whether files are whole, broken or empty, they come in one pass."""
+    passes = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            passes.add(batch.num_rows)
+            yield batch
+
+    texts = [("a", "evaluators:\n- type: contains\n- {type: custom, name: x}\n"), ("b", "evaluators: []"), ("c", "a: ["), ("d", "- null\n- {type: new, prompt: MY_PROMPT}")]
+    files = spark.createDataFrame(texts, "path string, text string").coalesce(1).mapInArrow(counted, "path string, text string")
+    none = "no evaluators are given"
+    want = [("a", 0, "contains", "contains", False, None), ("a", 1, "custom", "x", False, "no module:function"), ("b", None, None, None, None, none), ("c", None, None, None, None, none), ("d", 0, None, None, True, "no type"), ("d", 1, "new", "my", True, None)]
+    assert sorted(map(tuple, specs.evaluator_rows(files).select("path", "ordinal", "type", "metric", "judge", "problem").collect()), key=lambda r: (r[0], r[1] or 0)) == want
+    assert passes.value == 4
+    got = [(r.path, r.ordinal, r.scenario_id, r.followups, r.problem) for r in specs.scenario_rows(spark.createDataFrame([("a", "- {id: s, opening: hi, max_turns: 1}"), ("c", "a: [")], "path string, text string")).collect()]
+    assert sorted(got) == [("a", 0, "s", [], "success_contains or expect is missing"), ("c", None, None, None, "not YAML")]

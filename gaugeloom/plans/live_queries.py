@@ -18,12 +18,12 @@ _written: dict[tuple[str, str], str] = {}
 
 
 def _customer_runs(spark: SparkSession, d: str) -> str:
-    """A folder with a run document a customer, a score report for every third, and a dataset."""
+    """A folder with a run document a customer, a score report for every third, and a dataset; a thousand customers share a project."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _written:
         root = shared_folder(spark, "customer-runs").removeprefix("file://")
         c = table(spark, d, "customer")
-        name = lambda kind: F.concat(F.lit(f"results/{kind}-c"), F.col("c_custkey").cast("string"), F.lit(".json"))
+        name = lambda kind: F.concat(F.lit("p"), F.floor(F.col("c_custkey") / 1000).cast("string"), F.lit(f"/results/{kind}-c"), F.col("c_custkey").cast("string"), F.lit(".json"))
         runs = c.select(name("run").alias("path"), F.to_json(F.struct(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("run_id"), F.array(F.struct(F.col("c_mktsegment").alias("case_id"), F.col("c_acctbal").cast("double").alias("cost"))).alias("case_runs"))).alias("text"))
         reports = c.where("c_custkey % 3 = 0").select(name("score-report").alias("path"), F.lit("{").alias("text"))
         one = c.limit(1).select(F.lit("dataset.json").alias("path"), F.lit('{"cases": []}').alias("text"))

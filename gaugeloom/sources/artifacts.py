@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions.jsontext import json_string
 from ..functions.jsonvalues import output_hash, trajectory_hash
-from .datasource import register
+from .datasource import artifacts, opened, register
 from .kinds import KINDS
 
 
@@ -29,13 +29,14 @@ def name_patterns(spark: SparkSession) -> DataFrame:
 def kind_of_files(files: DataFrame, spark: SparkSession) -> DataFrame:
     """``files`` (path) with kind, run_id and rank by their names; of a kind's names the current one wins.
 
-    The registry is a few rows, so the pattern join is a broadcast of those.
+    The registry is some thirty names, tried one after the other in each row.
     """
-    p = F.broadcast(name_patterns(spark))  # 30 rows
-    hit = files.join(p, F.regexp_like(files["path"], p["pattern"]))
-    run = F.nullif(F.when(F.contains("pattern", F.lit("([^/]+)")), F.expr("regexp_extract(path, pattern, 1)")), F.lit(""))
-    one = hit.withColumn("run_id", run).groupBy("path").agg(F.min(F.struct("rank", "kind", "run_id")).alias("m"))
-    return files.join(one, "path", "left").select(*files.columns, "m.kind", "m.run_id", "m.rank")
+    hits = []
+    for rank, kind, name in sorted((rank, kind, name) for kind, file, legacy, *_ in KINDS for rank, name in enumerate((file, *legacy)) if name):
+        pattern = r"(?:^|/)" + name.replace(".", r"\.").replace("{run_id}", "([^/]+)") + "$"
+        run = F.nullif(F.regexp_extract("path", pattern, 1), F.lit("")) if "{run_id}" in name else F.lit(None).cast("string")
+        hits.append(F.when(F.col("path").rlike(pattern), F.struct(F.lit(kind).alias("kind"), run.alias("run_id"), F.lit(rank).alias("rank"))))
+    return files.select(*files.columns, F.coalesce(*hits).alias("_named")).select(*files.columns, "_named.kind", "_named.run_id", "_named.rank")
 
 
 def kind_of_schema(schema_id: Column) -> Column:
@@ -49,10 +50,19 @@ PARTS_A_TASK = 128
 
 
 def small_files(spark: SparkSession, folder: str, names: str) -> DataFrame:
-    """path, content of the files below a folder whose names match; Spark counts a file as 4 MB at least, so small files would be a task every thirty, each with a report to the driver."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", names).load(folder).select("path", "content")
-    parts = raw.rdd.getNumPartitions()
-    return raw.coalesce(max(PARTS_A_TASK, parts // PARTS_A_TASK)) if parts > PARTS_A_TASK else raw
+    """path, text of the files below a folder whose names match.
+
+    Tasks list the folders and read the files (``datasource``). A file system that only
+    Spark can open is listed by Spark, which counts a file as 4 MB at least, so that small
+    files would be a task every thirty, each with a report to the driver.
+    """
+    try:
+        opened(folder)
+    except ValueError:  # a scheme that pyarrow doesn't know
+        raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", names).load(folder).select("path", F.decode("content", "UTF-8").alias("text"))
+        parts = raw.rdd.getNumPartitions()
+        return raw.coalesce(max(PARTS_A_TASK, parts // PARTS_A_TASK)) if parts > PARTS_A_TASK else raw
+    return artifacts(spark, folder, names).select("path", "text")
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -60,8 +70,7 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 
     A document says what it is by its schema; its name decides only if it has none.
     """
-    raw = small_files(spark, folder, "*.json")
-    return identified(raw.select("path", F.decode("content", "UTF-8").alias("text")))
+    return identified(small_files(spark, folder, "*.json"))
 
 
 def identified(files: DataFrame) -> DataFrame:
@@ -206,14 +215,13 @@ def log_tail(spark: SparkSession, path: str, lines: int = 40) -> DataFrame:
 def agent_targets(spark: SparkSession, folder: str) -> DataFrame:
     """path of Python files that define TOOLS and build_agent."""
     src = small_files(spark, folder, "*.py")
-    t = src.select("path", F.decode("content", "UTF-8").alias("text"))
-    return t.where(F.col("text").rlike(r"(?m)^TOOLS\s*=") & F.col("text").rlike(r"(?m)^def build_agent\(")).select("path")
+    return src.where(F.col("text").rlike(r"(?m)^TOOLS\s*=") & F.col("text").rlike(r"(?m)^def build_agent\(")).select("path")
 
 
 def skill_files(spark: SparkSession, folder: str) -> DataFrame:
     """name (its folder), path, text of each SKILL.md."""
     src = small_files(spark, folder, "SKILL.md")
-    return src.select(F.regexp_extract("path", r"([^/]+)/SKILL\.md$", 1).alias("name"), "path", F.decode("content", "UTF-8").alias("text"))
+    return src.select(F.regexp_extract("path", r"([^/]+)/SKILL\.md$", 1).alias("name"), "path", "text")
 
 
 def catalog(spark: SparkSession, folder: str, prefix: str = "") -> list[str]:

@@ -117,3 +117,16 @@ def test_report_views(spark, tmp_path):
     assert r.simulation_totals().first().asDict() == {"scenarios": 1, "successes": 1, "with_violations": 1}
     assert r.tools().first().mockable and r.coverage().count() == 1
     assert {x.rule for x in r.ledger_totals().collect()} == {1}
+
+
+def test_names_give_kind_and_rank_without_a_join(spark, tmp_path):
+    """The kind of a file is told in its own row: nothing is shuffled or read again; files of any kind are read by tasks that list them."""
+    names = ["work/mock-rules.json", "mocks.json", "results/report-a.json", "x/results/score-report-b.json", "results/run-c.json", "state.json", "odd.json"]
+    rows = art.kind_of_files(spark.createDataFrame([(n,) for n in names], "path string"), spark)
+    assert [tuple(r) for r in rows.collect()] == [(names[0], "mock_rules", None, 0), (names[1], "mock_rules", None, 2), (names[2], "score_report", "a", 1), (names[3], "score_report", "b", 0), (names[4], "run", "c", 0), (names[5], "pipeline_state", None, 1), (names[6], None, None, None)]
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    write(tmp_path, "p1/agent.py", "TOOLS = []\ndef build_agent(model):\n    pass\n")
+    write(tmp_path, "p1/skills/one/SKILL.md", "---\nname: n\n---\nbody")
+    assert "BatchScan artifacts" in art.agent_targets(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert [(r.name, r.text) for r in art.skill_files(spark, str(tmp_path)).collect()] == [("one", "---\nname: n\n---\nbody")] and art.agent_targets(spark, str(tmp_path)).count() == 1

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 
@@ -41,13 +41,17 @@ def ordered_line_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _unpivoted(lines(spark, sf_dir))
 
 
-def _unpivoted(rows: DataFrame) -> DataFrame:
-    pairs = F.array(
+def line_marks() -> Column:
+    """metric and score of each metric of a line."""
+    return F.array(
         F.struct(F.lit("kept").alias("metric"), (F.col("l_returnflag") != "R").cast("double").alias("score")),
         F.struct(F.lit("settled").alias("metric"), (F.col("l_linestatus") == "F").cast("double").alias("score")),
         F.struct(F.lit("discount").alias("metric"), (F.col("l_discount") * 10).alias("score")),
     )
-    s = rows.select(F.col("l_orderkey").alias("case_id"), "run_ordinal", F.explode(pairs).alias("s"))
+
+
+def _unpivoted(rows: DataFrame) -> DataFrame:
+    s = rows.select(F.col("l_orderkey").alias("case_id"), "run_ordinal", F.explode(line_marks()).alias("s"))
     return s.select("run_ordinal", "case_id", "s.metric", F.lit("scored").alias("outcome"), "s.score", F.lit(None).cast("string").alias("comment"))
 
 

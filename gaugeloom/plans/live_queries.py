@@ -94,11 +94,11 @@ def live_talks(spark, d):
     return _kept_up(pg.follow(stream, "tion", 2), "append", root, "ended")
 
 
-def _report_files(scores: DataFrame) -> DataFrame:
-    """A score report a run and thousand orders."""
-    mark = F.map_from_entries(F.collect_list(F.struct(F.col("metric").alias("key"), F.struct("score", F.lit("").alias("comment")).alias("value"))))
-    part = F.floor(F.col("case_id") / 4000).cast("string")
-    cases = scores.groupBy("case_id", "run_ordinal").agg(mark.alias("scores")).select("run_ordinal", part.alias("part"), F.struct(F.col("case_id").cast("string").alias("case_id"), "scores").alias("case"))
+def _report_files(lines: DataFrame) -> DataFrame:
+    """A score report a run and some thousand orders, of lines as repeats of their order: a line is a case of its report."""
+    marks = F.map_from_entries(F.transform(ad.line_marks(), lambda m: F.struct(m["metric"].alias("key"), F.struct(m["score"].alias("score"), F.lit("").alias("comment")).alias("value"))))
+    part = F.floor(F.col("l_orderkey") / 4000).cast("string")
+    cases = lines.select("run_ordinal", part.alias("part"), F.struct(F.col("l_orderkey").cast("string").alias("case_id"), marks.alias("scores")).alias("case"))
     run = F.concat(F.lit("r"), F.col("run_ordinal").cast("string"), F.lit("p"), F.col("part"))
     files = cases.groupBy("run_ordinal", run.alias("run_id")).agg(F.collect_list("case").alias("cases"))
     return files.select("run_ordinal", F.concat(F.lit("results/score-report-"), "run_id", F.lit(".json")).alias("path"), F.to_json(F.struct(F.lit("demo/score-report/v1").alias("schema"), "run_id", "cases")).alias("text"))
@@ -110,7 +110,7 @@ def live_metric_rates(spark, d):
     """Orders' scores as reports that arrive in three batches, the second with the first's files again: rates are kept up by adding parts."""
     root = shared_folder(spark, "reports")
     inbox = f"{root}/in".removeprefix("file://")
-    files = _report_files(ad.ordered_line_scores(spark, d))
+    files = _report_files(ad.lines(spark, d))
     saved = f"{root}/files"
     files.write.options(**ds.DOCUMENT_ROWS).parquet(saved)
     files = spark.read.schema(files.schema).parquet(saved)

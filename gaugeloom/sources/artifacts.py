@@ -157,19 +157,34 @@ def ledger(case_runs: DataFrame) -> DataFrame:
     return case_runs.select("run_id", "case_id", F.posexplode(F.from_json("mock_calls", entry)).alias("seq", "e")).select("run_id", "case_id", "seq", "e.*")
 
 
+#: What is read of a case of a score report.
+_MARKS = "struct<case_id:variant,scores:map<string,struct<score:double,comment:string>>,errors:map<string,string>,skipped:map<string,string>>"
+
+
 def score_rows(reports: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep``, case_id, metric, outcome, score, comment of score reports (doc): each is read once for its scores, errors and skipped metrics."""
-    c = items(reports, "$.cases", keep).withColumn("case_id", text("item", "$.case_id"))
+    """``keep``, case_id, metric, outcome, score, comment of score reports (doc, text): each is read once for its scores, errors and skipped metrics, all cases in one pass over its text.
+
+    A VARIANT tells whether the text is JSON, but writing it out again costs many times as
+    much as both: only if something in the list is no object are cases taken from it, one by one.
+    """
+    together = F.from_json("text", f"struct<cases:array<{_MARKS}>>")["cases"]
+    read = reports.where("doc is not null").select(*keep, "text", together.alias("_cases"))
+    listed = F.to_json(F.try_variant_get(F.try_parse_json("text"), "$.cases", "variant"))
+    each = F.transform(F.from_json(listed, "array<variant>"), lambda v: F.from_json(F.to_json(v), _MARKS))
+    # outer: else Spark infers a filter from the list's size, for which it works the list out once more
+    c = read.select(*keep, F.explode_outer(F.when(F.forall("_cases", lambda c: c.isNotNull()), F.col("_cases")).otherwise(each)).alias("c")).where("c is not null")
     mark = lambda name, outcome, score, comment: F.struct(name.alias("metric"), F.lit(outcome).alias("outcome"), score.alias("score"), comment.alias("comment"))
-    entries = lambda key, value: F.map_entries(F.from_json(json_text("item", f"$.{key}"), f"map<string,{value}>"))
-    scored = F.transform(entries("scores", "struct<score:double,comment:string>"), lambda m: mark(m["key"], "scored", m["value"]["score"], m["value"]["comment"]))
-    unscored = lambda key, outcome: F.transform(entries(key, "string"), lambda m: mark(m["key"], outcome, F.lit(None).cast("double"), m["value"]))
-    return c.select(*keep, "case_id", F.explode(F.flatten(F.filter(F.array(scored, unscored("errors", "error"), unscored("skipped", "skipped")), lambda x: x.isNotNull()))).alias("m")).select(*keep, "case_id", "m.*")
+    scored = F.transform(F.map_entries("c.scores"), lambda m: mark(m["key"], "scored", m["value"]["score"], m["value"]["comment"]))
+    unscored = lambda key, outcome: F.transform(F.map_entries(f"c.{key}"), lambda m: mark(m["key"], outcome, F.lit(None).cast("double"), m["value"]))
+    # a number has one spelling, as it has where runs are read
+    plain = F.when(F.schema_of_variant("c.case_id") == "STRING", text("c.case_id", "$")).otherwise(F.try_variant_get(F.try_parse_json(F.to_json("c.case_id")), "$", "string"))
+    marks = F.flatten(F.filter(F.array(scored, unscored("errors", "error"), unscored("skipped", "skipped")), lambda x: x.isNotNull()))
+    return c.select(*keep, plain.alias("case_id"), F.explode_outer(marks).alias("m")).where("m is not null").select(*keep, "case_id", "m.*")
 
 
 def scores(docs: DataFrame, order: DataFrame | None = None) -> DataFrame:
     """The long score table of all score reports; run_ordinal by ``order`` (run_id, run_ordinal) or by run_id."""
-    rep = one(docs, "score_report").select("doc", "run_id")
+    rep = one(docs, "score_report").select("doc", "text", "run_id")
     if order is None:
         order = rep.select("run_id").distinct().withColumn("run_ordinal", F.dense_rank().over(Window.orderBy("run_id")) - 1)
     return score_rows(rep.join(order, "run_id", "left"), ["run_id", "run_ordinal"])

@@ -302,3 +302,14 @@ def test_small_projects_are_written_whole(spark, tmp_path):
         wide_type.repartition = wide
     assert [n for n, _ in dealt] == [2, 2] and "regexp_extract" in dealt[0][1] and "regexp_extract" not in dealt[1][1]
     assert len(ds.listed(str(tmp_path / "a"))) == len(ds.listed(str(tmp_path / "b"))) == 6000
+
+
+def test_scores_are_read_from_the_text_in_one_pass(spark):
+    """No report is written out again to be read, nor worked out again to count its cases; a list with something that is no case loses none of the others."""
+    texts = ['{"cases": [{"case_id": "a", "scores": {"m": {"score": 1, "comment": "x"}, "k": {"score": "bad"}}, "errors": {"e": "why"}, "skipped": {"s": null}}]}', '{"cases": [1, "x", null, {"case_id": 12, "scores": {"m": {"score": 2}}}]}', '{"cases": [{"case_id": 1e3, "scores": 5, "errors": {"e": "kept"}}]}', '{"cases": {"case_id": "a", "scores": {"m": {"score": 1}}}}', '{"cases": [{"case_id": "a", "case_id": "b", "scores": {"m": {"score": 1}}}]}', "{", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "n int, text string").withColumn("doc", F.try_parse_json("text"))
+    rows = art.score_rows(docs, ["n"])
+    want = [(0, "a", "e", "error", None, "why"), (0, "a", "k", "scored", None, None), (0, "a", "m", "scored", 1.0, "x"), (0, "a", "s", "skipped", None, None), (1, "12", "m", "scored", 2.0, None), (2, "1000", "e", "error", None, "kept")]
+    assert sorted(map(tuple, rows.collect()), key=lambda r: r[:3]) == want
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "size(" not in plan and plan.count("StructField(cases") <= 1
